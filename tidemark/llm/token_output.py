@@ -3,6 +3,7 @@
 File format: a Parquet table, one row a block of whole documents, blocks in ascending order of (part, block).
   part, block      place of the block; parts are ranges of doc_id in ascending order
   doc_ids, lens    the block's documents and how many ids each has (its end id included)
+  part_start       ids in the part's earlier blocks
   n_ids, bits      ids in the block, bits of one id: the least that hold the vocabulary
   payload          ids one after another, each in `bits` bits, most significant bit first, the last byte padded with 0
 A document's ids are `lens[:k].sum()` ids into the block's payload, at bit `bits` times that.
@@ -23,8 +24,8 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.common import kept_in_worker, shared_dir, ship
 
-BLOCK_SCHEMA = "part int, block int, doc_ids array<bigint>, lens array<bigint>, n_ids bigint, bits int, payload binary"
-BLOCK_ARROW = pa.schema([("part", pa.int32()), ("block", pa.int32()), ("doc_ids", pa.list_(pa.int64())), ("lens", pa.list_(pa.int64())), ("n_ids", pa.int64()), ("bits", pa.int32()), ("payload", pa.binary())])
+BLOCK_SCHEMA = "part int, block int, doc_ids array<bigint>, lens array<bigint>, part_start bigint, n_ids bigint, bits int, payload binary"
+BLOCK_ARROW = pa.schema([("part", pa.int32()), ("block", pa.int32()), ("doc_ids", pa.list_(pa.int64())), ("lens", pa.list_(pa.int64())), ("part_start", pa.int64()), ("n_ids", pa.int64()), ("bits", pa.int32()), ("payload", pa.binary())])
 #: A block is closed once it has so many ids.
 BLOCK_IDS = 1 << 18
 #: Words a worker keeps the ids of, at most; then it starts anew.
@@ -130,17 +131,17 @@ def _blocks(path: str, bits: int, end_id: int | None):
     end = b"" if end_id is None else np.uint32(end_id).tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, part, block = encoder(path), TaskContext.get().partitionId(), 0
+        enc, part, block, done = encoder(path), TaskContext.get().partitionId(), 0, 0
         docs: list[int | None] = []
         held: list[bytes] = []
         size = 0
 
         def close() -> pa.RecordBatch:
-            nonlocal docs, held, size, block
+            nonlocal docs, held, size, block, done
             lens = [len(x) // 4 for x in held]
             ids = np.frombuffer(b"".join(held), np.uint32)
-            out = pa.RecordBatch.from_pylist([{"part": part, "block": block, "doc_ids": docs, "lens": lens, "n_ids": len(ids), "bits": bits, "payload": pack(ids, bits)}], schema=BLOCK_ARROW)
-            docs, held, size, block = [], [], 0, block + 1
+            out = pa.RecordBatch.from_pylist([{"part": part, "block": block, "doc_ids": docs, "lens": lens, "part_start": done, "n_ids": len(ids), "bits": bits, "payload": pack(ids, bits)}], schema=BLOCK_ARROW)
+            docs, held, size, block, done = [], [], 0, block + 1, done + len(ids)
             return out
 
         for batch in batches:
@@ -184,21 +185,16 @@ def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def blocks_with_starts(spark, path: str) -> DataFrame:
     """The blocks of a written table with `before`: how many ids all earlier blocks hold.
 
-    Offsets within a part come from its blocks; those between parts from one row a part (as many as the writer had tasks).
+    What is sent to the driver and back is one row a part (as many as the writer had tasks).
     """
-    from pyspark.sql import Window as W
-
     blocks = spark.read.parquet(path)
-    sizes = blocks.select("part", "block", "n_ids")
-    sums = {r["part"]: r["n"] for r in sizes.groupBy("part").agg(F.sum("n_ids").alias("n")).collect()}
+    sums = {r["part"]: r["n"] for r in blocks.groupBy("part").agg(F.sum("n_ids").alias("n")).collect()}
     total, rows = 0, []
     for part in sorted(sums):
         rows.append((part, total))
         total += sums[part]
     parts = spark.createDataFrame(rows, "part int, part_before bigint")
-    inner = F.coalesce(F.sum("n_ids").over(W.partitionBy("part").orderBy("block").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    starts = sizes.join(F.broadcast(parts), "part").select("part", "block", (F.col("part_before") + inner).alias("before"))
-    return blocks.join(starts, ["part", "block"])
+    return blocks.join(F.broadcast(parts), "part").withColumn("before", F.col("part_before") + F.col("part_start")).drop("part_before")
 
 
 def token_digests(spark, path: str) -> DataFrame:
