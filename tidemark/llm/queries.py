@@ -50,12 +50,115 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", "ambiguous")
 
 
+def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.llm.sharding import shard
+
+    out = shard(table(spark, sf_dir, "documents"), 8)
+    crc = F.coalesce(F.crc32(F.col("text").cast("binary")), F.lit(0)).cast("bigint")
+    return out.select("doc_id", "size", crc.alias("text_crc32"), "law", "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.llm.line_dedup import dedup_lines
+
+    return dedup_lines(table(spark, sf_dir, "documents")).select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
+
+
+OP6_SQL = r"""
+WITH l AS (SELECT doc_id, generate_subscripts(ls, 1) AS i, unnest(ls) AS line FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents)),
+k AS (SELECT *, translate(trim(line, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM l),
+r AS (SELECT key, max(doc_id) AS last FROM k WHERE length(key) >= 20 GROUP BY key HAVING count(DISTINCT doc_id) >= 3),
+j AS (SELECT k.*, r.last IS NOT NULL AND k.doc_id < r.last AS gone FROM k LEFT JOIN r ON k.key = r.key)
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_dropped, sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (WHERE NOT gone), '')) AS kept_sha256 FROM j GROUP BY doc_id
+"""
+
+
+def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.llm.mixing import mix
+
+    out = mix(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
+    return out.select("doc_id", "size", "source_size", "target", (F.size("takes") * F.col("size")).cast("bigint").alias("taken"))
+
+
+def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.llm.licenses import known_digests, scan_licenses
+
+    out = scan_licenses(table(spark, sf_dir, "documents").select("doc_id", "text"), known_digests(spark))
+    return out.select("doc_id", "digest", "license", F.array_join("line_licenses", ",").alias("line_licenses"))
+
+
+def op9_sql() -> str:
+    from tidemark.llm.licenses import NOTICES, SPELLINGS
+
+    def respelled(x: str) -> str:
+        x = f"lower({x})"
+        for old, new in SPELLINGS:
+            x = f"replace({x}, '{old}', '{new}')"
+        return x
+
+    def plain(x: str) -> str:
+        return rf"trim(regexp_replace({x}, '[\x00-\x2F\x3A-\x60\x7B-\x7F]+', ' ', 'g'), ' ')"
+
+    def canonical(x: str) -> str:
+        kept = rf"list_filter(string_split({respelled(x)}, chr(10)), lambda l: NOT regexp_matches(l, '^[^a-z(]*(copyright|\(c\)|all rights reserved)'))"
+        return f"md5({plain(f'coalesce(array_to_string({kept}, chr(10)), {chr(39) * 2})')})"
+
+    values = ", ".join("('{}', '{}')".format(a, b.replace("'", "''")) for a, b in NOTICES)
+    return f"""
+WITH n(license, text) AS (VALUES {values}),
+known AS (SELECT {canonical('text')} AS digest, min(license) AS license FROM n GROUP BY 1),
+l AS (SELECT doc_id, unnest(string_split({respelled("coalesce(text, '')")}, chr(10))) AS line FROM documents),
+f AS (SELECT doc_id, string_agg(DISTINCT license, ',' ORDER BY license) AS line_licenses FROM (SELECT doc_id, md5({plain('line')}) AS digest FROM l) JOIN known USING (digest) GROUP BY 1)
+SELECT d.doc_id, d.digest, known.license, coalesce(f.line_licenses, '') AS line_licenses
+FROM (SELECT doc_id, {canonical("coalesce(text, '')")} AS digest FROM documents) d LEFT JOIN known ON d.digest = known.digest LEFT JOIN f ON d.doc_id = f.doc_id
+"""
+
+
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.llm.quality import quality
+
+    out = quality(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_words_lost", F.sha2("cleaned", 256).alias("cleaned_sha256"))
+
+
+def op10_sql() -> str:
+    from tidemark.llm.quality import BOILERPLATE, ENDS, FURNITURE, MOST_LOST, SEPARATORS, SHORT, SYMBOLS
+
+    def count(x: str, chars: str) -> str:
+        return f"(length({x}) - length(translate({x}, '{chars}', '')))"
+
+    ends = ENDS.replace("'", "''")
+    return rf"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+win AS (SELECT doc_id, i, array_to_string(w[i : i + 7], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 6)) AS i FROM d WHERE len(w) >= 8)),
+twice AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, g) AS c FROM win) WHERE c > 1),
+rep AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest(range(i, i + 8)) AS p FROM twice) GROUP BY 1),
+l0 AS (SELECT doc_id, generate_subscripts(ls, 1) AS i, unnest(ls) AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM d)),
+l1 AS (SELECT *, len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) AS n FROM l0),
+l AS (SELECT *, n > 0 AND ((n < {SHORT} AND NOT regexp_matches(line, '{ends}')) OR (n >= 3 AND {count('line', '!?')} > n) OR (n >= 3 AND {count('line', SYMBOLS)} * 2 > n)
+  OR ({count('line', SEPARATORS)} >= 2 AND {count('line', SEPARATORS)} * 3 > n)
+  OR (n <= {FURNITURE} AND regexp_matches(translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{BOILERPLATE}'))) AS fails FROM l1),
+s AS (SELECT doc_id, count(line) FILTER (WHERE n > 0) - count(DISTINCT line) FILTER (WHERE n > 0) AS n_dup_lines, coalesce(sum(n) FILTER (WHERE fails), 0) AS lost, coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (WHERE NOT fails), '') AS cleaned FROM l GROUP BY 1),
+b AS (SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars, CAST({count('text', SYMBOLS)} AS BIGINT) AS n_symbols, CAST(n_dup_lines AS BIGINT) AS n_dup_lines, coalesce(rep.n, 0) AS n_repeat_words, CAST(lost AS BIGINT) AS n_words_lost, cleaned FROM d JOIN s ON d.doc_id = s.doc_id LEFT JOIN rep ON d.doc_id = rep.doc_id),
+f AS (SELECT *, n_words < 20 OR n_repeat_words * 100 > n_words * 30 AS base_failed FROM b)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND n_words_lost * 100 <= n_words * {MOST_LOST} AS kept, n_words_lost, sha256(cleaned) AS cleaned_sha256 FROM f
+"""
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_output": op1_token_output,
     "op2_decontaminate": op2_decontaminate,
     "op3_language_id": op3_language_id,
+    "op4_sharding": op4_sharding,
+    "op6_line_dedup": op6_line_dedup,
+    "op7_mixing": op7_mixing,
+    "op9_license_scan": op9_license_scan,
+    "op10_quality": op10_quality,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op2_decontaminate": OP2_SQL,
+    "op6_line_dedup": OP6_SQL,
+    "op9_license_scan": op9_sql(),
+    "op10_quality": op10_sql(),
 }
