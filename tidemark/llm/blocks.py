@@ -61,7 +61,7 @@ class Strings:
 
 def _pack(block_bytes: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        first, block = TaskContext.get().partitionId() << 32, 0
+        first, block = TaskContext.get().partitionId() << 24, 0
         ids: list[int | None] = []
         texts: list[bytes] = []
         size = 0
