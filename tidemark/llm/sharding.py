@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 #: Ranges for each shard; keys drawn for each range; cells that a range is subdivided into.
 RANGES, DRAWN, CELLS = 64, 16, 1024
 #: A range of so many times the mean size is overfull. A cell above this share of a shard is placed by itself, one above a shard's
-#: size is cut into pieces of SHARE of a shard.
-OVERFULL, GIANT, SHARE = 3, 0.025, 0.25
+#: size (a group of equal texts, of which there are fewer than shards) is cut by row into PIECES for each shard it would fill.
+OVERFULL, GIANT, PIECES = 3, 0.025, 64
 STEP = 24
 
 
@@ -90,13 +90,19 @@ def shard(docs: DataFrame, shards: int = 8) -> DataFrame:
 
     fair = total / shards
     cells = cells_of({r for r, n in ranges.items() if n > OVERFULL * total / n_ranges})
-    room, giants = [fair] * shards, {}
-    for unit, n in sorted(((r, c), n) for r, own in cells.items() for c, n in own.items() if n > GIANT * fair):
-        giants[unit] = [0] * (int(n / (SHARE * fair)) + 1 if n > fair else 1)
-    for unit, pieces in sorted(giants.items(), key=lambda x: (-cells[x[0][0]][x[0][1]], x[0])):
-        for i in range(len(pieces)):
-            pieces[i] = max(range(shards), key=lambda s: (room[s], -s))
-            room[pieces[i]] -= cells[unit[0]][unit[1]] / len(pieces)
+    room = [fair] * shards
+    sizes = {(r, c): n for r, own in cells.items() for c, n in own.items() if n > GIANT * fair}
+    parts: dict[tuple[int, int], list[int]] = {unit: [n] for unit, n in sizes.items()}
+    for unit, n in sizes.items():
+        if n > fair:
+            parts[unit] = [0] * min(CELLS, PIECES * -(-n // int(fair)))
+            piece = F.pmod(F.xxhash64("_row"), F.lit(len(parts[unit]))).cast("int").alias("p")
+            for r in rows.filter((F.col("_range") == unit[0]) & (F.col("_cell") == unit[1])).groupBy(piece).agg(F.sum("size").alias("n")).collect():
+                parts[unit][r["p"]] = r["n"]
+    giants = {unit: [0] * len(own) for unit, own in parts.items()}
+    for n, unit, i in sorted(((n, unit, i) for unit, own in parts.items() for i, n in enumerate(own)), key=lambda x: (-x[0], x[1:])):
+        giants[unit][i] = max(range(shards), key=lambda k: (room[k], -k))
+        room[giants[unit][i]] -= n
     room = [max(0.0, x) for x in room]
     cells |= cells_of(crossing(ranges, cells, giants, room))
     units = [(r, c, [s]) for (r, c), s in placed(ranges, cells, giants, room).items()] + [(r, c, s) for (r, c), s in giants.items()]
