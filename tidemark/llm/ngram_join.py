@@ -9,11 +9,11 @@ bound are formed:
 2. For the others a second census counts all their n-grams. One found once is in no overlap, so the s found more often bound every
    overlap; a document with s below ceil(0.8 n) is out, and its columns are its s - ceil(0.8 n) + 1 rarest ones.
 3. Equal rows are one class; a class goes on as one row.
-4. Each column is first multiplied with one of its rows, the one with the fewest n-grams of its own (in a group of edited copies:
-   nearest to their original). Components of these links come next; then each column's rows outside that row's component are
-   multiplied with its rows of other components. Products whose sizes keep them below the bound are left out, all others are
-   accumulated over the whole rows. So a group of copies costs one product a member, not one a pair, and no link between different
-   components is lost.
+4. Each column is first multiplied with one of its rows, its head: the one with the fewest n-grams of its own (in a group of edited
+   copies nearest to their original). Components of these links come next. Then, under each head, the rows outside its component
+   are multiplied with all its rows, block by block, and overlaps are accumulated over whole rows. Products whose sizes keep them
+   below the bound are discarded. So a group of copies costs one product a member, unless members are no link of their head; then
+   blocks of those meet all blocks, inside a task. No link between different components is lost, and no pairs are listed.
 """
 
 from __future__ import annotations
@@ -35,6 +35,8 @@ N = 5
 #: Two documents link when DEN * intersection >= NUM * union.
 NUM, DEN = 4, 5
 NAME = 5
+#: Rows of a block in the product of rows under one head; columns that are multiplied at a time.
+BLOCK_ROWS, CHUNK = 256, 8192
 TO_LOWER = bytes(b + 32 if 0x41 <= b <= 0x5A else b for b in range(256))
 ROWS = "rid bigint, doc_id bigint, size bigint, crc bigint, n bigint, s bigint, sig1 bigint, sig2 bigint, tokens binary, columns array<bigint>"
 
@@ -160,6 +162,58 @@ def linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return pairs.join(one, "x").join(two, "y").select("x", "y", "nx", "ny", "tx", "ty").mapInArrow(_overlaps, "x bigint, y bigint")
 
 
+def _product(table: pa.Table) -> pa.Table:
+    """Links between the two sides of a block pair (side 1: odd rows) that join different components: a forest, not all pairs."""
+    side = table.column("side").to_numpy()
+    rid, n, comp = (table.column(c).to_numpy() for c in ("rid", "n", "comp"))
+    sets = [tokens_of(t) for t in table.column("tokens").to_pylist()]
+    a, b = np.flatnonzero(side == 1), np.flatnonzero(side == 0)
+    columns = np.intersect1d(joined([sets[i] for i in a]), joined([sets[i] for i in b]))
+    overlap = np.zeros((len(a), len(b)), np.float32)
+    for at in range(0, len(columns), CHUNK):
+        part = columns[at : at + CHUNK]
+        one, two = (np.zeros((len(rows), len(part)), np.float32) for rows in (a, b))
+        for matrix, rows in ((one, a), (two, b)):
+            for k, i in enumerate(rows):
+                own = sets[i]
+                place = np.searchsorted(part, own)
+                place[place == len(part)] = 0
+                matrix[k, place[part[place] == own]] = 1
+        overlap += one @ two.T
+    hit = ((NUM + DEN) * overlap >= NUM * (n[a][:, None] + n[b][None, :])) & (comp[a][:, None] != comp[b][None, :])
+    up: dict[int, int] = {}
+
+    def top(x: int) -> int:
+        while (y := up.get(x, x)) != x:
+            up[x] = up.get(y, y)
+            x = y
+        return x
+
+    links = []
+    for i, j in np.argwhere(hit).tolist():
+        x, y = top(int(comp[a[i]])), top(int(comp[b[j]]))
+        if x != y:
+            up[x] = y
+            links.append((int(rid[a[i]]), int(rid[b[j]])))
+    return pa.table({"x": pa.array([x for x, _ in links], pa.int64()), "y": pa.array([y for _, y in links], pa.int64())})
+
+
+def across(placed: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links (x, y) between rows under one head (rid, head_rid, comp, head_comp) that lie in different components.
+
+    One of such a pair is odd, that is outside its head's component. The rows under a head are cut into blocks, its odd rows too,
+    and each pair of blocks is multiplied as matrices in one task: both are of bounded size, whatever the head's.
+    """
+    is_odd = (F.col("comp") != F.col("head_comp")) & (F.col("rid") != F.col("head_rid"))
+    heads = placed.groupBy("head_rid").agg(F.count("*").alias("all"), F.count(F.when(is_odd, 1)).alias("odd")).filter("odd > 0")
+    cuts = heads.select("head_rid", F.ceil(F.col("all") / BLOCK_ROWS).alias("nb"), F.ceil(F.col("odd") / BLOCK_ROWS).alias("na"))
+    rows = placed.withColumn("is_odd", is_odd).drop("head_comp").join(cuts, "head_rid").join(sets, "rid")
+    at = F.xxhash64("rid", F.lit(5))
+    one = rows.filter("is_odd").select("head_rid", F.pmod(at, "na").alias("a"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("nb") - 1)).alias("b"), F.lit(1).alias("side"), "rid", "n", "comp", "tokens")
+    two = rows.select("head_rid", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("na") - 1)).alias("a"), F.pmod(at, "nb").alias("b"), F.lit(0).alias("side"), "rid", "n", "comp", "tokens")
+    return one.unionByName(two).groupBy("head_rid", "a", "b").applyInArrow(_product, "x bigint, y bigint")
+
+
 def components(links: DataFrame) -> DataFrame:
     """(rid, comp) for every end of a link: comp is the smallest rid reachable. Least labels of neighbours, then of labels, until none changes."""
     edges = stored(links.unionByName(links.select(F.col("y").alias("x"), F.col("x").alias("y"))).filter("x <> y"), "edges")
@@ -200,12 +254,8 @@ def join_components(docs: DataFrame, n: int = N, block_bytes: int = BLOCK_BYTES)
     comp = labels.select(F.col("rid"), F.col("comp"))
     head_comp = labels.select(F.col("rid").alias("head_rid"), F.col("comp").alias("head_comp"))
     placed = table.withColumn("head_rid", F.col("head.rid")).join(comp, "rid", "left").join(head_comp, "head_rid", "left")
-    placed = stored(placed.select("column", "rid", "n", "s", "head_rid", F.coalesce("comp", "rid").alias("comp"), F.coalesce("head_comp", "head_rid").alias("head_comp")), "product")
-    odd = placed.filter("comp <> head_comp and rid <> head_rid")
-    rest = placed.join(odd.select("column").distinct(), "column", "left_semi")
-    a, b = odd.alias("a"), rest.alias("b")
-    others = a.join(b, (F.col("a.column") == F.col("b.column")) & (F.col("a.comp") != F.col("b.comp")) & (F.col("b.rid") != F.col("b.head_rid")) & can_link(F.col("a.s"), F.col("a.n"), F.col("b.s"), F.col("b.n")) & ((F.col("b.comp") == F.col("b.head_comp")) | (F.col("a.rid") > F.col("b.rid"))))
-    second = linked(others.select(F.greatest("a.rid", "b.rid").alias("x"), F.least("a.rid", "b.rid").alias("y")).distinct(), sets)
+    placed = stored(placed.select("rid", "head_rid", F.coalesce("comp", "rid").alias("comp"), F.coalesce("head_comp", "head_rid").alias("head_comp")).distinct(), "product")
+    second = stored(across(placed, sets), "links")
     labels = components(first.unionByName(second))
     member = able.select("rid", "n", "sig1", "sig2").join(classes, ["n", "sig1", "sig2"]).select("rid", "rep")
     member = member.join(labels.withColumnRenamed("rid", "rep"), "rep", "left").select("rid", F.coalesce("comp", "rep").alias("comp"))
