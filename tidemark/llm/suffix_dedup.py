@@ -23,13 +23,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from tidemark.llm.blocks import BLOCK_BYTES, Strings, answers, census, packed, with_states
+from tidemark.llm.blocks import Strings, answers, census, packed, with_states
 from tidemark.llm.common import ship
 
 LENGTH = 400
 #: A perfect difference set; each difference modulo 91 occurs once.
 PERIOD, COVER = 91, (0, 1, 3, 9, 27, 49, 56, 61, 77, 81)
 NAME, FULL = 5, 8
+#: A task holds some 100 bytes for each byte of a block.
+BLOCK_BYTES = 1 << 20
 
 
 class Suffixes:
