@@ -25,7 +25,7 @@ BASE = 0x9E3779B97F4A7C15
 BLOCK_SCHEMA = "block bigint, doc_ids array<bigint>, lens array<bigint>, data binary"
 BLOCK_ARROW = pa.schema([("block", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("lens", pa.list_(pa.int64())), ("data", pa.binary())])
 #: Buckets of a census for each shuffle partition.
-BUCKETS = 4
+BUCKETS = 2
 
 Emit = Callable[[dict], "tuple[np.ndarray, np.ndarray | None]"]
 
