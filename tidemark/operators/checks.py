@@ -33,8 +33,8 @@ def repeated_ids(rows: DataFrame, keys: list[str]) -> DataFrame:
 
 def broken_numbering(rows: DataFrame, keys: list[str], number: str) -> DataFrame:
     """Groups whose numbers, nulls aside, are not 1 to N once each. Counts decide; no group is gathered."""
-    sums = rows.filter(F.col(number).isNotNull()).groupBy(*keys).agg(F.count("*").alias("n"), F.count_distinct(number).alias("k"), F.min(number).alias("lo"), F.max(number).alias("hi"))
-    return sums.filter((F.col("lo") != 1) | (F.col("hi") != F.col("n")) | (F.col("k") != F.col("n")))
+    sums = rows.filter(F.col(number).isNotNull()).groupBy(*keys).agg(F.count("*").alias("n"), F.count_distinct(number).alias("_distinct"), F.min(number).alias("_lo"), F.max(number).alias("_hi"))
+    return sums.filter((F.col("_lo") != 1) | (F.col("_hi") != F.col("n")) | (F.col("_distinct") != F.col("n")))
 
 
 def sentence_end(text: Column, marks: str = "。？！→") -> Column:
