@@ -198,16 +198,16 @@ def chk_vocab_seq(spark, sf_dir):
 
 
 def _rule(name: str, rows: str, key: str, bad, detail, sql: str) -> None:
-    QUERIES[name] = lambda spark, sf_dir: checks.violations(table(spark, sf_dir, rows), name, F.col(key), bad, detail)
+    QUERIES[name] = lambda spark, sf_dir: checks.violations(table(spark, sf_dir, rows), name, F.col(key), bad(), detail())
     ORACLE_SQL[name] = sql
 
 
 TRIM = rf"regexp_replace(%s, '^{T.SPACES}+|{T.SPACES}+\z', '', 'g')"
-_rule("chk_sentence_end", "documents", "doc_id", checks.sentence_end(F.col("text"), ".?!"), F.length("text"), rf"SELECT 'chk_sentence_end' AS rule, CAST(doc_id AS VARCHAR) AS id, CAST(length(text) AS VARCHAR) AS detail FROM documents WHERE {TRIM % 'text'} <> '' AND NOT regexp_matches({TRIM % 'text'}, '[.?!]\z')")
-_rule("chk_circled", "conversations", "conv_id", checks.circled(F.translate("text", "xz", "①⑳")), F.col("turn"), "SELECT 'chk_circled' AS rule, CAST(conv_id AS VARCHAR) AS id, CAST(turn AS VARCHAR) AS detail FROM conversations WHERE regexp_matches(translate(text, 'xz', '①⑳'), '[①-⑳]')")
-_rule("chk_ruby_at", "conversations", "conv_id", F.substring("text", (F.col("turn") + 1).cast("int"), 1) != F.substring("text", 1, 1), F.col("turn"), "SELECT 'chk_ruby_at' AS rule, CAST(conv_id AS VARCHAR) AS id, CAST(turn AS VARCHAR) AS detail FROM conversations WHERE substr(text, CAST(turn AS INTEGER) + 1, 1) <> substr(text, 1, 1)")
-_rule("chk_grammar", "pages", "page_id", F.col("html").contains("<h1") & ~F.col("html").contains("<li"), F.length("html"), "SELECT 'chk_grammar' AS rule, CAST(page_id AS VARCHAR) AS id, CAST(length(html) AS VARCHAR) AS detail FROM pages WHERE contains(html, '<h1') AND NOT contains(html, '<li')")
-_rule("body_size_filter", "part", "p_partkey", F.col("p_size") >= 8, F.col("p_size"), "SELECT 'body_size_filter' AS rule, CAST(p_partkey AS VARCHAR) AS id, CAST(p_size AS VARCHAR) AS detail FROM part WHERE p_size >= 8")
+_rule("chk_sentence_end", "documents", "doc_id", lambda: checks.sentence_end(F.col("text"), ".?!"), lambda: F.length("text"), rf"SELECT 'chk_sentence_end' AS rule, CAST(doc_id AS VARCHAR) AS id, CAST(length(text) AS VARCHAR) AS detail FROM documents WHERE {TRIM % 'text'} <> '' AND NOT regexp_matches({TRIM % 'text'}, '[.?!]\z')")
+_rule("chk_circled", "conversations", "conv_id", lambda: checks.circled(F.translate("text", "xz", "①⑳")), lambda: F.col("turn"), "SELECT 'chk_circled' AS rule, CAST(conv_id AS VARCHAR) AS id, CAST(turn AS VARCHAR) AS detail FROM conversations WHERE regexp_matches(translate(text, 'xz', '①⑳'), '[①-⑳]')")
+_rule("chk_ruby_at", "conversations", "conv_id", lambda: F.substring("text", (F.col("turn") + 1).cast("int"), 1) != F.substring("text", 1, 1), lambda: F.col("turn"), "SELECT 'chk_ruby_at' AS rule, CAST(conv_id AS VARCHAR) AS id, CAST(turn AS VARCHAR) AS detail FROM conversations WHERE substr(text, CAST(turn AS INTEGER) + 1, 1) <> substr(text, 1, 1)")
+_rule("chk_grammar", "pages", "page_id", lambda: F.col("html").contains("<h1") & ~F.col("html").contains("<li"), lambda: F.length("html"), "SELECT 'chk_grammar' AS rule, CAST(page_id AS VARCHAR) AS id, CAST(length(html) AS VARCHAR) AS detail FROM pages WHERE contains(html, '<h1') AND NOT contains(html, '<li')")
+_rule("body_size_filter", "part", "p_partkey", lambda: F.col("p_size") >= 8, lambda: F.col("p_size"), "SELECT 'body_size_filter' AS rule, CAST(p_partkey AS VARCHAR) AS id, CAST(p_size AS VARCHAR) AS detail FROM part WHERE p_size >= 8")
 
 
 @query("SELECT doc_id FROM documents WHERE source IN ('src0', 'src3')")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -22,9 +24,9 @@ def base(spark, sf_dir):
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.col("text").alias("raw"), F.translate("text", LATIN, MIXED).alias("s"))
 
 
-def scalar(name: str, column: Column, sql: str | None) -> None:
+def scalar(name: str, column: Callable[[], Column], sql: str | None) -> None:
     """A query of one expression over all turns, and the same in SQL."""
-    QUERIES[name] = lambda spark, sf_dir: base(spark, sf_dir).select("conv_id", "turn", column.alias("out"))
+    QUERIES[name] = lambda spark, sf_dir: base(spark, sf_dir).select("conv_id", "turn", column().alias("out"))
     if sql:
         ORACLE_SQL[name] = f"WITH {BASE} SELECT conv_id, turn, {sql} AS out FROM b"
 
@@ -37,7 +39,12 @@ def joined(parts: str) -> str:
     return f"array_to_string({parts}, '|')"
 
 
-S = F.col("s")
+
+
+def s() -> Column:
+    return F.col("s")
+
+
 HALF = f"translate(s, '{T.FULL}', '{T.HALF.replace(chr(39), chr(39) * 2)}')"
 HIRA = f"translate(s, '{T.KATAKANA}', '{T.HIRAGANA}')"
 
@@ -61,47 +68,57 @@ def escaped(x: str) -> str:
     return x
 
 
-scalar("to_half_width", T.to_half_width(S), HALF)
-scalar("to_hiragana", T.to_hiragana(S), HIRA)
-scalar("to_katakana", T.to_katakana(S), f"translate(s, '{T.HIRAGANA}', '{T.KATAKANA}')")
-scalar("is_kana", T.is_kana(F.substring("s", 1, 2)), f"regexp_matches(s[1:2], '{T.KANA}')")
-scalar("kana_required", T.is_kana(S), f"regexp_matches(s, '{T.KANA}')")
-scalar("strip_spaces", T.strip_spaces(S), sub("s", SPACES))
-scalar("normalize_answer", T.normalize_answer(S), normal("s"))
-scalar("is_correct", T.is_correct(F.concat(S, F.lit("。")), F.col("raw"), F.array(T.to_katakana(S))), f"{normal('s')} <> '' AND list_contains([{normal('raw')}, {normal(f'translate(s, {chr(39)}{T.HIRAGANA}{chr(39)}, {chr(39)}{T.KATAKANA}{chr(39)})')}], {normal('s')})")
-scalar("split_forms", F.array_join(T.split_forms(S), "|"), joined(split("s", "[、，,／/]")))
-scalar("split_kana_forms", F.array_join(T.split_kana_forms(S), "|"), joined(split("s", "[／/]")))
-scalar("short_gloss", T.short_gloss(S), f"coalesce(nullif({trim('string_split(s, chr(65288))[1]')}, ''), {trim('s')})")
-scalar("adj_forms", F.array_join(T.adj_forms(S), "|"), joined(split("string_split(replace(s, '［な］', ''), '（')[1]", "[、，,／/]")))
-scalar("chunking", F.array_join(T.chunks(S), "|"), joined("regexp_extract_all(s, '[　 ]+|[^　 ]+')"))
-scalar("strip_trailing_punct", T.strip_trailing_punct(S), sub("s", r"[。？！.?!]+\z"))
-scalar("collapse_ws", T.collapse_ws(S), trim(sub("s", f"{SPACES}+", " ")))
-scalar("strip_brackets", T.strip_brackets(S), sub(sub("s", r"^[［〔\[(（]"), r"[］〕\])）]\z"))
-scalar("extract_group", F.concat_ws("|", *T.extract_group(S, ("本", "日", "そ"))), "CASE WHEN contains(s, '本') THEN '本|' || replace(s, '本', '') WHEN contains(s, '日') THEN '日|' || replace(s, '日', '') WHEN contains(s, 'そ') THEN 'そ|' || replace(s, 'そ', '') ELSE s END")
-scalar("first_ideograph", T.first_ideograph(S).cast("int"), "CAST(CASE WHEN regexp_matches(s, '[日本]') THEN length(regexp_extract(s, '^([^日本]*)[日本]', 1)) ELSE -1 END AS INTEGER)")
-scalar("has_real_content", T.has_real_content(F.substring("s", -2, 2)), r"regexp_matches(right(s, 2), '[^\p{P}\p{Z}]')")
-scalar("is_pure_punctuation", T.is_pure_punctuation(F.substring("s", -1, 1)), rf"NOT regexp_matches(right(s, 1), '[^\p{{P}}\p{{Z}}]') AND {trim('right(s, 1)')} <> ''")
-scalar("escape_html", T.escape_html(F.concat(F.lit("<&'\""), S)), escaped("'<&''\"' || s"))
-scalar("seeded_hash", T.seeded_hash(S), f"CASE WHEN s = '' THEN {T.FNV_START} ELSE list_reduce(list_prepend({T.FNV_START}::BIGINT, list_transform(string_split(s, ''), lambda c: unicode(c)::BIGINT)), lambda h, c: (xor(h, c) * {T.FNV_PRIME}) % 4294967296) END")
-scalar("split_by_literals", F.array_join(F.transform(T.split_by_literals(S, ("か", "さし")), lambda p: F.concat(p["text"], F.when(p["label"], "!").otherwise(""))), "|"), "array_to_string(list_transform(list_filter(string_split(replace(replace(s, 'か', chr(1) || 'か' || chr(1)), 'さし', chr(1) || 'さし' || chr(1)), chr(1)), lambda p: p <> ''), lambda p: p || CASE WHEN p IN ('か', 'さし') THEN '!' ELSE '' END), '|')")
-scalar("char_width", F.round(T.text_width(S, F.lit(10.0)), 3), "list_sum(list_transform(string_split(s, ''), lambda c: CASE WHEN unicode(c) < 256 THEN 5.0::DOUBLE ELSE 10.0::DOUBLE END))")
-scalar("is_base_char", T.is_base_char(S), r"regexp_matches(s, '^[々一-鿿\p{Nd}]')")
-scalar("usable_vocab", (F.coalesce(S, F.lit("")) != "") & (F.coalesce(F.substring("raw", 3, 4), F.lit("")) != ""), "coalesce(s, '') <> '' AND coalesce(raw[3:6], '') <> ''")
-scalar("word_items", F.concat(F.col("raw"), F.when(F.col("turn") % 2 == 0, ":zh2jp").otherwise("")).endswith(":zh2jp"), "turn % 2 = 0 OR ends_with(raw, ':zh2jp')")
-scalar("row_complete", T.row_complete(F.concat(S, F.when(F.col("turn") % 3 == 0, "{S}").otherwise("")), F.when(F.col("turn") % 2 == 0, S)), r"turn % 3 <> 0 OR (turn % 2 = 0 AND s <> '')")
-scalar("section_title", F.regexp_replace("s", f"{SPACES}+", ""), sub("s", f"{SPACES}+"))
-scalar("match_entry", F.concat_ws("|", F.regexp_extract(F.concat(F.col("turn").cast("string"), F.lit("."), S), r"^(\d+)\.?(.*)", 1), F.regexp_extract(F.concat(F.col("turn").cast("string"), F.lit("."), S), r"(?s)^(\d+)\.?(.*)", 2)), r"regexp_extract(turn || '.' || s, '^(\d+)\.?(.*)', 1) || '|' || regexp_extract(turn || '.' || s, '(?s)^(\d+)\.?(.*)', 2)")
-scalar("is_ideograph", F.concat_ws("|", F.regexp_count("s", F.lit(T.IDEOGRAPH)).cast("string"), F.regexp_count("s", F.lit(T.IDEOGRAPH_EXTENDED)).cast("string")), f"len(regexp_extract_all(s, '{T.IDEOGRAPH}'))::VARCHAR || '|' || len(regexp_extract_all(s, '{T.IDEOGRAPH_EXTENDED}'))::VARCHAR")
-scalar("range_parse", F.size(T.range_parse(F.concat_ws("-", F.col("turn").cast("string"), F.when(F.col("turn") % 2 == 0, (F.col("turn") + 5).cast("string"))))), "CAST(CASE WHEN turn % 2 = 0 THEN 6 ELSE 1 END AS INTEGER)")
-scalar("concepts_for", F.array_join(F.concat(C.word_concepts(F.col("raw"), F.when(F.col("turn") % 2 == 0, S)), C.change_concepts(F.col("raw"), F.lit("te"), F.lit("groupI"))), "|"), "CASE WHEN turn % 2 = 0 AND s <> '' THEN 'w:' || s || '|w:' || s || ':reading' ELSE 'w:' || raw END || '|r:te:groupI|w:' || raw || ':group'")
-scalar("present_opts", F.exists(F.array(F.col("raw"), F.concat("raw", F.when(F.col("turn") % 3 == 0, ":reading").otherwise(""))), lambda c: c.endswith(":reading")), "turn % 3 = 0 OR ends_with(raw, ':reading')")
-TAIL = F.array(*[F.struct(F.lit(at).alias("at"), F.lit(base).alias("base"), F.lit(kana).alias("kana")) for at, base, kana in ((4, "x", "ス"), (1, "え", "エ"), (0, "T", "テ"))])
-scalar("annotate_marks", F.array_join(F.transform(T.annotate_marks(F.concat(F.lit("Tえ "), S), TAIL), lambda t: F.concat(t["text"], F.coalesce(F.concat(F.lit("["), t["reading"], F.lit("]")), F.lit("")))), "|"), "'T[テ]|え[エ]| ' || CASE WHEN s[2:2] = 'x' THEN s[1:1] || '|x[ス]' || CASE WHEN length(s) > 2 THEN '|' || s[3:] ELSE '' END ELSE s END")
-scalar("marks_apply_cleanly", T.marks_apply_cleanly(F.concat(F.lit("Tえ"), S), F.slice(TAIL, 2, 2)), "true")
-scalar("ruby_html", T.ruby_html(F.array(F.struct(F.col("raw").alias("text"), F.when(F.col("turn") % 2 == 0, S).alias("reading"))), F.col("turn") % 3 == 0), f"CASE WHEN turn % 2 <> 0 THEN {escaped('raw')} WHEN turn % 3 = 0 THEN '<ruby>' || {escaped('raw')} || '</ruby>' ELSE '<ruby>' || {escaped('raw')} || '<rt>' || {escaped('s')} || '</rt></ruby>' END")
-FRAGMENTS = F.when(F.col("turn") % 2 == 0, F.array(F.lit("Q"), F.lit(" →"), S)).otherwise(F.array(F.lit("Q"), S))
-scalar("split_cue_answer", F.concat_ws("|", *T.cue_and_answer(FRAGMENTS)), "CASE WHEN turn % 2 = 0 THEN 'Q|' || s ELSE '|Q ' || s END")
-scalar("template_fill", F.coalesce(T.template_fill(F.concat(F.lit("{S}は{T}、"), F.col("raw")), F.create_map(F.lit("S"), F.array(F.lit("私"), S), F.lit("T"), F.array(F.lit("本"))), F.array(F.lit(1), (F.col("turn") % 2).cast("int")), F.array(F.lit("S"), F.lit("T"))), F.lit("none")), "CASE WHEN turn % 2 = 1 THEN 'none' ELSE s || 'は本、' || raw END")
+scalar("to_half_width", lambda: T.to_half_width(s()), HALF)
+scalar("to_hiragana", lambda: T.to_hiragana(s()), HIRA)
+scalar("to_katakana", lambda: T.to_katakana(s()), f"translate(s, '{T.HIRAGANA}', '{T.KATAKANA}')")
+scalar("is_kana", lambda: T.is_kana(F.substring("s", 1, 2)), f"regexp_matches(s[1:2], '{T.KANA}')")
+scalar("kana_required", lambda: T.is_kana(s()), f"regexp_matches(s, '{T.KANA}')")
+scalar("strip_spaces", lambda: T.strip_spaces(s()), sub("s", SPACES))
+scalar("normalize_answer", lambda: T.normalize_answer(s()), normal("s"))
+scalar("is_correct", lambda: T.is_correct(F.concat(s(), F.lit("。")), F.col("raw"), F.array(T.to_katakana(s()))), f"{normal('s')} <> '' AND list_contains([{normal('raw')}, {normal(f'translate(s, {chr(39)}{T.HIRAGANA}{chr(39)}, {chr(39)}{T.KATAKANA}{chr(39)})')}], {normal('s')})")
+scalar("split_forms", lambda: F.array_join(T.split_forms(s()), "|"), joined(split("s", "[、，,／/]")))
+scalar("split_kana_forms", lambda: F.array_join(T.split_kana_forms(s()), "|"), joined(split("s", "[／/]")))
+scalar("short_gloss", lambda: T.short_gloss(s()), f"coalesce(nullif({trim('string_split(s, chr(65288))[1]')}, ''), {trim('s')})")
+scalar("adj_forms", lambda: F.array_join(T.adj_forms(s()), "|"), joined(split("string_split(replace(s, '［な］', ''), '（')[1]", "[、，,／/]")))
+scalar("chunking", lambda: F.array_join(T.chunks(s()), "|"), joined("regexp_extract_all(s, '[　 ]+|[^　 ]+')"))
+scalar("strip_trailing_punct", lambda: T.strip_trailing_punct(s()), sub("s", r"[。？！.?!]+\z"))
+scalar("collapse_ws", lambda: T.collapse_ws(s()), trim(sub("s", f"{SPACES}+", " ")))
+scalar("strip_brackets", lambda: T.strip_brackets(s()), sub(sub("s", r"^[［〔\[(（]"), r"[］〕\])）]\z"))
+scalar("extract_group", lambda: F.concat_ws("|", *T.extract_group(s(), ("本", "日", "そ"))), "CASE WHEN contains(s, '本') THEN '本|' || replace(s, '本', '') WHEN contains(s, '日') THEN '日|' || replace(s, '日', '') WHEN contains(s, 'そ') THEN 'そ|' || replace(s, 'そ', '') ELSE s END")
+scalar("first_ideograph", lambda: T.first_ideograph(s()).cast("int"), "CAST(CASE WHEN regexp_matches(s, '[日本]') THEN length(regexp_extract(s, '^([^日本]*)[日本]', 1)) ELSE -1 END AS INTEGER)")
+scalar("has_real_content", lambda: T.has_real_content(F.substring("s", -2, 2)), r"regexp_matches(right(s, 2), '[^\p{P}\p{Z}]')")
+scalar("is_pure_punctuation", lambda: T.is_pure_punctuation(F.substring("s", -1, 1)), rf"NOT regexp_matches(right(s, 1), '[^\p{{P}}\p{{Z}}]') AND {trim('right(s, 1)')} <> ''")
+scalar("escape_html", lambda: T.escape_html(F.concat(F.lit("<&'\""), s())), escaped("'<&''\"' || s"))
+scalar("seeded_hash", lambda: T.seeded_hash(s()), f"CASE WHEN s = '' THEN {T.FNV_START} ELSE list_reduce(list_prepend({T.FNV_START}::BIGINT, list_transform(string_split(s, ''), lambda c: unicode(c)::BIGINT)), lambda h, c: (xor(h, c) * {T.FNV_PRIME}) % 4294967296) END")
+scalar("split_by_literals", lambda: F.array_join(F.transform(T.split_by_literals(s(), ("か", "さし")), lambda p: F.concat(p["text"], F.when(p["label"], "!").otherwise(""))), "|"), "array_to_string(list_transform(list_filter(string_split(replace(replace(s, 'か', chr(1) || 'か' || chr(1)), 'さし', chr(1) || 'さし' || chr(1)), chr(1)), lambda p: p <> ''), lambda p: p || CASE WHEN p IN ('か', 'さし') THEN '!' ELSE '' END), '|')")
+scalar("char_width", lambda: F.round(T.text_width(s(), F.lit(10.0)), 3), "list_sum(list_transform(string_split(s, ''), lambda c: CASE WHEN unicode(c) < 256 THEN 5.0::DOUBLE ELSE 10.0::DOUBLE END))")
+scalar("is_base_char", lambda: T.is_base_char(s()), r"regexp_matches(s, '^[々一-鿿\p{Nd}]')")
+scalar("usable_vocab", lambda: (F.coalesce(s(), F.lit("")) != "") & (F.coalesce(F.substring("raw", 3, 4), F.lit("")) != ""), "coalesce(s, '') <> '' AND coalesce(raw[3:6], '') <> ''")
+scalar("word_items", lambda: F.concat(F.col("raw"), F.when(F.col("turn") % 2 == 0, ":zh2jp").otherwise("")).endswith(":zh2jp"), "turn % 2 = 0 OR ends_with(raw, ':zh2jp')")
+scalar("row_complete", lambda: T.row_complete(F.concat(s(), F.when(F.col("turn") % 3 == 0, "{S}").otherwise("")), F.when(F.col("turn") % 2 == 0, s())), r"turn % 3 <> 0 OR (turn % 2 = 0 AND s <> '')")
+scalar("section_title", lambda: F.regexp_replace("s", f"{SPACES}+", ""), sub("s", f"{SPACES}+"))
+scalar("match_entry", lambda: F.concat_ws("|", F.regexp_extract(F.concat(F.col("turn").cast("string"), F.lit("."), s()), r"^(\d+)\.?(.*)", 1), F.regexp_extract(F.concat(F.col("turn").cast("string"), F.lit("."), s()), r"(?s)^(\d+)\.?(.*)", 2)), r"regexp_extract(turn || '.' || s, '^(\d+)\.?(.*)', 1) || '|' || regexp_extract(turn || '.' || s, '(?s)^(\d+)\.?(.*)', 2)")
+scalar("is_ideograph", lambda: F.concat_ws("|", F.regexp_count("s", F.lit(T.IDEOGRAPH)).cast("string"), F.regexp_count("s", F.lit(T.IDEOGRAPH_EXTENDED)).cast("string")), f"len(regexp_extract_all(s, '{T.IDEOGRAPH}'))::VARCHAR || '|' || len(regexp_extract_all(s, '{T.IDEOGRAPH_EXTENDED}'))::VARCHAR")
+scalar("range_parse", lambda: F.size(T.range_parse(F.concat_ws("-", F.col("turn").cast("string"), F.when(F.col("turn") % 2 == 0, (F.col("turn") + 5).cast("string"))))), "CAST(CASE WHEN turn % 2 = 0 THEN 6 ELSE 1 END AS INTEGER)")
+scalar("concepts_for", lambda: F.array_join(F.concat(C.word_concepts(F.col("raw"), F.when(F.col("turn") % 2 == 0, s())), C.change_concepts(F.col("raw"), F.lit("te"), F.lit("groupI"))), "|"), "CASE WHEN turn % 2 = 0 AND s <> '' THEN 'w:' || s || '|w:' || s || ':reading' ELSE 'w:' || raw END || '|r:te:groupI|w:' || raw || ':group'")
+scalar("present_opts", lambda: F.exists(F.array(F.col("raw"), F.concat("raw", F.when(F.col("turn") % 3 == 0, ":reading").otherwise(""))), lambda c: c.endswith(":reading")), "turn % 3 = 0 OR ends_with(raw, ':reading')")
+
+
+def tail() -> Column:
+    return F.array(*[F.struct(F.lit(at).alias("at"), F.lit(base).alias("base"), F.lit(kana).alias("kana")) for at, base, kana in ((4, "x", "ス"), (1, "え", "エ"), (0, "T", "テ"))])
+
+
+scalar("annotate_marks", lambda: F.array_join(F.transform(T.annotate_marks(F.concat(F.lit("Tえ "), s()), tail()), lambda t: F.concat(t["text"], F.coalesce(F.concat(F.lit("["), t["reading"], F.lit("]")), F.lit("")))), "|"), "'T[テ]|え[エ]| ' || CASE WHEN s[2:2] = 'x' THEN s[1:1] || '|x[ス]' || CASE WHEN length(s) > 2 THEN '|' || s[3:] ELSE '' END ELSE s END")
+scalar("marks_apply_cleanly", lambda: T.marks_apply_cleanly(F.concat(F.lit("Tえ"), s()), F.slice(tail(), 2, 2)), "true")
+scalar("ruby_html", lambda: T.ruby_html(F.array(F.struct(F.col("raw").alias("text"), F.when(F.col("turn") % 2 == 0, s()).alias("reading"))), F.col("turn") % 3 == 0), f"CASE WHEN turn % 2 <> 0 THEN {escaped('raw')} WHEN turn % 3 = 0 THEN '<ruby>' || {escaped('raw')} || '</ruby>' ELSE '<ruby>' || {escaped('raw')} || '<rt>' || {escaped('s')} || '</rt></ruby>' END")
+
+
+def fragments() -> Column:
+    return F.when(F.col("turn") % 2 == 0, F.array(F.lit("Q"), F.lit(" →"), s())).otherwise(F.array(F.lit("Q"), s()))
+
+
+scalar("split_cue_answer", lambda: F.concat_ws("|", *T.cue_and_answer(fragments())), "CASE WHEN turn % 2 = 0 THEN 'Q|' || s ELSE '|Q ' || s END")
+scalar("template_fill", lambda: F.coalesce(T.template_fill(F.concat(F.lit("{S}は{T}、"), F.col("raw")), F.create_map(F.lit("S"), F.array(F.lit("私"), s()), F.lit("T"), F.array(F.lit("本"))), F.array(F.lit(1), (F.col("turn") % 2).cast("int")), F.array(F.lit("S"), F.lit("T"))), F.lit("none")), "CASE WHEN turn % 2 = 1 THEN 'none' ELSE s || 'は本、' || raw END")
 
 
 def numbers(name: str, column, sql: str) -> None:
