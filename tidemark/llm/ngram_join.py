@@ -10,8 +10,8 @@ bound are formed:
    overlap; a document with s below ceil(0.8 n) is out, and its columns are its s - ceil(0.8 n) + 1 rarest ones.
 3. Equal rows are one class; a class goes on as one row.
 4. Each column is first multiplied with one of its rows, its head: the one with the fewest n-grams of its own (in a group of edited
-   copies nearest to their original). Components of these links come next. Then, under each head, the rows outside its component
-   are multiplied with all its rows, block by block, and overlaps are accumulated over whole rows. Products whose sizes keep them
+   copies nearest to their original). Components of these links come next. Then, under the heads of each component, the rows outside
+   it are multiplied with all rows there, block by block, and overlaps are accumulated over whole rows. Products whose sizes keep them
    below the bound are discarded. So a group of copies costs one product a member, unless members are no link of their head; then
    blocks of those meet all blocks, inside a task. No link between different components is lost, and no pairs are listed.
 """
@@ -36,7 +36,7 @@ N = 5
 NUM, DEN = 4, 5
 NAME = 5
 #: Rows of a block in the product of rows under one head; columns that are multiplied at a time.
-BLOCK_ROWS, CHUNK = 256, 8192
+BLOCK_ROWS, CHUNK = 512, 8192
 TO_LOWER = bytes(b + 32 if 0x41 <= b <= 0x5A else b for b in range(256))
 ROWS = "rid bigint, doc_id bigint, size bigint, crc bigint, n bigint, s bigint, sig1 bigint, sig2 bigint, tokens binary, columns array<bigint>"
 
@@ -199,19 +199,19 @@ def _product(table: pa.Table) -> pa.Table:
 
 
 def across(placed: DataFrame, sets: DataFrame) -> DataFrame:
-    """Links (x, y) between rows under one head (rid, head_rid, comp, head_comp) that lie in different components.
+    """Links (x, y) between rows under heads of one component (rid, comp, head_comp) that lie in different components.
 
-    One of such a pair is odd, that is outside its head's component. The rows under a head are cut into blocks, its odd rows too,
-    and each pair of blocks is multiplied as matrices in one task: both are of bounded size, whatever the head's.
+    One of such a pair is odd, that is outside the heads' component. All rows there are cut into blocks, the odd ones too, and each
+    pair of blocks is multiplied as matrices in one task: both are of bounded size, however many rows there are.
     """
-    is_odd = (F.col("comp") != F.col("head_comp")) & (F.col("rid") != F.col("head_rid"))
-    heads = placed.groupBy("head_rid").agg(F.count("*").alias("all"), F.count(F.when(is_odd, 1)).alias("odd")).filter("odd > 0")
-    cuts = heads.select("head_rid", F.ceil(F.col("all") / BLOCK_ROWS).alias("nb"), F.ceil(F.col("odd") / BLOCK_ROWS).alias("na"))
-    rows = placed.withColumn("is_odd", is_odd).drop("head_comp").join(cuts, "head_rid").join(sets, "rid")
+    is_odd = F.col("comp") != F.col("head_comp")
+    heads = placed.groupBy("head_comp").agg(F.count("*").alias("all"), F.count(F.when(is_odd, 1)).alias("odd")).filter("odd > 0")
+    cuts = heads.select("head_comp", F.ceil(F.col("all") / BLOCK_ROWS).alias("nb"), F.ceil(F.col("odd") / BLOCK_ROWS).alias("na"))
+    rows = placed.join(cuts, "head_comp").join(sets, "rid")
     at = F.xxhash64("rid", F.lit(5))
-    one = rows.filter("is_odd").select("head_rid", F.pmod(at, "na").alias("a"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("nb") - 1)).alias("b"), F.lit(1).alias("side"), "rid", "n", "comp", "tokens")
-    two = rows.select("head_rid", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("na") - 1)).alias("a"), F.pmod(at, "nb").alias("b"), F.lit(0).alias("side"), "rid", "n", "comp", "tokens")
-    return one.unionByName(two).groupBy("head_rid", "a", "b").applyInArrow(_product, "x bigint, y bigint")
+    one = rows.filter(is_odd).select("head_comp", F.pmod(at, "na").alias("a"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("nb") - 1)).alias("b"), F.lit(1).alias("side"), "rid", "n", "comp", "tokens")
+    two = rows.select("head_comp", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("na") - 1)).alias("a"), F.pmod(at, "nb").alias("b"), F.lit(0).alias("side"), "rid", "n", "comp", "tokens")
+    return one.unionByName(two).groupBy("head_comp", "a", "b").applyInArrow(_product, "x bigint, y bigint")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -254,7 +254,7 @@ def join_components(docs: DataFrame, n: int = N, block_bytes: int = BLOCK_BYTES)
     comp = labels.select(F.col("rid"), F.col("comp"))
     head_comp = labels.select(F.col("rid").alias("head_rid"), F.col("comp").alias("head_comp"))
     placed = table.withColumn("head_rid", F.col("head.rid")).join(comp, "rid", "left").join(head_comp, "head_rid", "left")
-    placed = stored(placed.select("rid", "head_rid", F.coalesce("comp", "rid").alias("comp"), F.coalesce("head_comp", "head_rid").alias("head_comp")).distinct(), "product")
+    placed = stored(placed.select("rid", F.coalesce("comp", "rid").alias("comp"), F.coalesce("head_comp", "head_rid").alias("head_comp")).distinct(), "product")
     second = stored(across(placed, sets), "links")
     labels = components(first.unionByName(second))
     member = able.select("rid", "n", "sig1", "sig2").join(classes, ["n", "sig1", "sig2"]).select("rid", "rep")
