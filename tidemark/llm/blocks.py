@@ -89,8 +89,11 @@ def packed(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     name = f"tidemark_blocks_{uuid.uuid4().hex}"
     blocks = docs.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(_pack(block_bytes), BLOCK_SCHEMA)
-    blocks.write.bucketBy(n, "block").option("path", shared_dir(spark, "blocks")).option("compression", "zstd").format("parquet").saveAsTable(name)
-    return spark.table(name)
+    path = shared_dir(spark, "blocks")
+    blocks.write.bucketBy(n, "block").option("path", path).option("compression", "zstd").format("parquet").saveAsTable(name)
+    out = spark.table(name)
+    out.stored_at = path
+    return out
 
 
 def with_states(blocks: DataFrame, states: list[DataFrame]) -> DataFrame:

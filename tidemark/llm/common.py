@@ -42,7 +42,17 @@ def stored(df: DataFrame, what: str, *, sort: str | None = None) -> DataFrame:
     """Write df as a Parquet table in the shared folder and read it back: lineage ends there, and lost executors lose nothing."""
     path = shared_dir(df.sparkSession, what)
     (df.sortWithinPartitions(sort) if sort else df).write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.stored_at = path
+    return out
+
+
+def discard(spark: SparkSession, tables: list[DataFrame]) -> None:
+    """Delete what stored() wrote, once nothing reads it any more."""
+    jvm = spark._jvm
+    for t in tables:
+        path = jvm.org.apache.hadoop.fs.Path(t.stored_at)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def ascii_lower(text: Column) -> Column:

@@ -29,7 +29,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidemark.llm.blocks import BLOCK_BYTES, answers, census, mixed, packed, with_states
-from tidemark.llm.common import ship, stored
+from tidemark.llm.common import discard, ship, stored
 
 N = 5
 #: Two documents link when DEN * intersection >= NUM * union.
@@ -216,6 +216,7 @@ def across(placed: DataFrame, sets: DataFrame) -> DataFrame:
 
 def components(links: DataFrame) -> DataFrame:
     """(rid, comp) for every end of a link: comp is the smallest rid reachable. Least labels of neighbours, then of labels, until none changes."""
+    spark = links.sparkSession
     edges = stored(links.unionByName(links.select(F.col("y").alias("x"), F.col("x").alias("y"))).filter("x <> y"), "edges")
     labels = stored(edges.groupBy(F.col("x").alias("rid")).agg(F.least(F.min("y"), F.first("x")).alias("comp")), "labels")
     while True:
@@ -223,8 +224,11 @@ def components(links: DataFrame) -> DataFrame:
         step = labels.join(near, labels["rid"] == near["x"]).select("rid", "comp", F.least("comp", "least").alias("next"))
         jump = labels.select(F.col("rid").alias("at"), F.col("comp").alias("there"))
         moved = stored(step.join(jump, step["next"] == jump["at"], "left").select("rid", F.least("next", F.coalesce("there", "next")).alias("comp"), (F.col("comp") != F.least("next", F.coalesce("there", "next"))).alias("changed")), "labels")
+        discard(spark, [labels])
         labels = moved.select("rid", "comp")
+        labels.stored_at = moved.stored_at
         if not moved.filter("changed").limit(1).count():
+            discard(spark, [edges])
             return labels
 
 
@@ -256,13 +260,17 @@ def join_components(docs: DataFrame, n: int = N, block_bytes: int = BLOCK_BYTES)
     placed = table.withColumn("head_rid", F.col("head.rid")).join(comp, "rid", "left").join(head_comp, "head_rid", "left")
     placed = stored(placed.select("rid", F.coalesce("comp", "rid").alias("comp"), F.coalesce("head_comp", "head_rid").alias("head_comp")).distinct(), "product")
     second = stored(across(placed, sets), "links")
+    begun = [*states, columns, table, labels, placed]
     labels = components(first.unionByName(second))
     member = able.select("rid", "n", "sig1", "sig2").join(classes, ["n", "sig1", "sig2"]).select("rid", "rep")
     member = member.join(labels.withColumnRenamed("rid", "rep"), "rep", "left").select("rid", F.coalesce("comp", "rep").alias("comp"))
     every = rows.select("rid", "doc_id", "size", "crc", F.col("n").alias("n_shingles")).join(member, "rid", "left").withColumn("comp", F.coalesce("comp", "rid"))
     low = F.struct(F.col("doc_id").isNotNull().alias("known"), "doc_id", "rid")
     least = every.filter(F.col("comp").isNotNull()).groupBy("comp").agg(F.min(low).alias("low"))
-    return every.join(least, "comp").select("rid", "doc_id", "size", "crc", "n_shingles", F.col("low.doc_id").alias("component_id"), (F.col("rid") == F.col("low.rid")).alias("first"))
+    out = every.join(least, "comp").select("rid", "doc_id", "size", "crc", "n_shingles", F.col("low.doc_id").alias("component_id"), (F.col("rid") == F.col("low.rid")).alias("first"))
+    out = stored(out, "components")
+    discard(docs.sparkSession, [blocks, *begun, first, second, rows, classes, labels])
+    return out
 
 
 def one_of_each(docs: DataFrame, n: int = N, block_bytes: int = BLOCK_BYTES) -> DataFrame:
