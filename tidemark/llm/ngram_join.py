@@ -3,9 +3,9 @@
 Rows of the incidence matrix are documents, columns their distinct word n-grams (as 64-bit hashes). Only products that can reach the
 bound are formed:
 
-1. A document of n n-grams needs ceil(0.8 n) of them in common with another, so one of the first n - ceil(0.8 n) + 1 in any order
-   fixed for all. A census over blocks of documents (see blocks.py) tells which of these, by hash, occur twice. Documents without
-   one have no partner.
+1. A document of n n-grams needs ceil(0.8 n) of them in common with another, so k of the first n - ceil(0.8 n) + k in any order fixed
+   for all; k is n / 10, or the partner's, whose n is at least 0.8 n. A census over blocks of documents (see blocks.py) tells which
+   of these, by hash, occur twice. Documents with too few have no partner.
 2. For the others a second census counts all their n-grams. One found once is in no overlap, so the s found more often bound every
    overlap; a document with s below ceil(0.8 n) is out, and its columns are its s - ceil(0.8 n) + 1 rarest ones.
 3. Equal rows are one class; a class goes on as one row.
@@ -77,8 +77,13 @@ def needed(n: int) -> int:
     return -(-NUM * n // DEN)
 
 
+def spare(n: int) -> int:
+    """How many more of the first n-grams are looked at than one match would need, so that as many have to match."""
+    return max(1, n // 10)
+
+
 def firsts(sets: list[np.ndarray]) -> list[np.ndarray]:
-    return [s[: len(s) - needed(len(s)) + 1] for s in sets]
+    return [s[: len(s) - needed(len(s)) + spare(len(s))] for s in sets]
 
 
 def joined(parts: list[np.ndarray]) -> np.ndarray:
@@ -90,12 +95,12 @@ def _first_columns(n: int):
 
 
 def candidates(row: dict, sets: list[np.ndarray]) -> list[bool]:
-    """Documents with one of their first columns found twice."""
+    """Documents with enough of their first columns found twice: as many as the smallest partner has to spare."""
     first = firsts(sets)
     twice = answers(mixed(joined(first)), row["s0"], NAME)
     hits = np.concatenate([[0], np.cumsum(twice)])
     ends = np.cumsum([len(f) for f in first])
-    return [bool(hits[e] - hits[e - len(f)]) for e, f in zip(ends.tolist(), first, strict=True)]
+    return [len(s) > 0 and hits[e] - hits[e - len(f)] >= spare(needed(len(s))) for e, f, s in zip(ends.tolist(), first, sets, strict=True)]
 
 
 def _all_columns(n: int):
