@@ -207,3 +207,20 @@ def test_runs_are_compacted(spark):
         runs.add(frame(spark, [(i, f"a line that all documents hold\na line of document {i} alone here")], 1))
     assert [len(level) for level in runs.levels] == [1, 0, 1]
     assert [(r["last"]) for r in runs.repeated().collect()] == [5]
+
+
+def test_components_across_many_blocks(spark, monkeypatch):
+    """Edited copies that are no link of their head, in blocks of three rows."""
+    from tidemark.llm import ngram_join
+
+    monkeypatch.setattr(ngram_join, "BLOCK_ROWS", 3)
+    rng = random.Random(11)
+    base = [f"w{i}" for i in range(60)]
+    rows = []
+    for k in range(60):
+        b = list(base)
+        for _ in range(rng.randint(0, 5)):
+            del b[rng.randrange(len(b))]
+        rows.append((k, " ".join(b)))
+    got = join_components(frame(spark, rows)).collect()
+    assert sorted(((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got), key=str) == plain_components(rows)
