@@ -37,6 +37,8 @@ NUM, DEN = 4, 5
 NAME = 5
 #: Rows of a block in the product of rows under one head; columns that are multiplied at a time.
 BLOCK_ROWS, CHUNK = 512, 8192
+#: Tables of a few numbers a row are broadcast up to so many rows (some tens of MB), so that whole rows of the matrix stay in place.
+BROADCAST_ROWS = 1 << 20
 TO_LOWER = bytes(b + 32 if 0x41 <= b <= 0x5A else b for b in range(256))
 ROWS = "rid bigint, doc_id bigint, size bigint, crc bigint, n bigint, s bigint, sig1 bigint, sig2 bigint, tokens binary, columns array<bigint>"
 
@@ -160,11 +162,16 @@ def can_link(s: Column, n: Column, other_s: Column, other_n: Column) -> Column:
     return F.least(s, other_s) * (NUM + DEN) >= (n + other_n) * NUM
 
 
+def bounded(rows: DataFrame, size: DataFrame) -> DataFrame:
+    """rows, to be broadcast if the stored table `size`, which has as many or more, has at most BROADCAST_ROWS; else shuffled like the other side."""
+    return F.broadcast(rows) if size.count() <= BROADCAST_ROWS else rows
+
+
 def linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Of pairs (x, y), each once, those that link. sets: rid, n, tokens."""
+    """Of pairs (x, y; stored), each once, those that link. sets: rid, n, tokens."""
     one = sets.select(F.col("rid").alias("x"), F.col("n").alias("nx"), F.col("tokens").alias("tx"))
     two = sets.select(F.col("rid").alias("y"), F.col("n").alias("ny"), F.col("tokens").alias("ty"))
-    return pairs.join(one, "x").join(two, "y").select("x", "y", "nx", "ny", "tx", "ty").mapInArrow(_overlaps, "x bigint, y bigint")
+    return one.join(bounded(pairs, pairs), "x").join(two, "y").select("x", "y", "nx", "ny", "tx", "ty").mapInArrow(_overlaps, "x bigint, y bigint")
 
 
 def _product(table: pa.Table) -> pa.Table:
@@ -212,7 +219,7 @@ def across(placed: DataFrame, sets: DataFrame) -> DataFrame:
     is_odd = F.col("comp") != F.col("head_comp")
     heads = placed.groupBy("head_comp").agg(F.count("*").alias("all"), F.count(F.when(is_odd, 1)).alias("odd")).filter("odd > 0")
     cuts = heads.select("head_comp", F.ceil(F.col("all") / BLOCK_ROWS).alias("nb"), F.ceil(F.col("odd") / BLOCK_ROWS).alias("na"))
-    rows = placed.join(cuts, "head_comp").join(sets, "rid")
+    rows = sets.join(bounded(placed.join(cuts, "head_comp"), placed), "rid")
     at = F.xxhash64("rid", F.lit(5))
     one = rows.filter(is_odd).select("head_comp", F.pmod(at, "na").alias("a"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("nb") - 1)).alias("b"), F.lit(1).alias("side"), "rid", "n", "comp", "tokens")
     two = rows.select("head_comp", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("na") - 1)).alias("a"), F.pmod(at, "nb").alias("b"), F.lit(0).alias("side"), "rid", "n", "comp", "tokens")
@@ -250,7 +257,7 @@ def join_components(docs: DataFrame, n: int = N, block_bytes: int = BLOCK_BYTES)
     rows = stored(with_states(blocks, states).mapInArrow(_rows(n), ROWS), "rows")
     able = rows.filter(F.col("columns").isNotNull())
     classes = stored(able.groupBy("n", "sig1", "sig2").agg(F.min("rid").alias("rep")), "classes")
-    reps = able.join(classes.select(F.col("rep").alias("rid")), "rid", "left_semi")
+    reps = able.join(bounded(classes.select(F.col("rep").alias("rid")), classes), "rid", "left_semi")
     sets = reps.select("rid", "n", "tokens")
     columns = stored(reps.select("rid", "n", "s", F.explode("columns").alias("column")), "columns")
     own = F.struct(((F.col("n") - F.col("s")) / F.col("n")).alias("alone"), "rid", "n", "s")
@@ -258,14 +265,15 @@ def join_components(docs: DataFrame, n: int = N, block_bytes: int = BLOCK_BYTES)
     alive = F.col("s") * (NUM + DEN) >= (F.col("n") + F.col("least_n")) * NUM
     table = stored(columns.join(heads, "column").filter(alive), "product")
     star = table.filter((F.col("rid") != F.col("head.rid")) & can_link(F.col("s"), F.col("n"), F.col("head.s"), F.col("head.n")))
-    first = stored(linked(star.select(F.greatest("rid", "head.rid").alias("x"), F.least("rid", "head.rid").alias("y")).distinct(), sets), "links")
+    pairs = stored(star.select(F.greatest("rid", "head.rid").alias("x"), F.least("rid", "head.rid").alias("y")).distinct(), "pairs")
+    first = stored(linked(pairs, sets), "links")
     labels = components(first)
     comp = labels.select(F.col("rid"), F.col("comp"))
     head_comp = labels.select(F.col("rid").alias("head_rid"), F.col("comp").alias("head_comp"))
     placed = table.withColumn("head_rid", F.col("head.rid")).join(comp, "rid", "left").join(head_comp, "head_rid", "left")
     placed = stored(placed.select("rid", F.coalesce("comp", "rid").alias("comp"), F.coalesce("head_comp", "head_rid").alias("head_comp")).distinct(), "product")
     second = stored(across(placed, sets), "links")
-    begun = [*states, columns, table, labels, placed]
+    begun = [*states, columns, table, pairs, labels, placed]
     labels = components(first.unionByName(second))
     member = able.select("rid", "n", "sig1", "sig2").join(classes, ["n", "sig1", "sig2"]).select("rid", "rep")
     member = member.join(labels.withColumnRenamed("rid", "rep"), "rep", "left").select("rid", F.coalesce("comp", "rep").alias("comp"))
