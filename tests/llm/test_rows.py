@@ -156,6 +156,54 @@ def test_licenses(spark):
         licenses.scan_licenses(frame(spark, rows), known, bound=2)
 
 
+MIT = """Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
+FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE
+AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER
+LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM,
+OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE
+SOFTWARE."""
+APACHE_HEADER = """Licensed under the Apache License, Version 2.0 (the "License");
+you may not use this file except in compliance with the License."""
+
+
+def test_full_licence_texts_and_wrapped_notices(spark):
+    rewrapped = MIT.replace("\n\n", "\n").replace("The above copyright", "The above\ncopyright")
+    rows = [
+        (1, f"MIT License\n\nCopyright (c) 2020 Someone\n\n{MIT}\n"),
+        (2, f"some code\nCopyright 2020 Someone\n{MIT}\nmore code"),
+        (3, f"some code\n{rewrapped}\nmore code"),
+        (4, "# " + APACHE_HEADER.replace("\n", "\n# ") + "\nimport this"),
+        (5, APACHE_HEADER.replace("License.", "License. More on this line")),
+        (6, MIT.replace("free of charge", "for a fee")),
+        (7, 'Licensed under the Apache License,\nCopyright 2020 Someone\nVersion 2.0 (the "License");\nyou may not use this file except\nin compliance with the License.\n' + MIT),
+    ]
+    got = {r["doc_id"]: (r["license"], r["line_licenses"]) for r in licenses.scan_licenses(frame(spark, rows), licenses.known_digests(spark)).collect()}
+    assert got == {1: ("MIT", ["MIT"]), 2: (None, ["MIT"]), 3: (None, ["MIT"]), 4: (None, ["Apache-2.0"]), 5: (None, []), 6: (None, []), 7: (None, ["Apache-2.0", "MIT"])}
+
+
+def test_known_full_texts(spark):
+    import os
+
+    folder = "/usr/share/common-licenses"
+    want = {"Apache-2.0": "Apache-2.0", "GPL-2": "GPL-2.0-only", "GPL-3": "GPL-3.0-only", "LGPL-2.1": "LGPL-2.1-only", "LGPL-3": "LGPL-3.0-only", "MPL-2.0": "MPL-2.0", "CC0-1.0": "CC0-1.0"}
+    files = [f for f in want if os.path.exists(f"{folder}/{f}")]
+    if not files:
+        pytest.skip("no licence texts here")
+    docs = spark.createDataFrame([(f, open(f"{folder}/{f}").read()) for f in files], "doc_id string, text string")
+    assert {r["doc_id"]: r["license"] for r in licenses.scan_licenses(docs, licenses.known_digests(spark)).collect()} == {f: want[f] for f in files}
+
+
 def plain_quality(text):
     import re
 

@@ -1,10 +1,21 @@
-"""Licence scan by canonical digests: whole texts, and whole lines of them, are normalised, hashed and joined with known digests."""
+"""Licence scan by canonical digests: whole texts, and runs of whole lines of them, are normalised, hashed and joined with known digests."""
 
 from __future__ import annotations
 
+import hashlib
+from collections import defaultdict
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.llm.common import ship
+from tidemark.llm.license_digests import TEXTS
+
+#: So many first words of a known text are compared before a run of lines is hashed.
+HEAD = 4
+#: Before a line that names a copyright owner, on the way to Python; canonical text has no such character.
+MARK = "\x01"
+
 #: Notices of public licences, by SPDX identifier.
 NOTICES = [
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
@@ -45,27 +56,81 @@ def respelled(text: Column) -> Column:
 def canonical(text: Column) -> Column:
     """Lower case, one spelling, no copyright lines, and one space for each run of anything but letters a-z, digits and non-ASCII."""
     lines = F.filter(F.split(respelled(text), "\n"), lambda x: ~x.rlike(COPYRIGHT_LINE))
-    return F.btrim(F.regexp_replace(F.array_join(lines, "\n"), r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+", " "))
+    return plain(F.array_join(lines, "\n"))
+
+
+def plain(text: Column) -> Column:
+    return F.btrim(F.regexp_replace(text, r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+", " "))
 
 
 def known_digests(spark: SparkSession, texts: list[tuple[str, str]] | None = None) -> DataFrame:
-    rows = spark.createDataFrame(NOTICES if texts is None else texts, "license string, text string")
-    return rows.select("license", F.md5(canonical(F.col("text"))).alias("digest")).dropDuplicates(["digest"])
+    """license, digest, words and head (first words) of canonical texts: the given ones, or NOTICES and the full texts of TEXTS."""
+    rows = spark.createDataFrame(NOTICES if texts is None else texts, "license string, text string").withColumn("text", canonical(F.col("text")))
+    words = F.split("text", " ")
+    rows = rows.select("license", F.size(words).alias("words"), F.array_join(F.slice(words, 1, HEAD), " ").alias("head"), F.md5("text").alias("digest"))
+    if texts is None:
+        rows = rows.union(spark.createDataFrame(TEXTS, "license string, words int, head string, digest string"))
+    return rows.dropDuplicates(["digest"])
+
+
+def _line_licenses(known: list[tuple[str, int, str, str]]):
+    """A function of a batch of texts (canonical lines, as bytes): the known texts that are a run of whole lines, with or without the copyright lines between.
+
+    A run must begin with the first words of a known text and end with a line after as many words as that has; only such runs are hashed.
+    """
+    sizes, names = defaultdict(set), {d: name for name, _, _, d in known}
+    for _, n, head, _ in known:
+        sizes[head.encode()].add(n)
+    firsts = {h.split(b" ", 1)[0] for h in sizes}
+
+    def runs(lines: list[bytes], found: set[str]) -> None:
+        before = ends = None
+        for j, line in enumerate(lines):
+            if line.split(b" ", 1)[0] not in firsts:
+                continue
+            words = b" ".join(lines[j : j + HEAD]).split(b" ", HEAD)[:HEAD]
+            for n in {n for k in range(1, len(words) + 1) for n in sizes.get(b" ".join(words[:k]), ())}:
+                if ends is None:
+                    before = [0]
+                    for x in lines:
+                        before.append(before[-1] + x.count(b" ") + 1)
+                    ends = {n: k for k, n in enumerate(before)}
+                end = ends.get(before[j] + n)
+                if end and (name := names.get(hashlib.md5(b" ".join(lines[j:end])).hexdigest())) is not None:
+                    found.add(name)
+
+    def find(text: bytes) -> list[str]:
+        found, mark = set(), MARK.encode()
+        runs(text.replace(mark, b"").split(b"\n"), found)
+        if mark in text:
+            runs([x for x in text.split(b"\n") if not x.startswith(mark)], found)
+        return sorted(found)
+
+    def batch(texts):
+        import pyarrow as pa
+
+        return pa.array([find(x) for x in texts.to_pylist()], pa.list_(pa.string()))
+
+    return batch
 
 
 def scan_licenses(docs: DataFrame, known: DataFrame, bound: int = 100_000) -> DataFrame:
-    """docs with digest (of the whole canonical text), license (if that is a known text, else null) and line_licenses (known texts that are a whole line; sorted, distinct).
+    """docs with digest (of the whole canonical text), license (if that is a known text, else null) and line_licenses (known texts that are a run of whole lines; sorted, distinct).
 
-    known: license, digest; its digests distinct. Its size is checked against `bound`; then it is broadcast for the hash join of
-    whole texts, and used as a map for lines. Null or empty text has the digest of the empty text. Columns of docs that are named
-    like a result are replaced; rows stand alone, nothing is shuffled.
+    known: license, words, head, digest (see known_digests); its digests distinct. Its size is checked against `bound`; then it is
+    broadcast for the hash join of whole texts, and sent to the tasks that look up runs of lines: a notice wrapped over lines, or a
+    licence inside a longer text, with the copyright lines in it or without. Null or empty text has the digest of the empty text.
+    Columns of docs that are named like a result are replaced; rows stand alone, nothing is shuffled.
     """
-    table = known.limit(bound + 1).collect()
+    table = known.select("license", "words", "head", "digest").limit(bound + 1).collect()
     if len(table) > bound:
         raise ValueError(f"more than {bound} known licence texts")
-    names = F.create_map(*[F.lit(x) for r in table for x in (r["digest"], r["license"])]) if table else F.create_map().cast("map<string,string>")
     text = F.coalesce("text", F.lit(""))
-    lines = F.filter(F.transform(F.split(respelled(text), "\n"), lambda x: F.btrim(F.regexp_replace(x, r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+", " "))), lambda x: x != "")
-    found = F.array_sort(F.array_distinct(F.filter(F.transform(lines, lambda x: F.try_element_at(names, F.md5(x))), lambda x: x.isNotNull())))
+    marked = F.transform(F.split(respelled(text), "\n"), lambda x: F.concat(F.when(x.rlike(COPYRIGHT_LINE), MARK).otherwise(""), plain(x)))
+    lines = F.array_join(F.filter(marked, lambda x: ~x.isin("", MARK)), "\n").cast("binary")
+    found = F.arrow_udf(_line_licenses([tuple(r) for r in table]), "array<string>")(lines)
     out = docs.drop("digest", "license", "line_licenses").withColumns({"digest": F.md5(canonical(text)), "line_licenses": found})
     return out.join(F.broadcast(known.select("digest", "license")), "digest", "left")
+
+
+ship(__name__)
