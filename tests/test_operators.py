@@ -9,6 +9,7 @@ from tidemark.functions import concepts as C
 from tidemark.functions import rules as R
 from tidemark.functions import text as T
 from tidemark.operators import checks, items, layout, log, mastery, schedule
+from tidemark.plans import stream_queries
 
 EVENTS = "d string, n long, i string, t long, g int, r double, m string, a string"
 
@@ -184,3 +185,28 @@ def test_import_needs_no_session():
 
     top = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
     subprocess.run([sys.executable, "-c", "import __spark_entry__ as e; assert e.queries() and e.oracle_sql()"], cwd=top, check=True)
+
+
+@pytest.mark.parametrize("name", ["stream_dedup", "stream_item_state", "stream_flags", "stream_mastery"])
+def test_stream_results_are_in_the_shared_folder(spark, name):
+    """Written by executors: a memory sink's rows are in the driver and have no files."""
+    files = stream_queries.QUERIES[name](spark, "/root/testdata/sf0.001").inputFiles()
+    top = spark.conf.get("spark.checkpoint.dir")
+    assert files and all(top in f for f in files)
+
+
+def test_drained_over_several_micro_batches(spark, tmp_path):
+    for k in range(3):
+        spark.createDataFrame([("x", 1), ("y", k)], "i string, n long").coalesce(1).write.parquet(f"{tmp_path}/in/{k}")
+
+    def stream():
+        return spark.readStream.schema("i string, n long").option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in/*")
+
+    def rows(df):
+        return sorted(map(tuple, df.collect()))
+
+    counts = stream().groupBy("i").agg(F.count("*").alias("reps"))
+    assert rows(stream_queries.drained(stream().dropDuplicates(["i", "n"]), "append")) == [("x", 1), ("y", 0), ("y", 1), ("y", 2)]
+    assert rows(stream_queries.drained(counts, "complete")) == [("x", 3), ("y", 3)]
+    assert rows(stream_queries.drained(counts, "update").groupBy("i").agg(F.max("reps"))) == [("x", 3), ("y", 3)]
+    assert rows(stream_queries.drained(stream().filter("false"), "append")) == []

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -31,12 +32,26 @@ def as_log(e: DataFrame) -> DataFrame:
     )
 
 
+def shared_folder(spark: SparkSession, what: str) -> str:
+    """A new folder that the driver and all executors see."""
+    top = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tidemark-")
+    return f"{top.rstrip('/')}/tidemark-{what}-{uuid.uuid4().hex}"
+
+
 def drained(out: DataFrame, mode: str) -> DataFrame:
-    """Run a stream over what is there and return its table of the last results."""
-    spark, name = out.sparkSession, f"tidemark_{uuid.uuid4().hex}"
-    q = out.writeStream.outputMode(mode).format("memory").queryName(name).trigger(availableNow=True).start()
+    """Run a stream over what is there and return the table that its executors wrote: the last result in complete mode, else the rows of all micro-batches.
+
+    The table and the stream's state are in the shared folder; no row goes through the driver. A micro-batch that is run again replaces its rows.
+    """
+    spark, path = out.sparkSession, shared_folder(out.sparkSession, "stream")
+
+    def keep(rows: DataFrame, number: int) -> None:
+        rows.write.mode("overwrite").parquet(f"{path}/batch={0 if mode == 'complete' else number}")
+
+    spark.createDataFrame([], out.schema).write.parquet(f"{path}/batch=-1")  # so that a stream without a micro-batch has a table too
+    q = out.writeStream.outputMode(mode).foreachBatch(keep).option("checkpointLocation", shared_folder(spark, "state")).trigger(availableNow=True).start()
     q.awaitTermination()
-    return spark.table(name)
+    return spark.read.parquet(path).select(*out.columns)
 
 
 def query(sql: str):
@@ -75,10 +90,7 @@ def stream_mastery(spark, sf_dir):
 @query("SELECT i, count(*) AS n FROM ev WHERE m <> 'flag' GROUP BY i")
 def stream_dashboard(spark, sf_dir):
     """Each micro-batch adds its counts to a table in the shared folder; the query reads the sums."""
-    import tempfile
-
-    top = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tidemark-")
-    path = f"{top.rstrip('/')}/tidemark-dashboard-{uuid.uuid4().hex}"
+    path = shared_folder(spark, "dashboard")
 
     def show(rows: DataFrame, number: int) -> None:
         log.answers_only(rows).groupBy("i").agg(F.count("*").alias("n")).write.mode("overwrite").parquet(f"{path}/batch={number}")
