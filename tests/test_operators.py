@@ -210,3 +210,15 @@ def test_drained_over_several_micro_batches(spark, tmp_path):
     assert rows(stream_queries.drained(counts, "complete")) == [("x", 3), ("y", 3)]
     assert rows(stream_queries.drained(counts, "update").groupBy("i").agg(F.max("reps"))) == [("x", 3), ("y", 3)]
     assert rows(stream_queries.drained(stream().filter("false"), "append")) == []
+
+
+def test_export_of_a_large_item_is_several_documents(spark):
+    rows = [("x", k, "big" if k < 900 else None if k < 1800 else f"i{k % 7}", k % 50, 3, "text", None) for k in range(2000)]
+    events = ev(spark, rows)
+    docs = log.exported(events, ["i"], bound=100)
+    sizes = [r["n"] for r in docs.select(F.size(F.from_json("json", log.EXPORT_SCHEMA)["events"]).alias("n")).collect()]
+    assert sum(sizes) == 2000 and max(sizes) <= 100
+    back = log.imported(docs, events.drop("a").filter("false"))
+    assert sorted(r["n"] for r in back.collect()) == list(range(2000))
+    assert back.exceptAll(events.drop("a").select(*back.columns)).isEmpty()
+    assert log.exported(events, ["i"]).count() == 9

@@ -82,10 +82,20 @@ def migrate_alternatives(old: DataFrame, device: str, start: int) -> DataFrame:
     return rows.select(F.lit(device).alias("d"), n.cast("bigint").alias("n"), "i", F.lit(0).cast("bigint").alias("t"), F.lit(3).alias("g"), F.lit("alt").alias("m"), "a")
 
 
-def exported(events: DataFrame, keys: list[str]) -> DataFrame:
-    """One JSON document {version, events} for each group of keys, events in their order."""
-    body = F.sort_array(F.collect_list(F.struct(*[F.col(c) for c in ("t", "n", "d", "i", "g", "r", "m")])))
-    return events.groupBy(*keys).agg(F.to_json(F.struct(F.lit(1).alias("version"), body.alias("events"))).alias("json"))
+def exported(events: DataFrame, keys: list[str], bound: int = 10_000) -> DataFrame:
+    """JSON documents {version, events} for each group of keys, events in their order; one a group, or several where it has more than `bound` events.
+
+    A large group is dealt out by hash of the event, to documents of about half of `bound` events, so that no row grows with a group.
+    """
+    cols = ["t", "n", "d", "i", "g", "r", "m"]
+    large = events.groupBy(*keys).agg(F.count("*").alias("_n")).filter(F.col("_n") > bound)
+    large = large.select(*[F.col(k).alias(f"_k{j}") for j, k in enumerate(keys)], F.ceil(F.col("_n") * 2 / bound).alias("_parts"))
+    same = F.lit(True)
+    for j, k in enumerate(keys):
+        same = same & F.col(k).eqNullSafe(F.col(f"_k{j}"))
+    rows = events.join(large, same, "left").withColumn("_part", F.coalesce(F.pmod(F.xxhash64(*cols), "_parts"), F.lit(0)))
+    body = F.sort_array(F.collect_list(F.struct(*cols)))
+    return rows.groupBy(*keys, "_part").agg(F.to_json(F.struct(F.lit(1).alias("version"), body.alias("events"))).alias("json")).drop("_part")
 
 
 EXPORT_SCHEMA = "version int, events array<struct<t:bigint,n:bigint,d:string,i:string,g:int,r:double,m:string>>"
