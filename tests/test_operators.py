@@ -222,3 +222,13 @@ def test_export_of_a_large_item_is_several_documents(spark):
     assert sorted(r["n"] for r in back.collect()) == list(range(2000))
     assert back.exceptAll(events.drop("a").select(*back.columns)).isEmpty()
     assert log.exported(events, ["i"]).count() == 9
+
+
+def test_migrated_alternatives_are_numbered_by_range(spark):
+    old = spark.createDataFrame([(None if k == 0 else f"i{k:04}", [f"a{k}", f"b{k}"]) for k in range(1000)], "i string, alts array<string>").repartition(5)
+    out = log.migrate_alternatives(old, "dev", 100)
+    assert [(r["n"], r["a"]) for r in out.orderBy("n").collect()] == [(101 + 2 * k + j, f"{x}{k}") for k in range(1000) for j, x in enumerate("ab")]
+    assert "hashpartitioning(_range" in out._jdf.queryExecution().executedPlan().toString()
+    numbered = [line for line in out._jdf.queryExecution().optimizedPlan().toString().splitlines() if "row_number" in line]
+    assert numbered and all("_range" in line for line in numbered)
+    assert log.migrate_alternatives(old.filter("false"), "dev", 0).count() == 0

@@ -76,9 +76,21 @@ def median_rt(events: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def migrate_alternatives(old: DataFrame, device: str, start: int) -> DataFrame:
-    """Legacy map rows (i, alts array) as events with t 0 and grade 3, numbered after `start` in order of item and position."""
+    """Legacy map rows (i, alts array) as events with t 0 and grade 3, numbered after `start` in order of item and position.
+
+    Numbered in two steps: a sample of places, drawn by hash, cuts the rows into ranges; each range is numbered by itself, after the
+    rows of the ranges before it.
+    """
     rows = old.select("i", F.posexplode("alts").alias("pos", "a"))
-    n = F.row_number().over(W.orderBy("i", "pos")) + F.lit(start)
+    place, spark = F.struct("i", "pos"), old.sparkSession
+    ranges = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    drawn = rows.select("i", "pos").orderBy(F.xxhash64("i", "pos")).limit(20 * ranges).agg(F.sort_array(F.collect_list(place)).alias("_cuts"))
+    cuts = spark.createDataFrame([(drawn.head()["_cuts"][20::20],)], drawn.schema)
+    rows = rows.crossJoin(F.broadcast(cuts)).withColumn("_range", F.size(F.filter("_cuts", lambda c: c <= place))).drop("_cuts")
+    held = rows.groupBy("_range").agg(F.count("*").alias("_n"))
+    before = held.select("_range", (F.sum("_n").over(W.orderBy("_range")) - F.col("_n")).alias("_before"))
+    rows = rows.withColumn("_k", F.row_number().over(W.partitionBy("_range").orderBy("i", "pos"))).join(F.broadcast(before), "_range")
+    n = F.col("_before") + F.col("_k") + F.lit(start)
     return rows.select(F.lit(device).alias("d"), n.cast("bigint").alias("n"), "i", F.lit(0).cast("bigint").alias("t"), F.lit(3).alias("g"), F.lit("alt").alias("m"), "a")
 
 
