@@ -232,3 +232,11 @@ def test_migrated_alternatives_are_numbered_by_range(spark):
     numbered = [line for line in out._jdf.queryExecution().optimizedPlan().toString().splitlines() if "row_number" in line]
     assert numbered and all("_range" in line for line in numbered)
     assert log.migrate_alternatives(old.filter("false"), "dev", 0).count() == 0
+
+
+def test_all_spellings_of_a_verb_give_alternatives(spark):
+    spellings = [f"食{k}べます" for k in range(130)]
+    vocab = spark.createDataFrame([(1, 1, "たべます", "、".join(spellings))], "lesson int, pos int, kana string, kanji string")
+    verbs = spark.createDataFrame([(spellings[0], "II", "たべます")], "cite string, group string, reading string")
+    rows = items.transform(vocab, verbs).collect()
+    assert rows and all(len(r["alternatives"]) == 130 for r in rows)

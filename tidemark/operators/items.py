@@ -78,7 +78,7 @@ def transform(vocab: DataFrame, verbs: DataFrame) -> DataFrame:
     rows = first_per_key(vocab.withColumn("cite", cite), ["cite"], [F.col("lesson"), F.col("pos")]).join(F.broadcast(verbs), "cite")
     rows = rows.withColumn("form", F.explode(F.array(*[F.lit(f) for f in R.VERB_FORMS if f != "masu"])))
     answer, kana = R.conjugate(F.col("cite"), F.col("group"), F.col("form")), R.conjugate(F.col("reading"), F.col("group"), F.col("form"))
-    others = F.transform(F.slice(T.split_forms(F.col("kanji")), 2, 100), lambda x: R.conjugate(x, F.col("group"), F.col("form")))
+    others = F.transform(F.filter(T.split_forms(F.col("kanji")), lambda x, k: k > 0), lambda x: R.conjugate(x, F.col("group"), F.col("form")))
     alternatives = F.array_distinct(F.filter(F.concat(F.array(kana), F.coalesce(others, F.array().cast("array<string>"))), lambda x: x.isNotNull() & (x != answer)))
     covers = C.change_concepts(F.col("cite"), F.col("form"), F.concat(F.lit("group"), F.col("group")))
     out = rows.select(F.concat(F.lit("conj:"), "cite", F.lit(":masu2"), "form").alias("id"), "lesson", F.greatest(F.col("lesson"), R.form_lesson(F.col("form"), R.VERB_FORMS)).alias("requires_lesson"), F.col("cite").alias("prompt"), answer.alias("answer"), alternatives.alias("alternatives"), covers.alias("covers"))
