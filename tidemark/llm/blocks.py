@@ -152,6 +152,8 @@ def census(blocks: DataFrame, states: list[DataFrame], emit: Emit, *, width: int
     without flags, 8 times the binary logarithm of that sum. emit gives a block row's hashes and their counts (None: 1 each).
 
     Hashes are told apart by their first `width` bytes.
+    A bucket is held whole in a task, and there are BUCKETS of them for each shuffle partition: its size grows with the corpus at a fixed
+    spark.sql.shuffle.partitions, which must be set in proportion to the corpus.
     """
     spark = blocks.sparkSession
     buckets = min(1 << 20, BUCKETS * int(spark.conf.get("spark.sql.shuffle.partitions")))

@@ -11,7 +11,8 @@ difference cover modulo PERIOD: for any two places, some shift below PERIOD puts
 3. The rest, near the ends of copies, is sorted one bucket of suffixes at a time, by the names of their first `length` bytes.
    Settled suffixes with a cover name that an open suffix has too join in, since an open one may equal a settled one.
 
-Every step is a census over blocks (see blocks.py): a task holds one block, or one bucket of suffixes, whatever the corpus's size.
+Every step is a census over blocks (see blocks.py): a task holds one block, of fixed size, or one bucket of hashes. Buckets are a fixed
+number for each shuffle partition, so a bucket grows with the corpus unless spark.sql.shuffle.partitions grows along.
 Names are 64-bit hashes, in step 1 40 bits, where a collision costs work and no result.
 """
 
