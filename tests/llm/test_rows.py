@@ -4,15 +4,18 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer, normalizers
 
 import corpus_pipeline
 from tidemark.llm import licenses, mixing, queries
+from tidemark.llm import token_output as token_output_module
 from tidemark.llm.language_id import codewords, fit_language_model, held_out, predict_language
 from tidemark.llm.quality import quality
 from tidemark.llm.sharding import shard
-from tidemark.llm.token_output import WordEncoder, pack, token_output, unpack, write_tokens
+from tidemark.llm.token_output import TextEncoder, pack, token_output, unpack, write_tokens
 
 DATA = "/root/testdata/sf0.001"
 ROWS = [(None, "no id at all"), (1, None), (2, ""), (3, "one\ntwo two.  <|endoftext|> it's ﬁne É́ Σς"), (3, "again"), (3, "again"), (7, "long " * 30_000)]
@@ -39,18 +42,39 @@ def test_pack_and_random_access(bits):
     assert len(pack(ids, bits)) == -(-1003 * bits // 8)
 
 
-def test_word_encoder_equals_tokenizer():
-    enc, rng = WordEncoder(tokenizer_path()), random.Random(1)
+def test_text_encoder_equals_tokenizer():
+    enc, rng = TextEncoder(tokenizer_path()), random.Random(1)
     bits = ["a", "B", "é", "é", "'s", "'", "İ", "Σ", "ς", " ", "\n", "\t", "　", "\x1c", "1", "²", "<|endoftext|>", "<|", "!", "ß", "ﬁ", "字", "😀", "_", "it's", "\xa0"]
     texts = ["".join(rng.choice(bits) for _ in range(rng.randint(0, 12))) for _ in range(3000)]
     for _ in range(2):
-        got = enc.encode(texts)
-        assert [np.frombuffer(x, np.uint32).tolist() for x in got] == [e.ids for e in enc.tokenizer.encode_batch(texts, add_special_tokens=False)]
+        ids, lens = enc.encode(pa.array([*texts, None]))
+        assert [x.tolist() for x in np.split(ids, lens.cumsum())][:-1] == [e.ids for e in enc.tokenizer.encode_batch([*texts, ""], add_special_tokens=False)]
+
+
+def test_text_encoder_with_another_file(tmp_path):
+    """A file that does not cut texts like the known one gets whole texts, so its ids are right too."""
+    import public_tokenizers
+
+    keeps_case = Tokenizer.from_file(tokenizer_path())
+    keeps_case.normalizer = normalizers.NFC()
+    keeps_case.save(str(tmp_path / "t.json"))
+    texts = ["It's  ONE", "", "two\ntwo", "a <|endoftext|> b"]
+    for path in (str(tmp_path / "t.json"), public_tokenizers.path("byte_bpe_50k.json")):
+        enc = TextEncoder(path)
+        ids, lens = enc.encode(pa.array(texts))
+        assert not enc.by_parts and [x.tolist() for x in np.split(ids, lens.cumsum())][:-1] == [e.ids for e in enc.tokenizer.encode_batch(texts, add_special_tokens=False)]
+
+
+def test_text_encoder_forgets_and_learns_again(monkeypatch):
+    monkeypatch.setattr(token_output_module, "STRINGS_KEPT", 8)
+    enc = TextEncoder(tokenizer_path())
+    for text in ["one two three four", "five one six", "seven eight nine ten one two"]:
+        assert enc.encode(pa.array([text]))[0].tolist() == enc.tokenizer.encode(text, add_special_tokens=False).ids
 
 
 def test_token_output(spark):
     got = token_output(frame(spark, ROWS).withColumn("part", F.lit("mine")), tokenizer_path()).collect()
-    t = WordEncoder(tokenizer_path()).tokenizer
+    t = TextEncoder(tokenizer_path()).tokenizer
     want = sorted((d is not None, d or 0, len(e) + 1, zlib.crc32(np.array([*e, 1], "<u4").tobytes())) for d, e in ((d, t.encode(x or "", add_special_tokens=False).ids) for d, x in ROWS))
     assert sorted((r["doc_id"] is not None, r["doc_id"] or 0, r["n_tokens"], r["ids_crc32"]) for r in got) == want
     got.sort(key=lambda r: r["start"])

@@ -12,12 +12,15 @@ Parquet's own commit makes a part appear whole or not at all, so a task that is
 
 from __future__ import annotations
 
+import json
+import os
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Collection, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -28,8 +31,10 @@ BLOCK_SCHEMA = "part int, block int, doc_ids array<bigint>, lens array<bigint>,
 BLOCK_ARROW = pa.schema([("part", pa.int32()), ("block", pa.int32()), ("doc_ids", pa.list_(pa.int64())), ("lens", pa.list_(pa.int64())), ("part_start", pa.int64()), ("n_ids", pa.int64()), ("bits", pa.int32()), ("payload", pa.binary())])
 #: A block is closed once it has so many ids.
 BLOCK_IDS = 1 << 18
-#: Words a worker keeps the ids of, at most; then it starts anew.
-WORDS_KEPT = 700_000
+#: Words, and parts of words, that a worker keeps the ids of, at most.
+STRINGS_KEPT = 800_000
+#: Bytes of texts that are encoded at a time (one text at least).
+SLICE_BYTES = 8 << 20
 
 
 def pack(ids: np.ndarray, bits: int) -> bytes:
@@ -50,32 +55,69 @@ def unpack(payload: bytes, bits: int, start: int, count: int) -> np.ndarray:
     return each.astype(np.uint32) @ (np.uint32(1) << np.arange(bits - 1, -1, -1, dtype=np.uint32))
 
 
-class WordEncoder:
-    """Encodes with a `tokenizers` file whose tokenizer drops white space and never joins what it separates, word by word.
+#: How a tokenizer file has to prepare texts so that each part below has ids of its own, whatever stands beside it.
+NORMALIZERS = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]
+PART = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
+#: Words that PART cuts into letters and marks, lower-cased without regard to their place: Latin letters, perhaps with ASCII marks behind.
+LETTERS, MARKS = "A-Za-zÀ-ÖØ-öø-ÿ", '!-&(-/:;=-@\\[-`{-~'
+PLAIN = f"\\A[{LETTERS}]+[{MARKS}]*\\z"
+SIMPLE = re.compile(f"[{LETTERS}]+|[{MARKS}]+")
+EACH_LETTER, EACH_MARK = ("".join(c for c in map(chr, range(256)) if re.match(f"[{x}]", c)) for x in (LETTERS, MARKS))
+
+
+class Kept:
+    """Ids of strings seen of late (now), and of those before them; at most STRINGS_KEPT in all."""
+
+    def __init__(self) -> None:
+        self.now: dict[str, bytes] = {}
+        self.before: dict[str, bytes] = {}
+
+    def missing(self, strings: Collection[str]) -> list[str]:
+        """Of strings those that nobody knows any more; the others are in now from here on."""
+        if len(self.now) + len(strings) > STRINGS_KEPT // 2:
+            self.before, self.now = self.now, {}
+        strings = [s for s in strings if s not in self.now]
+        self.now.update((s, self.before[s]) for s in strings if s in self.before)
+        return [s for s in strings if s not in self.before]
 
-    Ids of words seen are kept. A new word of plain Latin letters, perhaps with ASCII marks behind, is looked up as letters and
-    marks, since such a tokenizer splits there; all other words go through the tokenizer as they stand. Only space and line feed
-    split: what else the tokenizer calls white space stays inside a word, for it to handle.
-    """
 
-    PLAIN = re.compile("([A-Za-zÀ-ÖØ-Þß-öø-ÿ]+)([!-&(-/:-@\\[-`{-~]*)")
+class TextEncoder:
+    """Ids of whole texts by a `tokenizers` file, equal to what the file's tokenizer gives.
+
+    If the file lower-cases, drops white space and cuts by PART into strings that are encoded each by itself, texts are split at ASCII
+    white space, the distinct words that are PLAIN are cut into letters and marks, and only new ones of these parts, and of all other
+    words, go to the tokenizer. Any other file gets whole texts.
+    """
 
     def __init__(self, path: str) -> None:
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.vocabulary = self.tokenizer.get_vocab_size()
-        self.parts: dict[str, bytes] = {}
-        self.words: dict[str, bytes] = {"": b""}
+        made = json.loads(self.tokenizer.to_str())
+        cut, model = (made["pre_tokenizer"] or {}).get("pretokenizers", [{}]), made["model"]
+        self.by_parts = (
+            (made["normalizer"] or {}).get("normalizers") == NORMALIZERS
+            and [x.get("type") for x in cut] == ["Split", "ByteLevel"]
+            and (cut[0]["pattern"], cut[0]["behavior"], cut[0]["invert"]) == ({"Regex": PART}, "Removed", True)
+            and not (cut[1]["add_prefix_space"] or cut[1]["use_regex"])
+            and model["type"] == "BPE"
+            and not model.get("dropout")
+            and not made["truncation"]
+            and all(t["special"] and t["content"].startswith("<|") and not (t["normalized"] or t["lstrip"] or t["rstrip"] or t["single_word"]) for t in made["added_tokens"])
+        )
+        self.kept = Kept()
+        end = model.get("end_of_word_suffix") or None
         self.ends = np.zeros(self.vocabulary, bool)
-        for piece, i in self.tokenizer.get_vocab().items():
-            self.ends[i] = piece.endswith("</w>")
+        for piece, i in self.tokenizer.get_vocab().items() if end else ():
+            self.ends[i] = piece.endswith(end)
 
-    def _each(self, words: list[str]) -> list[bytes]:
-        return [np.array(e.ids, np.uint32).tobytes() for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+    def _each(self, texts: list[str]) -> list[bytes]:
+        return [np.array(e.ids, np.uint32).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _parts(self, parts: list[str]) -> list[bytes]:
-        """Ids of letter runs and runs of marks. Many go through the tokenizer as one text; the vocabulary tells where each ends."""
+    def _each_part(self, parts: list[str]) -> list[bytes]:
+        """Many parts go through the tokenizer as one text; where the vocabulary marks ends of parts, it tells where each one stops."""
         if not self.ends.any():
             return self._each(parts)
         out = []
@@ -87,70 +129,82 @@ class WordEncoder:
                 at = end
         return out if len(out) == len(parts) else self._each(parts)
 
-    def learn(self, words: set[str]) -> None:
-        if len(self.words) + len(words) > WORDS_KEPT:
-            self.words = {"": b""}
-        if len(self.parts) > WORDS_KEPT:
-            self.parts = {}
-        split, whole = [], []
-        for w in words:
-            m = self.PLAIN.fullmatch(w)
-            if m:
-                split.append((w, m[1].lower(), m[2]))
-            else:
-                whole.append(w)
-        parts = self.parts
-        new = list({p for _, a, b in split for p in (a, b) if p and p not in parts})
-        parts.update(zip(new, self._parts(new), strict=True))
-        parts[""] = b""
-        for w, a, b in split:
-            self.words[w] = parts[a] + parts[b]
-        self.words.update(zip(whole, self._each(whole), strict=True))
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """For each text its ids as little-endian unsigned 32-bit integers."""
-        split = [t.replace("\n", " ").split(" ") for t in texts]
-        found = [list(map(self.words.get, ws)) for ws in split]
-        gaps = [[i for i, x in enumerate(ids) if x is None] if None in ids else () for ids in found]
-        if new := {ws[i] for ws, g in zip(split, gaps, strict=True) for i in g}:
-            self.learn(new)
-            for ws, ids, g in zip(split, found, gaps, strict=True):
-                for i in g:
-                    ids[i] = self.words[ws[i]]
-        return [b"".join(ids) for ids in found]
-
-
-def encoder(path: str) -> WordEncoder:
+    def _ids_of(self, strings: list[str]) -> list[bytes]:
+        """Ids of strings that are parts or words."""
+        kept = self.kept
+        found = list(map(kept.now.get, strings))
+        if gaps := [i for i, x in enumerate(found) if x is None]:
+            new = kept.missing([strings[i] for i in gaps])
+            parts, words = [], []
+            for x in new:
+                (parts if SIMPLE.fullmatch(x) else words).append(x)
+            kept.now.update(zip(parts, self._each_part(parts), strict=True))
+            kept.now.update(zip(words, self._each(words), strict=True))
+            for i in gaps:
+                found[i] = kept.now[strings[i]]
+        return found
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of these texts, one text after another, and how many each has; null counts as empty."""
+        texts = pc.fill_null(texts, "")
+        if self.by_parts:
+            split = pc.ascii_split_whitespace(texts)
+            words, ends = split.flatten().dictionary_encode(), np.diff(split.offsets.to_numpy()).cumsum() * 2
+            each = words.dictionary
+            plain, low = pc.match_substring_regex(each, PLAIN), pc.utf8_lower(each)
+            pairs = pa.concat_arrays([pc.if_else(plain, pc.utf8_rtrim(low, EACH_MARK), each), pc.if_else(plain, pc.utf8_ltrim(low, EACH_LETTER), "")]).dictionary_encode()
+            found = self._ids_of(pairs.dictionary.to_pylist())
+            place = pairs.indices.to_numpy().reshape(2, -1).T[words.indices.to_numpy()].ravel()
+        else:
+            found, place, ends = self._each(texts.to_pylist()), np.arange(len(texts)), np.arange(1, len(texts) + 1)
+        lens = np.fromiter(map(len, found), np.int64, len(found)) // 4
+        ids, first = np.frombuffer(b"".join(found), np.uint32), lens.cumsum() - lens
+        n = lens[place]
+        upto = np.concatenate([[0], n.cumsum()])
+        return ids[np.repeat(first[place] - upto[:-1], n) + np.arange(upto[-1])], np.diff(upto[ends], prepend=0)
+
+
+def encoder(path: str) -> TextEncoder:
     held = kept_in_worker("encoders")
     if path not in held:
-        held[path] = WordEncoder(path)
+        held[path] = TextEncoder(path)
     return held[path]
 
 
+def slices(texts: pa.Array) -> Iterator[tuple[int, int]]:
+    """Stretches of about SLICE_BYTES of texts."""
+    sizes = np.nan_to_num(pc.binary_length(texts).to_numpy(zero_copy_only=False).astype(np.float64))
+    cut = np.flatnonzero(np.diff((sizes.cumsum() - sizes) // SLICE_BYTES)) + 1
+    edges = [0, *cut.tolist(), len(texts)]
+    return zip(edges, edges[1:], strict=False)
+
+
 def _blocks(path: str, bits: int, end_id: int | None):
-    end = b"" if end_id is None else np.uint32(end_id).tobytes()
+    end = np.array([] if end_id is None else [end_id], np.uint32)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, part, block, done = encoder(path), TaskContext.get().partitionId(), 0, 0
         docs: list[int | None] = []
-        held: list[bytes] = []
+        held: list[np.ndarray] = []
         size = 0
 
         def close() -> pa.RecordBatch:
             nonlocal docs, held, size, block, done
-            lens = [len(x) // 4 for x in held]
-            ids = np.frombuffer(b"".join(held), np.uint32)
-            out = pa.RecordBatch.from_pylist([{"part": part, "block": block, "doc_ids": docs, "lens": lens, "part_start": done, "n_ids": len(ids), "bits": bits, "payload": pack(ids, bits)}], schema=BLOCK_ARROW)
+            ids = np.concatenate(held)
+            out = pa.RecordBatch.from_pylist([{"part": part, "block": block, "doc_ids": docs, "lens": [len(x) for x in held], "part_start": done, "n_ids": len(ids), "bits": bits, "payload": pack(ids, bits)}], schema=BLOCK_ARROW)
             docs, held, size, block, done = [], [], 0, block + 1, done + len(ids)
             return out
 
         for batch in batches:
             doc_ids, texts = batch.column(0).to_pylist(), batch.column(1)
-            for at in range(0, len(doc_ids), 256):
-                for doc, ids in zip(doc_ids[at : at + 256], enc.encode([t or "" for t in texts.slice(at, 256).to_pylist()]), strict=True):
+            for a, b in slices(texts):
+                ids, lens = enc.encode(texts.slice(a, b - a))
+                at = 0
+                for doc, n in zip(doc_ids[a:b], lens.tolist(), strict=True):
                     docs.append(doc)
-                    held.append(ids + end)
-                    size += len(ids) // 4 + 1
+                    held.append(np.concatenate([ids[at : at + n], end]))
+                    at += n
+                    size += n + len(end)
                     if size >= BLOCK_IDS:
                         yield close()
         if docs:
@@ -166,8 +220,8 @@ def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, end_id: int |
     their texts, equal rows in any order. No documents: a table without rows. The texts are shuffled once, by sampled ranges of
     doc_id; encoding comes after that, so that nothing is encoded twice.
     """
-    bits = max(1, (WordEncoder(tokenizer_path).vocabulary - 1).bit_length())
-    rows = docs.select("doc_id", "text").withColumn("tie", F.xxhash64("text"))
+    bits = max(1, (TextEncoder(tokenizer_path).vocabulary - 1).bit_length())
+    rows = docs.select(F.col("doc_id").cast("bigint"), "text", F.xxhash64("text").alias("tie"))
     rows = rows.repartitionByRange("doc_id", "tie").sortWithinPartitions("doc_id", "tie").select("doc_id", "text")
     rows.mapInArrow(_blocks(tokenizer_path, bits, end_id), BLOCK_SCHEMA).write.option("compression", "uncompressed").parquet(path)
 
