@@ -199,14 +199,28 @@ def test_dedup_lines(spark, rows):
     assert sorted(((r["doc_id"], r["n_lines"], r["n_dropped"], r["text"]) for r in got), key=str) == plain_lines(rows)
 
 
-def test_runs_are_compacted(spark):
-    from tidemark.llm.line_dedup import LineRuns
+def test_runs_are_compacted_and_not_shuffled_again(spark):
+    from tidemark.llm.line_dedup import LineRuns, long_lines
 
     runs = LineRuns(spark, fanout=2)
     for i in range(5, 0, -1):
-        runs.add(frame(spark, [(i, f"a line that all documents hold\na line of document {i} alone here")], 1))
+        docs = frame(spark, [(i, f"a line that all documents hold\na line of document {i} alone here\n{'a line that all documents hold ' if i % 2 else ''}")], 1)
+        runs.add(long_lines(docs.withColumn("number", F.lit(i).cast("long"))))
     assert [len(level) for level in runs.levels] == [1, 0, 1]
     assert [(r["last"]) for r in runs.repeated().collect()] == [5]
+    assert "Exchange" not in runs.merge()._jdf.queryExecution().executedPlan().toString()
+    runs.discard()
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith("tidemark_run_")]
+
+
+def test_many_common_lines_in_a_document(spark):
+    """Time in proportion to the lines: 40,000 of them took minutes when each was looked for among all."""
+    import time
+
+    rows = [(i, "\n".join(f"a common line with number {k}" for k in range(40_000))) for i in range(3)]
+    began = time.time()
+    got = {r["doc_id"]: r["n_dropped"] for r in dedup_lines(frame(spark, rows)).collect()}
+    assert got == {0: 40_000, 1: 40_000, 2: 0} and time.time() - began < 60
 
 
 def test_components_across_many_blocks(spark, monkeypatch):

@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 import sys
-import tempfile
 import types
 import uuid
+from collections.abc import Iterable
 
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -29,15 +29,40 @@ def kept_in_worker(name: str) -> dict:
 
 
 def shared_dir(spark: SparkSession, what: str) -> str:
-    """A new folder that the driver and all executors see: under spark.checkpoint.dir, or a temporary one where that is unset (tests)."""
+    """A new folder under spark.checkpoint.dir, which the driver and all executors see; without that setting there is no such place."""
     top = spark.conf.get("spark.checkpoint.dir", None)
     if not top:
-        top = tempfile.mkdtemp(prefix="tidemark-")
-        spark.conf.set("spark.checkpoint.dir", top)
-        spark.sparkContext.setCheckpointDir(top)
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     return f"{top.rstrip('/')}/tidemark-{what}-{uuid.uuid4().hex}"
 
 
+def quoted(name: str) -> Column:
+    """The column of that name, whatever marks it holds."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def kept_columns(df: DataFrame, results: Iterable[str]) -> list[str]:
+    """df's columns but those named like a result, in any case."""
+    gone = {r.lower() for r in results}
+    return [c for c in df.columns if c.lower() not in gone]
+
+
+def private(df: DataFrame, *names: str) -> list[str]:
+    """The names, each with as many underscores in front as it takes to differ, in any case, from all of df's columns."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = "_" + name
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def numbered(df: DataFrame, number: str) -> DataFrame:
+    """df as a stored table with a number for each row, so that equal rows, and rows without an id, can be told apart when it is read again."""
+    return stored(df.withColumn(number, F.monotonically_increasing_id()), "numbered")
+
+
 def stored(df: DataFrame, what: str, *, sort: str | None = None) -> DataFrame:
     """Write df as a Parquet table in the shared folder and read it back: lineage ends there, and lost executors lose nothing."""
     path = shared_dir(df.sparkSession, what)
@@ -48,9 +73,11 @@ def stored(df: DataFrame, what: str, *, sort: str | None = None) -> DataFrame:
 
 
 def discard(spark: SparkSession, tables: list[DataFrame]) -> None:
-    """Delete what stored() wrote, once nothing reads it any more."""
+    """Delete what stored() wrote, or a table that was saved under a name, once nothing reads it any more."""
     jvm = spark._jvm
     for t in tables:
+        if name := getattr(t, "stored_as", None):
+            spark.sql(f"DROP TABLE IF EXISTS {name}")
         path = jvm.org.apache.hadoop.fs.Path(t.stored_at)
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 

@@ -1,50 +1,60 @@
 """Line dedup over levelled sorted runs of line hashes.
 
-A run is a Parquet table, sorted by hash within partitions of the hash: (k1, k2) the 128-bit hash of a line's key, n the documents
-that hold it, last the largest doc_id of them. Batches come in descending order of doc_id. Each is counted, merge-anti-joined with
-what the runs already decide (keys found in enough documents: a smaller doc_id cannot change them) and the rest becomes a run of
-level 0. FANOUT runs of a level are merged into one of the next.
+A run is a table bucketed by (k1, k2), the 128-bit hash of a line's key, and sorted within buckets: n the documents that hold the key,
+last the largest doc_id of them. Batches come in descending order of doc_id. Each is counted, merge-anti-joined with what the runs
+already decide (keys found in enough documents: a smaller doc_id cannot change them) and the rest becomes a run of level 0. FANOUT runs
+of a level are merged into one of the next. As all runs have the same buckets, no run is shuffled again.
+
+Texts are read twice: for their lines' hashes, which are stored with number and place of the line, and to drop the lines found.
 """
 
 from __future__ import annotations
 
+import uuid
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import SPACE_CHARS, ascii_lower, shared_dir
+from tidemark.llm.common import SPACE_CHARS, ascii_lower, discard, kept_columns, numbered, private, quoted, shared_dir, stored
 
 FANOUT = 3
-BATCHES = 4
+BATCHES = 9
 LEAST_LENGTH, LEAST_DOCS = 20, 3
+#: Repeated keys are broadcast up to so many (24 bytes each); more are joined by shuffle, where Spark splits keys with very many lines.
+BROADCAST_KEYS = 1 << 18
 
 
 def line_key(line: Column) -> Column:
     return ascii_lower(F.btrim(line, F.lit(SPACE_CHARS)))
 
 
-def key_hash(key: Column) -> Column:
-    return F.struct(F.xxhash64(key).alias("k1"), F.xxhash64(F.lit(7), key).alias("k2"))
+def lines_of(text: Column) -> Column:
+    """Null or empty text is one empty line."""
+    return F.split(F.coalesce(text, F.lit("")), "\n")
 
 
-def long_keys(text: Column, least_length: int) -> Column:
-    """Distinct hashes of the text's keys of at least so many code points."""
-    keys = F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), "\n"), line_key), lambda k: F.char_length(k) >= least_length)
-    return F.array_distinct(F.transform(keys, key_hash))
+def long_lines(docs: DataFrame, least_length: int = LEAST_LENGTH) -> DataFrame:
+    """(number, doc_id, text) to (number, doc_id, at, k1, k2): each line whose key has at least so many code points, its place and its key's hash."""
+    keys = docs.select("number", "doc_id", F.posexplode(F.transform(lines_of(F.col("text")), line_key)).alias("at", "key"))
+    return keys.filter(F.char_length("key") >= least_length).select("number", "doc_id", "at", F.xxhash64("key").alias("k1"), F.xxhash64(F.lit(7), "key").alias("k2"))
 
 
 class LineRuns:
     """The levelled runs of one table of lines; merge() counts over all of them."""
 
-    def __init__(self, spark: SparkSession, least_docs: int = LEAST_DOCS, least_length: int = LEAST_LENGTH, fanout: int = FANOUT) -> None:
-        self.spark, self.least_docs, self.least_length, self.fanout = spark, least_docs, least_length, fanout
+    def __init__(self, spark: SparkSession, least_docs: int = LEAST_DOCS, fanout: int = FANOUT) -> None:
+        self.spark, self.least_docs, self.fanout = spark, least_docs, fanout
+        self.buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
         self.levels: list[list[DataFrame]] = [[]]
 
     def _write(self, counted: DataFrame) -> DataFrame:
-        path = shared_dir(self.spark, "line-run")
-        counted.sortWithinPartitions("k1", "k2").write.parquet(path)
-        return self.spark.read.schema(counted.schema).parquet(path)
+        """counted comes from a grouping by the hash, so each task writes whole buckets and a bucket is one sorted file."""
+        name, path = f"tidemark_run_{uuid.uuid4().hex}", shared_dir(self.spark, "line-run")
+        counted.write.bucketBy(self.buckets, "k1", "k2").sortBy("k1", "k2").option("path", path).format("parquet").saveAsTable(name)
+        run = self.spark.table(name)
+        run.stored_at, run.stored_as = path, name
+        return run
 
     @staticmethod
     def _summed(runs: list[DataFrame]) -> DataFrame:
@@ -54,10 +64,10 @@ class LineRuns:
         runs = [r for level in self.levels for r in level]
         return self._summed(runs) if len(runs) > 1 else runs[0] if runs else None
 
-    def add(self, docs: DataFrame) -> None:
-        """Add a batch (doc_id, text) all of whose doc_ids are at most those of earlier batches."""
-        lines = docs.select("doc_id", F.explode(long_keys(F.col("text"), self.least_length)).alias("k"))
-        counted = lines.groupBy(F.col("k.k1").alias("k1"), F.col("k.k2").alias("k2")).agg(F.count("*").alias("n"), F.max("doc_id").alias("last"))
+    def add(self, lines: DataFrame) -> None:
+        """Add a batch of long_lines() all of whose doc_ids are at most those of earlier batches."""
+        each = lines.groupBy("number", "k1", "k2").agg(F.max("doc_id").alias("doc_id"))
+        counted = each.groupBy("k1", "k2").agg(F.count("*").alias("n"), F.max("doc_id").alias("last"))
         known = self.merge()
         if known is not None:
             counted = counted.join(known.filter(F.col("n") >= self.least_docs).hint("merge"), ["k1", "k2"], "left_anti")
@@ -68,39 +78,50 @@ class LineRuns:
                     self.levels.append([])
                 self.levels[i + 1].append(self._write(self._summed(level)))
                 self.levels[i] = []
+                discard(self.spark, level)
 
     def repeated(self) -> DataFrame | None:
         """Keys found in enough documents, with the largest doc_id that holds each."""
         known = self.merge()
         return known if known is None else known.filter(F.col("n") >= self.least_docs).select("k1", "k2", "last")
 
+    def discard(self) -> None:
+        discard(self.spark, [r for level in self.levels for r in level])
+        self.levels = [[]]
+
+
+def batches_of(lines: DataFrame, batches: int) -> list[DataFrame]:
+    """lines in parts of about equal size, in descending order of doc_id; null ids, below all others, come last."""
+    cuts = sorted(set(lines.approxQuantile("doc_id", [i / batches for i in range(1, batches)], 0.01)), reverse=True) if batches > 1 else []
+    out, high = [], F.lit(True)
+    for cut in cuts:
+        out.append(lines.filter(high & (F.col("doc_id") >= cut)))
+        high = F.col("doc_id") < cut
+    return [*out, lines.filter(high | F.col("doc_id").isNull())]
+
 
 def dedup_lines(docs: DataFrame, least_docs: int = LEAST_DOCS, least_length: int = LEAST_LENGTH, batches: int = BATCHES) -> DataFrame:
     """docs (doc_id, text; more columns pass through) with n_lines, n_dropped and text without the dropped lines.
 
     A line is dropped if its key (white space stripped, A-Z lower-cased) has at least least_length code points, at least least_docs
     documents hold it, and the document's doc_id is not the largest of them. Null or empty text is one empty line. Rows with equal
-    doc_id count as a document each and stay or go together; null doc_id is below all others. No rows give none.
+    doc_id count as a document each and stay or go together; null doc_id is below all others. No rows give none. Long texts cost
+    in proportion to their lines. A column named n_lines or n_dropped, in any case, is replaced.
     """
-    runs = LineRuns(docs.sparkSession, least_docs, least_length)
-    slim = docs.select("doc_id", "text")
-    cuts = sorted(set(slim.approxQuantile("doc_id", [i / batches for i in range(1, batches)], 0.01)), reverse=True) if batches > 1 else []
-    bounds = [None, *cuts, None]
-    low_null = F.coalesce("doc_id", F.lit(-(1 << 63)))
-    for high, low in zip(bounds, bounds[1:], strict=False):
-        part = slim
-        if high is not None:
-            part = part.filter(low_null < high)
-        if low is not None:
-            part = part.filter(low_null >= low)
+    spark = docs.sparkSession
+    keep = [c for c in kept_columns(docs, ["n_lines", "n_dropped"]) if c.lower() != "text"]
+    number, gone, all_, kept = private(docs, "number", "gone", "all_lines", "kept_lines")
+    rows = numbered(docs.select(*map(quoted, keep), quoted("text")), number)
+    lines = stored(long_lines(rows.select(F.col(number).alias("number"), F.col("doc_id").cast("bigint"), "text"), least_length), "lines")
+    runs = LineRuns(spark, least_docs)
+    for part in batches_of(lines, batches):
         runs.add(part)
-    repeated = runs.repeated()
-    lines = slim.select("doc_id", F.explode(long_keys(F.col("text"), least_length)).alias("k")).select("doc_id", "k.k1", "k.k2")
-    doomed = lines.join(repeated, ["k1", "k2"]).filter(low_null < F.coalesce("last", F.lit(-(1 << 63))))
-    doomed = doomed.groupBy(F.col("doc_id").alias("_doc")).agg(F.collect_set(F.struct("k1", "k2")).alias("_doomed"))
-    keep = [c for c in docs.columns if c not in ("text", "n_lines", "n_dropped")]
-    out = docs.join(doomed, docs["doc_id"].eqNullSafe(doomed["_doc"]), "left")
-    all_lines = F.split(F.coalesce("text", F.lit("")), "\n")
-    left = F.when(F.col("_doomed").isNull(), F.col("_lines")).otherwise(F.filter("_lines", lambda x: ~F.array_contains("_doomed", key_hash(line_key(x)))))
-    out = out.withColumn("_lines", all_lines).withColumn("_left", left)
-    return out.select(*keep, F.array_join("_left", "\n").alias("text"), F.size("_lines").cast("bigint").alias("n_lines"), (F.size("_lines") - F.size("_left")).cast("bigint").alias("n_dropped"))
+    repeated = stored(runs.repeated(), "repeated")
+    runs.discard()
+    below = F.coalesce("doc_id", F.lit(-(1 << 63))) < F.coalesce("last", F.lit(-(1 << 63)))
+    found = lines.join(F.broadcast(repeated) if repeated.count() <= BROADCAST_KEYS else repeated.hint("merge"), ["k1", "k2"]).filter(below)
+    doomed = found.groupBy(F.col("number").alias(number)).agg(F.collect_list("at").alias(gone))
+    out = rows.join(doomed, number, "left").withColumn(all_, lines_of(F.col("text")))
+    left = F.transform(F.array_except(F.sequence(F.lit(0), F.size(all_) - 1), F.col(gone)), lambda i: F.get(all_, i))
+    out = out.withColumn(kept, F.when(F.col(gone).isNull(), F.col(all_)).otherwise(left))
+    return out.select(*map(quoted, keep), F.array_join(kept, "\n").alias("text"), F.size(all_).cast("bigint").alias("n_lines"), (F.size(all_) - F.size(kept)).cast("bigint").alias("n_dropped"))
