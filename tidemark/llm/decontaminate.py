@@ -1,13 +1,13 @@
 """Benchmark decontamination by winnowing.
 
-Words are numbered by the benchmark's vocabulary (0: not in it, which matches nothing). The hash of every run of K words is taken
-and, for each window of K + GUARANTEE - 1 = SPAN words, the least of its hashes is a fingerprint. Equal windows have equal least
-hashes, so a lookup of documents' fingerprints among the benchmark's loses no shared span of SPAN words or more. A hit is then
-extended to its whole window and compared word by word; neighbouring windows make up the whole shared passage.
-Items of fewer than SPAN words are one window each, looked up by the hash of all their words and compared likewise.
-
-The benchmark goes to the executors in blocks of at most BLOCK_BYTES of words, one pass over the documents for each block, so what
-a task holds does not grow with the benchmark; with one block, as usual, nothing is shuffled.
+The hash of every run of K words is taken and, for each window of K + GUARANTEE - 1 = SPAN words, the least of its hashes is a
+fingerprint. Equal windows have equal least hashes, so joining documents' fingerprints with the benchmark's loses no shared span of
+SPAN words or more. A hit is then extended to its whole window and compared word by word; neighbouring windows make up the whole shared
+passage. Items of fewer than SPAN words are one window each, looked up by the hash of all their words and compared likewise.
+
+A benchmark of at most BLOCK_BYTES of words goes to the executors for a broadcast hash join inside one pass over the documents: words
+are numbers there, and nothing is shuffled. A larger one is joined by shuffles: fingerprints first, then, for documents with a hit, the
+windows that have the fingerprint; no task holds more than a document and its matches.
 """
 
 from __future__ import annotations
@@ -17,11 +17,12 @@ from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm.common import ascii_lower, ship, stored
+from tidemark.llm.blocks import word_hashes
+from tidemark.llm.common import ascii_lower, kept_columns, numbered, private, quoted, ship
 
 SPAN, K = 10, 5
 GUARANTEE = SPAN - K + 1
@@ -88,8 +89,17 @@ class Windows:
         order = np.argsort(h, kind="stable")
         self.rows, self.hashes = self.rows[order], h[order]
         self.order = order
-        self.members = Members(self.hashes)
         self.most_alike = int(np.unique(self.hashes, return_counts=True)[1].max()) if len(h) else 0
+        self.members = Members(self.hashes)
+
+    def plain(self) -> dict:
+        return {k: v for k, v in vars(self).items() if k != "members"}
+
+    @classmethod
+    def of(cls, plain: dict) -> Windows:
+        out = cls.__new__(cls)
+        vars(out).update(plain, members=Members(plain["hashes"]))
+        return out
 
     def _hashes(self) -> np.ndarray:
         h = np.zeros(len(self.rows), np.uint64)
@@ -115,7 +125,7 @@ class Windows:
 
 
 class Block:
-    """What one pass looks for. stretches: (item_id, words, words of the whole item)."""
+    """What a pass looks for. stretches: (item_id, words, words of the whole item)."""
 
     def __init__(self, stretches: list[tuple[str, list[str], int]]) -> None:
         self.item_ids = sorted({s[0] for s in stretches})
@@ -134,6 +144,16 @@ class Block:
         self.tables = [Windows(n, np.concatenate([r for _, r in x]), np.concatenate([np.full(len(r), i) for i, r in x])) for n, x in sorted(held.items())]
         self.fingerprints = Members(np.concatenate(fingerprints) if fingerprints else np.zeros(0, np.uint64))
 
+    def plain(self) -> dict:
+        """The block as dicts, lists and arrays: what is broadcast is unpacked where this package may be missing."""
+        return {"item_ids": self.item_ids, "vocabulary": self.vocabulary, "tables": [t.plain() for t in self.tables], "fingerprints": self.fingerprints.values}
+
+    @classmethod
+    def of(cls, plain: dict) -> Block:
+        out = cls.__new__(cls)
+        out.item_ids, out.vocabulary, out.tables, out.fingerprints = plain["item_ids"], plain["vocabulary"], [Windows.of(t) for t in plain["tables"]], Members(plain["fingerprints"])
+        return out
+
     def hits(self, ids: np.ndarray) -> list[tuple[Windows, np.ndarray, np.ndarray]]:
         out = []
         for t in self.tables:
@@ -171,11 +191,9 @@ def merged(spans: list[tuple[int, int]]) -> list[dict[str, int]]:
     return [{"start": a, "end": b} for a, b in out]
 
 
-def _search(block, text_at: int, keep: list[int], schema: pa.Schema, again: bool):
-    """again: the last three input columns are n_words, spans and items of the passes before."""
-
+def _search(block, text_at: int, keep: list[int], schema: pa.Schema):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        b: Block = block.value
+        b = Block.of(block.value)
         get = b.vocabulary.get
         for whole in batches:
             for at in range(0, len(whole), 512):
@@ -198,10 +216,6 @@ def _search(block, text_at: int, keep: list[int], schema: pa.Schema, again: bool
                         own = docs == d
                         spans.setdefault(d, []).extend((p, p + t.length) for p in (found[own] - first[d]).tolist())
                         items.setdefault(d, set()).update(b.item_ids[i] for w in np.unique(which[own]).tolist() for i in t.items_of(w).tolist())
-                if again:
-                    for d, (s, i) in enumerate(zip(batch.column(-2).to_pylist(), batch.column(-1).to_pylist(), strict=True)):
-                        spans.setdefault(d, []).extend((x["start"], x["end"]) for x in s)
-                        items.setdefault(d, set()).update(i)
                 n = range(len(texts))
                 columns = [batch.column(i) for i in keep]
                 columns += [pa.array(lens, pa.int64()), pa.array([merged(spans.get(d, [])) for d in n], schema.field("hit_spans").type), pa.array([sorted(items.get(d, ())) for d in n], pa.list_(pa.string()))]
@@ -210,40 +224,108 @@ def _search(block, text_at: int, keep: list[int], schema: pa.Schema, again: bool
     return run
 
 
+def words_of_text(text: Column) -> Column:
+    return F.regexp_extract_all(ascii_lower(F.coalesce(text, F.lit(""))), F.lit(r"([^\x00-\x2F\x3A-\x60\x7B-\x7F]+)"), 1)
+
+
 def stretches(benchmark: DataFrame) -> DataFrame:
     """item_id (as text; null: empty), words and whole (words of the item), one row for each stretch; items without words give none."""
-    words = F.regexp_extract_all(ascii_lower(F.coalesce("text", F.lit(""))), F.lit(r"([^\x00-\x2F\x3A-\x60\x7B-\x7F]+)"), 1)
-    rows = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item_id"), words.alias("all")).filter(F.size("all") > 0)
+    rows = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item_id"), words_of_text(F.col("text")).alias("all")).filter(F.size("all") > 0)
     cut = F.transform(F.sequence(F.lit(0), F.size("all") - 1, F.lit(STRETCH)), lambda i: F.slice("all", i + 1, STRETCH + SPAN - 1))
     return rows.select("item_id", F.size("all").alias("whole"), F.explode(cut).alias("words"))
 
 
+def _words(texts: list[bytes | None]) -> Iterator[tuple[list[bytes], np.ndarray]]:
+    """Words of each text with their hashes."""
+    every = [t.translate(TO_WORDS).split() if t else [] for t in texts]
+    number: dict[bytes, int] = {}
+    ids = [[number.setdefault(w, len(number)) for w in words] for words in every]
+    h = word_hashes(list(number))
+    return ((words, h[i] if i else np.zeros(0, np.uint64)) for words, i in zip(every, ids, strict=True))
+
+
+def _marks_of(hashes: np.ndarray, length: int) -> np.ndarray:
+    """For each window of `length` words its fingerprint: the least hash of K words in it, or for a shorter window the hash of all."""
+    return least(run_hashes(hashes, K), GUARANTEE) if length == SPAN else run_hashes(hashes, length)
+
+
+def _fingerprints(lengths: list[int]):
+    """(number, text) to (number, length, mark), each once a text; lengths: of windows."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, len(whole), 64):
+                batch = whole.slice(at, 64)
+                for number, (_, h) in zip(batch.column(0).to_pylist(), _words(batch.column(1).cast(pa.binary()).to_pylist()), strict=True):
+                    for n in lengths:
+                        m = np.unique(_marks_of(h, n)).view(np.int64)
+                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(m), number)), pa.array(np.full(len(m), n, np.int32)), pa.array(m)], names=["number", "length", "mark"])
+
+    return run
+
+
+def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(number, text, marks: array of length and mark) to those windows with one of the marks: (number, start, length, words)."""
+    for whole in batches:
+        for at in range(0, len(whole), 64):
+            batch = whole.slice(at, 64)
+            for number, marks, (words, h) in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), _words(batch.column(1).cast(pa.binary()).to_pylist()), strict=True):
+                for n in sorted({m["length"] for m in marks}):
+                    own = np.array([m["mark"] for m in marks if m["length"] == n], np.int64).view(np.uint64)
+                    starts = np.flatnonzero(np.isin(_marks_of(h, n), own)).tolist()
+                    yield pa.RecordBatch.from_arrays([pa.array([number] * len(starts), pa.int64()), pa.array(starts, pa.int64()), pa.array([n] * len(starts), pa.int32()), pa.array([b" ".join(words[i : i + n]) for i in starts], pa.binary())], names=["number", "start", "length", "words"])
+
+
+def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        spans = [merged([(s["start"], s["start"] + s["length"]) for s in x]) for x in batch.column(1).to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))], names=["number", "spans"])
+
+
+def _by_shuffles(docs: DataFrame, stretched: DataFrame, keep: list[str]) -> DataFrame:
+    """decontaminate() for a benchmark of any size."""
+    n, spans, items = private(docs, "number", "spans", "items")
+    rows = numbered(docs.select(*[quoted(c) for c in dict.fromkeys([*keep, "text"])]), n)
+    texts = rows.select(F.col(n).alias("number"), "text")
+    length = F.least("whole", F.lit(SPAN)).alias("length")
+    windows = stretched.filter(F.size("words") >= F.least("whole", F.lit(SPAN))).select("item_id", "words", length)
+    lengths = sorted(r[0] for r in windows.select("length").distinct().collect())
+    joined = windows.select(F.col("length").cast("bigint").alias("number"), F.array_join("words", " ").alias("text"))
+    known = joined.mapInArrow(_fingerprints(lengths), "number bigint, length int, mark bigint").filter("number = length").select("length", "mark").distinct()
+    marks = texts.mapInArrow(_fingerprints(lengths), "number bigint, length int, mark bigint").join(known, ["length", "mark"], "left_semi")
+    hit = marks.groupBy("number").agg(F.collect_list(F.struct("length", "mark")).alias("marks"))
+    found = texts.join(hit, "number").select("number", "text", "marks").mapInArrow(_windows, "number bigint, start bigint, length int, words binary")
+    each = F.transform(F.sequence(F.lit(1), F.size("words") - F.col("length") + 1), lambda i: F.array_join(F.slice("words", i, F.col("length")), " ").cast("binary"))
+    listed = windows.select("item_id", F.explode(each).alias("words")).distinct()
+    hits = found.join(listed, "words")
+    spans_of = hits.select("number", "start", "length").distinct().groupBy("number").agg(F.collect_list(F.struct("start", "length"))).mapInArrow(_merged, "number bigint, spans array<struct<start:bigint,end:bigint>>")
+    items_of = hits.select("number", "item_id").distinct().groupBy("number").agg(F.sort_array(F.collect_list("item_id")).alias("items"))
+    out = rows.join(spans_of.withColumnsRenamed({"number": n, "spans": spans}), n, "left").join(items_of.withColumnsRenamed({"number": n, "items": items}), n, "left")
+    n_words = F.size(words_of_text(F.col("text"))).cast("bigint").alias("n_words")
+    return out.select(*map(quoted, keep), n_words, F.coalesce(spans, F.array().cast(SPANS)).alias("hit_spans"), F.coalesce(items, F.array().cast("array<string>")).alias("hit_items"))
+
+
 def decontaminate(docs: DataFrame, benchmark: DataFrame, columns: list[str] | None = None, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """Documents with n_words, hit_spans (runs of hit words, from 0, end excluded) and hit_items (ids as sorted strings).
 
-    docs needs text, benchmark item_id and text. columns: those of docs to keep, all by default; a column named like a result is
-    replaced. Null or empty texts have no words and no hits; a null item_id reads as an empty string; repeated items and rows are
-    each searched, equal ids count once; an empty benchmark hits nothing.
+    docs needs text, benchmark item_id and text. columns: those of docs to keep, all by default; a column named like a result, in any
+    case, is replaced. Null or empty texts have no words and no hits; a null item_id reads as an empty string; repeated items and rows
+    are each searched, equal ids count once; an empty benchmark hits nothing; no documents give no rows.
     """
+    from pyspark.sql.pandas.types import to_arrow_schema
+
     spark = docs.sparkSession
     results = ["n_words", "hit_spans", "hit_items"]
-    keep = [c for c in (docs.columns if columns is None else columns) if c not in results]
+    keep = [c for c in kept_columns(docs, results) if columns is None or c in columns]
     rows = stretches(benchmark)
-    size = rows.agg(F.sum(F.aggregate("words", F.lit(0), lambda a, w: a + F.octet_length(w) + 8))).head()[0] or 0
-    blocks = max(1, -(-size // block_bytes))
-    rows = rows.withColumn("block", F.pmod(F.xxhash64("item_id", "words"), F.lit(blocks)))
-    out = docs.select(*dict.fromkeys([*keep, "text"]))
-    for k in range(blocks):
-        held = [(r["item_id"], r["words"], r["whole"]) for r in (rows.filter(F.col("block") == k) if blocks > 1 else rows).select("item_id", "words", "whole").collect()]
-        passed = list(dict.fromkeys([*keep, "text"])) if k < blocks - 1 else keep
-        schema = T.StructType([out.schema[c] for c in passed] + [T.StructField("n_words", T.LongType()), T.StructField("hit_spans", SPANS), T.StructField("hit_items", T.ArrayType(T.StringType()))])
-        from pyspark.sql.pandas.types import to_arrow_schema
-
-        run = _search(spark.sparkContext.broadcast(Block(held)), out.columns.index("text"), [out.columns.index(c) for c in passed], to_arrow_schema(schema), k > 0)
-        out = out.mapInArrow(run, schema)
-        if k < blocks - 1:
-            out = stored(out, "decontaminate")
-    return out
+    size = rows.agg(F.sum(F.aggregate("words", F.lit(0).cast("bigint"), lambda a, w: a + F.octet_length(w) + 8))).head()[0] or 0
+    if size > block_bytes:
+        return _by_shuffles(docs, rows, keep)
+    held = Block([(r["item_id"], r["words"], r["whole"]) for r in rows.select("item_id", "words", "whole").collect()])
+    out = docs.select(*[quoted(c) for c in dict.fromkeys([*keep, "text"])])
+    schema = T.StructType([out.schema[c] for c in keep] + [T.StructField("n_words", T.LongType()), T.StructField("hit_spans", SPANS), T.StructField("hit_items", T.ArrayType(T.StringType()))])
+    run = _search(spark.sparkContext.broadcast(held.plain()), out.columns.index("text"), [out.columns.index(c) for c in keep], to_arrow_schema(schema))
+    return out.mapInArrow(run, schema)
 
 
 ship(__name__)

@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tidemark.llm.blocks import BLOCK_BYTES, answers, census, mixed, packed, with_states
+from tidemark.llm.blocks import BLOCK_BYTES, answers, census, mixed, packed, with_states, word_hashes
 from tidemark.llm.common import discard, ship, stored
 
 N = 5
@@ -43,17 +43,6 @@ TO_LOWER = bytes(b + 32 if 0x41 <= b <= 0x5A else b for b in range(256))
 ROWS = "rid bigint, doc_id bigint, size bigint, crc bigint, n bigint, s bigint, sig1 bigint, sig2 bigint, tokens binary, columns array<bigint>"
 
 
-def word_hashes(words: list[bytes]) -> np.ndarray:
-    """64-bit hash of each word: its bytes, in chunks of 8, through a multiplicative hash."""
-    lens = np.fromiter(map(len, words), np.int64, len(words))
-    padded = -(-lens // 8) * 8 + 8
-    ends = np.cumsum(padded)
-    flat = np.frombuffer(b"".join([w + bytes(p - n) for w, p, n in zip(words, padded.tolist(), lens.tolist(), strict=True)]), "<u8")
-    place = np.arange(len(flat)) - np.repeat((ends - padded) // 8, padded // 8)
-    parts = mixed(flat + mixed((place + 1).astype(np.uint64)))
-    return mixed(np.add.reduceat(parts, (ends - padded) // 8) + lens.astype(np.uint64)) if len(words) else np.zeros(0, np.uint64)
-
-
 def shingle_sets(row: dict, n: int) -> list[np.ndarray]:
     """For each document of a block its distinct n-gram hashes, ascending; with fewer words, one for the whole sequence."""
     data, at, docs = row["data"], 0, []
