@@ -19,11 +19,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm.common import ship
+from tidemark.llm.common import kept_columns, quoted, ship
 
 ORDERS = (2, 3, 4)
 SLOTS = 1 << 16
-#: Documents of each language that training reads: an expected number, drawn by a hash of doc_id. This bounds the sample.
+#: Documents of each language that training reads: an expected number, drawn by a hash of each row and its place. This bounds the sample.
 SAMPLE = 2000
 #: A text is ambiguous if the two best languages' shares of confidence differ by less.
 CLOSE = 0.2
@@ -109,18 +109,18 @@ class LanguageModel:
 
 
 def fit_language_model(docs: DataFrame, sample: int = SAMPLE) -> LanguageModel:
-    """Learn from documents (doc_id, text, lang) with text and lang, about `sample` of each language, whole texts.
+    """Learn from documents (text, lang; other columns are not read) with text and lang, about `sample` of each language, whole texts.
 
-    No such document: a model without languages, which predicts `und`. Counts are summed by Spark; the driver gets the model alone
-    (languages x n-gram slots).
+    Each row is drawn by itself, so equal rows, however many, and missing ids leave the sample's bound as it is. No such document: a
+    model without languages, which predicts `und`. Counts are summed by Spark; the driver gets the model alone (languages x n-gram slots).
     """
-    rows = docs.select("doc_id", "text", "lang").filter(F.col("lang").isNotNull() & F.col("text").isNotNull())
+    rows = docs.select("text", F.col("lang").cast("string"), F.monotonically_increasing_id().alias("place")).filter(F.col("lang").isNotNull() & F.col("text").isNotNull())
     there = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     langs = sorted(there)
     if not langs:
         return LanguageModel([], codewords(0), np.zeros((0, 0)), np.zeros(0))
     share = F.create_map(*[x for lang in langs for x in (F.lit(lang), F.lit(min(1.0, sample / there[lang])))])
-    drawn = rows.filter(F.pmod(F.xxhash64("doc_id", F.lit(29)), F.lit(1 << 30)) < F.element_at(share, F.col("lang")) * (1 << 30))
+    drawn = rows.filter(F.pmod(F.xxhash64("text", "place", F.lit(29)), F.lit(1 << 30)) < F.element_at(share, F.col("lang")) * (1 << 30))
     counts = drawn.select("lang", "text").mapInArrow(_count, "lang string, slot bigint, n bigint")
     table = np.zeros((len(langs), len(ORDERS) * SLOTS))
     sums = counts.groupBy("lang", "slot").agg(F.sum("n").alias("n")).toArrow()
@@ -142,7 +142,7 @@ def _predict(model, text_at: int, keep: list[int], schema: pa.Schema):
     letter = re.compile(r"[^\W\d_]")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m: LanguageModel = model.value
+        m = LanguageModel(*model.value)
         for whole in batches:
             for at in range(0, len(whole), 256):
                 batch = whole.slice(at, 256)
@@ -179,15 +179,17 @@ def predict_language(docs: DataFrame, model: LanguageModel, columns: list[str] |
     """docs with lang_pred, score (0 to 1) and ambiguous, from the whole text alone.
 
     Null text or one without any letter, and all texts if the model knows no language: `und`, score 0, ambiguous. columns: those of
-    docs to keep, all by default; a column named like a result is replaced.
+    docs to keep, all by default; a column named like a result, in any case, is replaced. Rows stand alone: repeated ones get the same
+    answer, none give none. The model is broadcast as lists and arrays; its size is 3 x 65,536 slots times a number of bits that grows
+    with the logarithm of the number of languages (13 MB for up to five of them, 63 MB for a hundred).
     """
     from pyspark.sql.pandas.types import to_arrow_schema
 
     results = ["lang_pred", "score", "ambiguous"]
-    keep = [c for c in (docs.columns if columns is None else columns) if c not in results]
-    rows = docs.select(*dict.fromkeys([*keep, "text"]))
+    keep = [c for c in kept_columns(docs, results) if columns is None or c in columns]
+    rows = docs.select(*[quoted(c) for c in dict.fromkeys([*keep, "text"])])
     schema = T.StructType([rows.schema[c] for c in keep] + [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("ambiguous", T.BooleanType())])
-    run = _predict(docs.sparkSession.sparkContext.broadcast(model), rows.columns.index("text"), [rows.columns.index(c) for c in keep], to_arrow_schema(schema))
+    run = _predict(docs.sparkSession.sparkContext.broadcast((model.langs, model.code, model.weights, model.trust)), rows.columns.index("text"), [rows.columns.index(c) for c in keep], to_arrow_schema(schema))
     return rows.mapInArrow(run, schema)
 
 
