@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tidemark.llm.common import kept_columns, numbered, private, quoted
+
 #: Ranges for each shard; keys drawn for each range; cells that a range is subdivided into.
 RANGES, DRAWN, CELLS = 64, 16, 1024
 #: A range of so many times the mean size is overfull. A cell above this share of a shard is placed by itself, one above a shard's
@@ -65,27 +67,31 @@ def shard(docs: DataFrame, shards: int = 8) -> DataFrame:
     """docs (doc_id, text; more columns pass through) with size, law ("bytes"), shard (0 to shards - 1), slot (gapless from 0 in each shard).
 
     size: UTF-8 bytes of the text (null: none) plus 1. Equal texts share a key, so a group stays in one shard unless it alone is
-    larger than a shard; then it is cut by row. Steps: draw keys with a chance in proportion to size; their weighted quantiles
-    bound the ranges; sum the true sizes; subdivide ranges that are overfull or hold a boundary into cells of keys; place cells
-    above GIANT of a shard one by one on the emptiest shard, the rest in order. The driver gets keys and sums whose number depends
-    on `shards` alone. Null doc_ids and repeated rows are rows like others; no rows give none. Results' names replace columns.
+    larger than a shard; then it is cut by row, by a number that each row gets when docs is stored, so that rows equal in all columns
+    part too. Steps: draw keys with a chance in proportion to size; their weighted quantiles bound the ranges; sum the true sizes;
+    subdivide ranges that are overfull or hold a boundary into cells of keys; place cells above GIANT of a shard one by one on the
+    emptiest shard, the rest in order. The driver gets keys and sums whose number depends on `shards` alone. Null doc_ids, null and
+    empty texts and repeated rows are rows like others; no rows give none. A column named like a result, in any case, is replaced.
     """
     spark = docs.sparkSession
+    results = ["size", "law", "shard", "slot"]
+    keep = kept_columns(docs, results)
+    key, number, range_, cell, unit_, pieces, bucket, n_, before_, place_ = private(docs, *results, "key", "number", "range", "cell", "unit", "pieces", "bucket", "n", "before", "place")[4:]
     size = F.coalesce(F.octet_length("text"), F.lit(0)).cast("bigint") + 1
-    rows = docs.withColumns({"size": size, "_key": F.xxhash64("text")}).withColumn("_row", F.xxhash64("doc_id", "_key", F.lit(7)))
+    rows = numbered(docs.select(*map(quoted, keep), size.alias("size"), F.xxhash64("text").alias(key)), number)
     total, count = rows.agg(F.sum("size"), F.count("*")).head()
     total, n_ranges = total or 1, shards * RANGES
     chance = F.col("size") * (n_ranges * DRAWN / total)
-    drawn = rows.filter(F.pmod("_row", F.lit(1 << 30)) < chance * (1 << 30)).select("_key", F.greatest(chance, F.lit(1.0)).alias("w"))
-    splitters = splitters_of([(r["_key"], r["w"]) for r in drawn.groupBy("_key").agg(F.sum("w").alias("w")).collect()], n_ranges)
-    rows = rows.withColumn("_range", rank_among(F.col("_key"), splitters)).withColumn("_cell", F.pmod(F.xxhash64("_key", F.lit(3)), F.lit(CELLS)).cast("int"))
-    ranges = {r["_range"]: r["n"] for r in rows.groupBy("_range").agg(F.sum("size").alias("n")).collect()}
+    drawn = rows.filter(F.pmod(F.xxhash64(key, number), F.lit(1 << 30)) < chance * (1 << 30)).select(key, F.greatest(chance, F.lit(1.0)).alias("w"))
+    splitters = splitters_of([(r[0], r[1]) for r in drawn.groupBy(key).agg(F.sum("w")).collect()], n_ranges)
+    rows = rows.withColumn(range_, rank_among(F.col(key), splitters)).withColumn(cell, F.pmod(F.xxhash64(key, F.lit(3)), F.lit(CELLS)).cast("int"))
+    ranges = {r[0]: r[1] for r in rows.groupBy(range_).agg(F.sum("size")).collect()}
 
     def cells_of(some: set[int]) -> dict[int, dict[int, int]]:
         out: dict[int, dict[int, int]] = {r: {} for r in some}
         if some:
-            for r in rows.filter(F.col("_range").isin(*some)).groupBy("_range", "_cell").agg(F.sum("size").alias("n")).collect():
-                out[r["_range"]][r["_cell"]] = r["n"]
+            for r, c, n in rows.filter(F.col(range_).isin(*some)).groupBy(range_, cell).agg(F.sum("size")).collect():
+                out[r][c] = n
         return out
 
     fair = total / shards
@@ -95,10 +101,10 @@ def shard(docs: DataFrame, shards: int = 8) -> DataFrame:
     parts: dict[tuple[int, int], list[int]] = {unit: [n] for unit, n in sizes.items()}
     for unit, n in sizes.items():
         if n > fair:
-            parts[unit] = [0] * min(CELLS, PIECES * -(-n // int(fair)))
-            piece = F.pmod(F.xxhash64("_row"), F.lit(len(parts[unit]))).cast("int").alias("p")
-            for r in rows.filter((F.col("_range") == unit[0]) & (F.col("_cell") == unit[1])).groupBy(piece).agg(F.sum("size").alias("n")).collect():
-                parts[unit][r["p"]] = r["n"]
+            parts[unit] = [0] * min(CELLS, PIECES * -(-n // max(1, int(fair))))
+            piece = F.pmod(F.xxhash64(number), F.lit(len(parts[unit]))).cast("int")
+            for p, m in rows.filter((F.col(range_) == unit[0]) & (F.col(cell) == unit[1])).groupBy(piece).agg(F.sum("size")).collect():
+                parts[unit][p] = m
     giants = {unit: [0] * len(own) for unit, own in parts.items()}
     for n, unit, i in sorted(((n, unit, i) for unit, own in parts.items() for i, n in enumerate(own)), key=lambda x: (-x[0], x[1:])):
         giants[unit][i] = max(range(shards), key=lambda k: (room[k], -k))
@@ -106,17 +112,16 @@ def shard(docs: DataFrame, shards: int = 8) -> DataFrame:
     room = [max(0.0, x) for x in room]
     cells |= cells_of(crossing(ranges, cells, giants, room))
     units = [(r, c, [s]) for (r, c), s in placed(ranges, cells, giants, room).items()] + [(r, c, s) for (r, c), s in giants.items()]
-    where = spark.createDataFrame(units, "_range int, _unit int, _pieces array<int>")
+    where = spark.createDataFrame(units, f"{range_} int, {unit_} int, {pieces} array<int>")
     split = F.array(*map(F.lit, sorted(cells))) if cells else F.array().cast("array<int>")
-    rows = rows.withColumn("_unit", F.when(F.array_contains(split, F.col("_range")), F.col("_cell")).otherwise(-1))
-    rows = rows.join(F.broadcast(where), ["_range", "_unit"])
-    rows = rows.withColumn("shard", F.get("_pieces", F.pmod(F.xxhash64("_row"), F.size("_pieces")).cast("int")))
+    rows = rows.withColumn(unit_, F.when(F.array_contains(split, F.col(range_)), F.col(cell)).otherwise(-1))
+    rows = rows.join(F.broadcast(where), [range_, unit_])
+    rows = rows.withColumn("shard", F.get(pieces, F.pmod(F.xxhash64(number), F.size(pieces)).cast("int")))
     buckets = max(1, round((count / shards) ** 0.5))
-    rows = rows.withColumn("_bucket", F.pmod(F.xxhash64("_row", F.lit(11)), F.lit(buckets)))
-    held = rows.groupBy("shard", "_bucket").agg(F.count("*").alias("_n"))
-    before = F.sum("_n").over(W.partitionBy("shard").orderBy("_bucket")) - F.col("_n")
-    starts = held.select("shard", "_bucket", before.alias("_before"))
-    place = F.row_number().over(W.partitionBy("shard", "_bucket").orderBy("_row", "doc_id"))
-    out = rows.withColumn("_place", place).join(starts.hint("merge"), ["shard", "_bucket"])
-    out = out.withColumns({"slot": (F.col("_before") + F.col("_place") - 1).cast("bigint"), "law": F.lit("bytes")})
-    return out.select(*[c for c in docs.columns if c not in ("size", "law", "shard", "slot")], "size", "law", "shard", "slot")
+    rows = rows.withColumn(bucket, F.pmod(F.xxhash64(number, F.lit(11)), F.lit(buckets)))
+    held = rows.groupBy("shard", bucket).agg(F.count("*").alias(n_))
+    before = F.sum(n_).over(W.partitionBy("shard").orderBy(bucket)) - F.col(n_)
+    starts = held.select("shard", bucket, before.alias(before_))
+    place = F.row_number().over(W.partitionBy("shard", bucket).orderBy(number))
+    out = rows.withColumn(place_, place).join(starts.hint("merge"), ["shard", bucket])
+    return out.select(*map(quoted, keep), "size", F.lit("bytes").alias("law"), "shard", (F.col(before_) + F.col(place_) - 1).cast("bigint").alias("slot"))
