@@ -18,15 +18,19 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import kept_in_worker, shared_dir, ship, stored
+from tidemark.llm.common import kept_in_worker, quoted, shared_dir, ship, stored
 
 BLOCK_BYTES = 4 << 20
-BASE = 0x9E3779B97F4A7C15
-BLOCK_SCHEMA = "block bigint, doc_ids array<bigint>, lens array<bigint>, data binary"
-BLOCK_ARROW = pa.schema([("block", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("lens", pa.list_(pa.int64())), ("data", pa.binary())])
-#: Buckets of a census for each shuffle partition.
-BUCKETS = 2
-
+BASE, BASE_2 = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F
+BLOCK_SCHEMA = "block bigint, doc_ids array<bigint>, rows array<bigint>, lens array<bigint>, data binary"
+BLOCK_ARROW = pa.schema([("block", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("rows", pa.list_(pa.int64())), ("lens", pa.list_(pa.int64())), ("data", pa.binary())])
+#: Bits of a block's number inside its partition, and of a document's inside its block (a document counts as 64 bytes at least). What
+#: is left of 63 bits numbers 67 million partitions.
+BLOCK_BITS, DOC_BITS = 20, 17
+#: Bytes of texts for each bucket of a census; there are BUCKETS buckets for each shuffle partition at least.
+BUCKET_BYTES, BUCKETS = 32 << 20, 2
+
+#: Gives the hashes of a block's row, as 64-bit numbers or as pairs of them, and how often each counts (None: once).
 Emit = Callable[[dict], "tuple[np.ndarray, np.ndarray | None]"]
 
 
@@ -47,63 +51,78 @@ def word_hashes(words: list[bytes]) -> np.ndarray:
     return mixed(np.add.reduceat(parts, (ends - padded) // 8) + lens.astype(np.uint64)) if len(words) else np.zeros(0, np.uint64)
 
 
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """BASE**i and its inverse modulo 2**64 for i up to n at least."""
-    held = kept_in_worker("powers")
+def powers(n: int, base: int) -> tuple[np.ndarray, np.ndarray]:
+    """base**i and its inverse modulo 2**64 for i up to n at least."""
+    held = kept_in_worker(f"powers-{base}")
     if len(held.get("up", ())) <= n:
-        held["up"] = np.cumprod(np.full(n + 1, BASE, np.uint64)) * np.uint64(pow(BASE, -1, 1 << 64))
-        held["down"] = np.cumprod(np.full(n + 1, pow(BASE, -1, 1 << 64), np.uint64)) * np.uint64(BASE)
+        inverse = pow(base, -1, 1 << 64)
+        held["up"] = np.cumprod(np.full(n + 1, base, np.uint64)) * np.uint64(inverse)
+        held["down"] = np.cumprod(np.full(n + 1, inverse, np.uint64)) * np.uint64(base)
     return held["up"], held["down"]
 
 
 class Strings:
-    """Hashes of substrings of one array of symbols (bytes, or hashes of words)."""
+    """Hashes of substrings of one array of bytes."""
 
     def __init__(self, symbols: np.ndarray) -> None:
-        up, self.down = powers(len(symbols) + 1)
-        if symbols.dtype == np.uint8:
-            symbols = mixed(np.arange(1, 257, dtype=np.uint64))[symbols]
-        self.sums = np.zeros(len(symbols) + 1, np.uint64)
-        np.cumsum(symbols * up[: len(symbols)], out=self.sums[1:])
+        self.symbols = symbols
+        self.sums: dict[int, np.ndarray] = {}
+
+    def _hash(self, starts: np.ndarray, length: int, base: int) -> np.ndarray:
+        up, down = powers(len(self.symbols) + 1, base)
+        if base not in self.sums:
+            values = mixed(np.arange(1, 257, dtype=np.uint64) * np.uint64(base))[self.symbols]
+            self.sums[base] = np.concatenate([np.zeros(1, np.uint64), np.cumsum(values * up[: len(values)])])
+        sums = self.sums[base]
+        return mixed((sums[starts + length] - sums[starts]) * down[starts])
 
     def at(self, starts: np.ndarray, length: int) -> np.ndarray:
-        return mixed((self.sums[starts + length] - self.sums[starts]) * self.down[starts])
+        return self._hash(starts, length, BASE)
+
+    def wide_at(self, starts: np.ndarray, length: int) -> np.ndarray:
+        """128 bits each, from two bases."""
+        return np.stack([self._hash(starts, length, BASE), self._hash(starts, length, BASE_2)], 1)
 
 
 def _pack(block_bytes: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        first, block = TaskContext.get().partitionId() << 24, 0
+        first, block = TaskContext.get().partitionId() << BLOCK_BITS, 0
         ids: list[int | None] = []
+        rows: list[int | None] = []
         texts: list[bytes] = []
         size = 0
 
         def close() -> pa.RecordBatch:
-            return pa.RecordBatch.from_pylist([{"block": first + block, "doc_ids": ids, "lens": [len(t) for t in texts], "data": b"".join(texts)}], schema=BLOCK_ARROW)
+            if block >> BLOCK_BITS:
+                raise OverflowError(f"more than {1 << BLOCK_BITS} blocks in a partition")
+            return pa.RecordBatch.from_pylist([{"block": first + block, "doc_ids": ids, "rows": rows, "lens": [len(t) for t in texts], "data": b"".join(texts)}], schema=BLOCK_ARROW)
 
         for batch in batches:
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist(), strict=True):
+            for doc, text, row in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist(), batch.column(2).to_pylist(), strict=True):
                 ids.append(doc)
+                rows.append(row)
                 texts.append(text or b"")
                 size += len(texts[-1]) + 64
-                if size >= block_bytes:
+                if size >= block_bytes or len(ids) >> DOC_BITS:
                     yield close()
-                    ids, texts, size, block = [], [], 0, block + 1
+                    ids, rows, texts, size, block = [], [], [], 0, block + 1
         if ids:
             yield close()
 
     return run
 
 
-def packed(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """Blocks of docs (doc_id, text; null text is empty), written to the shared folder, bucketed by block."""
+def packed(docs: DataFrame, block_bytes: int = BLOCK_BYTES, row: str | None = None) -> DataFrame:
+    """Blocks of docs (doc_id, text; null text is empty; row: a column of numbers to carry along), written to the shared folder, bucketed by block."""
     spark = docs.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     name = f"tidemark_blocks_{uuid.uuid4().hex}"
-    blocks = docs.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(_pack(block_bytes), BLOCK_SCHEMA)
+    carried = quoted(row) if row else F.lit(None)
+    blocks = docs.select(F.col("doc_id").cast("bigint"), "text", carried.cast("bigint").alias("row")).mapInArrow(_pack(block_bytes), BLOCK_SCHEMA)
     path = shared_dir(spark, "blocks")
     blocks.write.bucketBy(n, "block").option("path", path).option("compression", "zstd").format("parquet").saveAsTable(name)
     out = spark.table(name)
-    out.stored_at = path
+    out.stored_at, out.stored_as = path, name
     return out
 
 
@@ -114,13 +133,42 @@ def with_states(blocks: DataFrame, states: list[DataFrame]) -> DataFrame:
     return blocks
 
 
+def ascending(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The order of hashes (numbers or pairs), and which of them, so ordered, differ from the one before."""
+    order = np.argsort(h if h.ndim == 1 else h[:, 0], kind="stable")
+    s = h[order]
+    if h.ndim == 2:
+        if (s[1:, 1] != s[:-1, 1])[s[1:, 0] == s[:-1, 0]].any():  # pairs that share their first half only
+            order = np.lexsort((h[:, 1], h[:, 0]))
+            s = h[order]
+        return order, np.concatenate([np.ones(min(1, len(h)), bool), (s[1:] != s[:-1]).any(1)])
+    return order, np.concatenate([np.ones(min(1, len(h)), bool), s[1:] != s[:-1]])
+
+
 def distinct(h: np.ndarray, n: np.ndarray | None, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct hashes cut to their first `width` bytes, ascending; place of each hash among them; summed counts (at most 255)."""
-    u, inverse = np.unique(h >> np.uint64(64 - 8 * width), return_inverse=True)
+    """Distinct hashes, ascending (numbers cut to their first `width` bytes); place of each hash among them; summed counts (at most 255)."""
+    if h.ndim == 1:
+        h = h >> np.uint64(64 - 8 * width)
+    order, new = ascending(h)
+    inverse = np.empty(len(h), np.int64)
+    inverse[order] = np.cumsum(new) - 1
+    u = h[order[new]]
     counts = np.bincount(inverse, weights=n, minlength=len(u)) if len(u) else np.zeros(0)
     return u, inverse, np.minimum(counts, 255).astype(np.uint8)
 
 
+def as_bytes(u: np.ndarray, width: int) -> np.ndarray:
+    return u.astype("<u8").view(np.uint8).reshape(-1, 8 * (u.size // max(1, len(u)) or 1))[:, :width]
+
+
+def from_bytes(raw: bytes, width: int) -> np.ndarray:
+    if width == 16:
+        return np.frombuffer(raw, "<u8").reshape(-1, 2)
+    wide = np.zeros((len(raw) // width, 8), np.uint8)
+    wide[:, :width] = np.frombuffer(raw, np.uint8).reshape(-1, width)
+    return wide.view("<u8").ravel()
+
+
 def _send(emit: Emit, width: int, buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -128,10 +176,10 @@ def _send(emit: Emit, width: int, buckets: int):
                 row = batch.slice(i, 1).to_pylist()[0]
                 h, n = emit(row)
                 u, _, counts = distinct(h, n, width)
-                at = (u >> np.uint64(8 * width - 24)) * np.uint64(buckets) >> np.uint64(24)
-                cut = np.searchsorted(at, np.arange(buckets + 1))
+                top = u[:, 0] >> np.uint64(32) if u.ndim == 2 else u >> np.uint64(8 * width - 32)
+                cut = np.searchsorted(top * np.uint64(buckets) >> np.uint64(32), np.arange(buckets + 1))
                 some = np.flatnonzero(np.diff(cut))
-                raw = u.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width]
+                raw = as_bytes(u, width)
                 pairs = [(int(b), int(cut[b]), int(cut[b + 1])) for b in some]
                 yield pa.RecordBatch.from_arrays([pa.array([b for b, _, _ in pairs], pa.int32()), pa.array([row["block"]] * len(pairs), pa.int64()), pa.array([raw[x:y].tobytes() for _, x, y in pairs], pa.binary()), pa.array([counts[x:y].tobytes() for _, x, y in pairs], pa.binary())], names=["bucket", "block", "hashes", "counts"])
 
@@ -142,11 +190,9 @@ def _answer(width: int, least: int, flags: bool):
     def run(table: pa.Table) -> pa.Table:
         sent = table.column("hashes").to_pylist()
         lens = [len(x) // width for x in sent]
-        wide = np.zeros((sum(lens), 8), np.uint8)
-        wide[:, :width] = np.frombuffer(b"".join(sent), np.uint8).reshape(-1, width)
-        h, n = wide.view("<u8").ravel(), np.frombuffer(b"".join(table.column("counts").to_pylist()), np.uint8)
-        order = np.argsort(h, kind="stable")
-        first = np.flatnonzero(np.diff(h[order], prepend=h[order][:1] + np.uint64(1)) != 0)
+        h, n = from_bytes(b"".join(sent), width), np.frombuffer(b"".join(table.column("counts").to_pylist()), np.uint8)
+        order, new = ascending(h)
+        first = np.flatnonzero(new)
         sums = np.add.reduceat(n[order].astype(np.int64), first)
         code = (sums >= least) if flags else np.minimum(np.log2(np.maximum(sums, 1)) * 8, 255)
         out = np.zeros(len(h), np.uint8)
@@ -158,16 +204,22 @@ def _answer(width: int, least: int, flags: bool):
     return run
 
 
+def buckets_for(blocks: DataFrame) -> int:
+    """Buckets of a census of these blocks: by the bytes of their texts, so that a bucket stays as small however large the corpus."""
+    if not hasattr(blocks, "n_buckets"):
+        total = blocks.agg(F.sum(F.aggregate("lens", F.lit(0).cast("bigint"), lambda a, n: a + n))).head()[0] or 0
+        blocks.n_buckets = max(BUCKETS * int(blocks.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // BUCKET_BYTES))
+    return blocks.n_buckets
+
+
 def census(blocks: DataFrame, states: list[DataFrame], emit: Emit, *, width: int, least: int = 2, flags: bool = True) -> DataFrame:
     """(block, state): for the block's distinct hashes in ascending order whether the summed counts of all blocks reach `least`, or,
     without flags, 8 times the binary logarithm of that sum. emit gives a block row's hashes and their counts (None: 1 each).
 
-    Hashes are told apart by their first `width` bytes.
-    A bucket is held whole in a task, and there are BUCKETS of them for each shuffle partition: its size grows with the corpus at a fixed
-    spark.sql.shuffle.partitions, which must be set in proportion to the corpus.
+    Hashes that are numbers are told apart by their first `width` bytes, pairs of numbers (width 16) by all their bits. A task holds a
+    block or a bucket; their sizes are BLOCK_BYTES and what BUCKET_BYTES of texts send, whatever the corpus.
     """
-    spark = blocks.sparkSession
-    buckets = min(1 << 20, BUCKETS * int(spark.conf.get("spark.sql.shuffle.partitions")))
+    buckets = buckets_for(blocks)
     sent = with_states(blocks, states).mapInArrow(_send(emit, width, buckets), "bucket int, block bigint, hashes binary, counts binary")
     back = sent.groupBy("bucket").applyInArrow(_answer(width, least, flags), "block bigint, bucket int, n int, answer binary")
     return stored(back.groupBy("block").agg(F.sort_array(F.collect_list(F.struct("bucket", "n", "answer"))).alias("state")), "census")
@@ -188,6 +240,4 @@ def answers(h: np.ndarray, state: list[dict] | None, width: int, flags: bool = T
     return known[distinct(h, None, width)[1]] if len(h) else known[:0]
 
 
-
-
 ship(__name__)

@@ -11,9 +11,8 @@ difference cover modulo PERIOD: for any two places, some shift below PERIOD puts
 3. The rest, near the ends of copies, is sorted one bucket of suffixes at a time, by the names of their first `length` bytes.
    Settled suffixes with a cover name that an open suffix has too join in, since an open one may equal a settled one.
 
-Every step is a census over blocks (see blocks.py): a task holds one block, of fixed size, or one bucket of hashes. Buckets are a fixed
-number for each shuffle partition, so a bucket grows with the corpus unless spark.sql.shuffle.partitions grows along.
-Names are 64-bit hashes, in step 1 40 bits, where a collision costs work and no result.
+Every step is a census over blocks (see blocks.py): a task holds one block or one bucket of hashes, both of bounded size.
+Names that decide are 128-bit hashes; in step 1 they have 40 bits, where a collision costs work and no result.
 """
 
 from __future__ import annotations
@@ -25,12 +24,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from tidemark.llm.blocks import Strings, answers, census, packed, with_states
-from tidemark.llm.common import ship
+from tidemark.llm.common import discard, ship, stored
 
 LENGTH = 400
 #: A perfect difference set; each difference modulo 91 occurs once.
 PERIOD, COVER = 91, (0, 1, 3, 9, 27, 49, 56, 61, 77, 81)
-NAME, FULL = 5, 8
+NAME, FULL = 5, 16
 #: A task holds some 100 bytes for each byte of a block.
 BLOCK_BYTES = 1 << 20
 
@@ -66,7 +65,7 @@ class Suffixes:
         return np.flatnonzero(self.twice() & (p - (PERIOD - 1) >= self.start_of[d]) & (p + self.length <= self.end_of[d]))
 
     def long_names(self, at: np.ndarray) -> np.ndarray:
-        return self.strings.at(self.places[at] - (PERIOD - 1), self.length + PERIOD - 1)
+        return self.strings.wide_at(self.places[at] - (PERIOD - 1), self.length + PERIOD - 1)
 
     def before(self, places: np.ndarray) -> np.ndarray:
         """Marks the PERIOD suffixes up to each of the places, kept within documents by whole()."""
@@ -107,7 +106,7 @@ class Suffixes:
         """Bytes inside any suffix's first `length` bytes that repeat."""
         starts = self.sorted_suffixes()
         repeats = self.settled()
-        repeats[starts[answers(self.strings.at(starts, self.length), self.states[3], FULL)]] = True
+        repeats[starts[answers(self.strings.wide_at(starts, self.length), self.states[3], FULL)]] = True
         edge = np.zeros(self.n + 1, np.int32)
         at = np.flatnonzero(repeats)
         edge[at] += 1
@@ -139,7 +138,7 @@ def _asked(length: int):
 def _bucket_suffixes(length: int):
     def emit(row: dict):
         s = Suffixes(row, length)
-        return s.strings.at(s.sorted_suffixes(), length), None
+        return s.strings.wide_at(s.sorted_suffixes(), length), None
 
     return emit
 
@@ -175,7 +174,10 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, block_bytes: int = BLO
     states: list[DataFrame] = []
     for emit, width, least in ((_cover_names, NAME, 2), (_long_ties, FULL, 2), (_asked, NAME, 1), (_bucket_suffixes, FULL, 2)):
         states.append(census(blocks, states, emit(length), width=width, least=least))
-    return with_states(blocks, states).mapInArrow(_keep(length), "doc_id bigint, kept binary, n_bytes bigint, n_removed bigint, n_spans bigint")
+    out = with_states(blocks, states).mapInArrow(_keep(length), "doc_id bigint, kept binary, n_bytes bigint, n_removed bigint, n_spans bigint")
+    out = stored(out, "suffixes")
+    discard(docs.sparkSession, [blocks, *states])
+    return out
 
 
 ship(__name__)
