@@ -10,26 +10,26 @@ bound are formed:
    overlap; a document with s below ceil(0.8 n) is out, and its columns are its s - ceil(0.8 n) + 1 rarest ones.
 3. Equal rows are one class; a class goes on as one row.
 4. Each column is first multiplied with one of its rows, its head: the one with the fewest n-grams of its own (in a group of edited
-   copies nearest to their original). Components of these links come next. Then, under the heads of each component, the rows outside
-   it are multiplied with all rows there, block by block, and overlaps are accumulated over whole rows. Products whose sizes keep them
-   below the bound are discarded. So a group of copies costs one product a member, unless members are no link of their head; then
-   blocks of those meet all blocks, inside a task. No link between different components is lost, and no pairs are listed.
+   copies nearest to their original). The product is taken block by block of listed entries, whose overlaps are counted together.
+   Components of these links come next. Then, in columns that hold a row outside their head's component, such rows are multiplied with
+   all rows there, in pairs of blocks: rows of like sizes meet, since a size below 0.8 of another's cannot reach the bound, and
+   overlaps are accumulated over whole rows. So a group of copies costs one product a member, unless members are no link of their
+   head; then blocks of those meet all blocks, inside a task. No link between different components is lost, and no pairs are listed.
 """
 
 from __future__ import annotations
 
-import zlib
+import math
 from collections.abc import Iterator
-from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tidemark.llm.blocks import BLOCK_BYTES, answers, census, mixed, packed, with_states, word_hashes
-from tidemark.llm.common import discard, ship, stored
+from tidemark.llm.blocks import BLOCK_BYTES, DOC_BITS, answers, census, mixed, packed, with_states, word_hashes
+from tidemark.llm.common import discard, numbered, private, quoted, ship, stored
 
 N = 5
 #: Two documents link when DEN * intersection >= NUM * union.
@@ -37,10 +37,12 @@ NUM, DEN = 4, 5
 NAME = 5
 #: Rows of a block in the product of rows under one head; columns that are multiplied at a time.
 BLOCK_ROWS, CHUNK = 512, 8192
+#: Entries of the product with heads that are counted at a time, and n-grams of both sides in them.
+BLOCK_ENTRIES, BLOCK_TOKENS = 1 << 14, 1 << 21
 #: Tables of a few numbers a row are broadcast up to so many rows (some tens of MB), so that whole rows of the matrix stay in place.
 BROADCAST_ROWS = 1 << 20
 TO_LOWER = bytes(b + 32 if 0x41 <= b <= 0x5A else b for b in range(256))
-ROWS = "rid bigint, doc_id bigint, size bigint, crc bigint, n bigint, s bigint, sig1 bigint, sig2 bigint, tokens binary, columns array<bigint>"
+ROWS = "rid bigint, row bigint, doc_id bigint, n bigint, s bigint, sig1 bigint, sig2 bigint, tokens binary, columns array<bigint>"
 
 
 def shingle_sets(row: dict, n: int) -> list[np.ndarray]:
@@ -110,9 +112,9 @@ def _rows(n: int):
                 sets = shingle_sets(row, n)
                 chosen = candidates(row, sets)
                 code = answers(joined([s for s, c in zip(sets, chosen, strict=True) if c]), row["s1"], NAME, flags=False)
-                at, out, starts = 0, [], [0, *accumulate(row["lens"])]
+                at, out = 0, []
                 for k, (s, c, doc) in enumerate(zip(sets, chosen, row["doc_ids"], strict=True)):
-                    made = {"rid": (row["block"] << 20) + k, "doc_id": doc, "size": row["lens"][k], "crc": zlib.crc32(row["data"][starts[k] : starts[k] + row["lens"][k]]), "n": len(s), "s": 0, "sig1": 0, "sig2": 0, "tokens": None, "columns": None}
+                    made = {"rid": (row["block"] << DOC_BITS) + k, "row": row["rows"][k], "doc_id": doc, "n": len(s), "s": 0, "sig1": 0, "sig2": 0, "tokens": None, "columns": None}
                     if c:
                         own = code[at : at + len(s)]
                         at += len(s)
@@ -124,7 +126,7 @@ def _rows(n: int):
                             short = np.unique(shared >> np.uint64(16))
                             made |= {"sig1": int(sums[0]), "sig2": int(sums[1]), "tokens": short.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6].tobytes(), "columns": (shared[rarest] >> np.uint64(1)).astype(np.int64)}
                     out.append(made)
-                yield pa.RecordBatch.from_pylist(out, schema=pa.schema([("rid", pa.int64()), ("doc_id", pa.int64()), ("size", pa.int64()), ("crc", pa.int64()), ("n", pa.int64()), ("s", pa.int64()), ("sig1", pa.int64()), ("sig2", pa.int64()), ("tokens", pa.binary()), ("columns", pa.list_(pa.int64()))]))
+                yield pa.RecordBatch.from_pylist(out, schema=pa.schema([("rid", pa.int64()), ("row", pa.int64()), ("doc_id", pa.int64()), ("n", pa.int64()), ("s", pa.int64()), ("sig1", pa.int64()), ("sig2", pa.int64()), ("tokens", pa.binary()), ("columns", pa.list_(pa.int64()))]))
 
     return run
 
@@ -135,16 +137,27 @@ def tokens_of(raw: bytes) -> np.ndarray:
     return wide.view("<u8").ravel()
 
 
+def overlaps(one: list[bytes], two: list[bytes]) -> np.ndarray:
+    """How many n-grams the k-th rows of both sides share, for all k: coordinates of a block of the product, accumulated by entry."""
+    lens = [np.array([len(x) // 6 for x in side], np.int64) for side in (one, two)]
+    place = np.concatenate([np.repeat(np.arange(len(n)), n) for n in lens]).astype(np.uint64)
+    keys = (place << np.uint64(48)) | tokens_of(b"".join([*one, *two]))
+    keys.sort()
+    shared = keys[1:][keys[1:] == keys[:-1]] >> np.uint64(48)
+    return np.bincount(shared.astype(np.int64), minlength=len(one))
+
+
 def _overlaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        a, b, na, nb = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(4))
-        ta, tb = batch.column(4), batch.column(5)
-        keep = np.zeros(len(batch), bool)
-        for i in range(len(batch)):
-            both = np.concatenate([tokens_of(ta[i].as_py()), tokens_of(tb[i].as_py())])
-            both.sort()
-            keep[i] = (NUM + DEN) * int((both[1:] == both[:-1]).sum()) >= NUM * int(na[i] + nb[i])
-        yield pa.RecordBatch.from_arrays([pa.array(a[keep]), pa.array(b[keep])], names=["x", "y"])
+    for whole in batches:
+        tokens = np.cumsum(pc.add(pc.binary_length(whole.column(4)), pc.binary_length(whole.column(5))).to_numpy(zero_copy_only=False) // 6)
+        at = 0
+        while at < len(whole):
+            end = max(at + 1, min(at + BLOCK_ENTRIES, int(np.searchsorted(tokens, (tokens[at - 1] if at else 0) + BLOCK_TOKENS, "right"))))
+            batch = whole.slice(at, end - at)
+            na, nb = (batch.column(i).to_numpy(zero_copy_only=False) for i in (2, 3))
+            keep = (NUM + DEN) * overlaps(batch.column(4).to_pylist(), batch.column(5).to_pylist()) >= NUM * (na + nb)
+            yield pa.RecordBatch.from_arrays([batch.column(i).filter(pa.array(keep)) for i in (0, 1)], names=["x", "y"])
+            at = end
 
 
 def can_link(s: Column, n: Column, other_s: Column, other_n: Column) -> Column:
@@ -200,19 +213,26 @@ def _product(table: pa.Table) -> pa.Table:
 
 
 def across(placed: DataFrame, sets: DataFrame) -> DataFrame:
-    """Links (x, y) between rows under heads of one component (rid, comp, head_comp) that lie in different components.
+    """Links (x, y) between rows under heads of one component (rid, comp, head_comp; stored) that lie in different components.
 
-    One of such a pair is odd, that is outside the heads' component. All rows there are cut into blocks, the odd ones too, and each
-    pair of blocks is multiplied as matrices in one task: both are of bounded size, however many rows there are.
+    One of such a pair is odd, that is outside the heads' component. All rows there, and the odd ones once more, are cut into blocks
+    of a level: sizes within a factor of DEN / NUM, so that only the same and the next levels can link. Each pair of blocks is
+    multiplied as matrices in one task: both are of bounded size, however many rows there are.
     """
     is_odd = F.col("comp") != F.col("head_comp")
-    heads = placed.groupBy("head_comp").agg(F.count("*").alias("all"), F.count(F.when(is_odd, 1)).alias("odd")).filter("odd > 0")
-    cuts = heads.select("head_comp", F.ceil(F.col("all") / BLOCK_ROWS).alias("nb"), F.ceil(F.col("odd") / BLOCK_ROWS).alias("na"))
-    rows = sets.join(bounded(placed.join(cuts, "head_comp"), placed), "rid")
-    at = F.xxhash64("rid", F.lit(5))
-    one = rows.filter(is_odd).select("head_comp", F.pmod(at, "na").alias("a"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("nb") - 1)).alias("b"), F.lit(1).alias("side"), "rid", "n", "comp", "tokens")
-    two = rows.select("head_comp", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("na") - 1)).alias("a"), F.pmod(at, "nb").alias("b"), F.lit(0).alias("side"), "rid", "n", "comp", "tokens")
-    return one.unionByName(two).groupBy("head_comp", "a", "b").applyInArrow(_product, "x bigint, y bigint")
+    level = F.floor(F.log("n") / math.log(DEN / NUM)).cast("int").alias("level")
+    sized = placed.join(bounded(sets.select("rid", "n", level), placed), "rid").select("head_comp", "rid", "comp", "level")
+    counts = stored(sized.groupBy("head_comp", "level").agg(F.count("*").alias("all"), F.count(F.when(is_odd, 1)).alias("odd")), "levels")
+    odd = counts.filter("odd > 0").select("head_comp", F.col("level").alias("la"), F.ceil(F.col("odd") / BLOCK_ROWS).alias("na"))
+    every = counts.select("head_comp", F.col("level").alias("lb"), F.ceil(F.col("all") / BLOCK_ROWS).alias("nb"))
+    grid = stored(odd.join(every, "head_comp").filter(F.abs(F.col("la") - F.col("lb")) <= 1), "grid")
+    rows = placed.join(bounded(grid.select("head_comp").distinct(), grid), "head_comp", "left_semi").join(sets, "rid").select("*", level)
+    at, zero = F.xxhash64("rid", F.lit(5)), F.lit(0).cast("bigint")
+    one = rows.filter(is_odd).join(bounded(grid.withColumn("level", F.col("la")), grid), ["head_comp", "level"])
+    one = one.select("head_comp", "la", "lb", F.pmod(at, "na").alias("a"), F.explode(F.sequence(zero, F.col("nb") - 1)).alias("b"), F.lit(1).alias("side"), "rid", "n", "comp", "tokens")
+    two = rows.join(bounded(grid.withColumn("level", F.col("lb")), grid), ["head_comp", "level"])
+    two = two.select("head_comp", "la", "lb", F.explode(F.sequence(zero, F.col("na") - 1)).alias("a"), F.pmod(at, "nb").alias("b"), F.lit(0).alias("side"), "rid", "n", "comp", "tokens")
+    return one.unionByName(two).groupBy("head_comp", "la", "lb", "a", "b").applyInArrow(_product, "x bigint, y bigint")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -233,14 +253,14 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
-def join_components(docs: DataFrame, n: int = N, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """One row a document of docs (doc_id, text): rid (a number of its own), doc_id, size and crc (of the text's bytes), n_shingles, component_id, first.
+def join_components(docs: DataFrame, n: int = N, block_bytes: int = BLOCK_BYTES, row: str | None = None) -> DataFrame:
+    """One row a document of docs (doc_id, text): rid (a number of its own), row (what docs' column of that name holds, if one is named), doc_id, n_shingles, component_id, first.
 
     component_id: smallest doc_id reachable by links, its own included; first: whether the row stands for its component (smallest
     doc_id, then rid). Null or empty texts, or of white space alone, have no n-grams and link with nothing. Rows with equal doc_id
     are documents of their own; a null doc_id is below all others. Other columns of docs are not read. No rows give none.
     """
-    blocks = packed(docs, block_bytes)
+    blocks = packed(docs, block_bytes, row)
     states = [census(blocks, [], _first_columns(n), width=NAME)]
     states.append(census(blocks, states, _all_columns(n), width=NAME, flags=False))
     rows = stored(with_states(blocks, states).mapInArrow(_rows(n), ROWS), "rows")
@@ -251,6 +271,7 @@ def join_components(docs: DataFrame, n: int = N, block_bytes: int = BLOCK_BYTES)
     columns = stored(reps.select("rid", "n", "s", F.explode("columns").alias("column")), "columns")
     own = F.struct(((F.col("n") - F.col("s")) / F.col("n")).alias("alone"), "rid", "n", "s")
     heads = columns.groupBy("column").agg(F.count("*").alias("many"), F.min("n").alias("least_n"), F.min(own).alias("head")).filter("many > 1").drop("many")
+    heads = stored(heads, "heads")
     alive = F.col("s") * (NUM + DEN) >= (F.col("n") + F.col("least_n")) * NUM
     table = stored(columns.join(heads, "column").filter(alive), "product")
     star = table.filter((F.col("rid") != F.col("head.rid")) & can_link(F.col("s"), F.col("n"), F.col("head.s"), F.col("head.n")))
@@ -259,31 +280,36 @@ def join_components(docs: DataFrame, n: int = N, block_bytes: int = BLOCK_BYTES)
     labels = components(first)
     comp = labels.select(F.col("rid"), F.col("comp"))
     head_comp = labels.select(F.col("rid").alias("head_rid"), F.col("comp").alias("head_comp"))
-    placed = table.withColumn("head_rid", F.col("head.rid")).join(comp, "rid", "left").join(head_comp, "head_rid", "left")
-    placed = stored(placed.select("rid", F.coalesce("comp", "rid").alias("comp"), F.coalesce("head_comp", "head_rid").alias("head_comp")).distinct(), "product")
+    under = table.select("column", "rid", F.col("head.rid").alias("head_rid")).join(bounded(comp, labels), "rid", "left").join(bounded(head_comp, labels), "head_rid", "left")
+    under = stored(under.select("column", "rid", F.coalesce("comp", "rid").alias("comp"), F.coalesce("head_comp", "head_rid").alias("head_comp")), "under")
+    mixed_columns = stored(under.filter("comp <> head_comp").select("column").distinct(), "mixed")
+    placed = stored(under.join(bounded(mixed_columns, mixed_columns), "column", "left_semi").drop("column").distinct(), "placed")
     second = stored(across(placed, sets), "links")
-    begun = [*states, columns, table, pairs, labels, placed]
+    begun = [*states, columns, heads, table, pairs, labels, under, mixed_columns, placed]
     labels = components(first.unionByName(second))
-    member = able.select("rid", "n", "sig1", "sig2").join(classes, ["n", "sig1", "sig2"]).select("rid", "rep")
-    member = member.join(labels.withColumnRenamed("rid", "rep"), "rep", "left").select("rid", F.coalesce("comp", "rep").alias("comp"))
-    every = rows.select("rid", "doc_id", "size", "crc", F.col("n").alias("n_shingles")).join(member, "rid", "left").withColumn("comp", F.coalesce("comp", "rid"))
+    member = able.select("rid", "n", "sig1", "sig2").join(bounded(classes, classes), ["n", "sig1", "sig2"]).select("rid", "rep")
+    member = member.join(bounded(labels.withColumnRenamed("rid", "rep"), labels), "rep", "left").select("rid", F.coalesce("comp", "rep").alias("comp"))
+    every = stored(rows.select("rid", "row", "doc_id", F.col("n").alias("n_shingles")).join(member, "rid", "left"), "members")
     low = F.struct(F.col("doc_id").isNotNull().alias("known"), "doc_id", "rid")
-    least = every.filter(F.col("comp").isNotNull()).groupBy("comp").agg(F.min(low).alias("low"))
-    out = every.join(least, "comp").select("rid", "doc_id", "size", "crc", "n_shingles", F.col("low.doc_id").alias("component_id"), (F.col("rid") == F.col("low.rid")).alias("first"))
+    least = stored(every.filter(F.col("comp").isNotNull()).groupBy("comp").agg(F.min(low).alias("low"), F.count("*").alias("many")).filter("many > 1").drop("many"), "least")
+    out = every.join(bounded(least, least), "comp", "left")
+    own_low = F.col("low.rid").isNull()
+    out = out.select("rid", "row", "doc_id", "n_shingles", F.when(own_low, F.col("doc_id")).otherwise(F.col("low.doc_id")).alias("component_id"), (own_low | (F.col("rid") == F.col("low.rid"))).alias("first"))
     out = stored(out, "components")
-    discard(docs.sparkSession, [blocks, *begun, first, second, rows, classes, labels])
+    discard(docs.sparkSession, [blocks, *begun, first, second, rows, classes, labels, every, least])
     return out
 
 
 def one_of_each(docs: DataFrame, n: int = N, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """The rows of docs that stand for their component (all columns), see join_components; texts without n-grams all stay."""
-    text = F.col("text").cast("binary")
-    key = {"_size": F.coalesce(F.octet_length(text), F.lit(0)).cast("bigint"), "_crc": F.coalesce(F.crc32(text), F.lit(0)).cast("bigint")}
-    kept = join_components(docs, n, block_bytes).filter("first").groupBy(F.col("doc_id").alias("_doc"), F.col("size").alias("_s"), F.col("crc").alias("_c")).agg(F.count("*").alias("_copies"))
-    rows = docs.withColumns(key)
-    both = rows.join(kept, rows["doc_id"].cast("bigint").eqNullSafe(kept["_doc"]) & (rows["_size"] == kept["_s"]) & (rows["_crc"] == kept["_c"]))
-    nth = F.row_number().over(W.partitionBy("doc_id", "_size", "_crc").orderBy(F.lit(0)))
-    return both.withColumn("_nth", nth).filter("_nth <= _copies").select(*docs.columns)
+    """The rows of docs that stand for their component (all columns), see join_components: the smallest doc_id, a null one before all others.
+
+    Texts without n-grams (null, empty, white space) all stay. Rows are told apart by a number each gets when docs is stored, so of
+    rows that are equal in all columns one stays. No rows give none; further columns, whatever their names, pass through.
+    """
+    (number,) = private(docs, "number")
+    rows = numbered(docs, number)
+    kept = join_components(rows, n, block_bytes, number).filter("first").select(F.col("row").alias(number))
+    return rows.join(kept, number, "left_semi").select(*map(quoted, docs.columns))
 
 
 ship(__name__)
