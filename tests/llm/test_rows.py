@@ -163,11 +163,29 @@ def test_mix(spark):
         taken = sum(len(r["takes"]) * r["size"] for r in own)
         assert abs(taken - own[0]["target"]) <= 90 and sum(r["size"] for r in own) == own[0]["source_size"]
     assert sorted(map(str, got)) == sorted(map(str, mixing.mix(docs.repartition(7)).collect()))
-    out = mixing.emitted(mixing.mix(docs))
-    assert out.count() == sum(len(r["takes"]) for r in got)
+    out = mixing.emitted(mixing.mix(docs)).collect()
+    assert sorted((r["doc_id"] or 0, r["shard"]) for r in out) == sorted((r["doc_id"] or 0, t["shard"]) for r in got for t in r["takes"])
     assert mixing.mix(docs.filter("false")).count() == 0
 
 
+def test_mix_follows_the_tree(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, "w " * 20, "ab"[i % 2]) for i in range(400)], "doc_id long, text string, source string")
+    before = {r["doc_id"]: [t["shard"] for t in r["takes"]] for r in mixing.mix(docs).collect()}
+    assert {s for x in before.values() for s in x} == set(range(mixing.SHARDS))
+    monkeypatch.setattr(mixing, "split_tree", lambda quotas, shards, rng: np.array([[n, *[0] * (shards - 1)] for n in quotas]))
+    assert {s for r in mixing.mix(docs).collect() for s in [t["shard"] for t in r["takes"]]} == {0}
+
+
+def test_mix_takes_part_of_a_block(spark, monkeypatch):
+    """With one block a source, nearly all of a target is taken out of finer blocks and the last one's rows."""
+    monkeypatch.setattr(mixing, "BLOCKS", 1)
+    rows = [(i, "w " * (1 + i % 9), "ab"[i % 2]) for i in range(3000)]
+    got = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
+    for s in "ab":
+        own = [r for r in got if r["source"] == s]
+        assert abs(sum(len(r["takes"]) * r["size"] for r in own) - own[0]["target"]) <= 9
+
+
 # licences and quality
 
 

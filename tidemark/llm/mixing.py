@@ -4,6 +4,9 @@ A source's documents fall into blocks of about equal words by a hash. Its quota
 each full pass, then some of a permutation of them) and part of one block, so that the words taken come near the target. A binary
 tree over the output shards splits the quotas: at each node a multivariate-hypergeometric draw says how many blocks of each source
 go left. A shard then gets disjoint stretches of each source's permuted blocks, and its rows are ordered by a hash.
+
+The block that is taken in part is cut into finer ones by a second hash, some of which are taken whole; only the rows of one of those,
+a 16-millionth of a large source, are put in order to be taken up to a word count.
 """
 
 from __future__ import annotations
@@ -15,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import words_of
+from tidemark.llm.common import WORD, discard, kept_columns, private, quoted, stored
 
 WEIGHTS = (5, 2, 1)
 #: Times a source, and so a document, is taken at most.
@@ -62,10 +65,22 @@ def split_tree(quotas: list[int], shards: int, rng: np.random.Generator) -> np.n
 
 @dataclass
 class Plan:
-    """For each source its blocks' takes (pass, shard) and, for one block at most, how many words of it more to take in the last pass."""
+    """For each source its blocks' takes (pass, shard) and, for one block at most, of which in the last pass so many words are taken more."""
 
     takes: dict[tuple[int, int], list[tuple[int, int]]]
-    edges: dict[int, tuple[int, int, int, int]]
+    edges: dict[int, tuple[int, int, int, float]]
+
+
+def filling(sizes: dict[int, int], room: float, order: list[int]) -> tuple[list[int], int | None, float]:
+    """Of blocks, in this order, those that fit into room; the smallest of the others, to be taken in part; and the room that is left."""
+    some, skipped = [], []
+    for b in order:
+        if sizes[b] <= room:
+            some.append(b)
+            room -= sizes[b]
+        else:
+            skipped.append(b)
+    return some, min(skipped, key=lambda b: (sizes[b], b)) if skipped and room >= 1 else None, room
 
 
 def plan(blocks: dict[int, dict[int, int]], want: list[float], shards: int, seed: int) -> Plan:
@@ -77,17 +92,11 @@ def plan(blocks: dict[int, dict[int, int]], want: list[float], shards: int, seed
         own = blocks.get(s, {})
         size = sum(own.values())
         full = min(MOST, int(target // size)) if size else 0
-        rest, some, skipped = target - full * size, [], []
-        for b in rng.permutation(sorted(own)).tolist():
-            if full < MOST and own[b] <= rest:
-                some.append((full, b))
-                rest -= own[b]
-            else:
-                skipped.append(b)
+        some, edge, rest = filling(own, target - full * size, rng.permutation(sorted(own)).tolist()) if full < MOST else ([], None, 0.0)
         passes.append(full)
-        if rest >= 1 and skipped and full < MOST:
-            edge_words[s] = (min(skipped, key=lambda b: (own[b], b)), rest)
-        items.append([(p, b) for p in range(full) for b in sorted(own)] + some + ([(full, edge_words[s][0])] if s in edge_words else []))
+        if edge is not None:
+            edge_words[s] = (edge, rest)
+        items.append([(p, b) for p in range(full) for b in sorted(own)] + [(full, b) for b in some] + ([(full, edge)] if edge is not None else []))
     quotas = split_tree([len(x) for x in items], shards, rng)
     out = Plan({}, {})
     for s, own_items in enumerate(items):
@@ -95,48 +104,83 @@ def plan(blocks: dict[int, dict[int, int]], want: list[float], shards: int, seed
         for i, k in enumerate(rng.permutation(len(own_items)).tolist()):
             p, b = own_items[k]
             if s in edge_words and (p, b) == (passes[s], edge_words[s][0]):
-                out.edges[s] = (b, p, int(where[i]), round(edge_words[s][1]))
+                out.edges[s] = (b, p, int(where[i]), edge_words[s][1])
             else:
                 out.takes.setdefault((s, b), []).append((p, int(where[i])))
     return out
 
 
+TAKES = "array<struct<pass:int,shard:int>>"
+
+
 def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, shards: int = SHARDS, seed: int = 0) -> DataFrame:
     """docs (doc_id, text, source; more columns pass through) with size (words), source_size, target, takes (array of pass, shard, place).
 
     A document is in the mix once for each entry of takes (at most MOST); `emitted` makes those rows. Sources in code-point order,
-    null last, weigh as `weights`, repeating. Null text has size 0. The driver holds a row for each source and for each block
-    (BLOCKS and one a source): a recipe's size, not the corpus's. Equal rows fall into the same block; no rows give none.
+    null last, weigh as `weights`, repeating. Null and empty texts have size 0. Takes depend on a row's doc_id and text, the sums and
+    the seed, so reruns agree, in any order and layout of the rows. The driver holds a row for each source and for each block (BLOCKS
+    and one a source, twice): a recipe's size, not the corpus's. Rows equal in doc_id and text fall into the same block; no rows give
+    none. A column named like a result, in any case, is replaced.
     """
     spark = docs.sparkSession
-    size = F.size(words_of(F.col("text"))).cast("bigint")
-    keep = [c for c in docs.columns if c not in ("size", "source_size", "target", "takes")]
-    rows = docs.select(*keep).withColumns({"size": size, "_h": F.xxhash64("doc_id", "text", F.lit(seed))})
-    sums = rows.groupBy("source").agg(F.sum("size").alias("n")).collect()
-    sources = sorted(sums, key=lambda r: (r["source"] is None, r["source"] or ""))
-    sizes = [r["n"] for r in sources]
+    results = ["size", "source_size", "target", "takes"]
+    keep = kept_columns(docs, results)
+    name, number, n_blocks, block, fine, h, takes_, pass_, shard_, whole_, last_, words_ = private(docs.select(*map(quoted, keep)).withColumns(dict.fromkeys(results, F.lit(0))), "name", "number", "n_blocks", "block", "fine", "h", "all_takes", "pass", "shard", "whole", "last", "words")
+    size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("bigint")
+    hashed = docs.select(*map(quoted, keep), F.xxhash64("doc_id", "text", F.lit(seed)).alias(h))
+    slim = stored(hashed.select(F.col("source").cast("string").alias(name), F.col(h), size.alias("size")), "sizes")
+    sums = slim.groupBy(name).agg(F.sum("size")).collect()
+    sources = sorted(((r[0], r[1]) for r in sums), key=lambda r: (r[0] is None, r[0] or ""))
+    sizes = [n for _, n in sources]
     want = targets(sizes, [float(weights[i % len(weights)]) for i in range(len(sizes))])
     each = max(1, sum(sizes) // BLOCKS)
-    names = spark.createDataFrame([(r["source"], i, sizes[i], want[i], max(1, -(-sizes[i] // each))) for i, r in enumerate(sources)], "_name string, _source int, source_size bigint, target double, _blocks int")
-    rows = rows.join(F.broadcast(names), F.col("source").cast("string").eqNullSafe(F.col("_name"))).withColumn("_block", F.pmod("_h", "_blocks").cast("int"))
-    blocks: dict[int, dict[int, int]] = {}
-    for r in rows.groupBy("_source", "_block").agg(F.sum("size").alias("n")).collect():
-        blocks.setdefault(r["_source"], {})[r["_block"]] = r["n"]
-    made = plan(blocks, want, shards, seed)
-    whole = spark.createDataFrame([(s, b, t) for (s, b), t in made.takes.items()], "_source int, _block int, _takes array<struct<pass:int,shard:int>>")
-    edges = spark.createDataFrame([(s, b, p, m, n) for s, (b, p, m, n) in made.edges.items()], "_source int, _block int, _pass int, _shard int, _words bigint")
-    rows = rows.join(F.broadcast(whole), ["_source", "_block"], "left").join(F.broadcast(edges), ["_source", "_block"], "left")
-    before = F.sum("size").over(W.partitionBy("_source").orderBy("_h", "doc_id").rowsBetween(W.unboundedPreceding, 0)) - F.col("size")
-    more = F.when(before + F.col("size") / 2 <= F.col("_words"), F.array(F.struct(F.col("_pass").alias("pass"), F.col("_shard").alias("shard"))))
-    edge = rows.filter(F.col("_words").isNotNull()).withColumn("_more", more)
-    rest = rows.filter(F.col("_words").isNull()).withColumn("_more", F.lit(None).cast("array<struct<pass:int,shard:int>>"))
-    none = F.array().cast("array<struct<pass:int,shard:int>>")
-    takes = F.transform(F.concat(F.coalesce("_takes", none), F.coalesce("_more", none)), lambda t: F.struct(t["pass"].alias("pass"), t["shard"].alias("shard"), F.xxhash64("_h", t["pass"]).alias("place")))
-    return rest.unionByName(edge).select(*keep, "size", "source_size", "target", takes.alias("takes"))
+    names = spark.createDataFrame([(s, i, sizes[i], want[i], max(1, -(-sizes[i] // each))) for i, (s, _) in enumerate(sources)], f"{name} string, {number} int, source_size bigint, target double, {n_blocks} int")
+    in_block = F.pmod(F.col(h), F.col(n_blocks)).cast("int")
+
+    def summed(rows: DataFrame, part: str) -> dict[int, dict[int, int]]:
+        out: dict[int, dict[int, int]] = {}
+        for s, b, n in rows.groupBy(number, part).agg(F.sum("size")).collect():
+            out.setdefault(s, {})[b] = n
+        return out
+
+    placed = slim.join(F.broadcast(names), slim[name].eqNullSafe(names[name])).select(number, h, "size", in_block.alias(block))
+    made = plan(summed(placed, block), want, shards, seed)
+    in_fine = F.pmod(F.xxhash64(h, F.lit(2)), F.lit(max(16, BLOCKS // max(1, len(made.edges))))).cast("int")
+    rng, edges = np.random.default_rng([seed, 1]), []
+    if made.edges:
+        bounds = spark.createDataFrame([(s, b) for s, (b, _, _, _) in made.edges.items()], f"{number} int, {block} int")
+        finer = summed(placed.join(F.broadcast(bounds), [number, block]).withColumn(fine, in_fine), fine)
+        for s, (b, p, where, rest) in sorted(made.edges.items()):
+            some, last, left = filling(finer[s], rest, rng.permutation(sorted(finer[s])).tolist())
+            edges.append((s, b, p, where, some, last, round(left)))
+    discard(spark, [slim])
+    whole = spark.createDataFrame([(s, b, t) for (s, b), t in made.takes.items()], f"{number} int, {block} int, {takes_} {TAKES}")
+    edge = spark.createDataFrame(edges, f"{number} int, {block} int, {pass_} int, {shard_} int, {whole_} array<int>, {last_} int, {words_} bigint")
+    rows = hashed.join(F.broadcast(names), hashed["source"].cast("string").eqNullSafe(names[name])).withColumn(block, in_block)
+    rows = rows.join(F.broadcast(whole), [number, block], "left").join(F.broadcast(edge), [number, block], "left").withColumn(fine, in_fine)
+    at_last = F.coalesce(F.col(fine) == F.col(last_), F.lit(False))
+    once, never = F.array(F.struct(F.col(pass_).alias("pass"), F.col(shard_).alias("shard"))), F.array().cast(TAKES)
+
+    def taken(part: DataFrame, more: Column) -> DataFrame:
+        both = F.concat(F.coalesce(takes_, never), F.when(more, once).otherwise(never))
+        return part.select(*map(quoted, keep), "size", "source_size", "target", F.transform(both, lambda t: F.struct(t["pass"].alias("pass"), t["shard"].alias("shard"), F.xxhash64(h, t["pass"]).alias("place"))).alias("takes"))
+
+    rest = taken(rows.filter(~at_last).withColumn("size", size), F.coalesce(F.array_contains(whole_, F.col(fine)), F.lit(False)))
+    if not any(e[5] is not None for e in edges):
+        return rest
+    before = F.sum("size").over(W.partitionBy(number).orderBy(h).rowsBetween(W.unboundedPreceding, 0)) - F.col("size")
+    return rest.unionByName(taken(rows.filter(at_last).withColumn("size", size), before + F.col("size") / 2 <= F.col(words_)))
 
 
 def emitted(mixed: DataFrame) -> DataFrame:
-    """One row for each time a document is taken, with shard and place; each shard's rows in one order by place within a task."""
-    out = mixed.withColumn("_take", F.explode("takes")).drop("takes").withColumns({"shard": F.col("_take.shard"), "place": F.col("_take.place")}).drop("_take")
-    salt: Column = F.pmod("place", F.lit(64))
+    """One row for each time a document of mix() is taken, with shard and place instead of takes; rows of a shard are shuffled, by place, within tasks.
+
+    Documents never taken go; no rows give none. A shard is spread over enough tasks to fill Spark's shuffle partitions. Columns of
+    docs that are named shard or place are replaced.
+    """
+    spark = mixed.sparkSession
+    keep = [c for c in kept_columns(mixed, ["shard", "place"]) if c != "takes"]
+    (take,) = private(mixed, "take")
+    out = mixed.select(*map(quoted, keep), F.explode("takes").alias(take)).select(*map(quoted, keep), F.col(f"{take}.shard").alias("shard"), F.col(f"{take}.place").alias("place"))
+    salt = F.pmod("place", F.lit(max(64, int(spark.conf.get("spark.sql.shuffle.partitions")))))
     return out.repartition("shard", salt).sortWithinPartitions("shard", "place")
