@@ -234,6 +234,14 @@ def test_full_licence_texts_and_wrapped_notices(spark):
     assert got == {1: ("MIT", ["MIT"]), 2: (None, ["MIT"]), 3: (None, ["MIT"]), 4: (None, ["Apache-2.0"]), 5: (None, []), 6: (None, []), 7: (None, ["Apache-2.0", "MIT"])}
 
 
+def test_clauses_and_words_are_kept_apart(spark):
+    """A clause numbered (c) is text, and a word that holds another one keeps its spelling."""
+    pairs = [("use it\n(c) you must not sell", "use it\n(c) you may sell"), ("conversion of goods", "conv of goods"), ("(c) 2020 A\nuse it", "© 2021-2022 B\nuse it"), ("sub-licences, version 2", "Sublicenses V. 2")]
+    docs = spark.createDataFrame([(i, side, p[side]) for i, p in enumerate(pairs) for side in (0, 1)], "doc_id int, side int, text string")
+    got = {(r["doc_id"], r["side"]): r["digest"] for r in licenses.scan_licenses(docs, licenses.known_digests(spark)).collect()}
+    assert [got[i, 0] == got[i, 1] for i in range(len(pairs))] == [False, False, True, True]
+
+
 def test_known_full_texts(spark):
     import os
 

@@ -10,13 +10,13 @@ TEXTS = [
     ("0BSD", 102, "zero clause bsd license", "369b5bc181c295c4db9ab4918e6b2956"),
     ("0BSD", 103, "bsd zero clause license", "1ee1fdb1f06b9e5e8e8b151fcd4dd813"),
     ("Apache-2.0", 86, "licensed under the apache", "bac6321ea256c793c961d19060b6fe03"),
-    ("Apache-2.0", 1395, "apache license v 2", "dd2d01d6aec0b6505f93aa2b28269a14"),
-    ("Apache-2.0", 1400, "apache license v 2", "c5cedff5d394e5c9ce95ed9991754d99"),
-    ("Apache-2.0", 1427, "apache license v 2", "15b088c50ce6977a7ad74ac76df1ca4e"),
-    ("Apache-2.0", 1558, "apache license v 2", "1ea535baa41bcacde9de3fc7a8a13e75"),
-    ("Apache-2.0", 1571, "apache license v 2", "c28393b089aa471b325ff8f56b9e8a4a"),
-    ("Apache-2.0", 1574, "apache license v 2", "ab2ddc5581852bb0167a20c99232b4aa"),
-    ("Apache-2.0", 1579, "apache license v 2", "e5c340e496278f0d5550aa25ff4811f5"),
+    ("Apache-2.0", 1407, "apache license v 2", "39713efab1c0482c99e49c816d908410"),
+    ("Apache-2.0", 1412, "apache license v 2", "851f7aa2333642507c3580cc76cf377e"),
+    ("Apache-2.0", 1427, "apache license v 2", "86923f0b515ce95669c6df90b4774fbe"),
+    ("Apache-2.0", 1602, "apache license v 2", "0d3352e970c8f46af1db429ce1f7d4b5"),
+    ("Apache-2.0", 1583, "apache license v 2", "1de021e49aded84d55ca57c3a7d37db4"),
+    ("Apache-2.0", 1586, "apache license v 2", "4d8e841aaf40c6e74d279d6cbcea1ebb"),
+    ("Apache-2.0", 1592, "apache license v 2", "299b0a1cfe11d0b5686695144abcfcfd"),
     ("Artistic-1.0-Perl", 950, "the artistic license preamble", "1b50375157aa8fd583048ea2d79fcfc6"),
     ("BSD-2-Clause", 174, "redistribution and use in", "009040c5652a78fb696de3da3a043be6"),
     ("BSD-2-Clause", 184, "redistribution and use in", "6222f053df59426503c9f9be59942726"),
@@ -74,14 +74,14 @@ TEXTS = [
     ("BSL-1.0", 214, "boost software license v", "f0f5725b2f0dc6bbd848524b4496ea38"),
     ("BlueOak-1.0.0", 251, "blue oak model license", "38ceb95d2c63ddb72a42e87e9ec05e45"),
     ("CC0-1.0", 1075, "creative commons legal code", "a70bebfe5da688ca288b05ca74c12b51"),
-    ("GFDL-1.2-only", 3305, "gnu free documentation license", "233ba264128664b3ae8771639151d1ce"),
-    ("GFDL-1.3-only", 3710, "gnu free documentation license", "e5ee429b136ec854a58db641d4cb0f98"),
-    ("GPL-1.0-only", 2055, "gnu general public license", "70556078b73d4dc5751467216fabcdc5"),
-    ("GPL-2.0-only", 2947, "gnu general public license", "e372dc6e4aa427c944bf791d8ddeca15"),
-    ("GPL-2.0-only", 2965, "gnu general public license", "97eb4ca27938c6475cf71e446f6e50cc"),
-    ("GPL-2.0-only", 2965, "gnu general public license", "ccd586ed9ebe44cdedb3bba7c4507f36"),
-    ("GPL-3.0-only", 5650, "gnu general public license", "435029701e650c1935eb408d43ffea2d"),
-    ("GPL-3.0-only", 5650, "gnu general public license", "482706677eef55ba6ec60c5c7d02dd23"),
+    ("GFDL-1.2-only", 3305, "gnu free documentation license", "069ba4e5f393c278141547571ce3a0c1"),
+    ("GFDL-1.3-only", 3710, "gnu free documentation license", "2d8e0926b38b85c80ae929d9ac7fde59"),
+    ("GPL-1.0-only", 2055, "gnu general public license", "8827365a843c87ec6763b6e1ac5aac0d"),
+    ("GPL-2.0-only", 2947, "gnu general public license", "6c46ace35b82376d5023640c03ad3232"),
+    ("GPL-2.0-only", 2965, "gnu general public license", "41deab1586ba0abbce56a703d34e6730"),
+    ("GPL-2.0-only", 2965, "gnu general public license", "628c666af7aa82bf014211d91ecf19c1"),
+    ("GPL-3.0-only", 5650, "gnu general public license", "de8530f9e0c92da799f8ec5ac1b3fd8f"),
+    ("GPL-3.0-only", 5650, "gnu general public license", "10a1cad28328416f2277b45ee157f35f"),
     ("ISC", 101, "permission to use copy", "fd575fa1af142b87bf9885e993fc2879"),
     ("ISC", 102, "permission to use copy", "29dda87f10ab224ba76781ee87d28d03"),
     ("ISC", 102, "permission to use copy", "c8a67b9a4b1a8aa30b1dd65368c84f80"),
@@ -107,11 +107,11 @@ TEXTS = [
     ("ISC", 115, "the isc license permission", "e889ea62b85f3389a97fe6f3e80996cf"),
     ("ISC", 116, "the isc license isc", "9bb434d4a45caddee2f510555b91e2b1"),
     ("ISC", 116, "the isc license isc", "bd9131677914c2c5099f1840a08f6d7e"),
-    ("LGPL-2.0-only", 4153, "gnu library general public", "7735f3c64b04e3b91c7040a70a0ee77c"),
-    ("LGPL-2.0-only", 4154, "gnu library general public", "679c9bec5b28dbcb8e6c0bff90640455"),
-    ("LGPL-2.1-only", 4336, "gnu lesser general public", "4f915208cce0e57182ed2079fd58cacd"),
-    ("LGPL-2.1-only", 4354, "gnu lesser general public", "2a2cdbd6e010fef6f8f8548e330babba"),
-    ("LGPL-3.0-only", 1231, "gnu lesser general public", "69973bfbab74974b54ce9dff7457f291"),
+    ("LGPL-2.0-only", 4153, "gnu library general public", "b4d15708223707d6acf71b5819a7ddba"),
+    ("LGPL-2.0-only", 4154, "gnu library general public", "5033b3bde4c16964625472f3db84ba2c"),
+    ("LGPL-2.1-only", 4336, "gnu lesser general public", "86e967ba65865d4d9ef503e214922f0c"),
+    ("LGPL-2.1-only", 4354, "gnu lesser general public", "1271d1420206103d453dd1b12c0fc7f8"),
+    ("LGPL-3.0-only", 1231, "gnu lesser general public", "fdc10443c5a1e68178d8300ca10bcdc1"),
     ("MIT", 151, "permission is hereby granted", "2886eb256547eeebf28ce83cd96be3dc"),
     ("MIT", 153, "mit license permission is", "c57c00559ef795f4117fb4825213e0ef"),
     ("MIT", 154, "the mit license permission", "f3337087707816eadb4c727b81399a58"),
@@ -124,12 +124,12 @@ TEXTS = [
     ("MIT", 166, "the mit license permission", "5fefeb84c2e262528a30c16c8f8d7a34"),
     ("MIT", 167, "the mit license mit", "66dd1caf442553ce09fa72a9da2e8c0e"),
     ("MIT", 171, "this software is released", "40e6a54ee7f2158d26312cf0103cb9c1"),
-    ("MPL-1.1", 3757, "mozilla public license v", "29475361f02ca8a4b1105af6ce12c03d"),
-    ("MPL-2.0", 2414, "mozilla public license v", "bcb9b28108a349781fc24195bd711a09"),
+    ("MPL-1.1", 3786, "mozilla public license v", "ead01a0529c0356c5159b4cfa701ce71"),
+    ("MPL-2.0", 2426, "mozilla public license v", "0349217a8e408bdbc3e28e3c126a774a"),
     ("Unlicense", 199, "this is free and", "243d95b52f77dc596a0b9d0b9ba09bb5"),
     ("Unlicense", 200, "unlicense this is free", "387c6fd2d5005c66af88b8d90e69ea73"),
     ("Unlicense", 201, "the unlicense this is", "327e08b7c598821d89c2661b06afcf0c"),
-    ("Zlib", 133, "this software is provided", "3727025a4a3b4d84e0655dc11ed22820"),
-    ("Zlib", 135, "zlib license this software", "948acbd2546d9da58f7c33f7e8e07b09"),
-    ("Zlib", 136, "the zlib license this", "e1eee64c498d274517d0ddcf1c0e108e"),
+    ("Zlib", 133, "this software is provided", "6df2a895c31891fec159c01a49b2d3cf"),
+    ("Zlib", 135, "zlib license this software", "c8509dae8dc0557bb29ef1c77b16975c"),
+    ("Zlib", 136, "the zlib license this", "da06f469fac496b82b7382c5e2ebb216"),
 ]

@@ -8,7 +8,7 @@ from collections import defaultdict
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import ship
+from tidemark.llm.common import kept_columns, private, quoted, ship
 from tidemark.llm.license_digests import TEXTS
 
 #: So many first words of a known text are compared before a run of lines is hashed.
@@ -40,16 +40,25 @@ NOTICES = [
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
     ("Unlicense", "This is free and unencumbered software released into the public domain."),
 ]
-#: Spellings that mean the same, applied in this order to lower-cased text.
-SPELLINGS = [("licence", "license"), ("licencing", "licensing"), ("sub-license", "sublicense"), ("non-commercial", "noncommercial"), ("per cent", "percent"), ("http:", "https:"), ("version", "v"), ("v.", "v"), ("©", "(c)")]
-#: Lines that name a copyright owner.
-COPYRIGHT_LINE = r"^[^a-z(]*(copyright|\(c\)|all rights reserved)"
+#: Spellings of whole words that mean the same, as patterns with replacements, applied in this order to lower-cased text.
+SPELLINGS = [
+    ("©", "(c)"),
+    (r"\blicenc(e|es|ed|ing|ees?|ors?)\b", r"licens\1"),
+    (r"\bsub-licens", "sublicens"),
+    (r"\bnon-commercial\b", "noncommercial"),
+    (r"\bper cent\b", "percent"),
+    (r"\bhttp:", "https:"),
+    (r"\bversion\b", "v"),
+    (r"\bv\.", "v"),
+]
+#: Lines that name a copyright owner. "(c)" alone may number a clause: a year or the word has to follow.
+COPYRIGHT_LINE = r"^[^a-z(]*(copyright|\(c\) *copyright|\(c\)[^a-z]*[0-9]{4}|all rights reserved)"
 
 
 def respelled(text: Column) -> Column:
     out = F.lower(text)
-    for old, new in SPELLINGS:
-        out = F.replace(out, F.lit(old), F.lit(new))
+    for pattern, new in SPELLINGS:
+        out = F.regexp_replace(out, pattern, new.replace("\\1", "$1"))
     return out
 
 
@@ -120,17 +129,21 @@ def scan_licenses(docs: DataFrame, known: DataFrame, bound: int = 100_000) -> Da
     known: license, words, head, digest (see known_digests); its digests distinct. Its size is checked against `bound`; then it is
     broadcast for the hash join of whole texts, and sent to the tasks that look up runs of lines: a notice wrapped over lines, or a
     licence inside a longer text, with the copyright lines in it or without. Null or empty text has the digest of the empty text.
-    Columns of docs that are named like a result are replaced; rows stand alone, nothing is shuffled.
+    Columns of docs that are named like a result, in any case, are replaced; rows stand alone, so repeated ones get the same answer and
+    long texts cost in proportion to their lines; nothing is shuffled; no rows give none.
     """
     table = known.select("license", "words", "head", "digest").limit(bound + 1).collect()
     if len(table) > bound:
         raise ValueError(f"more than {bound} known licence texts")
+    keep = kept_columns(docs, ["digest", "license", "line_licenses"])
+    (digest,) = private(docs, "known_digest")
     text = F.coalesce("text", F.lit(""))
     marked = F.transform(F.split(respelled(text), "\n"), lambda x: F.concat(F.when(x.rlike(COPYRIGHT_LINE), MARK).otherwise(""), plain(x)))
     lines = F.array_join(F.filter(marked, lambda x: ~x.isin("", MARK)), "\n").cast("binary")
     found = F.arrow_udf(_line_licenses([tuple(r) for r in table]), "array<string>")(lines)
-    out = docs.drop("digest", "license", "line_licenses").withColumns({"digest": F.md5(canonical(text)), "line_licenses": found})
-    return out.join(F.broadcast(known.select("digest", "license")), "digest", "left")
+    out = docs.select(*map(quoted, keep), F.md5(canonical(text)).alias("digest"), found.alias("line_licenses"))
+    names = known.select(F.col("digest").alias(digest), "license")
+    return out.join(F.broadcast(names), out["digest"] == names[digest], "left").select(*map(quoted, keep), "digest", "license", "line_licenses")
 
 
 ship(__name__)

@@ -114,19 +114,19 @@ def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_sql() -> str:
-    from tidemark.llm.licenses import NOTICES, SPELLINGS
+    from tidemark.llm.licenses import COPYRIGHT_LINE, NOTICES, SPELLINGS
 
     def respelled(x: str) -> str:
         x = f"lower({x})"
-        for old, new in SPELLINGS:
-            x = f"replace({x}, '{old}', '{new}')"
+        for pattern, new in SPELLINGS:
+            x = f"regexp_replace({x}, '{pattern}', '{new}', 'g')"
         return x
 
     def plain(x: str) -> str:
         return rf"trim(regexp_replace({x}, '[\x00-\x2F\x3A-\x60\x7B-\x7F]+', ' ', 'g'), ' ')"
 
     def canonical(x: str) -> str:
-        kept = rf"list_filter(string_split({respelled(x)}, chr(10)), lambda l: NOT regexp_matches(l, '^[^a-z(]*(copyright|\(c\)|all rights reserved)'))"
+        kept = rf"list_filter(string_split({respelled(x)}, chr(10)), lambda l: NOT regexp_matches(l, '{COPYRIGHT_LINE}'))"
         return f"md5({plain(f'coalesce(array_to_string({kept}, chr(10)), {chr(39) * 2})')})"
 
     values = ", ".join("('{}', '{}')".format(a, b.replace("'", "''")) for a, b in NOTICES)
