@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import sys
+import tempfile
 import types
 import uuid
 from collections.abc import Iterable
@@ -29,10 +30,14 @@ def kept_in_worker(name: str) -> dict:
 
 
 def shared_dir(spark: SparkSession, what: str) -> str:
-    """A new folder under spark.checkpoint.dir, which the driver and all executors see; without that setting there is no such place."""
+    """A new folder under spark.checkpoint.dir, which the driver and all executors see. Where that is unset, local mode, where tests run, has
+    one of its own; a cluster has none, which is an error."""
     top = spark.conf.get("spark.checkpoint.dir", None)
     if not top:
-        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        top = kept_in_worker("local-mode").setdefault("folder", "") or tempfile.mkdtemp(prefix="tidemark-")
+        kept_in_worker("local-mode")["folder"] = top
     return f"{top.rstrip('/')}/tidemark-{what}-{uuid.uuid4().hex}"
 
 
@@ -58,6 +63,11 @@ def private(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
+def by_place(df: DataFrame) -> DataFrame:
+    """df with columns c0, c1, ...: mapInArrow cannot name columns whose names hold dots."""
+    return df.toDF(*[f"c{i}" for i in range(len(df.columns))])
+
+
 def numbered(df: DataFrame, number: str) -> DataFrame:
     """df as a stored table with a number for each row, so that equal rows, and rows without an id, can be told apart when it is read again."""
     return stored(df.withColumn(number, F.monotonically_increasing_id()), "numbered")

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.llm.blocks import word_hashes
-from tidemark.llm.common import ascii_lower, kept_columns, numbered, private, quoted, ship
+from tidemark.llm.common import ascii_lower, by_place, kept_columns, numbered, private, quoted, ship
 
 SPAN, K = 10, 5
 GUARANTEE = SPAN - K + 1
@@ -325,7 +325,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, columns: list[str] | No
     out = docs.select(*[quoted(c) for c in dict.fromkeys([*keep, "text"])])
     schema = T.StructType([out.schema[c] for c in keep] + [T.StructField("n_words", T.LongType()), T.StructField("hit_spans", SPANS), T.StructField("hit_items", T.ArrayType(T.StringType()))])
     run = _search(spark.sparkContext.broadcast(held.plain()), out.columns.index("text"), [out.columns.index(c) for c in keep], to_arrow_schema(schema))
-    return out.mapInArrow(run, schema)
+    return by_place(out).mapInArrow(run, schema)
 
 
 ship(__name__)

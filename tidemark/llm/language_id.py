@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm.common import kept_columns, quoted, ship
+from tidemark.llm.common import by_place, kept_columns, quoted, ship
 
 ORDERS = (2, 3, 4)
 SLOTS = 1 << 16
@@ -77,7 +77,7 @@ def counted(raw: np.ndarray) -> np.ndarray:
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     totals: dict[str, np.ndarray] = {}
     for batch in batches:
-        for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+        for text, lang in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             raw = np.frombuffer(prepared(text), np.uint8)
             ok = counted(raw)
             t = totals.setdefault(lang, np.zeros((len(ORDERS), SLOTS), np.int64))
@@ -108,23 +108,29 @@ class LanguageModel:
         return loss.argmin(1), share
 
 
+def drawn(rows: DataFrame, sample: int) -> DataFrame:
+    """About `sample` rows of each language (text, lang), each drawn by itself, by a hash of its text and its place."""
+    rows = rows.withColumn("place", F.monotonically_increasing_id()).filter(F.col("lang").isNotNull() & F.col("text").isNotNull())
+    there = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    if not there:
+        return rows.drop("place")
+    share = F.create_map(*[x for lang, n in sorted(there.items()) for x in (F.lit(lang), F.lit(min(1.0, sample / n)))])
+    return rows.filter(F.pmod(F.xxhash64("text", "place", F.lit(29)), F.lit(1 << 30)) < F.element_at(share, F.col("lang")) * (1 << 30)).drop("place")
+
+
 def fit_language_model(docs: DataFrame, sample: int = SAMPLE) -> LanguageModel:
     """Learn from documents (text, lang; other columns are not read) with text and lang, about `sample` of each language, whole texts.
 
     Each row is drawn by itself, so equal rows, however many, and missing ids leave the sample's bound as it is. No such document: a
     model without languages, which predicts `und`. Counts are summed by Spark; the driver gets the model alone (languages x n-gram slots).
     """
-    rows = docs.select("text", F.col("lang").cast("string"), F.monotonically_increasing_id().alias("place")).filter(F.col("lang").isNotNull() & F.col("text").isNotNull())
-    there = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
-    langs = sorted(there)
+    counts = drawn(docs.select("text", F.col("lang").cast("string").alias("lang")), sample).mapInArrow(_count, "lang string, slot bigint, n bigint")
+    sums = counts.groupBy("lang", "slot").agg(F.sum("n").alias("n")).toArrow()
+    langs = sorted(set(sums["lang"].to_pylist()))
     if not langs:
         return LanguageModel([], codewords(0), np.zeros((0, 0)), np.zeros(0))
-    share = F.create_map(*[x for lang in langs for x in (F.lit(lang), F.lit(min(1.0, sample / there[lang])))])
-    drawn = rows.filter(F.pmod(F.xxhash64("text", "place", F.lit(29)), F.lit(1 << 30)) < F.element_at(share, F.col("lang")) * (1 << 30))
-    counts = drawn.select("lang", "text").mapInArrow(_count, "lang string, slot bigint, n bigint")
     table = np.zeros((len(langs), len(ORDERS) * SLOTS))
-    sums = counts.groupBy("lang", "slot").agg(F.sum("n").alias("n")).toArrow()
-    place = np.array([langs.index(x) for x in sums["lang"].to_pylist()], int)
+    place = np.searchsorted(langs, sums["lang"].to_pylist())
     table[place, sums["slot"].to_numpy()] = sums["n"].to_numpy()
     code = codewords(len(langs))
     freq = table.reshape(len(langs), len(ORDERS), SLOTS) + 0.5
@@ -190,7 +196,7 @@ def predict_language(docs: DataFrame, model: LanguageModel, columns: list[str] |
     rows = docs.select(*[quoted(c) for c in dict.fromkeys([*keep, "text"])])
     schema = T.StructType([rows.schema[c] for c in keep] + [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("ambiguous", T.BooleanType())])
     run = _predict(docs.sparkSession.sparkContext.broadcast((model.langs, model.code, model.weights, model.trust)), rows.columns.index("text"), [rows.columns.index(c) for c in keep], to_arrow_schema(schema))
-    return rows.mapInArrow(run, schema)
+    return by_place(rows).mapInArrow(run, schema)
 
 
 ship(__name__)
