@@ -37,6 +37,30 @@ def gaps(rows: DataFrame, keys: list[str], order: list[str], value: str, most: f
     return running_groups(rows.withColumn("_gap", F.col(value) - F.lag(value).over(w)), keys, order, F.col("_gap") > most).withColumnRenamed("group", "cell").drop("_gap")
 
 
+def split_geometry(rows: DataFrame, keys: list[str], order: list[str], x: str, size: str, least: float = 0.5, most: float = 2.0) -> DataFrame:
+    """block: a new one where a row stands less than `least` after the row before, on it or back, or more than `most` times that row's size."""
+    w = W.partitionBy(*keys).orderBy(*order)
+    gap = F.col(x) - F.lag(x).over(w)
+    broken = rows.withColumn("_broken", F.coalesce((gap < least) | (gap > most * F.lag(size).over(w)), F.lit(False)))
+    return running_groups(broken, keys, order, F.col("_broken")).withColumnRenamed("group", "block").drop("_broken")
+
+
+def learn_columns(rows: DataFrame, keys: list[str], x: str, own: str, order: str, hits: int = 3, apart: float = 100.0) -> DataFrame:
+    """Where a group's columns stand: first, second, third.
+
+    first: the most frequent x of the rows that are `own`, of equals the one seen first. Of the others' places, those with enough hits
+    and far enough after the first count: the least is the second column, the least far enough after that the third; a single one is
+    the third, and there is no second.
+    """
+    counted = rows.groupBy(*keys, x, own).agg(F.count("*").alias("votes"), F.min(order).alias("seen"))
+    first = F.max_by(F.when(F.col(own), F.col(x)), F.when(F.col(own), F.struct(F.col("votes"), -F.col("seen")))).alias("first")
+    places = F.sort_array(F.collect_set(F.when(~F.col(own) & (F.col("votes") >= hits), F.col(x)))).alias("places")
+    out = counted.groupBy(*keys).agg(first, places).filter("first IS NOT NULL")
+    out = out.withColumn("places", F.filter("places", lambda p: p - F.col("first") >= apart)).withColumn("one", F.get("places", F.lit(0)))
+    two = F.get(F.filter("places", lambda p: p - F.col("one") >= apart), F.lit(0))
+    return out.select(*keys, "first", F.when(two.isNotNull(), F.col("one")).alias("second"), F.coalesce(two, "one").alias("third"))
+
+
 def merge_blocks(rows: DataFrame, keys: list[str], value: str) -> DataFrame:
     """Runs of consecutive integers as lo and hi."""
     w = W.partitionBy(*keys).orderBy(value)

@@ -75,23 +75,29 @@ def median_rt(events: DataFrame, keys: list[str]) -> DataFrame:
     return events.groupBy(*keys).agg(F.coalesce(F.median("r"), F.lit(0.0)).alias("median_r"))
 
 
-def migrate_alternatives(old: DataFrame, device: str, start: int) -> DataFrame:
-    """Legacy map rows (i, alts array) as events with t 0 and grade 3, numbered after `start` in order of item and position.
+def numbered(rows: DataFrame, key: str | None, order: list[str], name: str, per_range: int = 20) -> DataFrame:
+    """rows with their number from 1 in this order, within each key; no task holds all rows of a key.
 
-    Numbered in two steps: a sample of places, drawn by hash, cuts the rows into ranges; each range is numbered by itself, after the
-    rows of the ranges before it.
+    In two steps: a sample of places, drawn by hash, cuts the rows of all keys into ranges of the order; each range of a key is
+    numbered by itself, after the rows of the key in the ranges before it. Rows that are equal in `order` share a range.
     """
-    rows = old.select("i", F.posexplode("alts").alias("pos", "a"))
-    place, spark = F.struct("i", "pos"), old.sparkSession
+    keys, columns, spark = [key] if key else [], rows.columns, rows.sparkSession
     ranges = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    drawn = rows.select("i", "pos").orderBy(F.xxhash64("i", "pos")).limit(20 * ranges).agg(F.sort_array(F.collect_list(place)).alias("_cuts"))
-    cuts = spark.createDataFrame([(drawn.head()["_cuts"][20::20],)], drawn.schema)
+    place = F.struct(*order)
+    drawn = rows.select(*order).orderBy(F.xxhash64(*order)).limit(per_range * ranges).agg(F.sort_array(F.collect_list(place)).alias("_cuts"))
+    cuts = spark.createDataFrame([(drawn.head()["_cuts"][per_range::per_range],)], drawn.schema)
     rows = rows.crossJoin(F.broadcast(cuts)).withColumn("_range", F.size(F.filter("_cuts", lambda c: c <= place))).drop("_cuts")
-    held = rows.groupBy("_range").agg(F.count("*").alias("_n"))
-    before = held.select("_range", (F.sum("_n").over(W.orderBy("_range")) - F.col("_n")).alias("_before"))
-    rows = rows.withColumn("_k", F.row_number().over(W.partitionBy("_range").orderBy("i", "pos"))).join(F.broadcast(before), "_range")
-    n = F.col("_before") + F.col("_k") + F.lit(start)
-    return rows.select(F.lit(device).alias("d"), n.cast("bigint").alias("n"), "i", F.lit(0).cast("bigint").alias("t"), F.lit(3).alias("g"), F.lit("alt").alias("m"), "a")
+    held = rows.groupBy(*keys, "_range").agg(F.count("*").alias("_n"))
+    before = held.select(*[F.col(k).alias("_key") for k in keys], F.col("_range").alias("_same"), (F.sum("_n").over(W.partitionBy(*keys).orderBy("_range")) - F.col("_n")).alias("_before"))
+    rows = rows.withColumn("_k", F.row_number().over(W.partitionBy(*keys, "_range").orderBy(*order)))
+    rows = rows.join(before, [F.col("_range") == F.col("_same"), *[F.col(k).eqNullSafe(F.col("_key")) for k in keys]])
+    return rows.withColumn(name, (F.col("_before") + F.col("_k")).cast("bigint")).select(*columns, name)
+
+
+def migrate_alternatives(old: DataFrame, device: str, start: int) -> DataFrame:
+    """Legacy map rows (i, alts array) as events with t 0 and grade 3, numbered after `start` in order of item and position."""
+    rows = numbered(old.select("i", F.posexplode("alts").alias("pos", "a")), None, ["i", "pos"], "n")
+    return rows.select(F.lit(device).alias("d"), (F.col("n") + start).alias("n"), "i", F.lit(0).cast("bigint").alias("t"), F.lit(3).alias("g"), F.lit("alt").alias("m"), "a")
 
 
 def exported(events: DataFrame, keys: list[str], bound: int = 10_000) -> DataFrame:

@@ -72,6 +72,19 @@ def fragment_end(x: Column, text: Column, size: Column) -> Column:
     return x + T.text_width(text, size)
 
 
+def line_tokens(rows: DataFrame, keys: list[str], place: str, text: str) -> DataFrame:
+    """Fragments of a line without what continues one: white space and an ellipsis at the line's start, across as many fragments as hold it.
+
+    A line is one group of bounded size; only its leading part, up to the first other character, is looked at as a whole.
+    """
+    ordered = W.partitionBy(*keys).orderBy(place)
+    whole = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct(place, text)).over(W.partitionBy(*keys))), lambda r: r[text]), "")
+    out = rows.withColumns({"_whole": whole, "_at": F.coalesce(F.sum(F.length(text)).over(ordered.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))})
+    cut = F.length("_whole") - F.length(F.regexp_replace("_whole", r"^\s*…+", ""))
+    gone = F.least(F.length(text), F.greatest(F.lit(0), cut - F.col("_at"))).cast("int")
+    return out.withColumn(text, F.substring(text, gone + 1, F.length(text))).drop("_whole", "_at")
+
+
 def sentences(rows: DataFrame, keys: list[str], place: str, text: str) -> DataFrame:
     """Sentences (no, sentence) of a group of lines: where any line begins with a number and a point, each such line opens one, else each
     line is one. Those without a word are left out; unnumbered ones are numbered after that."""

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tidemark.sources.shared import written
+
 SCALE_DAYS, HIGH, MID, NEW_SHARE, SEEN_DECAY, FLOOR = 7.0, 1.0, 0.4, 0.3, 0.05, 1e-6
 DAY = 86400
 
@@ -36,7 +38,8 @@ def priorities(items: DataFrame, concepts: DataFrame, states: DataFrame, now: in
 
 
 def candidate_pool(ranked: DataFrame, count: int) -> DataFrame:
-    """High and mid buckets if they suffice, else all. The number is a scalar subquery, not a window over one partition."""
+    """High and mid buckets if they suffice, else all. The number is a scalar subquery over the written ranks, which are computed once."""
+    ranked = written(ranked, "ranked")
     enough = ranked.agg((F.count(F.when(F.col("bucket") != "low", 1)) >= count).alias("enough"))
     return ranked.filter((F.col("bucket") != "low") | ~enough.scalar())
 

@@ -144,10 +144,10 @@ def gen_quantity(spark, sf_dir):
     return I.quantities(wanted).select("id", "answer")
 
 
-@query("SELECT conv_id, turn, CASE WHEN length(x) > 2 AND ends_with(x, 'から') THEN 'から' WHEN length(x) > 1 AND ends_with(x, 'は') THEN 'は' WHEN length(x) > 1 AND ends_with(x, 'を') THEN 'を' WHEN length(x) > 1 AND ends_with(x, 'に') THEN 'に' END AS p FROM (SELECT conv_id, turn, left(text, 3) || ['は', 'を', 'から', 'に', 'x'][turn % 5 + 1] AS x FROM conversations)")
+@query("SELECT conv_id, turn, CASE WHEN length(x) > 2 AND ends_with(x, 'から') THEN 'から' WHEN length(x) > 1 AND ends_with(x, 'は') THEN 'は' WHEN length(x) > 1 AND ends_with(x, 'を') THEN 'を' WHEN length(x) > 1 AND ends_with(x, 'に') THEN 'に' END AS p FROM (SELECT conv_id, turn, text || ['は', 'を', 'から', 'に', 'x'][turn % 5 + 1] AS x FROM conversations)")
 def draft_particles(spark, sf_dir):
     end = F.get(F.array(*map(F.lit, ("は", "を", "から", "に", "x"))), (F.col("turn") % 5).cast("int"))
-    return table(spark, sf_dir, "conversations").select("conv_id", "turn", I.draft_particles(F.concat(F.substring("text", 1, 3), end)).alias("p"))
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", I.draft_particles(F.concat("text", end)).alias("p"))
 
 
 @query("""WITH d AS (SELECT o_orderkey, [o_orderstatus, o_orderpriority] AS c, CASE WHEN o_orderkey % 2 = 0 THEN ['a', 'b'] ELSE ['a'] END AS a FROM orders WHERE o_orderkey % 5 > 0)
@@ -165,11 +165,11 @@ def draft_adjectives(spark, sf_dir):
     return first.select("i", F.when(F.col("i").endswith("g"), "i").otherwise("na").alias("c"), "first_pos")
 
 
-@query("SELECT d.doc_id, md5(left(text, 120)) AS body, coalesce(b.items, '') AS items FROM documents d LEFT JOIN (SELECT item_id % 10 AS k, string_agg(CAST(item_id AS VARCHAR), ',' ORDER BY item_id) AS items FROM (SELECT *, row_number() OVER (PARTITION BY item_id % 10 ORDER BY item_id) AS r FROM benchmark) WHERE r <= 2 GROUP BY 1) b ON d.doc_id % 10 = k")
+@query("SELECT d.doc_id, md5(text) AS body, coalesce(b.items, '') AS items FROM documents d LEFT JOIN (SELECT item_id % 10 AS k, string_agg(CAST(item_id AS VARCHAR), ',' ORDER BY item_id) AS items FROM (SELECT *, row_number() OVER (PARTITION BY item_id % 10 ORDER BY item_id) AS r FROM benchmark) WHERE r <= 2 GROUP BY 1) b ON d.doc_id % 10 = k")
 def draft_concepts(spark, sf_dir):
     two = table(spark, sf_dir, "benchmark").groupBy((F.col("item_id") % 10).alias("k")).agg(F.slice(F.sort_array(F.collect_list("item_id")), 1, 2).alias("two"))
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", (F.col("doc_id") % 10).alias("k"))
-    return docs.join(F.broadcast(two), "k", "left").select("doc_id", F.md5(F.substring("text", 1, 120)).alias("body"), F.coalesce(F.array_join(F.transform("two", lambda x: x.cast("string")), ","), F.lit("")).alias("items"))
+    return docs.join(two, "k", "left").select("doc_id", F.md5("text").alias("body"), F.coalesce(F.array_join(F.transform("two", lambda x: x.cast("string")), ","), F.lit("")).alias("items"))
 
 
 @query("SELECT p_partkey, d.n AS adjectives FROM part JOIN (SELECT p_name AS w, count(*) AS n FROM part WHERE p_size % 3 = 0 GROUP BY 1) d ON replace(p_name || '［な］', '［な］', '') = d.w")

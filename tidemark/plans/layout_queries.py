@@ -63,8 +63,11 @@ def cells_by_gap(spark, sf_dir):
     return out.select("l_orderkey", "l_linenumber", F.coalesce("cell", F.lit(0)).alias("cell"))
 
 
-QUERIES["split_geometry"] = QUERIES["cells_by_gap"]
-ORACLE_SQL["split_geometry"] = ORACLE_SQL["cells_by_gap"]
+@query("""WITH g AS (SELECT l_orderkey, l_linenumber, l_extendedprice / 1000 - lag(l_extendedprice / 1000) OVER w AS gap, lag(l_quantity) OVER w AS size, l_extendedprice FROM lineitem WINDOW w AS (PARTITION BY l_orderkey ORDER BY l_linenumber, l_extendedprice))
+SELECT l_orderkey, l_linenumber, coalesce(sum(CASE WHEN gap < 0.5 OR gap > 2 * size THEN 1 ELSE 0 END) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_extendedprice ROWS UNBOUNDED PRECEDING), 0) AS block FROM g""")
+def split_geometry(spark, sf_dir):
+    rows = lines(spark, sf_dir).select("l_orderkey", "l_linenumber", "l_extendedprice", (F.col("l_extendedprice") / 1000).alias("x"), F.col("l_quantity").alias("size"))
+    return L.split_geometry(rows, ["l_orderkey"], ["l_linenumber", "l_extendedprice"], "x", "size").select("l_orderkey", "l_linenumber", "block")
 
 
 @query("""WITH i AS (SELECT l_suppkey, l_orderkey, l_orderkey - row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey) AS k FROM (SELECT DISTINCT l_suppkey, l_orderkey FROM lineitem))
@@ -135,11 +138,15 @@ def boundary_vote(spark, sf_dir):
     return L.boundary_vote(table(spark, sf_dir, "documents").select("lang", "source", "doc_id"), ["lang"], "source", "doc_id")
 
 
-@query("""WITH v AS (SELECT l_suppkey, round(l_extendedprice, -3) AS x, count(*) AS votes, min(l_orderkey * 10 + l_linenumber) AS f FROM lineitem GROUP BY 1, 2)
-SELECT l_suppkey, x, votes FROM (SELECT *, row_number() OVER (PARTITION BY l_suppkey ORDER BY votes DESC, f) AS k FROM v) WHERE k = 1""")
+@query("""WITH v AS (SELECT l_suppkey, round(l_quantity * 10, 1) AS x, l_linenumber = 1 AS own, count(*) AS votes, min(l_orderkey * 10 + l_linenumber) AS f FROM lineitem GROUP BY 1, 2, 3),
+a AS (SELECT l_suppkey, x AS first FROM (SELECT *, row_number() OVER (PARTITION BY l_suppkey ORDER BY votes DESC, f) AS k FROM v WHERE own) WHERE k = 1),
+c AS (SELECT v.l_suppkey, x FROM v JOIN a ON v.l_suppkey = a.l_suppkey WHERE NOT own AND votes >= 3 AND x - first >= 100), b AS (SELECT l_suppkey, min(x) AS second FROM c GROUP BY 1),
+d AS (SELECT c.l_suppkey, min(x) AS third FROM c JOIN b ON c.l_suppkey = b.l_suppkey WHERE x - second >= 100 GROUP BY 1)
+SELECT a.l_suppkey, first, CASE WHEN third IS NOT NULL THEN second END AS second, coalesce(third, second) AS third FROM a LEFT JOIN b ON a.l_suppkey = b.l_suppkey LEFT JOIN d ON a.l_suppkey = d.l_suppkey""")
 def column_learn(spark, sf_dir):
-    rows = lines(spark, sf_dir).select("l_suppkey", F.round("l_extendedprice", -3).alias("x"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("f"))
-    return L.boundary_vote(rows, ["l_suppkey"], "x", "f")
+    """Where the columns of a supplier's lines stand: the first one from first lines, the others from the rest."""
+    rows = lines(spark, sf_dir).select("l_suppkey", F.round(F.col("l_quantity") * 10, 1).alias("x"), (F.col("l_linenumber") == 1).alias("own"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("f"))
+    return L.learn_columns(rows, ["l_suppkey"], "x", "own", "f")
 
 
 CELLS = """c AS (SELECT l_orderkey, rn - 1 AS r, unnest([1, 2, 3]) AS col, unnest([l_returnflag, l_linestatus, 'same']) AS v FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey) AS rn FROM lineitem))"""
@@ -164,11 +171,12 @@ def split_usage_cells(spark, sf_dir):
     return rows.groupBy("l_orderkey").agg(F.max_by("l_linenumber", F.struct("gap", "l_linenumber")).alias("cut"), F.max("gap").alias("gap"))
 
 
-@query("SELECT c.conv_id, c.turn, b.item_id FROM conversations c JOIN benchmark b ON b.item_id = c.conv_id % 40 WHERE substr(c.text, CAST(c.turn AS INTEGER) + 1, 2) = left(b.text, 2)")
+@query("SELECT c.conv_id, c.turn, b.item_id FROM conversations c JOIN benchmark b ON b.item_id = c.conv_id % (SELECT max(item_id) + 1 FROM benchmark) WHERE substr(c.text, CAST(c.turn AS INTEGER) + 1, 2) = left(b.text, 2)")
 def join_marks_sentences(spark, sf_dir):
     """A mark joins its sentence and stays only if the text stands at its offset."""
-    marks = table(spark, sf_dir, "benchmark").select("item_id", F.substring("text", 1, 2).alias("p"))
-    rows = turns(spark, sf_dir).withColumn("item_id", F.col("conv_id") % 40).join(marks, "item_id")
+    items = table(spark, sf_dir, "benchmark")
+    marks = items.select("item_id", F.substring("text", 1, 2).alias("p"))
+    rows = turns(spark, sf_dir).withColumn("item_id", F.col("conv_id") % items.agg(F.max("item_id") + 1).scalar()).join(marks, "item_id")
     return rows.filter(F.substring("text", (F.col("turn") + 1).cast("int"), F.length("p")) == F.col("p")).select("conv_id", "turn", "item_id")
 
 
@@ -241,11 +249,16 @@ def chk_misdecode(spark, sf_dir):
     return leaves.filter(F.col("leaf").rlike("src1|7")).distinct()
 
 
-@query("SELECT conv_id, turn, true AS same FROM conversations")
+@query("SELECT conv_id, turn, turn % 3 <> 0 OR text = '' AS same, CASE WHEN turn % 3 = 0 AND text <> '' THEN 0 ELSE least(1, length(text)) + CASE WHEN length(text) > 3 THEN 1 ELSE 0 END END AS marked FROM conversations")
 def chk_roundtrip(spark, sf_dir):
-    marks = F.array(F.struct(F.lit(0).alias("at"), F.substring("text", 1, 2).alias("base"), F.lit("x").alias("kana")), F.struct(F.lit(3).alias("at"), F.substring("text", 4, 1).alias("base"), F.lit("y").alias("kana")))
-    back = F.array_join(F.transform(T.annotate_marks(F.col("text"), marks), lambda t: t["text"]), "")
-    return turns(spark, sf_dir).select("conv_id", "turn", (back == F.col("text")).alias("same"))
+    """Tokens of a text with its marks give the text back, if the marks are that text's: every third turn has those of a longer text."""
+    text = F.when(F.col("turn") % 3 == 0, F.concat(F.lit("＿＿＿＿"), "text")).otherwise(F.col("text"))
+    mark = lambda at, size, kana: F.struct(F.lit(at).alias("at"), F.substring(text, at + 1, size).alias("base"), F.lit(kana).alias("kana"))
+    marks = F.filter(F.array(mark(0, 2, "x"), mark(3, 1, "y")), lambda m: m["base"] != "")
+    tokens = T.annotate_marks(F.col("text"), marks)
+    marked = F.size(F.filter("tokens", lambda t: t["reading"].isNotNull()))
+    kept = T.marks_apply_cleanly(F.col("text"), F.col("marks")) & (F.array_join(F.transform("tokens", lambda t: t["text"]), "") == F.col("text"))
+    return turns(spark, sf_dir).withColumns({"marks": marks, "tokens": tokens}).select("conv_id", "turn", kept.alias("same"), marked.alias("marked"))
 
 
 @query("SELECT p_partkey, CAST(p_size % 5 AS INTEGER) AS idx FROM part WHERE p_size % 5 >= 3")
@@ -267,7 +280,7 @@ def fill_missing_kana(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "source").withColumn("known", F.when(F.col("source") != "src0", F.col("source")))
     last = docs.filter("known IS NOT NULL").groupBy("lang").agg(F.max_by("known", "doc_id").alias("v"))
     only = docs.groupBy("lang").agg(F.count_distinct("source").alias("n"), F.min("source").alias("u")).filter("n = 1").drop("n")
-    return docs.join(F.broadcast(last), "lang", "left").join(F.broadcast(only), "lang", "left").select("doc_id", F.coalesce("known", "v", "u").alias("reading"))
+    return docs.join(last, "lang", "left").join(only, "lang", "left").select("doc_id", F.coalesce("known", "v", "u").alias("reading"))
 
 
 @query("SELECT event_id, CAST(j.k AS BIGINT) AS k FROM (SELECT event_id, json_extract_string(props, '$.k') AS k FROM events) j WHERE j.k IS NOT NULL")

@@ -81,13 +81,14 @@ def join_events_items(spark, sf_dir):
     return rows.groupBy("i").agg(F.count("*").alias("events"), F.bool_or(F.col("k").isNotNull()).alias("known"))
 
 
-MERGE = f"""{EV}, l AS (SELECT *, 0 AS s FROM ev WHERE n % 3 <> 0), r AS (SELECT d, n, i, t + 60 AS t, g, r, m, a, 1 AS s FROM ev WHERE n % 2 = 0),
+MERGE = f"""{EV}, l AS (SELECT *, 0 AS s FROM ev WHERE n % 3 <> 0), r AS (SELECT d, n, i, t + 60 AS t, g, r, m, a, 1 AS s FROM ev WHERE n % 2 = 0 OR n % 3 = 0),
 u AS (SELECT *, row_number() OVER (PARTITION BY d, n ORDER BY s DESC) AS k FROM (SELECT * FROM l UNION ALL SELECT * FROM r)) SELECT d, n, i, t, g FROM u WHERE k = 1"""
 
 
 def _two_logs(spark, sf_dir):
+    """Two logs that overlap and together hold every event."""
     ev = event_log(spark, sf_dir)
-    return ev.filter("n % 3 <> 0"), ev.filter("n % 2 = 0").withColumn("t", F.col("t") + 60)
+    return ev.filter("n % 3 <> 0"), ev.filter("n % 2 = 0 OR n % 3 = 0").withColumn("t", F.col("t") + 60)
 
 
 @query(MERGE)
@@ -104,9 +105,7 @@ def sink_events(spark, sf_dir):
 
 @query(f"{EV} SELECT d, n, t, row_number() OVER (PARTITION BY d ORDER BY t, n) AS place FROM ev")
 def read_events(spark, sf_dir):
-    from pyspark.sql import Window as W
-
-    return event_log(spark, sf_dir).withColumn("place", F.row_number().over(W.partitionBy("d").orderBy(*log.event_order()))).select("d", "n", "t", "place")
+    return log.numbered(event_log(spark, sf_dir), "d", ["t", "n"], "place").select("d", "n", "t", "place")
 
 
 @query(f"{EV} SELECT i, n, coalesce(lag(n) OVER (PARTITION BY i ORDER BY t, n, d), -1) AS before FROM ev")
@@ -186,9 +185,9 @@ def join_scope_state(spark, sf_dir):
     return _scoped(spark, sf_dir).select("p_partkey", "a", "reps")
 
 
-@query(f"{SCOPED} SELECT p_partkey, a FROM sc WHERE p_partkey % 5 = 0")
+@query(f"{SCOPED} SELECT p_partkey, a FROM sc")
 def concept_default(spark, sf_dir):
-    return _scoped(spark, sf_dir).filter("p_partkey % 5 = 0").select("p_partkey", "a")
+    return _scoped(spark, sf_dir).select("p_partkey", "a")
 
 
 SKILL_SQL = """CASE WHEN ends_with(c, ':reading') THEN 'reading' WHEN ends_with(c, ':group') THEN 'change' WHEN starts_with(c, 'r:') THEN 'change' WHEN starts_with(c, 'w:') THEN 'word'
@@ -305,9 +304,11 @@ def join_pattern_concepts(spark, sf_dir):
     return part.select(F.col("p_brand").alias("pattern")).distinct().join(told, "pattern", "left").select("pattern", F.coalesce(F.array_join("keys", "|"), F.concat(F.lit("g:"), F.col("pattern"))).alias("concepts"))
 
 
-@query("SELECT source AS base, CASE WHEN n = 1 THEN ks END AS auto, CASE WHEN n > 1 THEN ks END AS ambiguous FROM (SELECT source, count(DISTINCT lang) AS n, string_agg(DISTINCT lang, '|' ORDER BY lang) AS ks FROM documents WHERE doc_id % 9 = 0 GROUP BY 1)")
+@query("SELECT base, CASE WHEN n = 1 THEN ks END AS auto, CASE WHEN n > 1 THEN ks END AS ambiguous FROM (SELECT source || '-' || n_chars % 100 AS base, count(DISTINCT lang) AS n, string_agg(DISTINCT lang, '|' ORDER BY lang) AS ks FROM documents GROUP BY 1)")
 def lexicon_build(spark, sf_dir):
-    return mastery.lexicon(table(spark, sf_dir, "documents").filter("doc_id % 9 = 0").select(F.col("source").alias("base"), F.col("lang").alias("kana")))
+    """Readings (languages) of words (sources with two digits of the length): some have one, some several."""
+    base = F.concat("source", F.lit("-"), (F.col("n_chars") % 100).cast("string")).alias("base")
+    return mastery.lexicon(table(spark, sf_dir, "documents").select(base, F.col("lang").alias("kana")))
 
 
 @query("WITH a AS (SELECT p_brand AS base, min(p_type) AS k FROM part WHERE p_size < 30 GROUP BY 1), m AS (SELECT p_brand AS base, max(p_type) AS k FROM part WHERE p_size > 45 GROUP BY 1) SELECT coalesce(a.base, m.base) AS base, coalesce(m.k, a.k) AS kana FROM a FULL JOIN m ON a.base = m.base")

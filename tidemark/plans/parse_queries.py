@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import functions as F
 
 from tidemark.functions import text as T
 from tidemark.operators import checks
 from tidemark.operators import parse as P
 from tidemark.sources import json_files as J
+from tidemark.sources.shared import shared_folder
 from tidemark.sources.tables import table
 
 QUERIES = {}
@@ -27,18 +25,13 @@ def query(sql: str | None = None):
     return add
 
 
-def scratch(spark, what: str) -> str:
-    top = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tidemark-")
-    return f"{top.rstrip('/')}/tidemark-{what}-{uuid.uuid4().hex}"
-
-
 DOC = "SELECT doc_id, lang, source, n_chars, md5(text) AS text FROM documents"
 
 
 @query(DOC)
 def scan_lessons(spark, sf_dir):
     """Documents as JSON files, read again with their declared schema."""
-    path = scratch(spark, "json")
+    path = shared_folder(spark, "json")
     J.write_json(table(spark, sf_dir, "documents"), path)
     return J.read_json(spark, path, "doc_id bigint, lang string, source string, n_chars bigint, text string").withColumn("text", F.md5("text"))
 
@@ -58,12 +51,16 @@ def sink_lesson_json(spark, sf_dir):
     return rows.select("n_nationkey", J.canonical(rows.columns).alias("json"))
 
 
-@query("SELECT conv_id, turn, text AS out FROM conversations")
+@query("""SELECT part.p_partkey, array_to_string(list_transform(range(1, length(h), 4), lambda k: chr(CAST('0x' || h[k:k + 3] AS INTEGER))), '') AS out
+FROM (SELECT p_partkey, array_to_string(list_transform(string_split(p_name, ''), lambda c: printf('%04x', unicode(c) + 12288)), '') AS h FROM part) part""")
 def decode_hex(spark, sf_dir):
-    return table(spark, sf_dir, "conversations").select("conv_id", "turn", J.decode_hex(F.hex(F.col("text").cast("binary"))).alias("out"))
+    """Hexadecimal digits of UTF-16: four for each character of a name, moved into the kana."""
+    codes = F.transform(F.filter(F.split("p_name", ""), lambda c: c != ""), lambda c: F.lower(F.lpad(F.hex(F.ascii(c) + 12288), 4, "0")))
+    return table(spark, sf_dir, "part").select("p_partkey", J.decode_hex(F.array_join(codes, ""), "UTF-16BE").alias("out"))
 
 
 LEXICON = {"the": "ザ", "there": "ゼア", "an": "アン", "and": "アンド", "le": "ル", "leau": "ロー", "in": "イン", "inea": "イネア"}
+LEXICON_SQL = "MAP {" + ", ".join(f"'{k}': '{v}'" for k, v in LEXICON.items()) + "}"
 EITHER = "|".join(sorted(LEXICON, key=lambda x: (-len(x), x)))
 
 
@@ -73,11 +70,15 @@ def annotate_lexicon(spark, sf_dir):
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.size(found).cast("bigint").alias("matches"), F.md5(F.array_join(F.transform(found, lambda t: t["text"]), "|")).alias("found"))
 
 
-@query("SELECT conv_id, turn, md5(text) AS plain FROM conversations")
+@query(f"""SELECT conv_id, turn, array_to_string(list_sort(list_transform(list_distinct(p), lambda w: w || '=' || {LEXICON_SQL}[w] || 'x' || len(list_filter(p, lambda x: x = w)))), '|') AS entries,
+ md5(regexp_replace(text, '{EITHER}', '#', 'g')) AS between FROM (SELECT conv_id, turn, text, regexp_extract_all(text, '{EITHER}') AS p FROM conversations)""")
 def join_lexicon_longest(spark, sf_dir):
-    """The tokens of a text give the text back."""
+    """The entries matched in a text, each with its reading and how often it occurs, and the text with # in place of each match."""
     tokens = P.annotate_lexicon(F.col("text"), LEXICON)
-    return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.md5(F.array_join(F.transform(tokens, lambda t: t["text"]), "")).alias("plain"))
+    found = F.filter("tokens", lambda t: t["reading"].isNotNull())
+    each = F.transform(F.array_distinct(found), lambda e: F.concat(e["text"], F.lit("="), e["reading"], F.lit("x"), F.size(F.filter(found, lambda t: t["text"] == e["text"])).cast("string")))
+    between = F.array_join(F.transform("tokens", lambda t: F.when(t["reading"].isNull(), t["text"]).otherwise("#")), "")
+    return table(spark, sf_dir, "conversations").withColumn("tokens", tokens).select("conv_id", "turn", F.array_join(F.array_sort(each), "|").alias("entries"), F.md5(between).alias("between"))
 
 
 @query("""WITH r AS (SELECT l_orderkey, l_linenumber * 1000000 + l_partkey AS rid, l_quantity AS x, l_discount * 100 + 12 AS y FROM lineitem WHERE l_linenumber % 2 = 0), b AS (SELECT l_orderkey, l_linenumber * 1000000 + l_partkey AS bid, l_quantity AS x, l_discount * 100 AS y FROM lineitem WHERE l_linenumber % 2 = 1),
@@ -182,7 +183,13 @@ def empty_slot_reuse(spark, sf_dir):
     return p.join(candidates, ["p_brand", "p_type"]).select("p_partkey", "idx")
 
 
-@query("SELECT conv_id, turn, md5(regexp_replace(text, '^(…|\\.\\.\\.)', '')) AS out FROM conversations")
+@query(r"""WITH f AS (SELECT conv_id, turn, CASE WHEN turn = 0 THEN '  ' WHEN turn = 1 AND conv_id % 3 = 0 THEN '…' WHEN turn <= 2 AND conv_id % 3 < 2 THEN '……' || text ELSE text END AS s FROM conversations),
+w AS (SELECT conv_id, string_agg(s, '' ORDER BY turn) AS whole FROM f GROUP BY 1), m AS (SELECT conv_id, length(whole) - length(regexp_replace(whole, '^\s*…+', '')) AS cut FROM w),
+o AS (SELECT f.*, cut, coalesce(sum(length(s)) OVER (PARTITION BY f.conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS pos FROM f JOIN m USING (conv_id))
+SELECT conv_id, turn, md5(substr(s, CAST(least(length(s), greatest(0, cut - pos)) AS BIGINT) + 1)) AS out FROM o""".replace("\\\\", "\\"))
 def line_tokens(spark, sf_dir):
-    """Text without a leading ellipsis."""
-    return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.md5(F.regexp_replace("text", r"^(…|\.\.\.)", "")).alias("out"))
+    """Fragments (turns) of a line (conversation), some of which begin with white space and an ellipsis that spans the first ones."""
+    odd = F.col("conv_id") % 3
+    s = F.when(F.col("turn") == 0, "  ").when((F.col("turn") == 1) & (odd == 0), "…").when((F.col("turn") <= 2) & (odd < 2), F.concat(F.lit("……"), "text")).otherwise(F.col("text"))
+    out = P.line_tokens(table(spark, sf_dir, "conversations").select("conv_id", "turn", s.alias("s")), ["conv_id"], "turn", "s")
+    return out.select("conv_id", "turn", F.md5("s").alias("out"))

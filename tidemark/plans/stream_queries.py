@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.operators import log
+from tidemark.sources.shared import shared_folder
 from tidemark.sources.tables import EVENT_LOG_SQL, epoch
 from tidemark.streaming import live
 
@@ -32,12 +30,6 @@ def as_log(e: DataFrame) -> DataFrame:
     )
 
 
-def shared_folder(spark: SparkSession, what: str) -> str:
-    """A new folder that the driver and all executors see."""
-    top = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tidemark-")
-    return f"{top.rstrip('/')}/tidemark-{what}-{uuid.uuid4().hex}"
-
-
 def drained(out: DataFrame, mode: str) -> DataFrame:
     """Run a stream over what is there and return the table that its executors wrote: the last result in complete mode, else the rows of all micro-batches.
 

@@ -45,6 +45,11 @@ def s() -> Column:
     return F.col("s")
 
 
+def words_that(rule: Callable[[Column], Column]) -> Column:
+    """How many words of the whole text satisfy a rule of one word."""
+    return F.size(F.filter(F.split("s", " "), rule))
+
+
 HALF = f"translate(s, '{T.FULL}', '{T.HALF.replace(chr(39), chr(39) * 2)}')"
 HIRA = f"translate(s, '{T.KATAKANA}', '{T.HIRAGANA}')"
 
@@ -71,7 +76,7 @@ def escaped(x: str) -> str:
 scalar("to_half_width", lambda: T.to_half_width(s()), HALF)
 scalar("to_hiragana", lambda: T.to_hiragana(s()), HIRA)
 scalar("to_katakana", lambda: T.to_katakana(s()), f"translate(s, '{T.HIRAGANA}', '{T.KATAKANA}')")
-scalar("is_kana", lambda: T.is_kana(F.substring("s", 1, 2)), f"regexp_matches(s[1:2], '{T.KANA}')")
+scalar("is_kana", lambda: words_that(T.is_kana), f"len(list_filter(string_split(s, ' '), lambda w: regexp_matches(w, '{T.KANA}')))::INTEGER")
 scalar("kana_required", lambda: T.is_kana(s()), f"regexp_matches(s, '{T.KANA}')")
 scalar("strip_spaces", lambda: T.strip_spaces(s()), sub("s", SPACES))
 scalar("normalize_answer", lambda: T.normalize_answer(s()), normal("s"))
@@ -86,14 +91,14 @@ scalar("collapse_ws", lambda: T.collapse_ws(s()), trim(sub("s", f"{SPACES}+", "
 scalar("strip_brackets", lambda: T.strip_brackets(s()), sub(sub("s", r"^[［〔\[(（]"), r"[］〕\])）]\z"))
 scalar("extract_group", lambda: F.concat_ws("|", *T.extract_group(s(), ("本", "日", "そ"))), "CASE WHEN contains(s, '本') THEN '本|' || replace(s, '本', '') WHEN contains(s, '日') THEN '日|' || replace(s, '日', '') WHEN contains(s, 'そ') THEN 'そ|' || replace(s, 'そ', '') ELSE s END")
 scalar("first_ideograph", lambda: T.first_ideograph(s()).cast("int"), "CAST(CASE WHEN regexp_matches(s, '[日本]') THEN length(regexp_extract(s, '^([^日本]*)[日本]', 1)) ELSE -1 END AS INTEGER)")
-scalar("has_real_content", lambda: T.has_real_content(F.substring("s", -2, 2)), r"regexp_matches(right(s, 2), '[^\p{P}\p{Z}]')")
-scalar("is_pure_punctuation", lambda: T.is_pure_punctuation(F.substring("s", -1, 1)), rf"NOT regexp_matches(right(s, 1), '[^\p{{P}}\p{{Z}}]') AND {trim('right(s, 1)')} <> ''")
+scalar("has_real_content", lambda: words_that(T.has_real_content), r"len(list_filter(string_split(s, ' '), lambda w: regexp_matches(w, '[^\p{P}\p{Z}]')))::INTEGER")
+scalar("is_pure_punctuation", lambda: words_that(T.is_pure_punctuation), rf"len(list_filter(string_split(s, ' '), lambda w: NOT regexp_matches(w, '[^\p{{P}}\p{{Z}}]') AND {trim('w')} <> ''))::INTEGER")
 scalar("escape_html", lambda: T.escape_html(F.concat(F.lit("<&'\""), s())), escaped("'<&''\"' || s"))
 scalar("seeded_hash", lambda: T.seeded_hash(s()), f"CASE WHEN s = '' THEN {T.FNV_START} ELSE list_reduce(list_prepend({T.FNV_START}::BIGINT, list_transform(string_split(s, ''), lambda c: unicode(c)::BIGINT)), lambda h, c: (xor(h, c) * {T.FNV_PRIME}) % 4294967296) END")
 scalar("split_by_literals", lambda: F.array_join(F.transform(T.split_by_literals(s(), ("か", "さし")), lambda p: F.concat(p["text"], F.when(p["label"], "!").otherwise(""))), "|"), "array_to_string(list_transform(list_filter(string_split(replace(replace(s, 'か', chr(1) || 'か' || chr(1)), 'さし', chr(1) || 'さし' || chr(1)), chr(1)), lambda p: p <> ''), lambda p: p || CASE WHEN p IN ('か', 'さし') THEN '!' ELSE '' END), '|')")
 scalar("char_width", lambda: F.round(T.text_width(s(), F.lit(10.0)), 3), "list_sum(list_transform(string_split(s, ''), lambda c: CASE WHEN unicode(c) < 256 THEN 5.0::DOUBLE ELSE 10.0::DOUBLE END))")
 scalar("is_base_char", lambda: T.is_base_char(s()), r"regexp_matches(s, '^[々一-鿿\p{Nd}]')")
-scalar("usable_vocab", lambda: (F.coalesce(s(), F.lit("")) != "") & (F.coalesce(F.substring("raw", 3, 4), F.lit("")) != ""), "coalesce(s, '') <> '' AND coalesce(raw[3:6], '') <> ''")
+scalar("usable_vocab", lambda: (F.coalesce(s(), F.lit("")) != "") & (F.coalesce(F.regexp_replace("raw", "[a-z .,]+|\\n", ""), F.lit("")) != ""), "coalesce(s, '') <> '' AND coalesce(regexp_replace(raw, '[a-z .,]+|\\n', '', 'g'), '') <> ''")
 scalar("word_items", lambda: F.concat(F.col("raw"), F.when(F.col("turn") % 2 == 0, ":zh2jp").otherwise("")).endswith(":zh2jp"), "turn % 2 = 0 OR ends_with(raw, ':zh2jp')")
 scalar("row_complete", lambda: T.row_complete(F.concat(s(), F.when(F.col("turn") % 3 == 0, "{S}").otherwise("")), F.when(F.col("turn") % 2 == 0, s())), r"turn % 3 <> 0 OR (turn % 2 = 0 AND s <> '')")
 scalar("section_title", lambda: F.regexp_replace("s", f"{SPACES}+", ""), sub("s", f"{SPACES}+"))
@@ -104,12 +109,21 @@ scalar("concepts_for", lambda: F.array_join(F.concat(C.word_concepts(F.col("raw"
 scalar("present_opts", lambda: F.exists(F.array(F.col("raw"), F.concat("raw", F.when(F.col("turn") % 3 == 0, ":reading").otherwise(""))), lambda c: c.endswith(":reading")), "turn % 3 = 0 OR ends_with(raw, ':reading')")
 
 
+def own_marks() -> Column:
+    """Two marks of a text: what stands at one place, marked there or one or two places on, and a full stop where the first one is."""
+    at, moved = (F.col("conv_id") % 7).cast("int"), (F.col("turn") % 3).cast("int")
+    first = F.struct((at + moved).alias("at"), F.substring("s", at + 1, F.lit(1)).alias("base"), F.lit("x").alias("kana"))
+    stop = F.struct((F.instr("s", "。") - 1).alias("at"), F.lit("。").alias("base"), F.lit("x").alias("kana"))
+    return F.array(first, stop)
+
+
 def tail() -> Column:
     return F.array(*[F.struct(F.lit(at).alias("at"), F.lit(base).alias("base"), F.lit(kana).alias("kana")) for at, base, kana in ((4, "x", "ス"), (1, "え", "エ"), (0, "T", "テ"))])
 
 
 scalar("annotate_marks", lambda: F.array_join(F.transform(T.annotate_marks(F.concat(F.lit("Tえ "), s()), tail()), lambda t: F.concat(t["text"], F.coalesce(F.concat(F.lit("["), t["reading"], F.lit("]")), F.lit("")))), "|"), "'T[テ]|え[エ]| ' || CASE WHEN s[2:2] = 'x' THEN s[1:1] || '|x[ス]' || CASE WHEN length(s) > 2 THEN '|' || s[3:] ELSE '' END ELSE s END")
-scalar("marks_apply_cleanly", lambda: T.marks_apply_cleanly(F.concat(F.lit("Tえ"), s()), F.slice(tail(), 2, 2)), "true")
+MISPLACED = "s[conv_id % 7 + turn % 3 + 1]"
+scalar("marks_apply_cleanly", lambda: T.marks_apply_cleanly(s(), own_marks()), f"coalesce({MISPLACED}, '') = coalesce(s[conv_id % 7 + 1], '') AND contains(s, '。')")
 scalar("ruby_html", lambda: T.ruby_html(F.array(F.struct(F.col("raw").alias("text"), F.when(F.col("turn") % 2 == 0, s()).alias("reading"))), F.col("turn") % 3 == 0), f"CASE WHEN turn % 2 <> 0 THEN {escaped('raw')} WHEN turn % 3 = 0 THEN '<ruby>' || {escaped('raw')} || '</ruby>' ELSE '<ruby>' || {escaped('raw')} || '<rt>' || {escaped('s')} || '</rt></ruby>' END")
 
 
