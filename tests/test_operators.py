@@ -148,6 +148,45 @@ def test_folds(spark):
     assert sorted(map(tuple, layout.continuation_append(rows, ["page"], "place", "kind", "text").collect())) == [(1, 1, "ab"), (1, 5, "d")]
 
 
+def test_nested_fragments(spark):
+    """Fragments inside others, two levels down, and two that begin at one place."""
+    from tidemark.operators import tables
+
+    rows = [(1, 1, "AAAA", 0.0), (1, 2, "bbb", 2.5), (1, 3, "c", 3.0), (2, 1, "xy", 0.0), (2, 2, "zw", 0.0), (3, 1, "", 1.0), (3, 2, "ok", 1.0)]
+    got = tables.line_text(spark.createDataFrame(rows, "page int, seq int, text string, x double").withColumn("size", F.lit(2.0)), ["page"], "seq", "text", "x", "size")
+    assert sorted(map(tuple, got.collect())) == [(1, "AAAbcbbA"), (2, "xyzw"), (3, "ok")]
+
+
+def test_segments_and_example_lines(spark):
+    from tidemark.operators import tables
+
+    rows = spark.createDataFrame([(1, 1, "ab  c ", 0.0), (1, 2, "d", 30.0), (1, 3, " e", 60.0), (2, 1, "   ", 0.0)], "line int, seq int, text string, x double").withColumn("size", F.lit(10.0))
+    assert sorted(map(tuple, tables.fine_segments(rows, ["line"], "seq", "text", "x", "size").collect())) == [(1, 0, 0.0, "ab"), (1, 1, 20.0, "c d"), (1, 2, 60.0, "e")]
+    lines = [(1, 1, " ", 0.0), (1, 2, "① これ", 9.0), (1, 3, "这个", 99.0), (2, 1, "这个", 0.0), (2, 2, "①", 50.0), (3, 1, "これ", 0.0), (3, 2, "それ", 90.0), (4, 1, "か", 0.0)]
+    made = tables.split_example_line(spark.createDataFrame(lines, "line int, seq int, text string, x double").withColumn("size", F.lit(10.0)), ["line"], "seq", "text", "x", "size", True)
+    assert sorted(map(tuple, made.collect())) == [(1, "これ", "这个"), (2, "", "这个①"), (3, "これそれ", ""), (4, "か", "")]
+
+
+def test_rows_of_tables(spark):
+    from tidemark.operators import tables
+
+    cells = "array<array<struct<x:double,text:string>>>"
+    rows = [(1, 1, [[(10.0, "a")], [(100.0, "b")]]), (1, 2, [[(12.0, "a"), (95.0, "b")], []]), (1, 3, [[(11.0, "a"), (40.0, "a2")], []]), (2, 1, [[], []])]
+    out = tables.redistribute_slots(spark.createDataFrame(rows, f"tab int, row int, cells {cells}"), ["tab"], "row", "cells", F.array(F.lit(10.0), F.lit(100.0)), [1])
+    assert sorted((r["tab"], r["row"], [[s["text"] for s in c] for c in r["cells"]]) for r in out.collect()) == [(1, 1, [["a"], ["b"]]), (1, 2, [["a"], ["b"]]), (1, 3, [["a", "a2"], []]), (2, 1, [[], []])]
+    forms = [(1, 1, ["t", "i", "d", "t", "k", "d"]), (1, 2, ["o", "i", "d", "o", "k", "d"]), (1, 3, ["i", "i", "d", "y", "k", "d"]), (1, 4, ["alone"])]
+    out = tables.conjugation_forms(spark.createDataFrame(forms, "tab int, row int, texts array<string>"), ["tab"], "row", "texts")
+    assert sorted((r["row"], r["forms"]) for r in out.collect()) == [(1, ["tid", "tkd"]), (2, ["oid", "okd"]), (3, ["iid", "ykd"])]
+    ask = lambda values, start: one(spark, tables.reconstruct_question(F.array(*map(F.lit, ["本屋は", "えきの", "ちかく", "に", "あります。"])), F.create_map(*[F.lit(x) for kv in values.items() for x in kv]), F.lit(start), F.array(F.lit(1), F.lit(2))))[0]
+    assert ask({1: "どこ"}, 3) == "本屋はどこにありますか。" and ask({2: "どこ"}, 3) == "本屋はえきのどこにありますか。" and ask({1: "どこ"}, None) is None
+
+
+def test_numbering_in_ranges(spark):
+    rows = spark.createDataFrame([(("a", "b", None)[k % 3], 1000 - k, k) for k in range(300)], "d string, t int, n int")
+    got = log.numbered(rows, "d", ["t", "n"], "place", per_range=2).collect()
+    assert all(r["place"] == 1 + sum(1 for q in got if q["d"] == r["d"] and q["t"] < r["t"]) for r in got) and len(got) == 300
+
+
 def test_checks(spark):
     rows = spark.createDataFrame([(1, 1), (1, 2), (2, 2), (3, None), (4, 1), (4, 1)], "k int, n int")
     assert sorted(r["k"] for r in checks.broken_numbering(rows, ["k"], "n").collect()) == [2, 4]

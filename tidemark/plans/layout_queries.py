@@ -93,19 +93,28 @@ def adjacent_match(spark, sf_dir):
     return L.adjacent_match(rows, ["l_orderkey"], "l_linenumber", F.col("l_quantity") > 25).select("l_orderkey", "l_linenumber", F.coalesce("other", F.lit(-1)).alias("other"))
 
 
-@query()
+@query("""WITH RECURSIVE o AS (SELECT l_orderkey, l_linenumber AS seq, l_extendedprice / 10000 AS y, row_number() OVER (PARTITION BY l_orderkey ORDER BY -(l_extendedprice / 10000), l_linenumber) AS k FROM lineitem),
+t AS (SELECT l_orderkey, k, seq, y AS anchor, 1 AS line FROM o WHERE k = 1 UNION ALL
+ SELECT o.l_orderkey, o.k, o.seq, CASE WHEN abs(o.y - anchor) > 2 THEN o.y ELSE anchor END, line + CASE WHEN abs(o.y - anchor) > 2 THEN 1 ELSE 0 END FROM o JOIN t ON o.l_orderkey = t.l_orderkey AND o.k = t.k + 1)
+SELECT l_orderkey, seq, line FROM t""")
 def line_cluster(spark, sf_dir):
     rows = lines(spark, sf_dir).select("l_orderkey", (F.col("l_extendedprice") / 10000).alias("y"), F.col("l_linenumber").alias("seq"))
     return L.line_cluster(rows, ["l_orderkey"], "y", "seq")
 
 
-@query()
+@query("""WITH RECURSIVE o AS (SELECT l_orderkey, l_partkey AS place, l_linenumber AS number, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_partkey, l_linenumber) AS k FROM lineitem),
+t AS (SELECT l_orderkey, k, place, number, number = 1 AS hit, CASE WHEN number = 1 THEN 2 ELSE 1 END AS expected FROM o WHERE k = 1 UNION ALL
+ SELECT o.l_orderkey, o.k, o.place, o.number, o.number = expected, expected + CASE WHEN o.number = expected THEN 1 ELSE 0 END FROM o JOIN t ON o.l_orderkey = t.l_orderkey AND o.k = t.k + 1)
+SELECT l_orderkey, place, number FROM t WHERE hit""")
 def contiguous_numbering(spark, sf_dir):
     rows = lines(spark, sf_dir).select("l_orderkey", F.col("l_partkey").alias("place"), F.col("l_linenumber").alias("number"))
     return L.contiguous_numbering(rows, ["l_orderkey"], "place", "number")
 
 
-@query()
+@query("""WITH RECURSIVE o AS (SELECT conv_id, turn, text, CASE WHEN role = 'user' THEN 'entry' WHEN length(text) % 4 > 0 THEN 'more' ELSE 'other' END AS kind, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS k FROM conversations),
+t AS (SELECT conv_id, k, turn, text, CASE WHEN kind = 'entry' THEN turn END AS entry FROM o WHERE k = 1 UNION ALL
+ SELECT o.conv_id, o.k, o.turn, o.text, CASE o.kind WHEN 'entry' THEN o.turn WHEN 'more' THEN entry END FROM o JOIN t ON o.conv_id = t.conv_id AND o.k = t.k + 1)
+SELECT conv_id, entry AS turn, string_agg(text, '' ORDER BY k) AS text FROM t WHERE entry IS NOT NULL GROUP BY 1, 2""")
 def continuation_append(spark, sf_dir):
     kind = F.when(F.col("role") == "user", "entry").when(F.length("text") % 4 > 0, "more").otherwise("other")
     return L.continuation_append(turns(spark, sf_dir).withColumn("kind", kind), ["conv_id"], "turn", "kind", "text")
