@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidemark.functions import rules as R
+from tidemark.functions import text as T
 from tidemark.operators import items as I
 from tidemark.sources.tables import table
 
@@ -47,12 +48,24 @@ def gen_recall(spark, sf_dir):
     return out.select("id", "lesson", "prompt", "answer", *[F.array_join(c, "|").alias(c) for c in ("alternatives", "covers", "skills")])
 
 
-@query()
+def shuffled(name: str, rows: str) -> str:
+    """Two table expressions: `name` holds rows (k, seed, v) with v in the order that the generator gives, swaps from the end."""
+    return f"""{name}_steps(k, i, s, v) AS (SELECT k, len(v) - 1, seed::BIGINT, v FROM {rows} UNION ALL
+ SELECT k, i - 1, (s * {I.STEP} + {I.ADD}) % 4294967296, list_transform(v, lambda x, p: CASE WHEN p = i + 1 THEN v[(s * {I.STEP} + {I.ADD}) % 4294967296 % (i + 1) + 1] WHEN p = (s * {I.STEP} + {I.ADD}) % 4294967296 % (i + 1) + 1 THEN v[i + 1] ELSE x END) FROM {name}_steps WHERE i > 0),
+{name} AS (SELECT k, v FROM {name}_steps WHERE i <= 0)"""
+
+
+@query(f"""WITH RECURSIVE {VOCAB}, w AS (SELECT *, 'recall:' || kana || CASE WHEN count(*) OVER (PARTITION BY kana) > 1 THEN ':L' || lesson || '-' || no ELSE '' END || ':jp2zh' AS id FROM v),
+o AS (SELECT id, gloss, list_sort(list_filter(pool, lambda g: g <> gloss)) AS others FROM w JOIN (SELECT lesson, list(DISTINCT gloss) AS pool FROM v GROUP BY 1) p ON w.lesson = p.lesson WHERE len(pool) > 3),
+h AS (SELECT *, list_reduce(list_prepend({T.FNV_START}::BIGINT, list_transform(string_split(id, ''), lambda c: unicode(c)::BIGINT)), lambda h, c: (xor(h, c) * {T.FNV_PRIME}) % 4294967296) AS seed FROM o),
+r1 AS (SELECT id AS k, seed, others AS v FROM h), {shuffled("a", "r1")}, r2 AS (SELECT id AS k, xor(seed, {I.SECOND}::BIGINT) AS seed, list_prepend(gloss, a.v[:3]) AS v FROM h JOIN a ON id = a.k), {shuffled("b", "r2")}
+SELECT id, gloss AS answer, array_to_string(b.v, '|') AS choices FROM h JOIN b ON id = b.k""")
 def choices4(spark, sf_dir):
     return I.recall(vocab(spark, sf_dir)).filter("choices IS NOT NULL").select("id", "answer", F.array_join("choices", "|").alias("choices"))
 
 
-@query()
+@query(f"""WITH RECURSIVE r AS (SELECT l_orderkey AS k, l_orderkey AS seed, list(l_partkey ORDER BY l_partkey) AS v FROM lineitem GROUP BY 1), {shuffled("a", "r")}
+SELECT k AS l_orderkey, array_to_string(v, ',') AS parts FROM a""")
 def seeded_shuffle(spark, sf_dir):
     rows = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.sort_array(F.collect_list("l_partkey")).alias("parts"))
     return rows.select("l_orderkey", F.array_join(I.seeded_shuffle(F.col("parts"), F.col("l_orderkey")), ",").alias("parts"))
