@@ -187,6 +187,12 @@ def test_numbering_in_ranges(spark):
     assert all(r["place"] == 1 + sum(1 for q in got if q["d"] == r["d"] and q["t"] < r["t"]) for r in got) and len(got) == 300
 
 
+def test_lists_are_bounded(spark):
+    rows = spark.createDataFrame([(k, ["all", f"e{k % 2}"]) for k in range(25)], "k int, names array<string>")
+    got = {(r["element"], r["chunk"]): r["keys"] for r in mastery.inverted(rows, "names", F.col("k"), bound=10).collect()}
+    assert got == {("all", 0): list(range(10)), ("all", 1): list(range(10, 20)), ("all", 2): list(range(20, 25)), ("e0", 0): list(range(0, 20, 2)), ("e0", 1): [20, 22, 24], ("e1", 0): list(range(1, 20, 2)), ("e1", 1): [21, 23]}
+
+
 def test_checks(spark):
     rows = spark.createDataFrame([(1, 1), (1, 2), (2, 2), (3, None), (4, 1), (4, 1)], "k int, n int")
     assert sorted(r["k"] for r in checks.broken_numbering(rows, ["k"], "n").collect()) == [2, 4]

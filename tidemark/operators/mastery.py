@@ -6,6 +6,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tidemark.operators.log import numbered
+
+#: Values of a key that are listed in one row.
+LIST = 1000
+
 
 def scope_state(scope: DataFrame, state: DataFrame, on: str) -> DataFrame:
     """Every key in scope with its state; never attempted ones have a 0 and reps 0."""
@@ -49,9 +54,15 @@ def collision_suffix(rows: DataFrame, key: str, suffix: Column) -> Column:
     return F.when(F.count("*").over(W.partitionBy(key)) > 1, F.concat(F.col(key), F.lit(":"), suffix)).otherwise(F.col(key))
 
 
-def inverted(rows: DataFrame, array: str, key: Column) -> DataFrame:
-    """Element -> keys that name it, in order."""
-    return rows.select(F.explode(array).alias("element"), key.alias("key")).groupBy("element").agg(F.sort_array(F.collect_list("key")).alias("keys"))
+def listed(rows: DataFrame, key: str, order: list[str], value: Column, name: str, bound: int = LIST) -> DataFrame:
+    """key, chunk (from 0), name: the values of each key in order, `bound` to a row, so that no row grows with a key."""
+    told = numbered(rows, key, order, "_n").select(key, F.floor((F.col("_n") - 1) / bound).cast("bigint").alias("chunk"), "_n", value.alias("_value"))
+    return told.groupBy(key, "chunk").agg(F.transform(F.sort_array(F.collect_list(F.struct("_n", "_value"))), lambda r: r["_value"]).alias(name))
+
+
+def inverted(rows: DataFrame, array: str, key: Column, bound: int = LIST) -> DataFrame:
+    """Element -> keys that name it, in order: element, chunk, keys (see listed)."""
+    return listed(rows.select(F.explode(array).alias("element"), key.alias("key")), "element", ["key"], F.col("key"), "keys", bound)
 
 
 def lexicon(readings: DataFrame) -> DataFrame:

@@ -291,17 +291,17 @@ def gloss_pool(spark, sf_dir):
     return table(spark, sf_dir, "part").groupBy(F.col("p_brand").alias("lesson")).agg(F.array_join(F.sort_array(F.collect_set("p_type")), "|").alias("pool"))
 
 
-@query("SELECT e AS element, string_agg(CAST(p_partkey AS VARCHAR), '|' ORDER BY p_partkey) AS keys FROM (SELECT p_partkey, unnest([p_brand, p_type]) AS e FROM part) GROUP BY 1")
+@query("SELECT e AS element, (k - 1) // 1000 AS chunk, string_agg(CAST(p_partkey AS VARCHAR), '|' ORDER BY p_partkey) AS keys FROM (SELECT *, row_number() OVER (PARTITION BY e ORDER BY p_partkey) AS k FROM (SELECT p_partkey, unnest([p_brand, p_type]) AS e FROM part)) GROUP BY 1, 2")
 def invert_index(spark, sf_dir):
     part = table(spark, sf_dir, "part").select("p_partkey", F.array("p_brand", "p_type").alias("names"))
-    return mastery.inverted(part, "names", F.col("p_partkey")).select("element", F.array_join("keys", "|").alias("keys"))
+    return mastery.inverted(part, "names", F.col("p_partkey")).select("element", "chunk", F.array_join("keys", "|").alias("keys"))
 
 
-@query("WITH p AS (SELECT e, string_agg(CAST(p_partkey AS VARCHAR), '|' ORDER BY p_partkey) AS ks FROM (SELECT p_partkey, p_brand AS e FROM part WHERE p_size > 40) GROUP BY 1) SELECT b AS pattern, coalesce(ks, 'g:' || b) AS concepts FROM (SELECT DISTINCT p_brand AS b FROM part) LEFT JOIN p ON b = e")
+@query("WITH p AS (SELECT e, (k - 1) // 1000 AS chunk, string_agg(CAST(p_partkey AS VARCHAR), '|' ORDER BY p_partkey) AS ks FROM (SELECT p_partkey, p_brand AS e, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) AS k FROM part WHERE p_size > 40) GROUP BY 1, 2) SELECT b AS pattern, coalesce(chunk, 0) AS chunk, coalesce(ks, 'g:' || b) AS concepts FROM (SELECT DISTINCT p_brand AS b FROM part) LEFT JOIN p ON b = e")
 def join_pattern_concepts(spark, sf_dir):
     part = table(spark, sf_dir, "part").select("p_partkey", "p_brand", "p_size")
     told = mastery.inverted(part.filter("p_size > 40").withColumn("names", F.array("p_brand")), "names", F.col("p_partkey")).withColumnRenamed("element", "pattern")
-    return part.select(F.col("p_brand").alias("pattern")).distinct().join(told, "pattern", "left").select("pattern", F.coalesce(F.array_join("keys", "|"), F.concat(F.lit("g:"), F.col("pattern"))).alias("concepts"))
+    return part.select(F.col("p_brand").alias("pattern")).distinct().join(told, "pattern", "left").select("pattern", F.coalesce("chunk", F.lit(0)).alias("chunk"), F.coalesce(F.array_join("keys", "|"), F.concat(F.lit("g:"), F.col("pattern"))).alias("concepts"))
 
 
 @query("SELECT base, CASE WHEN n = 1 THEN ks END AS auto, CASE WHEN n > 1 THEN ks END AS ambiguous FROM (SELECT source || '-' || n_chars % 100 AS base, count(DISTINCT lang) AS n, string_agg(DISTINCT lang, '|' ORDER BY lang) AS ks FROM documents GROUP BY 1)")
@@ -395,13 +395,13 @@ def pick_playback(spark, sf_dir):
     return schedule.pick_playback(_ranked(spark, sf_dir), 2.0, _u()).select("i")
 
 
-@query("SELECT l_partkey, string_agg(CAST(l_orderkey AS VARCHAR), ',' ORDER BY l_orderkey, l_linenumber) AS orders FROM lineitem JOIN part ON l_partkey = p_partkey AND p_size = 1 GROUP BY 1")
+@query("SELECT l_partkey, (k - 1) // 1000 AS chunk, string_agg(CAST(l_orderkey AS VARCHAR), ',' ORDER BY k) AS orders FROM (SELECT *, row_number() OVER (PARTITION BY l_partkey ORDER BY l_orderkey, l_linenumber) AS k FROM lineitem JOIN part ON l_partkey = p_partkey AND p_size = 1) GROUP BY 1, 2")
 def join_vocab_verbs(spark, sf_dir):
     """Inner join with a dimension: lines of unlisted parts drop out."""
     lines = table(spark, sf_dir, "lineitem").select("l_partkey", "l_orderkey", "l_linenumber")
     some = table(spark, sf_dir, "part").filter("p_size = 1").select(F.col("p_partkey").alias("l_partkey"))
-    kept = lines.join(some, "l_partkey").groupBy("l_partkey").agg(F.sort_array(F.collect_list(F.struct("l_orderkey", "l_linenumber"))).alias("o"))
-    return kept.select("l_partkey", F.array_join(F.transform("o", lambda x: x["l_orderkey"].cast("string")), ",").alias("orders"))
+    kept = mastery.listed(lines.join(some, "l_partkey"), "l_partkey", ["l_orderkey", "l_linenumber"], F.col("l_orderkey").cast("string"), "orders")
+    return kept.withColumn("orders", F.array_join("orders", ","))
 
 
 @query("SELECT n, strftime(make_timestamp(t * 1000000), '%Y-%m-%dT%H:%M:%S.000Z') AS iso FROM (SELECT event_id AS n, CAST(floor(epoch(ts)) AS BIGINT) AS t FROM events)")
