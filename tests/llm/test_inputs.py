@@ -84,6 +84,23 @@ def test_no_rows(spark, name):
     assert OPERATORS[name](spark, documents(spark, [])).count() == 0
 
 
+LONG = "\n".join(f"Line {k % 700} of a very long text, which says {k % 13} things in {k % 17} words and no more." for k in range(20_000))
+
+
+@pytest.mark.parametrize("name", sorted(OPERATORS))
+def test_very_long_texts_and_repeated_rows(spark, name):
+    """A text of 1.5 MB, twice, and rows repeated many times: each row gets an answer, equal rows the same one."""
+    rows = [(1, LONG, "en", "s1"), (2, LONG, "en", "s2")] + [(3, "Some words that are repeated in many rows.", "en", "s1")] * 300 + [(None, None, None, None)] * 3
+    out = OPERATORS[name](spark, documents(spark, rows).repartition(3)).collect()
+    if name in ("emitted", "one_of_each"):
+        assert len(out) == (5 if name == "one_of_each" else len(out))
+        return
+    assert len(out) == len(rows)
+    assert sum(r["doc_id"] is None for r in out) == 3
+    own = [c for c in out[0].__fields__ if c not in ("start", "part", "block", "shard", "slot", "takes", "rid", "row", "first")]
+    assert len({str([r[c] for c in own]) for r in out if r["doc_id"] == 3}) == 1
+
+
 @pytest.mark.parametrize("name", [n for n, _ in corpus_pipeline.STAGES])
 def test_stages_on_odd_inputs(spark, name):
     stage = dict(corpus_pipeline.STAGES)[name]

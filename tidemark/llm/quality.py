@@ -10,6 +10,8 @@ from tidemark.llm.common import SPACE_CHARS, ascii_lower, kept_columns, private,
 WINDOW = 8
 SYMBOLS = "#*$%&|<>"
 SEPARATORS = "|›>•·"
+#: Lines without any of these need not be counted.
+ANY_COUNTED = "[!?#*$%&|<>›•·]"
 #: What may end a sentence or the quotation that ends with it.
 ENDS = r"""[.!?…:;"'”’»)\]。！？][\x20\x09-\x0D]*\z"""
 #: Words of site furniture, in short lines.
@@ -27,13 +29,8 @@ def count_of(text: Column, chars: str) -> Column:
 def line_fails(line: Column, n: Column) -> Column:
     """Whether a line of n words fails: a short one that does not end like a sentence; shouting; symbols; menus; site furniture."""
     symbols, bangs, separators = count_of(line, SYMBOLS), count_of(line, "!?"), count_of(line, SEPARATORS)
-    return (
-        ((n < SHORT) & ~line.rlike(ENDS))
-        | ((n >= 3) & (bangs > n))
-        | ((n >= 3) & (symbols * 2 > n))
-        | ((separators >= 2) & (separators * 3 > n))
-        | ((n <= FURNITURE) & ascii_lower(line).rlike(BOILERPLATE))
-    )
+    counted = ((n >= 3) & (bangs > n)) | ((n >= 3) & (symbols * 2 > n)) | ((separators >= 2) & (separators * 3 > n))
+    return ((n < SHORT) & ~line.rlike(ENDS)) | (line.rlike(ANY_COUNTED) & counted) | ((n <= FURNITURE) & ascii_lower(line).rlike(BOILERPLATE))
 
 
 def repeat_words(words: str, hashes: str, windows: str, placed: str) -> list[tuple[str, Column]]:
