@@ -35,24 +35,34 @@ def item_state(events: DataFrame) -> DataFrame:
     return answers_only(events).groupBy("i").agg(F.max("t").alias("last_sec"), F.count("*").alias("reps"))
 
 
-def concept_state(attempts: DataFrame, keys: list[str], order: list[Column], hit: Column, history: int = HISTORY) -> DataFrame:
-    """Share of hits in the last `history` attempts for each key, and all attempts.
+def latest(rows: DataFrame, keys: list[str], order: list[Column], history: int = HISTORY) -> DataFrame:
+    """The first `history` rows of each key in this order; the window's group limit cuts the others before the shuffle."""
+    return rows.withColumn("_k", F.row_number().over(W.partitionBy(*keys).orderBy(*order))).filter(F.col("_k") <= history).drop("_k")
 
-    order: newest first and total. Hits are summed as integers and divided once, so that every engine gets the same double. The
-    attempts kept for a key are cut by the window's group limit before the shuffle; the count is a partial aggregate beside it.
-    """
-    w = W.partitionBy(*keys).orderBy(*order)
-    last = attempts.withColumn("_hit", hit.cast("int")).withColumn("_k", F.row_number().over(w)).filter(F.col("_k") <= history)
-    score = last.groupBy(*keys).agg(F.sum("_hit").alias("hits"), F.count("*").alias("seen"))
+
+def hit_share(attempts: DataFrame, keys: list[str], order: list[Column], hit: Column, history: int = HISTORY) -> DataFrame:
+    """keys, a: share of hits in the last `history` attempts. Hits are summed as integers and divided once, so that every engine gets the same double."""
+    last = latest(attempts.withColumn("_hit", hit.cast("int")), keys, order, history)
+    return last.groupBy(*keys).agg((F.sum("_hit") / F.count("*")).alias("a"))
+
+
+def concept_state(attempts: DataFrame, keys: list[str], order: list[Column], hit: Column, history: int = HISTORY) -> DataFrame:
+    """Share of hits in the last `history` attempts for each key, and all attempts. order: newest first and total."""
     reps = attempts.groupBy(*keys).agg(F.count("*").alias("reps"))
-    return score.join(reps, keys).select(*keys, (F.col("hits") / F.col("seen")).alias("a"), "reps")
+    return hit_share(attempts, keys, order, hit, history).join(reps, keys).select(*keys, "a", "reps")
 
 
 def replay(events: DataFrame, bridge: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(item state, concept state) of a log. bridge: i, covers (array; a concept named twice counts twice); items without a row
-    there have item state only."""
-    told = answers_only(events).join(bridge, "i").select("t", "n", "d", "g", F.explode("covers").alias("concept"))
-    return item_state(events), concept_state(told, ["concept"], event_order(desc=True), F.col("g") >= 2)
+    there have item state only.
+
+    A concept's last attempts are among the last ones of its items, and its number of attempts is the sum of theirs: so each item is cut
+    and counted before its events are multiplied by what it covers.
+    """
+    state, order = item_state(events), event_order(desc=True)
+    told = latest(answers_only(events), ["i"], order).join(bridge, "i").select("t", "n", "d", "g", F.explode("covers").alias("concept"))
+    reps = state.join(bridge, "i").select("reps", F.explode("covers").alias("concept")).groupBy("concept").agg(F.sum("reps").alias("reps"))
+    return state, hit_share(told, ["concept"], order, F.col("g") >= 2).join(reps, "concept").select("concept", "a", "reps")
 
 
 def last_flags(events: DataFrame) -> DataFrame:
