@@ -75,7 +75,7 @@ def recall(vocab: DataFrame) -> DataFrame:
 def transform(vocab: DataFrame, verbs: DataFrame) -> DataFrame:
     """Verb forms: words (lesson, pos, kana, kanji) whose first spelling is in verbs (cite, group, reading), the earliest of each; unlisted ones give none."""
     cite = F.coalesce(F.get(T.split_forms(F.col("kanji")), F.lit(0)), F.col("kana"))
-    rows = first_per_key(vocab.withColumn("cite", cite), ["cite"], [F.col("lesson"), F.col("pos")]).join(F.broadcast(verbs), "cite")
+    rows = first_per_key(vocab.withColumn("cite", cite), ["cite"], [F.col("lesson"), F.col("pos")]).join(verbs, "cite")
     rows = rows.withColumn("form", F.explode(F.array(*[F.lit(f) for f in R.VERB_FORMS if f != "masu"])))
     answer, kana = R.conjugate(F.col("cite"), F.col("group"), F.col("form")), R.conjugate(F.col("reading"), F.col("group"), F.col("form"))
     others = F.transform(F.filter(T.split_forms(F.col("kanji")), lambda x, k: k > 0), lambda x: R.conjugate(x, F.col("group"), F.col("form")))
@@ -89,7 +89,7 @@ def adjectives(vocab: DataFrame, table: DataFrame) -> DataFrame:
     """Adjective forms, likewise; table: cite, kind (i or na), reading."""
     forms = T.adj_forms(F.coalesce(F.nullif("kanji", F.lit("")), "kana"))
     rows = vocab.withColumn("forms", forms).withColumn("cite", F.get("forms", F.lit(0))).filter("cite IS NOT NULL")
-    rows = first_per_key(rows, ["cite"], [F.col("lesson"), F.col("pos")]).join(F.broadcast(table), "cite")
+    rows = first_per_key(rows, ["cite"], [F.col("lesson"), F.col("pos")]).join(table, "cite")
     rows = rows.withColumn("form", F.explode(F.array(*[F.lit(f) for f in R.ADJECTIVE_FORMS if f != "plain"])))
     own = [F.col("cite"), F.col("reading")]
     answer = R.conjugate_adjective(F.col("cite"), F.col("kind"), F.col("form"))

@@ -96,7 +96,7 @@ def numbered(rows: DataFrame, key: str | None, order: list[str], name: str, per_
     place = F.struct(*order)
     drawn = rows.select(*order).orderBy(F.xxhash64(*order)).limit(per_range * ranges).agg(F.sort_array(F.collect_list(place)).alias("_cuts"))
     cuts = spark.createDataFrame([(drawn.head()["_cuts"][per_range::per_range],)], drawn.schema)
-    rows = rows.crossJoin(F.broadcast(cuts)).withColumn("_range", F.size(F.filter("_cuts", lambda c: c <= place))).drop("_cuts")
+    rows = rows.withColumn("_cuts", cuts.scalar()).withColumn("_range", F.size(F.filter("_cuts", lambda c: c <= place)))
     held = rows.groupBy(*keys, "_range").agg(F.count("*").alias("_n"))
     before = held.select(*[F.col(k).alias("_key") for k in keys], F.col("_range").alias("_same"), (F.sum("_n").over(W.partitionBy(*keys).orderBy("_range")) - F.col("_n")).alias("_before"))
     rows = rows.withColumn("_k", F.row_number().over(W.partitionBy(*keys, "_range").orderBy(*order)))
