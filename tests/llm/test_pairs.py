@@ -4,9 +4,12 @@ import random
 import re
 from collections import Counter
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from tidemark.llm import blocks
 from tidemark.llm.decontaminate import decontaminate
 from tidemark.llm.line_dedup import dedup_lines
 from tidemark.llm.ngram_join import join_components, one_of_each
@@ -169,6 +172,34 @@ def test_remove_repeats(spark, length, block_bytes):
     assert sorted(((r["doc_id"], bytes(r["kept"]), r["n_bytes"], r["n_removed"], r["n_spans"]) for r in got), key=str) == plain_repeats(rows, length)
 
 
+def test_names_that_share_their_first_half(spark, monkeypatch):
+    """Collisions in 64 bits: only the other 64 tell strings apart."""
+    h = np.array([[5, 1], [5, 2], [5, 1], [7, 0]], np.uint64)
+    u, place, counts = blocks.distinct(h, None, 16)
+    assert u.tolist() == [[5, 1], [5, 2], [7, 0]] and place.tolist() == [0, 1, 0, 2] and counts.tolist() == [2, 1, 1]
+    monkeypatch.setattr(blocks.Strings, "wide_at", lambda self, starts, length: np.stack([np.zeros(len(starts), np.uint64), self._hash(starts, length, blocks.BASE_2)], 1))
+    rows = [(k, "".join(random.Random(k % 7).choice("abcdé ") for _ in range(700)) + "x" * (k % 3)) for k in range(12)]
+    got = remove_repeats(frame(spark, rows), 200, 3000).collect()
+    assert sorted(((r["doc_id"], bytes(r["kept"]), r["n_bytes"], r["n_removed"], r["n_spans"]) for r in got), key=str) == plain_repeats(rows, 200)
+
+
+@pytest.mark.parametrize("partition", [0, 1 << 19, (1 << 26) - 1])
+def test_numbers_fit_whatever_the_partition(monkeypatch, partition):
+    from types import SimpleNamespace
+
+    monkeypatch.setattr(blocks, "TaskContext", SimpleNamespace(get=lambda: SimpleNamespace(partitionId=lambda: partition)))
+    texts = pa.RecordBatch.from_arrays([pa.array(range(500)), pa.array(["text"] * 500), pa.array([b"r"] * 500, pa.binary())], names=["doc_id", "text", "row"])
+    made = [b for out in blocks._pack(1000)([texts]) for b in out.to_pylist()]
+    rids = [(b["block"] << blocks.DOC_BITS) + k for b in made for k in range(len(b["doc_ids"]))]
+    assert len(set(rids)) == 500 and rids == sorted(rids) and 0 <= rids[0] and rids[-1] < 1 << 63
+
+
+def test_buckets_follow_the_bytes(spark, monkeypatch):
+    monkeypatch.setattr(blocks, "BUCKET_BYTES", 100)
+    packed = blocks.packed(frame(spark, [(k, "x" * 50) for k in range(100)]))
+    assert blocks.buckets_for(packed) == 50
+
+
 def test_remove_repeats_empty(spark):
     assert remove_repeats(frame(spark, [])).count() == 0
     with pytest.raises(ValueError, match="length"):
