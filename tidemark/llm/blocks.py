@@ -22,8 +22,8 @@ from tidemark.llm.common import kept_in_worker, quoted, shared_dir, ship, stored
 
 BLOCK_BYTES = 4 << 20
 BASE, BASE_2 = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F
-BLOCK_SCHEMA = "block bigint, doc_ids array<bigint>, rows array<bigint>, lens array<bigint>, data binary"
-BLOCK_ARROW = pa.schema([("block", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("rows", pa.list_(pa.int64())), ("lens", pa.list_(pa.int64())), ("data", pa.binary())])
+BLOCK_SCHEMA = "block bigint, doc_ids array<bigint>, rows array<binary>, lens array<bigint>, data binary"
+BLOCK_ARROW = pa.schema([("block", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("rows", pa.list_(pa.binary())), ("lens", pa.list_(pa.int64())), ("data", pa.binary())])
 #: Bits of a block's number inside its partition, and of a document's inside its block (a document counts as 64 bytes at least). What
 #: is left of 63 bits numbers 67 million partitions.
 BLOCK_BITS, DOC_BITS = 20, 17
@@ -88,7 +88,7 @@ def _pack(block_bytes: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         first, block = TaskContext.get().partitionId() << BLOCK_BITS, 0
         ids: list[int | None] = []
-        rows: list[int | None] = []
+        rows: list[bytes | None] = []
         texts: list[bytes] = []
         size = 0
 
@@ -113,12 +113,12 @@ def _pack(block_bytes: int):
 
 
 def packed(docs: DataFrame, block_bytes: int = BLOCK_BYTES, row: str | None = None) -> DataFrame:
-    """Blocks of docs (doc_id, text; null text is empty; row: a column of numbers to carry along), written to the shared folder, bucketed by block."""
+    """Blocks of docs (doc_id, text; null text is empty; row: a binary column to carry along), written to the shared folder, bucketed by block."""
     spark = docs.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     name = f"tidemark_blocks_{uuid.uuid4().hex}"
     carried = quoted(row) if row else F.lit(None)
-    blocks = docs.select(F.col("doc_id").cast("bigint"), "text", carried.cast("bigint").alias("row")).mapInArrow(_pack(block_bytes), BLOCK_SCHEMA)
+    blocks = docs.select(F.col("doc_id").cast("bigint"), "text", carried.cast("binary").alias("row")).mapInArrow(_pack(block_bytes), BLOCK_SCHEMA)
     path = shared_dir(spark, "blocks")
     blocks.write.bucketBy(n, "block").option("path", path).option("compression", "zstd").format("parquet").saveAsTable(name)
     out = spark.table(name)

@@ -26,10 +26,11 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidemark.llm.blocks import BLOCK_BYTES, DOC_BITS, answers, census, mixed, packed, with_states, word_hashes
-from tidemark.llm.common import discard, numbered, private, quoted, ship, stored
+from tidemark.llm.common import discard, private, quoted, ship, stored
 
 N = 5
 #: Two documents link when DEN * intersection >= NUM * union.
@@ -42,7 +43,7 @@ BLOCK_ENTRIES, BLOCK_TOKENS = 1 << 14, 1 << 21
 #: Tables of a few numbers a row are broadcast up to so many rows (some tens of MB), so that whole rows of the matrix stay in place.
 BROADCAST_ROWS = 1 << 20
 TO_LOWER = bytes(b + 32 if 0x41 <= b <= 0x5A else b for b in range(256))
-ROWS = "rid bigint, row bigint, doc_id bigint, n bigint, s bigint, sig1 bigint, sig2 bigint, tokens binary, columns array<bigint>"
+ROWS = "rid bigint, row binary, doc_id bigint, n bigint, s bigint, sig1 bigint, sig2 bigint, tokens binary, columns array<bigint>"
 
 
 def shingle_sets(row: dict, n: int) -> list[np.ndarray]:
@@ -126,7 +127,7 @@ def _rows(n: int):
                             short = np.unique(shared >> np.uint64(16))
                             made |= {"sig1": int(sums[0]), "sig2": int(sums[1]), "tokens": short.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6].tobytes(), "columns": (shared[rarest] >> np.uint64(1)).astype(np.int64)}
                     out.append(made)
-                yield pa.RecordBatch.from_pylist(out, schema=pa.schema([("rid", pa.int64()), ("row", pa.int64()), ("doc_id", pa.int64()), ("n", pa.int64()), ("s", pa.int64()), ("sig1", pa.int64()), ("sig2", pa.int64()), ("tokens", pa.binary()), ("columns", pa.list_(pa.int64()))]))
+                yield pa.RecordBatch.from_pylist(out, schema=pa.schema([("rid", pa.int64()), ("row", pa.binary()), ("doc_id", pa.int64()), ("n", pa.int64()), ("s", pa.int64()), ("sig1", pa.int64()), ("sig2", pa.int64()), ("tokens", pa.binary()), ("columns", pa.list_(pa.int64()))]))
 
     return run
 
@@ -303,13 +304,15 @@ def join_components(docs: DataFrame, n: int = N, block_bytes: int = BLOCK_BYTES,
 def one_of_each(docs: DataFrame, n: int = N, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """The rows of docs that stand for their component (all columns), see join_components: the smallest doc_id, a null one before all others.
 
-    Texts without n-grams (null, empty, white space) all stay. Rows are told apart by a number each gets when docs is stored, so of
-    rows that are equal in all columns one stays. No rows give none; further columns, whatever their names, pass through.
+    Texts without n-grams (null, empty, white space) all stay. Rows are told apart by a 128-bit digest of all their columns, so those
+    with equal digests are equal, and it does not matter which of them stay: one, or all if they have no n-grams. No rows give none;
+    further columns, whatever their names, pass through. Texts are shuffled once, by digest.
     """
-    (number,) = private(docs, "number")
-    rows = numbered(docs, number)
-    kept = join_components(rows, n, block_bytes, number).filter("first").select(F.col("row").alias(number))
-    return rows.join(kept, number, "left_semi").select(*map(quoted, docs.columns))
+    row, copies, nth = private(docs, "row", "copies", "nth")
+    rows = docs.withColumn(row, F.unhex(F.md5(F.to_json(F.struct(*map(quoted, docs.columns))))))
+    kept = join_components(rows, n, block_bytes, row).filter("first").groupBy(F.col("row").alias(row)).agg(F.count("*").alias(copies))
+    both = rows.join(kept.hint("merge"), row)
+    return both.withColumn(nth, F.row_number().over(W.partitionBy(row).orderBy(row))).filter(F.col(nth) <= F.col(copies)).select(*map(quoted, docs.columns))
 
 
 ship(__name__)
