@@ -55,11 +55,16 @@ SPELLINGS = [
 COPYRIGHT_LINE = r"^[^a-z(]*(copyright|\(c\) *copyright|\(c\)[^a-z]*[0-9]{4}|all rights reserved)"
 
 
+#: Texts in which none of these is found have no other spelling.
+ANY_SPELLING = "|".join(pattern for pattern, _ in SPELLINGS)
+
+
 def respelled(text: Column) -> Column:
-    out = F.lower(text)
+    low = F.lower(text)
+    out = low
     for pattern, new in SPELLINGS:
         out = F.regexp_replace(out, pattern, new.replace("\\1", "$1"))
-    return out
+    return F.when(low.rlike(ANY_SPELLING), out).otherwise(low)
 
 
 def canonical(text: Column) -> Column:
