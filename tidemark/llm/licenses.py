@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 from collections import defaultdict
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -55,8 +56,8 @@ SPELLINGS = [
 COPYRIGHT_LINE = r"^[^a-z(]*(copyright|\(c\) *copyright|\(c\)[^a-z]*[0-9]{4}|all rights reserved)"
 
 
-#: Texts in which none of these is found have no other spelling.
-ANY_SPELLING = "|".join(pattern for pattern, _ in SPELLINGS)
+#: Every match of a pattern in SPELLINGS holds one of these, so texts without any of them stay as they are.
+HINTS = ["©", "licenc", "sub-licens", "non-commercial", "per cent", "http:", "version", "v."]
 
 
 def respelled(text: Column) -> Column:
@@ -64,7 +65,7 @@ def respelled(text: Column) -> Column:
     out = low
     for pattern, new in SPELLINGS:
         out = F.regexp_replace(out, pattern, new.replace("\\1", "$1"))
-    return F.when(low.rlike(ANY_SPELLING), out).otherwise(low)
+    return F.when(reduce(Column.__or__, [low.contains(h) for h in HINTS]), out).otherwise(low)
 
 
 def canonical(text: Column) -> Column:
