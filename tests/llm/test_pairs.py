@@ -230,17 +230,29 @@ def test_dedup_lines(spark, rows):
     assert sorted(((r["doc_id"], r["n_lines"], r["n_dropped"], r["text"]) for r in got), key=str) == plain_lines(rows)
 
 
-def test_runs_are_compacted_and_not_shuffled_again(spark):
+def test_runs_are_compacted_and_sum_up(spark):
+    """Counts and largest ids over several runs, batches and tasks, against plain ones; no run is shuffled again."""
     from tidemark.llm.line_dedup import LineRuns, long_lines
 
-    runs = LineRuns(spark, fanout=2)
-    for i in range(5, 0, -1):
-        docs = frame(spark, [(i, f"a line that all documents hold\na line of document {i} alone here\n{'a line that all documents hold ' if i % 2 else ''}")], 1)
-        runs.add(long_lines(docs.withColumn("number", F.lit(i).cast("long"))))
-    assert [len(level) for level in runs.levels] == [1, 0, 1]
-    assert [(r["last"]) for r in runs.repeated().collect()] == [5]
-    assert "Exchange" not in runs.merge()._jdf.queryExecution().executedPlan().toString()
+    lines = [f"a line that many documents hold, number {k}" for k in range(40)]
+    texts = {i: "\n".join(random.Random(i).sample(lines, 12) + [f"a line of document {i} alone, and of no other"]) for i in range(120)}
+    runs, held = LineRuns(spark, 10**9), {}
+    for top in range(120, 0, -24):
+        docs = frame(spark, [(i, texts[i]) for i in range(top - 24, top)]).repartition(5)
+        runs.add(long_lines(docs.withColumn("number", F.col("doc_id"))))
+    for i, t in texts.items():
+        for line in t.split("\n"):
+            held.setdefault(line, []).append(i)
+    assert [r is not None for r in runs.levels] == [True, False, True]
+    merged = runs._merged(*runs.runs())
+    assert sorted((r["n"], r["last"]) for r in merged.collect()) == sorted((len(x), max(x)) for x in held.values())
+    runs.levels = [merged]
     runs.discard()
+    few = LineRuns(spark)
+    for top in range(120, 0, -24):
+        few.add(long_lines(frame(spark, [(i, texts[i]) for i in range(top - 24, top)]).repartition(5).withColumn("number", F.col("doc_id"))))
+    assert sorted(r["last"] for r in few.repeated().collect()) == sorted(max(x) for x in held.values() if len(x) >= 3)
+    few.discard()
     assert not [t for t in spark.catalog.listTables() if t.name.startswith("tidemark_run_")]
 
 

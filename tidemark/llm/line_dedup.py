@@ -1,9 +1,11 @@
 """Line dedup over levelled sorted runs of line hashes.
 
 A run is a table bucketed by (k1, k2), the 128-bit hash of a line's key, and sorted within buckets: n the documents that hold the key,
-last the largest doc_id of them. Batches come in descending order of doc_id. Each is counted, merge-anti-joined with what the runs
-already decide (keys found in enough documents: a smaller doc_id cannot change them) and the rest becomes a run of level 0. FANOUT runs
-of a level are merged into one of the next. As all runs have the same buckets, no run is shuffled again.
+last the largest doc_id of them. Batches come in descending order of doc_id. Each is counted and merge-anti-joined with the runs, one
+after another: a key that they already hold in enough documents goes, since a smaller doc_id cannot change it. The rest becomes a run of
+level 0. Two runs of a level are merged into one of the next, by a full outer merge join of their buckets. As all runs have the same
+buckets, no run is shuffled again. (Runs are never united and grouped: Spark 4.1 takes a union of bucketed tables for bucketed, and
+sums nothing.)
 
 Texts are read twice: for their lines' hashes, which are stored with number and place of the line, and to drop the lines found.
 """
@@ -11,14 +13,12 @@ Texts are read twice: for their lines' hashes, which are stored with number and
 from __future__ import annotations
 
 import uuid
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import SPACE_CHARS, ascii_lower, discard, kept_columns, numbered, private, quoted, shared_dir, stored
 
-FANOUT = 3
 BATCHES = 9
 LEAST_LENGTH, LEAST_DOCS = 20, 3
 #: Repeated keys are broadcast up to so many (24 bytes each); more are joined by shuffle, where Spark splits keys with very many lines.
@@ -41,53 +41,54 @@ def long_lines(docs: DataFrame, least_length: int = LEAST_LENGTH) -> DataFrame:
 
 
 class LineRuns:
-    """The levelled runs of one table of lines; merge() counts over all of them."""
+    """The levelled runs of one table of lines: level i holds none or one run, made of 2**i batches."""
 
-    def __init__(self, spark: SparkSession, least_docs: int = LEAST_DOCS, fanout: int = FANOUT) -> None:
-        self.spark, self.least_docs, self.fanout = spark, least_docs, fanout
+    def __init__(self, spark: SparkSession, least_docs: int = LEAST_DOCS) -> None:
+        self.spark, self.least_docs = spark, least_docs
         self.buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
-        self.levels: list[list[DataFrame]] = [[]]
+        self.levels: list[DataFrame | None] = []
 
     def _write(self, counted: DataFrame) -> DataFrame:
-        """counted comes from a grouping by the hash, so each task writes whole buckets and a bucket is one sorted file."""
+        """counted comes from a grouping by the hash or a join of runs, so each task writes whole buckets and a bucket is one sorted file."""
         name, path = f"tidemark_run_{uuid.uuid4().hex}", shared_dir(self.spark, "line-run")
         counted.write.bucketBy(self.buckets, "k1", "k2").sortBy("k1", "k2").option("path", path).format("parquet").saveAsTable(name)
         run = self.spark.table(name)
         run.stored_at, run.stored_as = path, name
         return run
 
-    @staticmethod
-    def _summed(runs: list[DataFrame]) -> DataFrame:
-        return reduce(DataFrame.unionByName, runs).groupBy("k1", "k2").agg(F.sum("n").alias("n"), F.max("last").alias("last"))
+    def _merged(self, one: DataFrame, other: DataFrame) -> DataFrame:
+        """Both runs as one; they are deleted."""
+        a, b = one.toDF("k1", "k2", "n", "last"), other.toDF("k1", "k2", "n_", "last_")
+        both = a.join(b.hint("merge"), ["k1", "k2"], "full").select("k1", "k2", (F.coalesce("n", F.lit(0)) + F.coalesce("n_", F.lit(0))).alias("n"), F.greatest("last", "last_").alias("last"))
+        out = self._write(both)
+        discard(self.spark, [one, other])
+        return out
 
-    def merge(self) -> DataFrame | None:
-        runs = [r for level in self.levels for r in level]
-        return self._summed(runs) if len(runs) > 1 else runs[0] if runs else None
+    def runs(self) -> list[DataFrame]:
+        return [r for r in self.levels if r is not None]
 
     def add(self, lines: DataFrame) -> None:
         """Add a batch of long_lines() all of whose doc_ids are at most those of earlier batches."""
         each = lines.groupBy("number", "k1", "k2").agg(F.max("doc_id").alias("doc_id"))
         counted = each.groupBy("k1", "k2").agg(F.count("*").alias("n"), F.max("doc_id").alias("last"))
-        known = self.merge()
-        if known is not None:
-            counted = counted.join(known.filter(F.col("n") >= self.least_docs).hint("merge"), ["k1", "k2"], "left_anti")
-        self.levels[0].append(self._write(counted))
-        for i, level in enumerate(self.levels):
-            if len(level) >= self.fanout:
-                if i + 1 == len(self.levels):
-                    self.levels.append([])
-                self.levels[i + 1].append(self._write(self._summed(level)))
-                self.levels[i] = []
-                discard(self.spark, level)
+        held = F.lit(0)
+        for i, run in enumerate(self.runs()):
+            counted = counted.join(run.select("k1", "k2", F.col("n").alias(f"n{i}")).hint("merge"), ["k1", "k2"], "left")
+            held = held + F.coalesce(f"n{i}", F.lit(0))
+        new, level = self._write(counted.filter(held < self.least_docs).select("k1", "k2", "n", "last")), 0
+        while level < len(self.levels) and self.levels[level] is not None:
+            new, self.levels[level], level = self._merged(self.levels[level], new), None, level + 1
+        self.levels[level : level + 1] = [new]
 
     def repeated(self) -> DataFrame | None:
-        """Keys found in enough documents, with the largest doc_id that holds each."""
-        known = self.merge()
-        return known if known is None else known.filter(F.col("n") >= self.least_docs).select("k1", "k2", "last")
+        """Keys found in enough documents, with the largest doc_id that holds each; the runs are merged into one for it."""
+        while len(own := self.runs()) > 1:
+            self.levels = [self._merged(own[0], own[1]), *own[2:]]
+        return own[0].filter(F.col("n") >= self.least_docs).select("k1", "k2", "last") if own else None
 
     def discard(self) -> None:
-        discard(self.spark, [r for level in self.levels for r in level])
-        self.levels = [[]]
+        discard(self.spark, self.runs())
+        self.levels = []
 
 
 def batches_of(lines: DataFrame, batches: int) -> list[DataFrame]:
