@@ -9,7 +9,6 @@ separates (1 minus the overlap of the two sides); where the runner-up is close,
 from __future__ import annotations
 
 import math
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -145,8 +144,6 @@ def fit_language_model(docs: DataFrame, sample: int = SAMPLE) -> LanguageModel:
 
 
 def _predict(model, text_at: int, keep: list[int], schema: pa.Schema):
-    letter = re.compile(r"[^\W\d_]")
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = LanguageModel(*model.value)
         for whole in batches:
@@ -154,7 +151,7 @@ def _predict(model, text_at: int, keep: list[int], schema: pa.Schema):
                 batch = whole.slice(at, 256)
                 texts = batch.column(text_at).to_pylist()
                 lang, score, unsure = ["und"] * len(texts), [0.0] * len(texts), [True] * len(texts)
-                some = [i for i, t in enumerate(texts) if t and letter.search(t)] if m.langs else []
+                some = [i for i, t in enumerate(texts) if t and any(map(str.isalpha, t))] if m.langs else []
                 if some:
                     raws = [prepared(texts[i]) for i in some]
                     raw = np.frombuffer(b"".join(raws) + b"\0\0\0", np.uint8)
@@ -184,7 +181,7 @@ def _predict(model, text_at: int, keep: list[int], schema: pa.Schema):
 def predict_language(docs: DataFrame, model: LanguageModel, columns: list[str] | None = None) -> DataFrame:
     """docs with lang_pred, score (0 to 1) and ambiguous, from the whole text alone.
 
-    Null text or one without any letter, and all texts if the model knows no language: `und`, score 0, ambiguous. columns: those of
+    Null text or one without any letter (`str.isalpha`: no digits, fractions, circled or Roman numeral signs), and all texts if the model knows no language: `und`, score 0, ambiguous. columns: those of
     docs to keep, all by default; a column named like a result, in any case, is replaced. Rows stand alone: repeated ones get the same
     answer, none give none. The model is broadcast as lists and arrays; its size is 3 x 65,536 slots times a number of bits that grows
     with the logarithm of the number of languages (13 MB for up to five of them, 63 MB for a hundred).
