@@ -171,6 +171,66 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 """
 
 
+def crc_sql(text: str, table: str) -> str:
+    """SQL for the unsigned crc32 of a text's UTF-8 bytes; its code points are below 0x800. table: a list that holds CRC_TABLE."""
+    code = f"flatten(list_transform(string_split({text}, ''), lambda c: CASE WHEN c = '' THEN [] WHEN unicode(c) < 128 THEN [unicode(c)] ELSE [192 + (unicode(c) >> 6), 128 + (unicode(c) & 63)] END))"
+    return f"xor(4294967295, list_reduce(list_concat([4294967295], {code})::BIGINT[], lambda c, b: xor(c >> 8, {table}[CAST(xor(c & 255, b) AS INTEGER) + 1])))"
+
+
+def _crc_table() -> list[int]:
+    """The remainders of each byte by the polynomial of crc32."""
+    out = list(range(256))
+    for _ in range(8):
+        out = [(x >> 1) ^ (0xEDB88320 if x & 1 else 0) for x in out]
+    return out
+
+
+CRC_TABLE = f"CAST({_crc_table()} AS BIGINT[])"
+
+
+def with_planted_runs(docs: DataFrame) -> DataFrame:
+    """doc_id and text of docs; where crc32 of the decimal doc_id ends in 0, the words from some place on repeat a stretch of theirs."""
+    from tidemark.llm.common import words_of
+
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    rows = docs.select("doc_id", "text", F.floor(h / 10).alias("g"), F.when(h % 10 == 0, words_of(F.col("text"))).alias("w"))
+    rows = rows.withColumn("n", F.size("w")).withColumn("a", F.when(F.col("n") > 0, F.col("g") % F.col("n")).cast("int"))
+    rows = rows.withColumn("p", (1 + F.floor((F.col("n") - F.col("a")) / (3 + F.col("g") % 8))).cast("int"))
+    copied = F.transform(F.sequence(F.lit(0), F.col("n") - 1), lambda i: F.get("w", F.when(i >= F.col("a"), F.col("a") + (i - F.col("a")) % F.col("p")).otherwise(i)))
+    return rows.select("doc_id", F.when(F.col("a").isNotNull(), F.array_join(copied, " ")).otherwise(F.col("text")).alias("text"))
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.llm.periodic_runs import find_runs
+
+    found = find_runs(with_planted_runs(table(spark, sf_dir, "documents")), columns=["doc_id"])
+    better = lambda a, r: a.isNull() | (r["length"] * a["period"] > a["length"] * r["period"])  # noqa: E731  runs ascend by start, then period
+    found = found.withColumn("best", F.aggregate("runs", F.lit(None).cast("struct<start:bigint,length:bigint,period:bigint>"), lambda a, r: F.when(better(a, r), r).otherwise(a)))
+    listed = F.array_join(F.transform("runs", lambda r: F.concat_ws(",", r["start"], r["length"], r["period"])), "\n", "")
+    digest = F.sha2(F.when(F.size("runs") > 0, F.concat(listed, F.lit("\n"))).otherwise(""), 256)
+    milli = F.expr("best.length * 1000 div best.period")
+    return found.select("doc_id", F.size("runs").cast("bigint").alias("n_runs"), "best.start", "best.length", "best.period", milli.alias("exponent_milli"), digest.alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
+
+
+OP12_SQL = rf"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w, {crc_sql("CAST(doc_id AS VARCHAR)", "crc")} AS h FROM documents, (SELECT {CRC_TABLE} AS crc)),
+e AS (SELECT doc_id, w, h // 10 AS g, len(w) AS n, CASE WHEN h % 10 = 0 AND len(w) > 0 THEN (h // 10) % len(w) END AS a FROM d),
+f AS (SELECT doc_id, CASE WHEN a IS NULL THEN w ELSE list_transform(range(n), lambda i: w[1 + CASE WHEN i >= a THEN a + (i - a) % (1 + (n - a) // (3 + g % 8)) ELSE i END]) END AS w FROM e),
+k AS (SELECT doc_id, i, md5(array_to_string(w[i + 1 : i + 16], ' ')) AS g FROM (SELECT doc_id, w, unnest(range(len(w) - 15)) AS i FROM f WHERE len(w) >= 24)),
+m AS (SELECT x.doc_id, y.i - x.i AS q, x.i FROM k x JOIN k y ON x.doc_id = y.doc_id AND x.g = y.g AND x.i < y.i),
+r AS (SELECT doc_id, q, min(i) AS s, max(i) + 16 - min(i) + q AS l FROM (SELECT *, i - row_number() OVER (PARTITION BY doc_id, q ORDER BY i) AS island FROM m) GROUP BY doc_id, q, island),
+u AS (SELECT doc_id, s, l, min(q) AS q FROM r WHERE l >= 24 AND l >= 3 * q GROUP BY ALL),
+b AS (SELECT doc_id, s, l, q FROM u QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY l::DOUBLE / q DESC, s, q) = 1),
+t AS (SELECT doc_id, count(*) AS n, string_agg(s || ',' || l || ',' || q || chr(10), '' ORDER BY s, q) AS listed FROM u GROUP BY 1),
+c AS (SELECT doc_id, sum(d) AS d, i FROM (SELECT doc_id, s + q AS i, 1 AS d FROM u UNION ALL SELECT doc_id, s + l, -1 FROM u) GROUP BY doc_id, i),
+x AS (SELECT doc_id, i, sum(d) OVER (PARTITION BY doc_id ORDER BY i) AS held, lead(i) OVER (PARTITION BY doc_id ORDER BY i) AS upto FROM c),
+y AS (SELECT doc_id, list({{'a': i, 'b': upto}}) AS gone FROM x WHERE held > 0 GROUP BY 1),
+z AS (SELECT f.doc_id, array_to_string(list_filter(w, lambda v, i: gone IS NULL OR len(list_filter(gone, lambda o: i - 1 >= o.a AND i - 1 < o.b)) = 0), ' ') AS kept FROM f LEFT JOIN y ON f.doc_id = y.doc_id)
+SELECT z.doc_id, coalesce(t.n, 0) AS n_runs, CAST(b.s AS BIGINT) AS start, CAST(b.l AS BIGINT) AS length, CAST(b.q AS BIGINT) AS period, CAST(1000 * b.l // b.q AS BIGINT) AS exponent_milli, sha256(coalesce(t.listed, '')) AS runs_sha256, sha256(kept) AS collapsed_sha256
+FROM z LEFT JOIN t ON z.doc_id = t.doc_id LEFT JOIN b ON z.doc_id = b.doc_id
+"""
+
+
 def op13_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidemark.llm.exact_dedup import exact_groups
 
@@ -196,6 +256,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_ngram_join": op8_ngram_join,
     "op9_license_scan": op9_license_scan,
     "op10_quality": op10_quality,
+    "op12_periodic_runs": op12_periodic_runs,
     "op13_exact_dedup": op13_exact_dedup,
 }
 
@@ -205,5 +266,6 @@ ORACLE_SQL: dict[str, str] = {
     "op8_ngram_join": OP8_SQL,
     "op9_license_scan": op9_sql(),
     "op10_quality": op10_sql(),
+    "op12_periodic_runs": OP12_SQL,
     "op13_exact_dedup": OP13_SQL,
 }
