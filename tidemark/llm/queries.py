@@ -188,6 +188,37 @@ def _crc_table() -> list[int]:
 CRC_TABLE = f"CAST({_crc_table()} AS BIGINT[])"
 
 
+def with_planted_typos(docs: DataFrame, least: int) -> DataFrame:
+    """word: each run of Latin letters of docs (doc_id, text), `least` of them at least, A-Z lower-cased; one in 199, by the crc32 of
+    doc_id and run, lacks a code point."""
+    runs = docs.select("doc_id", F.explode(F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(rf"([A-Za-z\u00C0-\u00FF]{{{least},}})"), 1)).alias("run"))
+    runs = runs.select("doc_id", F.translate("run", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz").alias("run"))
+    runs = runs.withColumn("h", F.crc32(F.concat(F.col("doc_id").cast("string"), F.lit(":"), "run").cast("binary")))
+    at = (F.col("h") % F.char_length("run")).cast("int")
+    shorter = F.concat(F.substring("run", F.lit(1), at), F.substring("run", at + 2, F.char_length("run")))
+    return runs.select(F.when(F.col("h") % 199 == 0, shorter).otherwise(F.col("run")).alias("word"))
+
+
+def op11_spelling_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.llm.spelling import LEAST_LENGTH, counted_words, spelling_groups
+
+    return spelling_groups(counted_words(with_planted_typos(table(spark, sf_dir, "documents"), LEAST_LENGTH)))
+
+
+OP11_SQL = rf"""
+WITH RECURSIVE r AS (SELECT doc_id, translate(unnest(regexp_extract_all(coalesce(text, ''), '[A-Za-z\x{{C0}}-\x{{FF}}]+')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS r FROM documents),
+u AS (SELECT r, h % length(r) AS pos, h % 199 = 0 AS typo, k FROM (SELECT r, k, {crc_sql("doc_id || ':' || r", "crc")} AS h FROM (SELECT doc_id, r, count(*) AS k FROM r WHERE length(r) >= 6 GROUP BY ALL), (SELECT {CRC_TABLE} AS crc))),
+v AS (SELECT w, sum(k)::BIGINT AS n FROM (SELECT CASE WHEN typo THEN substr(r, 1, pos) || substr(r, pos + 2) ELSE r END AS w, k FROM u) WHERE length(w) >= 6 GROUP BY w HAVING sum(k) >= 5),
+d AS (SELECT w, n, i, substr(w, 1, i) || substr(w, i + 2) AS d FROM (SELECT w, n, unnest(range(length(w))) AS i FROM v)),
+p AS (SELECT DISTINCT * FROM (SELECT x.w, y.w AS near, y.n AS near_n FROM d x JOIN d y ON x.d = y.d AND x.i = y.i AND length(x.w) = length(y.w) AND x.w <> y.w
+  UNION ALL SELECT x.w, v.w, v.n FROM d x JOIN v ON x.d = v.w UNION ALL SELECT v.w, x.w, x.n FROM d x JOIN v ON x.d = v.w)),
+b AS (SELECT w, count(*) AS n_near, arg_min(near, (-near_n, near)) AS near, max(near_n) AS near_n FROM p GROUP BY w),
+f AS (SELECT v.w AS word, n, coalesce(n_near, 0) AS n_near, CASE WHEN near_n >= 5 * n THEN near END AS form, CASE WHEN near_n >= 5 * n THEN near_n END AS form_n FROM v LEFT JOIN b ON v.w = b.w),
+c(word, root) AS (SELECT word, word FROM f UNION ALL SELECT c.word, f.form FROM c JOIN f ON c.root = f.word WHERE f.form IS NOT NULL)
+SELECT f.word, f.form, c.root, f.n, f.n_near, f.form_n FROM f JOIN c ON f.word = c.word JOIN f l ON c.root = l.word AND l.form IS NULL
+"""
+
+
 def with_planted_runs(docs: DataFrame) -> DataFrame:
     """doc_id and text of docs; where crc32 of the decimal doc_id ends in 0, the words from some place on repeat a stretch of theirs."""
     from tidemark.llm.common import words_of
@@ -256,6 +287,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_ngram_join": op8_ngram_join,
     "op9_license_scan": op9_license_scan,
     "op10_quality": op10_quality,
+    "op11_spelling_groups": op11_spelling_groups,
     "op12_periodic_runs": op12_periodic_runs,
     "op13_exact_dedup": op13_exact_dedup,
 }
@@ -266,6 +298,7 @@ ORACLE_SQL: dict[str, str] = {
     "op8_ngram_join": OP8_SQL,
     "op9_license_scan": op9_sql(),
     "op10_quality": op10_sql(),
+    "op11_spelling_groups": OP11_SQL,
     "op12_periodic_runs": OP12_SQL,
     "op13_exact_dedup": OP13_SQL,
 }
