@@ -9,24 +9,6 @@ from pyspark.sql import functions as F
 from tidemark.functions import text as T
 
 
-def annotate_lexicon(text: Column, lexicon: dict[str, str], bound: int = 50_000) -> Column:
-    """Tokens (text, reading) of the leftmost-longest matches of a lexicon; what lies between is plain text.
-
-    One alternation of the entries, longest first, finds what a greedy cursor finds. The lexicon is a checked small dimension.
-    """
-    import re
-
-    if len(lexicon) > bound:
-        raise ValueError(f"more than {bound} entries")
-    token = "struct<text:string,reading:string>"
-    if not lexicon:
-        return F.array(F.struct(text.alias("text"), F.lit(None).cast("string").alias("reading"))).cast(f"array<{token}>")
-    entries = "|".join(re.escape(x) for x in sorted(lexicon, key=lambda x: (-len(x), x)))
-    pieces = F.regexp_extract_all(text, F.lit(f"(?s)({entries}|(?:(?!{entries}).)+)"), 1)
-    known = F.create_map(*[F.lit(v) for kv in lexicon.items() for v in kv])
-    return F.transform(pieces, lambda p: F.struct(p.alias("text"), F.try_element_at(known, p).alias("reading")))
-
-
 def anchored(readings: DataFrame, bases: DataFrame, keys: list[str], dy: float = 12.0, slack: float = 2.5, reach: float = 12.0, tie: float = 1.0) -> DataFrame:
     """Readings (keys, rid, x, y) with the nearest base (keys, bid, x, y) above them: | |dy| - 12 | within slack, |dx| within reach.
 

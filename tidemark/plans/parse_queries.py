@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import text as T
 from tidemark.operators import checks
+from tidemark.operators import lexicon as X
 from tidemark.operators import parse as P
 from tidemark.sources import json_files as J
 from tidemark.sources.shared import shared_folder
@@ -59,26 +60,41 @@ def decode_hex(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", J.decode_hex(F.array_join(codes, ""), "UTF-16BE").alias("out"))
 
 
-LEXICON = {"the": "ザ", "there": "ゼア", "an": "アン", "and": "アンド", "le": "ル", "leau": "ロー", "in": "イン", "inea": "イネア"}
-LEXICON_SQL = "MAP {" + ", ".join(f"'{k}': '{v}'" for k, v in LEXICON.items()) + "}"
-EITHER = "|".join(sorted(LEXICON, key=lambda x: (-len(x), x)))
+#: By role: lower-case letters stand for ideographs, words of two to six letters that users write for entries, read backwards.
+LETTERS = "a-zß-öø-ÿ"
+LEXICON_SQL = f"""RECURSIVE lexicon AS (SELECT DISTINCT w AS base, reverse(w) AS reading FROM (SELECT unnest(regexp_extract_all(text, '[{LETTERS}]+')) AS w FROM conversations WHERE role = 'user') WHERE length(w) BETWEEN 2 AND 6),
+ p AS (SELECT conv_id, turn, generate_subscripts(p, 1) AS i, unnest(p) AS s FROM (SELECT conv_id, turn, regexp_extract_all(text, '[{LETTERS}]+|[^{LETTERS}]+') AS p FROM conversations)),
+ u AS (SELECT DISTINCT s FROM p WHERE regexp_matches(s, '^[{LETTERS}]')),
+ h AS (SELECT s, k, arg_max(base, n) AS base FROM (SELECT s, k, n, substr(s, k, n) AS base FROM (SELECT s, n, unnest(range(1, length(s) - n + 2)) AS k FROM u, (SELECT unnest([2, 3, 4, 5, 6]) AS n))) JOIN lexicon USING (base) GROUP BY s, k),
+ w(s, k, found, between) AS (SELECT s, 1, CAST([] AS VARCHAR[]), '' FROM u UNION ALL
+  SELECT w.s, w.k + coalesce(length(base), 1), CASE WHEN base IS NULL THEN found ELSE list_append(found, base) END, between || CASE WHEN base IS NULL THEN substr(w.s, w.k, 1) ELSE '#' END FROM w LEFT JOIN h ON w.s = h.s AND w.k = h.k WHERE w.k <= length(w.s)),
+ t AS (SELECT conv_id, turn, i, p.s, found, coalesce(between, p.s) AS between FROM p LEFT JOIN (SELECT * FROM w WHERE k > length(s)) w ON p.s = w.s)"""
 
 
-@query(f"""SELECT conv_id, turn, list_count(p) AS matches, md5(array_to_string(p, '|')) AS found FROM (SELECT conv_id, turn, regexp_extract_all(text, '{EITHER}') AS p FROM conversations)""")
+def lexicon(spark, sf_dir):
+    words = table(spark, sf_dir, "conversations").filter("role = 'user'").select(F.explode(F.regexp_extract_all("text", F.lit(f"([{LETTERS}]+)"), 1)).alias("base")).distinct()
+    return words.filter(F.length("base").between(2, 6)).withColumn("reading", F.reverse("base"))
+
+
+@query(f"""WITH {LEXICON_SQL} SELECT conv_id, turn, CAST(sum(coalesce(len(found), 0)) AS BIGINT) AS matches, md5(coalesce(string_agg(array_to_string(found, '|'), '|' ORDER BY i) FILTER (WHERE len(found) > 0), '')) AS found FROM t GROUP BY conv_id, turn""")
 def annotate_lexicon(spark, sf_dir):
-    found = F.filter(P.annotate_lexicon(F.col("text"), LEXICON), lambda t: t["reading"].isNotNull())
-    return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.size(found).cast("bigint").alias("matches"), F.md5(F.array_join(F.transform(found, lambda t: t["text"]), "|")).alias("found"))
+    """How many entries each turn has, and which, in their order."""
+    tokens = X.annotate(table(spark, sf_dir, "conversations"), ["conv_id", "turn"], "text", lexicon(spark, sf_dir), LETTERS)
+    found = F.transform(F.filter("tokens", lambda t: t["reading"].isNotNull()), lambda t: t["text"])
+    return tokens.select("conv_id", "turn", F.size(found).cast("bigint").alias("matches"), F.md5(F.array_join(found, "|")).alias("found"))
 
 
-@query(f"""SELECT conv_id, turn, array_to_string(list_sort(list_transform(list_distinct(p), lambda w: w || '=' || {LEXICON_SQL}[w] || 'x' || len(list_filter(p, lambda x: x = w)))), '|') AS entries,
- md5(regexp_replace(text, '{EITHER}', '#', 'g')) AS between FROM (SELECT conv_id, turn, text, regexp_extract_all(text, '{EITHER}') AS p FROM conversations)""")
+@query(f"""WITH {LEXICON_SQL}, e AS (SELECT conv_id, turn, base, count(*) AS n FROM (SELECT conv_id, turn, unnest(found) AS base FROM t) GROUP BY ALL),
+ j AS (SELECT conv_id, turn, string_agg(base || '=' || reverse(base) || 'x' || n, '|' ORDER BY base) AS entries FROM e GROUP BY ALL)
+ SELECT t.conv_id, t.turn, coalesce(any_value(entries), '') AS entries, md5(string_agg(between, '' ORDER BY i)) AS between FROM t LEFT JOIN j ON t.conv_id = j.conv_id AND t.turn = j.turn GROUP BY t.conv_id, t.turn""")
 def join_lexicon_longest(spark, sf_dir):
-    """The entries matched in a text, each with its reading and how often it occurs, and the text with # in place of each match."""
-    tokens = P.annotate_lexicon(F.col("text"), LEXICON)
-    found = F.filter("tokens", lambda t: t["reading"].isNotNull())
-    each = F.transform(F.array_distinct(found), lambda e: F.concat(e["text"], F.lit("="), e["reading"], F.lit("x"), F.size(F.filter(found, lambda t: t["text"] == e["text"])).cast("string")))
+    """The entries matched in a turn, each with its reading and how often it occurs, and the text with # in place of each match."""
+    tokens = X.annotate(table(spark, sf_dir, "conversations"), ["conv_id", "turn"], "text", lexicon(spark, sf_dir), LETTERS)
+    each = tokens.select("conv_id", "turn", F.explode("tokens").alias("t")).filter("t.reading IS NOT NULL").groupBy("conv_id", "turn", "t.text", "t.reading").agg(F.count("*").alias("n"))
+    entry = F.concat("text", F.lit("="), "reading", F.lit("x"), F.col("n").cast("string"))
+    listed = each.groupBy("conv_id", "turn").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("text", entry.alias("entry")))), lambda e: e["entry"]), "|").alias("entries"))
     between = F.array_join(F.transform("tokens", lambda t: F.when(t["reading"].isNull(), t["text"]).otherwise("#")), "")
-    return table(spark, sf_dir, "conversations").withColumn("tokens", tokens).select("conv_id", "turn", F.array_join(F.array_sort(each), "|").alias("entries"), F.md5(between).alias("between"))
+    return tokens.join(listed, ["conv_id", "turn"], "left").select("conv_id", "turn", F.coalesce("entries", F.lit("")).alias("entries"), F.md5(between).alias("between"))
 
 
 @query("""WITH r AS (SELECT l_orderkey, l_linenumber * 1000000 + l_partkey AS rid, l_quantity AS x, l_discount * 100 + 12 AS y FROM lineitem WHERE l_linenumber % 2 = 0), b AS (SELECT l_orderkey, l_linenumber * 1000000 + l_partkey AS bid, l_quantity AS x, l_discount * 100 AS y FROM lineitem WHERE l_linenumber % 2 = 1),
