@@ -91,28 +91,31 @@ def split_example_line(rows: DataFrame, keys: list[str], seq: str, text: str, x:
     return lines.select(*keys, jp.alias("jp"), F.when(none, F.col("whole")).when(cuts, tail).otherwise("").alias("zh"))
 
 
-def redistribute_slots(rows: DataFrame, keys: list[str], row: str, cells: str, bases: Column, slots: list[int]) -> DataFrame:
-    """Rows of tables with a slot's missing value taken from the nearest filled column before it: its last segment, if that stands nearer
-    to where the slot's values stand in the other rows than to where its own column's do.
+def redistribute_slots(rows: DataFrame, keys: list[str], row: str, cells: str, bases: Column, slots: Column) -> DataFrame:
+    """Rows of tables with a slot's missing value taken from the nearest column before it that the row prints and that still holds
+    something: its last segment, if that stands nearer to where the slot's values stand in the other rows than to where its own column's do.
 
-    cells: for each column an array of segments (x, text); bases: where each column of the table's first row stands. Means are taken
-    before any change and leave the row itself out. Slots are filled from the left, each on what the one before left.
+    cells: for each column an array of segments (x, text); bases: where each column of the table's first row stands; slots: an array of
+    columns. Means are taken before any change and leave the row itself out. Slots are filled from the left, each on what the one before left.
     """
-    told = rows.select(*keys, row, bases.alias("_bases"), F.posexplode(cells).alias("_column", "_segments"))
+    told = rows.select(*keys, row, bases.alias("_bases"), slots.alias("_slots"), F.posexplode(cells).alias("_column", "_segments"))
     own_sum, own_n = F.aggregate("_segments", F.lit(0.0), lambda a, s: a + s["x"]), F.size("_segments")
     told = told.withColumns({"_sum": own_sum, "_n": own_n})
     w = W.partitionBy(*keys, "_column")
     mean = (F.get("_bases", F.col("_column")) + F.sum("_sum").over(w) - F.col("_sum")) / (1 + F.sum("_n").over(w) - F.col("_n"))
-    told = told.select(*keys, row, F.struct(F.col("_column").alias("column"), F.col("_segments").alias("segments"), mean.alias("mean")).alias("cell"))
-    state = told.groupBy(*keys, row).agg(F.sort_array(F.collect_list("cell")).alias("state"))
-    for m in sorted(slots):
-        filled = F.filter("state", lambda c: (c["column"] < m) & (F.size(c["segments"]) > 0))
-        state = state.withColumns({"here": F.get("state", F.lit(m)), "source": F.try_element_at(filled, F.lit(-1))})
-        last = F.try_element_at(F.col("source.segments"), F.lit(-1))
-        moves = (F.size("here.segments") == 0) & F.coalesce(F.abs(last["x"] - F.col("here.mean")) < F.abs(last["x"] - F.col("source.mean")), F.lit(False))
-        taken = F.transform("state", lambda c: F.struct(c["column"].alias("column"), F.when(c["column"] == m, F.array(last)).when(c["column"] == F.col("source.column"), F.slice(c["segments"], 1, F.greatest(F.size(c["segments"]) - 1, F.lit(0)))).otherwise(c["segments"]).alias("segments"), c["mean"].alias("mean")))  # noqa: B023
-        state = state.withColumn("state", F.when(moves, taken).otherwise(F.col("state"))).drop("here", "source")
-    return state.select(*keys, row, F.transform("state", lambda c: c["segments"]).alias(cells))
+    told = told.select(*keys, row, "_slots", F.struct(F.col("_column").alias("column"), F.col("_segments").alias("segments"), mean.alias("mean"), (F.col("_n") > 0).alias("printed")).alias("cell"))
+    state = told.groupBy(*keys, row, "_slots").agg(F.sort_array(F.collect_list("cell")).alias("state"))
+
+    def fill(a: Column, m: Column) -> Column:
+        here = F.get(a, m)
+        source = F.try_element_at(F.filter(a, lambda c: (c["column"] < m) & c["printed"] & (F.size(c["segments"]) > 0)), F.lit(-1))
+        last = F.try_element_at(source["segments"], F.lit(-1))
+        moves = (F.size(here["segments"]) == 0) & F.coalesce(F.abs(last["x"] - here["mean"]) < F.abs(last["x"] - source["mean"]), F.lit(False))
+        now = lambda c: F.when(c["column"] == m, F.array(last)).when(c["column"] == source["column"], F.slice(c["segments"], 1, F.greatest(F.size(c["segments"]) - 1, F.lit(0)))).otherwise(c["segments"])
+        return F.when(moves, F.transform(a, lambda c: F.struct(c["column"].alias("column"), now(c).alias("segments"), c["mean"].alias("mean"), c["printed"].alias("printed")))).otherwise(a)
+
+    filled = F.aggregate(F.sort_array("_slots"), F.col("state"), fill)
+    return state.select(*keys, row, F.transform(filled, lambda c: c["segments"]).alias(cells))
 
 
 def reconstruct_question(base: Column, values: Column, start: Column, slots: Column) -> Column:
@@ -127,21 +130,22 @@ def reconstruct_question(base: Column, values: Column, start: Column, slots: Col
     return F.when(start.isNotNull(), F.concat(F.array_join(head, ""), F.regexp_replace(tail, "。\\z", ""), F.lit("か。")))
 
 
-def form_starts(texts: Column) -> Column:
-    """Where the forms of a row begin: at each place of the first text that comes again two places on or later, and at 0; null without one."""
+def form_starts(texts: Column, ignored: tuple[str, ...] = ()) -> Column:
+    """Where the forms of a row begin: at each place of the first text, none of the ignored ones, that comes again two places on or later,
+    and at 0; null without one."""
     def again(t: Column, i: Column) -> Column:
         last = F.array_max(F.filter(F.transform(F.slice(texts, F.lit(1), i), lambda u, j: F.when(u == t, j)), lambda j: j.isNotNull()))
         return F.when(i - last >= 2, t)
 
-    marker = F.get(F.filter(F.transform(texts, again), lambda t: t.isNotNull()), F.lit(0))
+    marker = F.get(F.filter(F.transform(texts, again), lambda t: t.isNotNull() & ~t.isin(*ignored)), F.lit(0))
     places = F.filter(F.transform(texts, lambda t, i: F.when(t == marker, i)), lambda i: i.isNotNull())
     return F.when(marker.isNotNull(), F.array_union(F.array(F.lit(0)), places))
 
 
-def conjugation_forms(rows: DataFrame, keys: list[str], row: str, texts: str) -> DataFrame:
+def conjugation_forms(rows: DataFrame, keys: list[str], row: str, texts: str, ignored: tuple[str, ...] = ()) -> DataFrame:
     """keys, row, forms: each row's texts joined to forms, cut where most rows of its table with as many texts are cut; rows of a length
     for which no row tells are left out. Of equal votes the cut seen first counts."""
-    told = rows.select(*keys, row, texts, F.size(texts).alias("_n"), form_starts(F.col(texts)).alias("_starts"))
+    told = rows.select(*keys, row, texts, F.size(texts).alias("_n"), form_starts(F.col(texts), ignored).alias("_starts"))
     best = layout.boundary_vote(told.filter("_starts IS NOT NULL"), [*keys, "_n"], "_starts", row).drop("votes").withColumnRenamed("_starts", "_best")
     out = told.join(best, [*keys, "_n"])
     forms = F.transform("_best", lambda s, i: F.array_join(F.slice(texts, s + 1, F.coalesce(F.get("_best", i + 1), F.col("_n")) - s), ""))

@@ -79,7 +79,7 @@ def split_example_line(spark, sf_dir):
 k AS (SELECT *, coalesce(list_sum(list_transform(s0, lambda s: s.x)), 0) AS a0, coalesce(list_sum(list_transform(s1, lambda s: s.x)), 0) AS a1, coalesce(list_sum(list_transform(s2, lambda s: s.x)), 0) AS a2 FROM c),
 m AS (SELECT *, (10.0 + sum(a0) OVER w - a0) / (1 + sum(len(s0)) OVER w - len(s0)) AS m0, (100.0 + sum(a1) OVER w - a1) / (1 + sum(len(s1)) OVER w - len(s1)) AS m1, (180.0 + sum(a2) OVER w - a2) / (1 + sum(len(s2)) OVER w - len(s2)) AS m2 FROM k WINDOW w AS (PARTITION BY l_partkey)),
 o AS (SELECT *, len(s1) = 0 AND len(s0) > 0 AND abs(s0[-1].x - m1) < abs(s0[-1].x - m0) AS mv FROM m), p AS (SELECT * REPLACE (CASE WHEN mv THEN [s0[-1]] ELSE s1 END AS s1, CASE WHEN mv THEN s0[:len(s0) - 1] ELSE s0 END AS s0) FROM o),
-q AS (SELECT *, CASE WHEN len(s2) > 0 THEN 0 WHEN len(s1) > 0 THEN CASE WHEN abs(s1[-1].x - m2) < abs(s1[-1].x - m1) THEN 2 ELSE 0 END WHEN len(s0) > 0 THEN CASE WHEN abs(s0[-1].x - m2) < abs(s0[-1].x - m0) THEN 1 ELSE 0 END ELSE 0 END AS f FROM p),
+q AS (SELECT *, CASE WHEN len(s2) > 0 THEN 0 WHEN len(s1) > 0 AND NOT mv THEN CASE WHEN abs(s1[-1].x - m2) < abs(s1[-1].x - m1) THEN 2 ELSE 0 END WHEN len(s0) > 0 THEN CASE WHEN abs(s0[-1].x - m2) < abs(s0[-1].x - m0) THEN 1 ELSE 0 END ELSE 0 END AS f FROM p),
 z AS (SELECT l_partkey, id, CASE WHEN f = 1 THEN s0[:len(s0) - 1] ELSE s0 END AS s0, CASE WHEN f = 2 THEN s1[:len(s1) - 1] ELSE s1 END AS s1, CASE f WHEN 1 THEN [s0[-1]] WHEN 2 THEN [s1[-1]] ELSE s2 END AS s2 FROM q)
 SELECT l_partkey, id, array_to_string(list_transform(s0, lambda s: s.text), '+') || '|' || array_to_string(list_transform(s1, lambda s: s.text), '+') || '|' || array_to_string(list_transform(s2, lambda s: s.text), '+') AS cells FROM z""")
 def slot_redistribute(spark, sf_dir):
@@ -94,7 +94,7 @@ def slot_redistribute(spark, sf_dir):
     s1 = F.when(F.col("l_quantity") % 2 == 0, F.array(at(100 + d * 500, F.lit("c")))).otherwise(none)
     s2 = F.when(F.col("l_suppkey") % 3 == 0, F.array(at(160 + t * 500, F.lit("d")), at(200 + t * 500, F.lit("e")))).otherwise(none)
     rows = lines.select("l_partkey", (F.col("l_orderkey") * 100 + F.col("l_linenumber")).alias("id"), F.array(s0, s1, s2).alias("cells"))
-    out = O.redistribute_slots(rows, ["l_partkey"], "id", "cells", F.array(F.lit(10.0), F.lit(100.0), F.lit(180.0)), [1, 2])
+    out = O.redistribute_slots(rows, ["l_partkey"], "id", "cells", F.array(F.lit(10.0), F.lit(100.0), F.lit(180.0)), F.array(F.lit(1), F.lit(2)))
     return out.withColumn("cells", F.array_join(F.transform("cells", lambda c: F.array_join(F.transform(c, lambda s: s["text"]), "+")), "|"))
 
 
