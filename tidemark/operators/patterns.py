@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import text as T
 from tidemark.operators import layout, tables
-from tidemark.sources.shared import shared_folder
+from tidemark.sources.shared import shared_folder, written
 
 #: Fixed values of the printed tables.
 QUESTION, SAMPLE, NUMBER = r"…+か。?\s*\z", r"^\s*…+", r"^\s*(\d{1,9})\."
@@ -63,12 +63,12 @@ def substitution(rows: DataFrame, keys: list[str], line: str, raw: str, segments
     question = F.col("raw").rlike(QUESTION)
     held = (F.col("nth") > 0) & (F.size("segments") > 0)
     lines = lines.withColumns({"held": held, "question": question & held, "sample": held & F.col("raw").rlike(SAMPLE) & ~question})
-    lines = lines.withColumn("over", F.max("sample").over(upto)).filter("NOT over")
+    lines = written(lines.withColumn("over", F.max("sample").over(upto)).filter("NOT over"), "lines")
     base = lines.filter("nth = 0").select(*keys, "texts", "xs")
     told = lines.filter("held AND NOT question").select(*keys, line, "texts", "xs", _cleaned(F.col("segments")).alias("segments"))
     placed = F.transform("segments", lambda s: F.struct(layout.column_of(s["x"], F.col("xs")).alias("column"), s.alias("s")))
     cells = F.transform(F.sequence(F.lit(0), F.greatest(F.size("xs"), F.lit(1)) - 1), lambda c: F.transform(F.filter("placed", lambda p: p["column"] == c), lambda p: p["s"]))
-    told = told.withColumn("placed", placed).select(*keys, line, "texts", "xs", cells.alias("cells"))
+    told = written(told.withColumn("placed", placed).select(*keys, line, "texts", "xs", cells.alias("cells")), "cells")
     different = told.select(*keys, "texts", F.posexplode("cells").alias("column", "cell")).filter((F.size("cell") > 0) & ~_joined(F.col("cell")).eqNullSafe(F.get("texts", F.col("column"))))
     slots = different.groupBy(*keys).agg(F.sort_array(F.collect_set("column")).alias("chosen"))
     base = base.join(slots, keys, "left").withColumn("chosen", F.coalesce("chosen", F.when(F.size("texts") > 0, F.array(F.lit(0))), F.array().cast("array<int>")))
@@ -81,7 +81,7 @@ def substitution(rows: DataFrame, keys: list[str], line: str, raw: str, segments
     first_gap = F.col("text").isNull() & (F.sum(F.col("text").isNull().cast("int")).over(of_slot) == 1) & (F.col("own") != "")
     each = each.withColumn("new", F.col("text").isNotNull() | first_gap).withColumn("count", F.sum(F.col("new").cast("int")).over(of_slot))
     gap = F.when(F.col("own") == "", F.lit(0)).otherwise(F.min(F.when(F.col("text").isNull(), F.col("count"))).over(of_slot))
-    each = each.withColumn("place", F.when(F.col("text").isNotNull(), F.col("count")).otherwise(gap).cast("int"))
+    each = written(each.withColumn("place", F.when(F.col("text").isNotNull(), F.col("count")).otherwise(gap).cast("int")), "candidates")
     found = each.groupBy(*keys, "slot").agg(F.transform(F.sort_array(F.collect_list(F.when(F.col("new"), F.struct(line, F.coalesce("text", F.lit("")).alias("text"))))), lambda r: r["text"]).alias("found"))
     found = found.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("slot", "found"))).alias("found"))
     lists = each.groupBy(*keys, line).agg(F.transform(F.sort_array(F.collect_list(F.struct("slot", "place"))), lambda r: r["place"]).alias("places")).groupBy(*keys).agg(F.transform(F.sort_array(F.collect_list(F.struct(line, "places"))), lambda r: r["places"]).alias("lists"))

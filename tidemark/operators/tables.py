@@ -107,11 +107,13 @@ def redistribute_slots(rows: DataFrame, keys: list[str], row: str, cells: str, b
     state = told.groupBy(*keys, row, "_slots").agg(F.sort_array(F.collect_list("cell")).alias("state"))
 
     def fill(a: Column, m: Column) -> Column:
-        here = F.get(a, m)
-        source = F.try_element_at(F.filter(a, lambda c: (c["column"] < m) & c["printed"] & (F.size(c["segments"]) > 0)), F.lit(-1))
+        filled = F.filter(a, lambda c: (c["column"] < m) & c["printed"] & (F.size(c["segments"]) > 0))
+        return F.when(F.size(F.get(a, m)["segments"]) > 0, a).otherwise(F.get(F.transform(F.array(F.try_element_at(filled, F.lit(-1))), lambda source: moved(a, m, source)), F.lit(0)))
+
+    def moved(a: Column, m: Column, source: Column) -> Column:
         last = F.try_element_at(source["segments"], F.lit(-1))
-        moves = (F.size(here["segments"]) == 0) & F.coalesce(F.abs(last["x"] - here["mean"]) < F.abs(last["x"] - source["mean"]), F.lit(False))
-        now = lambda c: F.when(c["column"] == m, F.array(last)).when(c["column"] == source["column"], F.slice(c["segments"], 1, F.greatest(F.size(c["segments"]) - 1, F.lit(0)))).otherwise(c["segments"])
+        moves = F.coalesce(F.abs(last["x"] - F.get(a, m)["mean"]) < F.abs(last["x"] - source["mean"]), F.lit(False))
+        now = lambda c: F.when(c["column"] == m, F.array(last)).when(c["column"] == source["column"], F.slice(c["segments"], 1, F.size(c["segments"]) - 1)).otherwise(c["segments"])
         return F.when(moves, F.transform(a, lambda c: F.struct(c["column"].alias("column"), now(c).alias("segments"), c["mean"].alias("mean"), c["printed"].alias("printed")))).otherwise(a)
 
     filled = F.aggregate(F.sort_array("_slots"), F.col("state"), fill)
