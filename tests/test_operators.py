@@ -48,7 +48,7 @@ def test_log_basics(spark):
     assert log.merge_events(merged, b).count() == 3
     assert log.imported(log.exported(a, ["d"]), a.drop("a")).count() == 3
     assert [tuple(r) for r in log.last_flags(a).collect()] == [("q", 5)]
-    assert [r["alternatives"] for r in log.user_alternatives(a).collect()] == [["alt"]]
+    assert [(r["i"], r["a"]) for r in log.user_alternatives(a).collect()] == [("p", "alt")]
     assert log.median_rt(a.filter("false"), ["d"]).count() == 0
     old = spark.createDataFrame([("z", ["b", "a"])], "i string, alts array<string>")
     assert [(r["n"], r["a"], r["t"], r["g"]) for r in log.migrate_alternatives(old, "dev", 7).orderBy("n").collect()] == [(8, "b", 0, 3), (9, "a", 0, 3)]
@@ -172,7 +172,7 @@ def test_rows_of_tables(spark):
 
     cells = "array<array<struct<x:double,text:string>>>"
     rows = [(1, 1, [[(10.0, "a")], [(100.0, "b")]]), (1, 2, [[(12.0, "a"), (95.0, "b")], []]), (1, 3, [[(11.0, "a"), (40.0, "a2")], []]), (2, 1, [[], []])]
-    out = tables.redistribute_slots(spark.createDataFrame(rows, f"tab int, row int, cells {cells}"), ["tab"], "row", "cells", F.array(F.lit(10.0), F.lit(100.0)), [1])
+    out = tables.redistribute_slots(spark.createDataFrame(rows, f"tab int, row int, cells {cells}"), ["tab"], "row", "cells", F.array(F.lit(10.0), F.lit(100.0)), F.array(F.lit(1)))
     assert sorted((r["tab"], r["row"], [[s["text"] for s in c] for c in r["cells"]]) for r in out.collect()) == [(1, 1, [["a"], ["b"]]), (1, 2, [["a"], ["b"]]), (1, 3, [["a", "a2"], []]), (2, 1, [[], []])]
     forms = [(1, 1, ["t", "i", "d", "t", "k", "d"]), (1, 2, ["o", "i", "d", "o", "k", "d"]), (1, 3, ["i", "i", "d", "y", "k", "d"]), (1, 4, ["alone"])]
     out = tables.conjugation_forms(spark.createDataFrame(forms, "tab int, row int, texts array<string>"), ["tab"], "row", "texts")
@@ -187,6 +187,25 @@ def test_numbering_in_ranges(spark):
     assert all(r["place"] == 1 + sum(1 for q in got if q["d"] == r["d"] and q["t"] < r["t"]) for r in got) and len(got) == 300
 
 
+def test_looking_back_in_ranges(spark):
+    """One key holds a third of the rows and more; ranges are cut anywhere."""
+    rows = spark.createDataFrame([("hot" if k % 3 else f"k{k % 7}", (k * 37) % 1000, k, None if k % 5 == 0 else k) for k in range(600)] + [(None, 5, 1000, 1), (None, 6, 1001, 2)], "i string, t int, n int, v int")
+    held = rows.collect()
+    for r in log.previous(rows, "i", ["t", "n"], "v", "before", per_range=2).collect():
+        own = [q for q in held if q["i"] == r["i"] and (q["t"], q["n"]) < (r["t"], r["n"])]
+        assert r["before"] == (max(own, key=lambda q: (q["t"], q["n"]))["v"] if own else None)
+
+
+def test_medians_in_ranges(spark):
+    import statistics
+
+    rng = random.Random(4)
+    groups = {"hot": [float(rng.randint(0, 400)) for _ in range(2001)], "even": [rng.random() for _ in range(300)], "one": [7.5], "same": [3.0] * 40, None: [1.0, 2.0], "none": []}
+    rows = [(k, v) for k, vs in groups.items() for v in vs] + [("none", None)]
+    got = {r["k"]: r["median_r"] for r in log.median_rt(spark.createDataFrame(rows, "k string, r double").repartition(5), ["k"]).collect()}
+    assert got == {k: statistics.median(v) if v else 0.0 for k, v in groups.items()}
+
+
 def test_lists_are_bounded(spark):
     rows = spark.createDataFrame([(k, ["all", f"e{k % 2}"]) for k in range(25)], "k int, names array<string>")
     got = {(r["element"], r["chunk"]): r["keys"] for r in mastery.inverted(rows, "names", F.col("k"), bound=10).collect()}

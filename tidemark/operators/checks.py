@@ -48,3 +48,18 @@ def circled(text: Column) -> Column:
 
 def blank(text: Column) -> Column:
     return T.trimmed(F.coalesce(text, F.lit(""))) == ""
+
+
+def grammar(points: DataFrame, keys: list[str], jp: str, body: str) -> DataFrame:
+    """keys, rule, detail: faults of grammar points. jp: an array of example sentences.
+
+    circled: an example still holds a circled mark, one row each; quote: the body holds an empty quotation; lost: no example has any text,
+    but the body holds the circled mark of one. A point without examples is no fault.
+    """
+    own = [F.col(k) for k in keys]
+    marked = points.select(*own, F.explode(jp).alias("detail")).filter(circled(F.col("detail"))).select(*own, F.lit("circled").alias("rule"), "detail")
+    text = F.coalesce(F.col(body), F.lit(""))
+    quote = points.filter(text.contains("「」")).select(*own, F.lit("quote").alias("rule"), text.alias("detail"))
+    none = ~F.exists(F.coalesce(F.col(jp), F.array().cast("array<string>")), lambda x: ~blank(x))
+    lost = points.filter(none & circled(text)).select(*own, F.lit("lost").alias("rule"), text.alias("detail"))
+    return union([marked, quote, lost])

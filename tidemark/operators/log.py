@@ -6,9 +6,12 @@ An event has d (device), n (number on the device), i (item), t (epoch seconds),
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 HISTORY = 10
 ORDER = ("t", "n", "d")
@@ -70,9 +73,8 @@ def last_flags(events: DataFrame) -> DataFrame:
 
 
 def user_alternatives(events: DataFrame) -> DataFrame:
-    """Distinct accepted answers of each item in the order first seen; empty ones are ignored."""
-    first = events.filter(F.coalesce("a", F.lit("")) != "").groupBy("i", "a").agg(F.min(F.struct(*event_order())).alias("at"))
-    return first.groupBy("i").agg(F.transform(F.sort_array(F.collect_list(F.struct("at", "a"))), lambda x: x["a"]).alias("alternatives"))
+    """(i, a, at): each accepted answer of an item once, where it was first seen; empty ones are ignored. See mastery.listed for lists."""
+    return events.filter(F.coalesce("a", F.lit("")) != "").groupBy("i", "a").agg(F.min(F.struct(*event_order())).alias("at"))
 
 
 def max_seq(events: DataFrame) -> DataFrame:
@@ -81,22 +83,55 @@ def max_seq(events: DataFrame) -> DataFrame:
 
 
 def median_rt(events: DataFrame, keys: list[str]) -> DataFrame:
-    """Median time of each group, two middle ones averaged, 0 without any. All events count, flags with their 0 too."""
-    return events.groupBy(*keys).agg(F.coalesce(F.median("r"), F.lit(0.0)).alias("median_r"))
+    """Median time of each group, two middle ones averaged, 0 without any. All events count, flags with their 0 too.
+
+    Exact, and no task holds a group: equal times are counted first, the counts are summed by range of time, and only the ranges that
+    hold a group's middle places are ordered.
+    """
+    counted = events.groupBy(*keys, "r").agg(F.count("*").alias("_n"))
+    told = ranged(counted.filter("r IS NOT NULL"), ["r"])
+    over = W.partitionBy(*keys)
+    held = told.groupBy(*keys, "_range").agg(F.sum("_n").alias("_sum"))
+    held = held.withColumns({"_before": F.sum("_sum").over(over.orderBy("_range")) - F.col("_sum"), "_all": F.sum("_sum").over(over)})
+    lo, hi = F.floor((F.col("_all") - 1) / 2), F.floor(F.col("_all") / 2)
+    held = held.filter((F.col("_before") <= hi) & (F.col("_before") + F.col("_sum") > lo)).drop("_sum").toDF(*[f"_key{i}" for i in range(len(keys))], "_same", "_before", "_all")
+    rows = told.join(held, [F.col("_range") == F.col("_same"), *[F.col(k).eqNullSafe(F.col(f"_key{i}")) for i, k in enumerate(keys)]])
+    upto = F.col("_before") + F.sum("_n").over(W.partitionBy(*keys, "_range").orderBy("r"))
+    rows = rows.withColumns({"_upto": upto, "_from": upto - F.col("_n")})
+    at = lambda place: F.max(F.when((F.col("_from") <= place) & (place < F.col("_upto")), F.col("r")))
+    found = rows.groupBy(*keys).agg(((at(lo) + at(hi)) / 2).alias("_m"))
+    names = [f"_key{i}" for i in range(len(keys))]
+    found = found.toDF(*names, "_m")
+    return counted.select(*keys).distinct().join(found, [F.col(k).eqNullSafe(F.col(n)) for k, n in zip(keys, names, strict=True)], "left").select(*keys, F.coalesce("_m", F.lit(0.0)).alias("median_r"))
+
+
+def ranged(rows: DataFrame, order: list[str], per_range: int = 20) -> DataFrame:
+    """rows with _range, from 0: the range of this order that a row lies in. Rows that are equal in `order` share one.
+
+    A sample of places, drawn by hash, cuts the rows into as many ranges as Spark has shuffle partitions. A row is compared with every
+    root-th cut, then with those of one stretch between them.
+    """
+    spark, place = rows.sparkSession, F.struct(*order)
+    ranges = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    drawn = rows.select(*order).orderBy(F.xxhash64(*order)).limit(per_range * ranges).agg(F.sort_array(F.collect_list(place)).alias("_cuts"))
+    cuts = drawn.head()["_cuts"][per_range::per_range]
+    step = math.isqrt(len(cuts)) + 1
+    array = drawn.schema["_cuts"].dataType
+    both = StructType([StructField("every", array), StructField("all", array)])
+    held = spark.createDataFrame([((cuts[step - 1 :: step], cuts),)], StructType([StructField("_cuts", both)]))
+    rows = rows.withColumn("_cuts", held.scalar())
+    passed = lambda some: F.size(F.filter(some, lambda c: c <= place))
+    rows = rows.withColumn("_coarse", passed(F.col("_cuts.every")) * step)
+    return rows.withColumn("_range", F.col("_coarse") + passed(F.slice(F.col("_cuts.all"), F.col("_coarse") + 1, F.lit(step)))).drop("_cuts", "_coarse")
 
 
 def numbered(rows: DataFrame, key: str | None, order: list[str], name: str, per_range: int = 20) -> DataFrame:
     """rows with their number from 1 in this order, within each key; no task holds all rows of a key.
 
-    In two steps: a sample of places, drawn by hash, cuts the rows of all keys into ranges of the order; each range of a key is
-    numbered by itself, after the rows of the key in the ranges before it. Rows that are equal in `order` share a range.
+    Each range of a key (see ranged) is numbered by itself, after the rows of the key in the ranges before it.
     """
-    keys, columns, spark = [key] if key else [], rows.columns, rows.sparkSession
-    ranges = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    place = F.struct(*order)
-    drawn = rows.select(*order).orderBy(F.xxhash64(*order)).limit(per_range * ranges).agg(F.sort_array(F.collect_list(place)).alias("_cuts"))
-    cuts = spark.createDataFrame([(drawn.head()["_cuts"][per_range::per_range],)], drawn.schema)
-    rows = rows.withColumn("_cuts", cuts.scalar()).withColumn("_range", F.size(F.filter("_cuts", lambda c: c <= place)))
+    keys, columns = [key] if key else [], rows.columns
+    rows = ranged(rows, order, per_range)
     held = rows.groupBy(*keys, "_range").agg(F.count("*").alias("_n"))
     before = held.select(*[F.col(k).alias("_key") for k in keys], F.col("_range").alias("_same"), (F.sum("_n").over(W.partitionBy(*keys).orderBy("_range")) - F.col("_n")).alias("_before"))
     rows = rows.withColumn("_k", F.row_number().over(W.partitionBy(*keys, "_range").orderBy(*order)))
@@ -104,6 +139,22 @@ def numbered(rows: DataFrame, key: str | None, order: list[str], name: str, per_
     return rows.withColumn(name, (F.col("_before") + F.col("_k")).cast("bigint")).select(*columns, name)
 
 
+def previous(rows: DataFrame, key: str, order: list[str], value: str, name: str, per_range: int = 20) -> DataFrame:
+    """rows with the value of the row before, within each key and in this order, which must tell a key's rows apart; null in the first one.
+
+    As `lag` gives, but no task holds all rows of a key: each range of a key looks back by itself, and its first row at the last one of
+    the range before.
+    """
+    columns = rows.columns
+    rows = ranged(rows, order, per_range)
+    boxed = F.struct(F.col(value).alias("v"))
+    last = rows.groupBy(key, "_range").agg(F.max_by(boxed, F.struct(*order)).alias("_last"))
+    carried = last.select(F.col(key).alias("_key"), F.col("_range").alias("_same"), F.lag("_last").over(W.partitionBy(key).orderBy("_range")).alias("_carried"))
+    rows = rows.withColumn("_own", F.lag(boxed).over(W.partitionBy(key, "_range").orderBy(*order)))
+    rows = rows.join(carried, [F.col("_range") == F.col("_same"), F.col(key).eqNullSafe(F.col("_key"))])
+    return rows.withColumn(name, F.coalesce("_own", "_carried")["v"]).select(*columns, name)
+
+
 def migrate_alternatives(old: DataFrame, device: str, start: int) -> DataFrame:
     """Legacy map rows (i, alts array) as events with t 0 and grade 3, numbered after `start` in order of item and position."""
     rows = numbered(old.select("i", F.posexplode("alts").alias("pos", "a")), None, ["i", "pos"], "n")

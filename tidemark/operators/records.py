@@ -43,6 +43,30 @@ def _first(cells: Column, test) -> Column:
     return F.when(at > 0, at - 1).otherwise(F.size(cells))
 
 
+def at_readings(cells: Column, kana_x: Column) -> Column:
+    """True where a line begins where readings stand."""
+    return F.coalesce(F.abs(F.get(cells, F.lit(0))["x"] - kana_x) <= ALIGNED, F.lit(False))
+
+
+def bracketed(cells: Column) -> Column:
+    return _joined(cells).rlike("[［〔]")
+
+
+def usage_line(cells: Column, kana_x: Column) -> Column:
+    """True for a line that may be an entry's usage: brackets, at the readings."""
+    return at_readings(cells, kana_x) & bracketed(cells)
+
+
+def gloss_line(cells: Column, floor: Column) -> Column:
+    """True for a line all of whose cells stand among the glosses; never without cells or where there is no such column."""
+    return F.coalesce((F.size(cells) > 0) & F.forall(cells, lambda c: c["x"] >= floor), F.lit(False))
+
+
+def reading_line(cells: Column, kana_x: Column) -> Column:
+    """True for a line that may give another reading or a note: at the readings, no brackets."""
+    return at_readings(cells, kana_x) & ~bracketed(cells)
+
+
 def vocabulary(rows: DataFrame, keys: list[str], order: str, cells: str, kana_x: Column, kanji_x: Column, floor: Column) -> DataFrame:
     """keys, at, category, no, kana, kanji, zh, usage (kana, kanji), group: the entries of a section's lines.
 
@@ -63,18 +87,16 @@ def vocabulary(rows: DataFrame, keys: list[str], order: str, cells: str, kana_x:
     numbers = layout.contiguous_numbering(lines.filter("label IS NOT NULL"), keys, "at", "label").withColumnRenamed("label", "no")
     lines = lines.join(numbers, [*keys, "at"], "left")
 
-    near = F.abs(F.get("cells", F.lit(0))["x"] - F.col("kana_x")) <= ALIGNED
-    bracket = F.col("text").rlike("[［〔]")
-    among = F.col("floor").isNotNull() & F.forall("cells", lambda c: c["x"] >= F.col("floor"))
     free = F.col("mode") > 0
     first = F.row_number().over(W.partitionBy(*keys, "mode").orderBy("at")) == 1
-    lines = lines.withColumns({"near": near, "bracket": bracket, "among": among})
+    cells_, kana_ = F.col("cells"), F.col("kana_x")
+    lines = lines.withColumns({"usage_like": usage_line(cells_, kana_), "reading_like": reading_line(cells_, kana_), "among": gloss_line(cells_, F.col("floor"))})
     lines = lines.withColumn("opens", F.when(free, first | ~F.col("among")).otherwise(F.col("no").isNotNull()))
     lines = lines.withColumn("entry", F.last(F.when(F.col("opens"), F.col("at")), ignorenulls=True).over(upto)).filter("entry IS NOT NULL")
     own = W.partitionBy(*keys, "mode", "entry").orderBy("at").rowsBetween(W.unboundedPreceding, 0)
-    used = F.col("near") & F.col("bracket") & ~F.col("opens") & ~free
+    used = F.col("usage_like") & ~F.col("opens") & ~free
     lines = lines.withColumn("usage", used & (F.sum(used.cast("int")).over(own) == 1))
-    part = F.when(F.col("opens"), "entry").when(F.col("usage"), "usage").when(F.col("among"), "gloss").when(~free & F.col("near") & ~F.col("bracket"), "note").when(T.trimmed(F.col("text")) != "", "other").otherwise("blank")
+    part = F.when(F.col("opens"), "entry").when(F.col("usage"), "usage").when(F.col("among"), "gloss").when(~free & F.col("reading_like"), "note").when(T.trimmed(F.col("text")) != "", "other").otherwise("blank")
     lines = lines.withColumn("part", part).withColumn("over", F.max(F.col("part") == "other").over(own)).filter(~F.col("over"))
 
     rest = F.regexp_extract(F.get("cells", F.lit(0))["text"], r"(?s)^\s*\d+\.?(.*)\z", 1)

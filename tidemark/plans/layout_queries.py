@@ -223,10 +223,23 @@ TRIM = rf"regexp_replace(%s, '^{T.SPACES}+|{T.SPACES}+\z', '', 'g')"
 _rule("chk_sentence_end", "documents", "doc_id", lambda: checks.sentence_end(F.col("text"), ".?!"), lambda: F.length("text"), rf"SELECT 'chk_sentence_end' AS rule, CAST(doc_id AS VARCHAR) AS id, CAST(length(text) AS VARCHAR) AS detail FROM documents WHERE {TRIM % 'text'} <> '' AND NOT regexp_matches({TRIM % 'text'}, '[.?!]\z')")
 _rule("chk_circled", "conversations", "conv_id", lambda: checks.circled(F.translate("text", "xz", "①⑳")), lambda: F.col("turn"), "SELECT 'chk_circled' AS rule, CAST(conv_id AS VARCHAR) AS id, CAST(turn AS VARCHAR) AS detail FROM conversations WHERE regexp_matches(translate(text, 'xz', '①⑳'), '[①-⑳]')")
 _rule("chk_ruby_at", "conversations", "conv_id", lambda: F.substring("text", (F.col("turn") + 1).cast("int"), 1) != F.substring("text", 1, 1), lambda: F.col("turn"), "SELECT 'chk_ruby_at' AS rule, CAST(conv_id AS VARCHAR) AS id, CAST(turn AS VARCHAR) AS detail FROM conversations WHERE substr(text, CAST(turn AS INTEGER) + 1, 1) <> substr(text, 1, 1)")
-_rule("chk_grammar", "pages", "page_id", lambda: F.col("html").contains("<h1") & ~F.col("html").contains("<li"), lambda: F.length("html"), "SELECT 'chk_grammar' AS rule, CAST(page_id AS VARCHAR) AS id, CAST(length(html) AS VARCHAR) AS detail FROM pages WHERE contains(html, '<h1') AND NOT contains(html, '<li')")
 _rule("body_size_filter", "part", "p_partkey", lambda: F.col("p_size") >= 8, lambda: F.col("p_size"), "SELECT 'body_size_filter' AS rule, CAST(p_partkey AS VARCHAR) AS id, CAST(p_size AS VARCHAR) AS detail FROM part WHERE p_size >= 8")
 
 
+@query("""WITH l AS (SELECT conv_id, turn, turn % 2 = 0 AND conv_id % 4 <> 1 AS ex, CASE WHEN turn % 2 = 1 THEN text ELSE ' ' END || CASE WHEN turn % 2 = 1 AND conv_id % 7 = 0 THEN '「」' ELSE '' END || CASE WHEN turn % 2 = 1 AND conv_id % 3 = 0 THEN '②' ELSE '' END AS b,
+ CASE WHEN conv_id % 8 = 2 THEN ' ' WHEN conv_id % 5 = 0 AND turn = 2 THEN text || '①' ELSE text END AS jp FROM conversations),
+p AS (SELECT conv_id, string_agg(b, '' ORDER BY turn) AS body, bool_or(ex AND trim(jp) <> '') AS any_jp FROM l GROUP BY 1)
+SELECT conv_id, 'circled' AS rule, md5(jp) AS detail FROM l WHERE ex AND regexp_matches(jp, '[①-⑳]') UNION ALL SELECT conv_id, 'quote', md5(body) FROM p WHERE contains(body, '「」') UNION ALL SELECT conv_id, 'lost', md5(body) FROM p WHERE NOT any_jp AND regexp_matches(body, '[①-⑳]')""")
+def chk_grammar(spark, sf_dir):
+    """Conversations are points, even turns examples, odd ones the body; some hold marks."""
+    conv, odd = F.col("conv_id"), F.col("turn") % 2 == 1
+    b = F.concat(F.when(odd, F.col("text")).otherwise(" "), F.when(odd & (conv % 7 == 0), "「」").otherwise(""), F.when(odd & (conv % 3 == 0), "②").otherwise(""))
+    jp = F.when(conv % 8 == 2, " ").when((conv % 5 == 0) & (F.col("turn") == 2), F.concat("text", F.lit("①"))).otherwise(F.col("text"))
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", b.alias("b"), F.when(~odd & (conv % 4 != 1), jp).alias("jp"))
+    points = rows.groupBy("conv_id").agg(F.collect_list("jp").alias("jp"), F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("turn", "b"))), lambda r: r["b"]), "").alias("body"))
+    return checks.grammar(points, ["conv_id"], "jp", "body").withColumn("detail", F.md5("detail"))
+
+
 @query("SELECT doc_id FROM documents WHERE source IN ('src0', 'src3')")
 def section_filter(spark, sf_dir):
     return table(spark, sf_dir, "documents").filter(F.col("source").isin("src0", "src3")).select("doc_id")

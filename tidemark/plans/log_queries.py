@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import concepts as C
 from tidemark.operators import log, mastery, schedule
+from tidemark.sources.event_store import EventStore
+from tidemark.sources.shared import shared_folder
 from tidemark.sources.tables import EVENT_LOG_SQL, ITEM_BRIDGE_SQL, epoch, event_log, item_bridge, table
 
 QUERIES = {}
@@ -98,21 +100,29 @@ def merge_events(spark, sf_dir):
 
 @query(MERGE)
 def sink_events(spark, sf_dir):
-    """An upsert twice over: writing the same rows again changes nothing."""
+    """Appends to a stored table: each log in two batches, one batch sent again, one put in again under a new number."""
     left, right = _two_logs(spark, sf_dir)
-    return log.merge_events(log.merge_events(left, right), right).select("d", "n", "i", "t", "g")
+    store = EventStore(spark, shared_folder(spark, "events"), left.schema, most_deltas=3)
+    for writer, events in (("left", left), ("right", right)):
+        for batch in (0, 1):
+            store.append(events.filter(F.col("n") % 2 == batch), writer, batch)
+    store.append(right.filter("n % 2 = 1"), "right", 1)
+    store.append(right.filter("n % 2 = 0"), "right", 2)
+    return store.read().select("d", "n", "i", "t", "g")
 
 
-@query(f"{EV} SELECT d, n, t, row_number() OVER (PARTITION BY d ORDER BY t, n) AS place FROM ev")
+@query(f"{EV} SELECT d, n, t, row_number() OVER (ORDER BY t, n, d) AS place FROM ev")
 def read_events(spark, sf_dir):
-    return log.numbered(event_log(spark, sf_dir), "d", ["t", "n"], "place").select("d", "n", "t", "place")
+    """All events of a stored table in their order, which a number gives."""
+    store = EventStore(spark, shared_folder(spark, "events"), event_log(spark, sf_dir).schema)
+    store.append(event_log(spark, sf_dir), "log", 0)
+    return log.numbered(store.read(), None, ["t", "n", "d"], "place").select("d", "n", "t", "place")
 
 
 @query(f"{EV} SELECT i, n, coalesce(lag(n) OVER (PARTITION BY i ORDER BY t, n, d), -1) AS before FROM ev")
 def order_events(spark, sf_dir):
-    from pyspark.sql import Window as W
-
-    return event_log(spark, sf_dir).withColumn("before", F.lag("n", 1, -1).over(W.partitionBy("i").orderBy(*log.event_order()))).select("i", "n", "before")
+    ev = event_log(spark, sf_dir).select("i", "n", "t", "d")
+    return log.previous(ev, "i", ["t", "n", "d"], "n", "before").select("i", "n", F.coalesce("before", F.lit(-1)).alias("before"))
 
 
 @query(f"{EV} SELECT d, n, i, t, g, r, m FROM ev")
@@ -134,10 +144,11 @@ def join_flag_items(spark, sf_dir):
     return mastery.flagged_items(log.last_flags(event_log(spark, sf_dir)), items, "i")
 
 
-@query(f"""{EV}, f AS (SELECT i, a, min(t) AS t, arg_min(n, (t, n, d)) AS n FROM ev WHERE coalesce(a, '') <> '' GROUP BY i, a)
-SELECT i, string_agg(a, '|' ORDER BY t, n) AS alternatives FROM f GROUP BY i""")
+@query(f"""{EV}, f AS (SELECT i, a, arg_min((t, n, d), (t, n, d)) AS at_ FROM ev WHERE coalesce(a, '') <> '' GROUP BY i, a), k AS (SELECT i, a, row_number() OVER (PARTITION BY i ORDER BY at_) AS k FROM f)
+SELECT i, (k - 1) // 1000 AS chunk, string_agg(a, '|' ORDER BY k) AS alternatives FROM k GROUP BY 1, 2""")
 def user_alternatives(spark, sf_dir):
-    return log.user_alternatives(event_log(spark, sf_dir)).select("i", F.array_join("alternatives", "|").alias("alternatives"))
+    listed = mastery.listed(log.user_alternatives(event_log(spark, sf_dir)), "i", ["at"], F.col("a"), "alternatives")
+    return listed.select("i", "chunk", F.array_join("alternatives", "|").alias("alternatives"))
 
 
 @query(f"{EV} SELECT d, coalesce(max(n), -1) AS max_n FROM ev GROUP BY d")
@@ -160,7 +171,7 @@ def median_rt_clean(spark, sf_dir):
 SELECT event_id, CASE WHEN event_type = 'error' THEN 1 WHEN user_id % 7 = 0 THEN 2 WHEN coalesce(med, 0) = 0 THEN 3 WHEN coalesce(value, 0.0) < 0.6 * med THEN 4 WHEN coalesce(value, 0.0) > 2 * med THEN 2 ELSE 3 END AS grade FROM events JOIN m USING (event_type)""")
 def grade_answer(spark, sf_dir):
     ev = table(spark, sf_dir, "events").withColumn("r", F.coalesce("value", F.lit(0.0)))
-    med = F.broadcast(log.median_rt(ev, ["event_type"]))
+    med = log.median_rt(ev, ["event_type"])
     grade = C.grade(F.col("event_type") != "error", F.col("user_id") % 7 == 0, F.col("r"), F.col("median_r"))
     return ev.join(med, "event_type").select("event_id", grade.alias("grade"))
 
@@ -261,12 +272,16 @@ def join_corrections(spark, sf_dir):
     return mastery.apply_corrections(items, fixes, "doc_id").withColumn("alternatives", F.array_join("alternatives", "|"))
 
 
-@query(f"""{EV}, f AS (SELECT i, a, min(t) AS t, arg_min(n, (t, n, d)) AS n FROM ev WHERE coalesce(a, '') <> '' GROUP BY i, a), u AS (SELECT i, string_agg(a, '|' ORDER BY t, n) AS s FROM f WHERE a <> 'view1' GROUP BY i)
-SELECT c_custkey, 'view1' || coalesce('|' || s, '') AS alternatives FROM customer LEFT JOIN u ON u.i = 'item' || CAST(c_custkey AS VARCHAR)""")
+@query(f"""{EV}, f AS (SELECT i, a, arg_min((t, n, d), (t, n, d)) AS at_ FROM ev WHERE coalesce(a, '') NOT IN ('', 'view1') GROUP BY i, a), k AS (SELECT i, a, row_number() OVER (PARTITION BY i ORDER BY at_) AS k FROM f),
+u AS (SELECT i, (k - 1) // 1000 AS chunk, string_agg(a, '|' ORDER BY k) AS s FROM k GROUP BY 1, 2)
+SELECT c_custkey, coalesce(chunk, 0) AS chunk, CASE WHEN coalesce(chunk, 0) = 0 THEN 'view1' || coalesce('|' || s, '') ELSE s END AS alternatives FROM customer LEFT JOIN u ON u.i = 'item' || CAST(c_custkey AS VARCHAR)""")
 def join_user_alts(spark, sf_dir):
+    """An item's own answers, then those that users added, a bounded number to a row."""
     items = table(spark, sf_dir, "customer").select("c_custkey", F.concat(F.lit("item"), F.col("c_custkey").cast("string")).alias("i"), F.array(F.lit("view1")).alias("own"))
-    both = items.join(log.user_alternatives(event_log(spark, sf_dir)), "i", "left")
-    return both.select("c_custkey", F.array_join(F.array_union("own", F.coalesce("alternatives", F.array().cast("array<string>"))), "|").alias("alternatives"))
+    added = log.user_alternatives(event_log(spark, sf_dir)).join(items, "i").filter(~F.array_contains("own", F.col("a")))
+    both = items.join(mastery.listed(added, "i", ["at"], F.col("a"), "alternatives"), "i", "left").withColumn("chunk", F.coalesce("chunk", F.lit(0)))
+    more = F.coalesce("alternatives", F.array().cast("array<string>"))
+    return both.select("c_custkey", "chunk", F.array_join(F.when(F.col("chunk") == 0, F.concat("own", more)).otherwise(more), "|").alias("alternatives"))
 
 
 @query("SELECT doc_id, CASE WHEN lang = source THEN lang WHEN lang = 'en' THEN lang || '|' || source ELSE lang || '|' || source || '|en' END AS alts FROM documents")

@@ -84,6 +84,15 @@ def parse_vocab(spark, sf_dir):
     return out.select("l_partkey", F.col("at").alias("at_"), "category", F.coalesce("no", F.lit(-1)).alias("no"), dash("kana"), dash("kanji"), "zh", F.coalesce("usage.kana", F.lit("-")).alias("usage_kana"), F.coalesce("usage.kanji", F.lit("-")).alias("usage_kanji"), F.coalesce("group", F.lit("-")).alias("grp"))
 
 
+@query(rf"""WITH {RANKED}, c AS (SELECT l_partkey, seq, {CELLS_SQL} AS cells FROM r), s AS (SELECT *, {TEXTS.format('cells')} AS s FROM c)
+SELECT l_partkey, seq, coalesce(abs(cells[1].x - 30) <= 16, false) AND regexp_matches(s, '[［〔]') AS usage, len(cells) > 0 AND len(list_filter(cells, lambda c: c.x < 175)) = 0 AS gloss, coalesce(abs(cells[1].x - 30) <= 16, false) AND NOT regexp_matches(s, '[［〔]') AS reading FROM s""")
+def line_predicates(spark, sf_dir):
+    """What a line of a vocabulary page may be by where its cells stand."""
+    cells = F.col("cells")
+    rows = ranked(spark, sf_dir).withColumn("cells", F.expr(CELLS))
+    return rows.select("l_partkey", "seq", R.usage_line(cells, F.lit(30.0)).alias("usage"), R.gloss_line(cells, F.lit(175.0)).alias("gloss"), R.reading_line(cells, F.lit(30.0)).alias("reading"))
+
+
 #: Fragments (x, text) of the lines of a grammar page: the second one only if there is text.
 POINT_LINES = """CASE q WHEN 0 THEN 20.0 WHEN 1 THEN 30.0 + 3 * v WHEN 2 THEN 30.0 + 3 * v WHEN 3 THEN 40.0 WHEN 7 THEN 35.0 WHEN 5 THEN 50.0 ELSE 10.0 END AS x,
  CASE q WHEN 0 THEN CASE WHEN v = 0 THEN '１' ELSE '' END || CAST(l_linenumber AS STRING) || '． 題' || t WHEN 1 THEN '①か' || t WHEN 2 THEN ' ⑫ 我' || t WHEN 3 THEN 'の' || t WHEN 5 THEN '（' || t || '）' WHEN 6 THEN '  ' ELSE ' だ' || t END AS a,
