@@ -10,9 +10,11 @@ from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import DataStreamWriter
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.types import BooleanType, LongType, StructField, StructType
 
 from tidemark.operators.log import HISTORY, answers_only
 
@@ -50,6 +52,57 @@ def mastery(attempts: DataFrame) -> DataFrame:
     return attempts.groupBy("concept").applyInPandasWithState(_mastery, "concept string, a double, reps bigint", STATE, "update", GroupStateTimeout.NoTimeout)
 
 
+def tumbling(events: DataFrame, keys: list[str], size: str, delay: str, at: str = "at") -> DataFrame:
+    """keys, start, end, n: events in each window of this size, once the watermark, `delay` behind the newest event, has passed its end."""
+    return sliding(events, keys, size, size, delay, at)
+
+
+def sliding(events: DataFrame, keys: list[str], size: str, step: str, delay: str, at: str = "at") -> DataFrame:
+    """keys, start, end, n: events in each window of this size, one begun at each step. State: a count for each key of each open window."""
+    counted = events.withWatermark(at, delay).groupBy(F.window(at, size, step), *keys).agg(F.count("*").alias("n"))
+    return counted.select(*keys, F.col("window.start").alias("start"), F.col("window.end").alias("end"), "n")
+
+
+def sessions(events: DataFrame, keys: list[str], gap: str, delay: str, at: str = "at") -> DataFrame:
+    """keys, start, end, n: stretches of a key's events without a pause longer than the gap; end is the last event and the gap.
+
+    A row that comes late, but before the watermark has passed, joins the sessions on both of its sides into one.
+    """
+    counted = events.withWatermark(at, delay).groupBy(F.session_window(at, gap), *keys).agg(F.count("*").alias("n"))
+    return counted.select(*keys, F.col("session_window.start").alias("start"), F.col("session_window.end").alias("end"), "n")
+
+
+class LateRows:
+    """Parts a stream into rows in time and rows behind the watermark; both go to tables, so that no row vanishes.
+
+    A row is late if it is more than `delay` older than the newest row of the micro-batches before its own. Each micro-batch writes its
+    newest time beside its rows; one that is run again reads those of the batches before it alone, and replaces what it wrote.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, schema: StructType, delay: str, at: str = "at") -> None:
+        self.spark, self.path, self.schema, self.delay, self.at = spark, path, schema, delay, at
+        spark.createDataFrame([], schema).write.parquet(f"{path}/rows/batch=-1/late=false")
+        spark.createDataFrame([], f"newest {schema[at].dataType.simpleString()}").write.parquet(f"{path}/newest/batch=-1")
+
+    def put(self, rows: DataFrame, batch: int) -> None:
+        newest = self.spark.read.parquet(f"{self.path}/newest").filter(F.col("batch") < batch).agg((F.max("newest") - F.expr(f"INTERVAL {self.delay}")).alias("mark"))
+        late = F.coalesce(F.col(self.at) < newest.scalar(), F.lit(False))
+        rows = rows.withColumn("late", late).persist()
+        try:
+            rows.write.mode("overwrite").partitionBy("late").parquet(f"{self.path}/rows/batch={batch}")
+            rows.agg(F.max(self.at).alias("newest")).write.mode("overwrite").parquet(f"{self.path}/newest/batch={batch}")
+        finally:
+            rows.unpersist()
+
+    def sink(self, events: DataFrame) -> DataStreamWriter:
+        return events.writeStream.foreachBatch(self.put)
+
+    def read(self) -> DataFrame:
+        """All rows, with `late`."""
+        schema = StructType([*self.schema.fields, StructField("late", BooleanType()), StructField("batch", LongType())])
+        return self.spark.read.schema(schema).parquet(f"{self.path}/rows").drop("batch")
+
+
 def dashboard(events: DataFrame, show: Callable[[DataFrame, int], None]):
     """After each micro-batch, `show` gets the batch's rows and its number, to run any batch query."""
     return events.writeStream.foreachBatch(show)
