@@ -124,9 +124,9 @@ def test_op7(spark, documents):
         s = source[r["doc_id"]]
         assert (r["size"], r["source_size"]) == (size[r["doc_id"]], want[s][0]) and r["target"] == pytest.approx(want[s][1]) and r["taken"] <= 3 * r["size"]
         taken[s] += r["taken"]
-        assert r["taken"] == r["size"] * len([x for x in r["shards"].split(",") if x])
+        assert r["taken"] == r["size"] * len([x for x in r["shards"].split(",") if x]) and r["shards"].count(",") == r["places"].count(",")
     for s in names:
-        assert abs(taken[s] - want[s][1]) <= max(size[d] for d in size if source[d] == s)
+        assert abs(taken[s] - want[s][1]) <= max(0.02 * want[s][1], min(size[d] for d in size if source[d] == s)), s
     assert sorted(map(tuple, rows)) == sorted(map(tuple, queries.op7_mixing(spark, DATA).collect()))
 
 
@@ -159,7 +159,7 @@ def test_pipeline_stage_by_stage(spark):
         by_source[r["source"]].append((words(r["text"]), times[r["doc_id"]]))
     names = sorted(by_source, key=lambda s: (s is None, s or ""))
     for s, target in zip(names, plain_targets([sum(n for n, _ in by_source[s]) for s in names]), strict=True):
-        assert abs(sum(n * k for n, k in by_source[s]) - target) <= max(n for n, _ in by_source[s])
+        assert abs(sum(n * k for n, k in by_source[s]) - target) <= max(0.02 * target, min(n for n, _ in by_source[s]))
     out = stages["token_output"](spark, mixed, DATA).collect()
     rows = [(r["doc_id"], r["text"]) for r in mixed.collect()]
     assert sorted((r["doc_id"], r["n_tokens"], r["ids_crc32"]) for r in out) == sorted((d, *x) for (d, _), x in zip(rows, plain_tokens([t for _, t in rows]), strict=True))

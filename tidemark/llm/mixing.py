@@ -1,7 +1,8 @@
 """Mixing sources to target weights by a multivariate-hypergeometric splitting tree.
 
 A source's documents fall into blocks of about equal words by a hash. Its quota is a number of whole blocks (all of them once for
-each full pass, then some of a permutation of them) and part of one block, so that the words taken come near the target. A binary
+each full pass, then some of a permutation of them, the last of them exchanged for others that fill it better) and part of one block, so that the words taken
+come near the target. A binary
 tree over the output shards splits the quotas: at each node a multivariate-hypergeometric draw says how many blocks of each source
 go left. A shard then gets disjoint stretches of each source's permuted blocks, and its rows are ordered by a hash.
 
@@ -26,6 +27,8 @@ MOST = 3
 #: All sources together have about so many blocks.
 BLOCKS = 4096
 SHARDS = 8
+#: Blocks taken, and blocks left, that are chosen again to fill a quota; words that these may fill.
+EXCHANGED, EXACT = 64, 1 << 20
 
 
 def targets(sizes: list[int], weights: list[float], most: float = MOST) -> list[float]:
@@ -71,16 +74,42 @@ class Plan:
     edges: dict[int, tuple[int, int, int, float]]
 
 
+def fullest(sizes: list[int], target: int) -> list[int]:
+    """Places of a subset of sizes with the largest sum that is at most target; a bit for each sum tells which can be reached."""
+    reach = [1]
+    for n in sizes:
+        reach.append((reach[-1] | reach[-1] << n) & ((1 << target + 1) - 1))
+    at, out = reach[-1].bit_length() - 1, []
+    for i in range(len(sizes) - 1, -1, -1):
+        if not reach[i] >> at & 1:
+            out.append(i)
+            at -= sizes[i]
+    return out[::-1]
+
+
 def filling(sizes: dict[int, int], room: float, order: list[int]) -> tuple[list[int], int | None, float]:
-    """Of blocks, in this order, those that fit into room; the smallest of the others, to be taken in part; and the room that is left."""
+    """Of blocks those that fill room best; the smallest of the others, to be taken in part; and the room that is left.
+
+    In this order each that fits is taken. Then the last EXCHANGED of these and as many of the others, smallest first, are chosen again,
+    to fill it as far as they can, if what they fill is at most EXACT words; blocks of more are cut finer, and fill a smaller room there.
+    """
     some, skipped = [], []
+    left = room
     for b in order:
-        if sizes[b] <= room:
+        if sizes[b] <= left:
             some.append(b)
-            room -= sizes[b]
+            left -= sizes[b]
         else:
             skipped.append(b)
-    return some, min(skipped, key=lambda b: (sizes[b], b)) if skipped and room >= 1 else None, room
+    pool = some[-EXCHANGED:] + sorted((b for b in skipped if sizes[b]), key=lambda b: (sizes[b], b))[:EXCHANGED]
+    target = int(left + sum(sizes[b] for b in some[-EXCHANGED:]))
+    if pool and target <= EXACT:
+        chosen = [pool[i] for i in fullest([sizes[b] for b in pool], target)]
+        some = some[:-EXCHANGED] + chosen
+        skipped = [b for b in order if b not in set(some)]
+        left = room - sum(sizes[b] for b in some)
+    skipped = [b for b in skipped if sizes[b]]
+    return some, min(skipped, key=lambda b: (sizes[b], b)) if skipped and left >= 1 else None, left
 
 
 def plan(blocks: dict[int, dict[int, int]], want: list[float], shards: int, seed: int) -> Plan:

@@ -84,8 +84,9 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidemark.llm.mixing import mix
 
     out = mix(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
-    shards = F.array_join(F.transform("takes", lambda t: t["shard"].cast("string")), ",").alias("shards")
-    return out.select("doc_id", "size", "source_size", "target", (F.size("takes") * F.col("size")).cast("bigint").alias("taken"), shards)
+    listed = lambda c: F.array_join(F.transform("takes", lambda t: t[c].cast("string")), ",")
+    taken = (F.size("takes") * F.col("size")).cast("bigint").alias("taken")
+    return out.select("doc_id", "size", "source_size", "target", taken, listed("shard").alias("shards"), listed("place").alias("places"))
 
 
 def op8_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
