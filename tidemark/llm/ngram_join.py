@@ -30,7 +30,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidemark.llm.blocks import BLOCK_BYTES, DOC_BITS, answers, census, mixed, packed, with_states, word_hashes
-from tidemark.llm.common import discard, private, quoted, ship, stored
+from tidemark.llm.common import WORD, by_place, discard, private, quoted, ship, stored
 
 N = 5
 #: Two documents link when DEN * intersection >= NUM * union.
@@ -301,18 +301,37 @@ def join_components(docs: DataFrame, n: int = N, block_bytes: int = BLOCK_BYTES,
     return out
 
 
+def _first_copies(row_at: int):
+    """Drops rows whose digest a row before them in the same task has."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[bytes] = set()
+        for batch in batches:
+            new = []
+            for digest in batch.column(row_at).to_pylist():
+                new.append(digest not in seen)
+                seen.add(digest)
+            yield batch.filter(pa.array(new, pa.bool_()))
+
+    return run
+
+
 def one_of_each(docs: DataFrame, n: int = N, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """The rows of docs that stand for their component (all columns), see join_components: the smallest doc_id, a null one before all others.
 
     Texts without n-grams (null, empty, white space) all stay. Rows are told apart by a 128-bit digest of all their columns, so those
-    with equal digests are equal, and it does not matter which of them stay: one, or all if they have no n-grams. No rows give none;
-    further columns, whatever their names, pass through. Texts are shuffled once, by digest.
+    with equal digests are equal, and it does not matter which of them stays. Each task drops copies of its own before texts are
+    shuffled, once, by digest, so a digest comes from each task once at most; what it remembers of its rows is 16 bytes each. No rows
+    give none; further columns, whatever their names, pass through. A text is a cell of an Arrow batch.
     """
-    row, copies, nth = private(docs, "row", "copies", "nth")
+    row, nth = private(docs, "row", "nth")
     rows = docs.withColumn(row, F.unhex(F.md5(F.to_json(F.struct(*map(quoted, docs.columns))))))
-    kept = join_components(rows, n, block_bytes, row).filter("first").groupBy(F.col("row").alias(row)).agg(F.count("*").alias(copies))
-    both = rows.join(kept.hint("merge"), row)
-    return both.withColumn(nth, F.row_number().over(W.partitionBy(row).orderBy(row))).filter(F.col(nth) <= F.col(copies)).select(*map(quoted, docs.columns))
+    kept = join_components(rows, n, block_bytes, row).filter("first AND n_shingles > 0").select(F.col("row").alias(row)).distinct()
+    spoken = F.coalesce(F.col("text").rlike(WORD), F.lit(False))
+    own = by_place(rows.filter(spoken)).mapInArrow(_first_copies(len(docs.columns)), by_place(rows).schema).toDF(*rows.columns)
+    both = own.join(kept.hint("merge"), row)
+    one = both.withColumn(nth, F.row_number().over(W.partitionBy(row).orderBy(row))).filter(F.col(nth) == 1).select(*map(quoted, docs.columns))
+    return one.unionByName(docs.filter(~spoken))
 
 
 ship(__name__)
