@@ -229,12 +229,47 @@ def test_stream_takes_late_events_in_any_order(spark, tmp_path):
     shuffled = rng.sample(rows, len(rows))
     for k in range(5):
         spark.createDataFrame(shuffled[k::5], schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
-    source = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
-    out = drained(live.mastery(source), "update").groupBy("concept").agg(F.max_by("a", "reps").alias("a"), F.max("reps").alias("reps"))
+    source = live.on_disk(spark).readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    out = drained(live.mastery(source), "update", spark).groupBy("concept").agg(F.max_by("a", "reps").alias("a"), F.max("reps").alias("reps"))
     want = log.concept_state(spark.createDataFrame(rows, schema), ["concept"], log.event_order(desc=True), F.col("hit"))
     assert sorted(map(tuple, out.collect())) == sorted(map(tuple, want.collect()))
 
 
+def waves(spark, folder, start, *batches):
+    """A stream run anew for each batch of rows, from the state that the run before left."""
+    for rows in batches:
+        spark.createDataFrame(rows, "k string, at timestamp").coalesce(1).write.mode("append").parquet(f"{folder}/in")
+        start(spark.readStream.schema("k string, at timestamp").parquet(f"{folder}/in")).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start().awaitTermination()
+
+
+def clock(text):
+    import datetime
+
+    return datetime.datetime.fromisoformat(f"2024-01-01T{text}")
+
+
+def test_a_late_row_joins_two_sessions(spark, tmp_path):
+    from tidemark.streaming import live
+
+    def start(rows):
+        return live.sessions(rows, ["k"], "30 minutes", "1 hour").writeStream.outputMode("append").foreachBatch(lambda out, n: out.write.mode("overwrite").parquet(f"{tmp_path}/out/batch={n}"))
+
+    waves(spark, tmp_path, start, [("a", clock("10:00:00")), ("a", clock("10:50:00")), ("b", clock("10:00:00"))], [("a", clock("10:25:00"))], [("z", clock("15:00:00"))])
+    got = sorted((r["k"], r["start"], r["end"], r["n"]) for r in spark.read.parquet(f"{tmp_path}/out").collect())
+    assert got == [("a", clock("10:00:00"), clock("11:20:00"), 3), ("b", clock("10:00:00"), clock("10:30:00"), 1)]
+
+
+def test_late_rows_are_kept_apart(spark, tmp_path):
+    from tidemark.streaming import live
+
+    late = live.LateRows(spark, str(tmp_path / "late"), spark.createDataFrame([], "k string, at timestamp").schema, "1 HOURS")
+    waves(spark, tmp_path, late.sink, [("a", clock("10:00:00")), ("old in the first batch", clock("05:00:00"))], [("b", clock("09:00:00")), ("c", clock("08:59:59")), ("d", clock("12:00:00"))], [("e", clock("10:30:00")), ("f", None)])
+    want = {"a": False, "old in the first batch": False, "b": False, "c": True, "d": False, "e": True, "f": False}
+    assert {r["k"]: r["late"] for r in late.read().collect()} == want
+    late.put(spark.createDataFrame([("b", clock("09:00:00")), ("c", clock("08:59:59")), ("d", clock("12:00:00"))], "k string, at timestamp"), 1)  # run again
+    assert sorted((r["k"], r["late"]) for r in late.read().collect()) == sorted(want.items())
+
+
 def test_entry_and_names(spark):
     import __spark_entry__
 

@@ -30,12 +30,14 @@ def as_log(e: DataFrame) -> DataFrame:
     )
 
 
-def drained(out: DataFrame, mode: str) -> DataFrame:
+def drained(out: DataFrame, mode: str, home: SparkSession | None = None) -> DataFrame:
     """Run a stream over what is there and return the table that its executors wrote: the last result in complete mode, else the rows of all micro-batches.
 
     The table and the stream's state are in the shared folder; no row goes through the driver. A micro-batch that is run again replaces its rows.
+    home: the session that reads the table, if the stream runs in one of its own.
     """
     spark, path = out.sparkSession, shared_folder(out.sparkSession, "stream")
+    home = home or spark
 
     def keep(rows: DataFrame, number: int) -> None:
         rows.write.mode("overwrite").parquet(f"{path}/batch={0 if mode == 'complete' else number}")
@@ -43,7 +45,7 @@ def drained(out: DataFrame, mode: str) -> DataFrame:
     spark.createDataFrame([], out.schema).write.parquet(f"{path}/batch=-1")  # so that a stream without a micro-batch has a table too
     q = out.writeStream.outputMode(mode).foreachBatch(keep).option("checkpointLocation", shared_folder(spark, "state")).trigger(availableNow=True).start()
     q.awaitTermination()
-    return spark.read.parquet(path).select(*out.columns)
+    return home.read.parquet(path).select(*out.columns)
 
 
 PIECES, DELAY, JITTER = 4, "2 DAYS", 40
@@ -164,8 +166,8 @@ def stream_flags(spark, sf_dir):
 @query("""SELECT i AS concept, sum(CASE WHEN k <= 10 AND g >= 2 THEN 1 ELSE 0 END)::DOUBLE / least(count(*), 10) AS a, count(*) AS reps FROM
  (SELECT *, row_number() OVER (PARTITION BY i ORDER BY t DESC, n DESC, d DESC) AS k FROM ev WHERE m <> 'flag') GROUP BY i""")
 def stream_mastery(spark, sf_dir):
-    rows = log.answers_only(as_log(stream(spark, sf_dir))).withColumnRenamed("i", "concept")
-    out = drained(live.mastery(rows.select("concept", "t", "n", "d", "hit")), "update")
+    rows = log.answers_only(as_log(stream(live.on_disk(spark), sf_dir))).withColumnRenamed("i", "concept")
+    out = drained(live.mastery(rows.select("concept", "t", "n", "d", "hit")), "update", spark)
     return out.groupBy("concept").agg(F.max_by("a", "reps").alias("a"), F.max("reps").alias("reps"))
 
 

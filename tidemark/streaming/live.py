@@ -8,12 +8,11 @@ from __future__ import annotations
 import sys
 from collections.abc import Callable, Iterator
 
-import pandas as pd
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle, TimerValues
 from pyspark.sql.types import BooleanType, LongType, StructField, StructType
 
 from tidemark.operators.log import HISTORY, answers_only
@@ -34,22 +33,45 @@ def flags(events: DataFrame) -> DataFrame:
     return events.filter("m = 'flag'").groupBy("i").agg(F.max("t").alias("flagged_at"))
 
 
-def _mastery(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    rows, reps = [], 0
-    if state.exists:
-        hits, t, n, d, reps = state.get
-        rows = list(zip(t, n, d, hits, strict=True))
-    for batch in batches:
-        rows += zip(batch["t"].tolist(), batch["n"].tolist(), batch["d"].tolist(), batch["hit"].astype(bool).tolist(), strict=True)
-        reps += len(batch)
-        rows = sorted(rows, key=lambda r: r[:3])[-HISTORY:]
-    state.update(([r[3] for r in rows], [r[0] for r in rows], [r[1] for r in rows], [r[2] for r in rows], reps))
-    yield pd.DataFrame({"concept": [key[0]], "a": [sum(r[3] for r in rows) / len(rows)], "reps": [reps]})
+class _Newest(StatefulProcessor):
+    """Per concept the newest ten attempts by (t, n, d), newest last, and how many there have been."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.newest = handle.getValueState("newest", STATE)
+
+    def handleInputRows(self, key: tuple, rows: Iterator[Row], timers: TimerValues) -> Iterator[Row]:  # noqa: N802  (Spark's name)
+        held = self.newest.get()
+        hits, t, n, d, reps = held if held else ([], [], [], [], 0)
+        own = list(zip(t, n, d, hits, strict=True))
+        for r in rows:
+            own.append((r["t"], r["n"], r["d"], r["hit"]))
+            reps += 1
+            if len(own) > 8 * HISTORY:
+                own = sorted(own)[-HISTORY:]
+        own = sorted(own)[-HISTORY:]
+        self.newest.update(([r[3] for r in own], [r[0] for r in own], [r[1] for r in own], [r[2] for r in own], reps))
+        yield Row(concept=key[0], a=sum(r[3] for r in own) / len(own), reps=reps)
+
+    def close(self) -> None:
+        pass
 
 
 def mastery(attempts: DataFrame) -> DataFrame:
-    """Share of hits in the newest ten attempts of each concept. attempts: concept, t, n, d, hit; each once (see dedup). State: ten rows a key."""
-    return attempts.groupBy("concept").applyInPandasWithState(_mastery, "concept string, a double, reps bigint", STATE, "update", GroupStateTimeout.NoTimeout)
+    """Share of hits in the newest ten attempts of each concept. attempts: concept, t, n, d, hit, none null; each once (see dedup).
+
+    State is ten rows a key, on disk: the stream's session must have RocksDB as its state store (see `on_disk`).
+    """
+    rows = attempts.select("concept", "t", "n", "d", "hit")
+    return rows.groupBy("concept").transformWithState(_Newest(), "concept string, a double, reps bigint", "Update", "None")
+
+
+def on_disk(spark: SparkSession) -> SparkSession:
+    """A session of the same cluster whose streams keep their state in RocksDB; the one given stays as it is."""
+    session = spark.newSession()
+    for k in ("spark.sql.shuffle.partitions", "spark.sql.session.timeZone"):
+        session.conf.set(k, spark.conf.get(k))
+    session.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    return session
 
 
 def tumbling(events: DataFrame, keys: list[str], size: str, delay: str, at: str = "at") -> DataFrame:
