@@ -234,6 +234,34 @@ def test_full_licence_texts_and_wrapped_notices(spark):
     assert got == {1: ("MIT", ["MIT"]), 2: (None, ["MIT"]), 3: (None, ["MIT"]), 4: (None, ["Apache-2.0"]), 5: (None, []), 6: (None, []), 7: (None, ["Apache-2.0", "MIT"])}
 
 
+def test_licence_sql_knows_all_texts_and_runs(spark, tmp_path):
+    """The registered SQL over every short text, whole, wrapped and inside other lines, and over the texts of the notices test."""
+    import duckdb
+
+    from tidemark.llm.license_texts import short_texts
+
+    texts = [t for _, t in short_texts()][::5]
+    rows = [(i, t) for i, t in enumerate(texts)] + [(1000 + i, f"Some code here\n(c) 2021 Someone\n{t}\nlast line") for i, t in enumerate(texts)]
+    rows += [(2000, "a line\n" + APACHE_HEADER.replace("\n", "\nCopyright 2020 Someone\n")), (2001, None), (2002, ""), (2003, MIT.upper()), (2004, MIT.replace("license", "licence") + "\n" + APACHE_HEADER)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    got = queries.op9_license_scan(spark, str(tmp_path)).select("doc_id", "digest", "license", "line_licenses").collect()
+    assert sorted(map(str, map(tuple, got))) == sorted(map(str, con.execute(queries.op9_sql()).fetchall()))
+    assert all(r["license"] and r["license"] in r["line_licenses"] for r in got if r["doc_id"] < 1000) and all(r["line_licenses"] for r in got if 1000 <= r["doc_id"] < 2000)
+
+
+def test_license_list_can_be_made_again(spark):
+    import os
+
+    from tidemark.llm.license_digests import FILES, FOLDER
+    from tidemark.llm.make_license_digests import file_digests
+
+    if not all(os.path.exists(f"{FOLDER}/{r[4]}") for r in FILES):
+        pytest.skip("no licence texts here")
+    assert sorted(map(tuple, file_digests(spark).collect())) == sorted(FILES)
+
+
 def test_clauses_and_words_are_kept_apart(spark):
     """A clause numbered (c) is text, and a word that holds another one keeps its spelling."""
     pairs = [("use it\n(c) you must not sell", "use it\n(c) you may sell"), ("conversion of goods", "conv of goods"), ("(c) 2020 A\nuse it", "© 2021-2022 B\nuse it"), ("sub-licences, version 2", "Sublicenses V. 2")]

@@ -1,135 +1,58 @@
-"""Full public licence texts, as SPDX identifier, words, first four words and md5 of the canonical text (see licenses.canonical).
-
-Taken from the texts that Linux distributions and packages carry: with and without a title, with numbered or plain clauses. canonical() drops
-lines that begin with "copyright", so a line break may take words of the body along; the forms of that kind that packages carry are listed too.
+"""Public licence texts too long to be listed here, as SPDX identifier, words, first four words and md5 of the canonical text
+(see licenses.canonical). Short texts are in license_texts.
 """
 
-TEXTS = [
-    ("0BSD", 98, "permission to use copy", "fa9583358e39e30cc008a801c940fa8c"),
-    ("0BSD", 102, "bsd zero clause license", "350f087c09f773dbf1e95772b1c826a7"),
-    ("0BSD", 102, "zero clause bsd license", "369b5bc181c295c4db9ab4918e6b2956"),
-    ("0BSD", 103, "bsd zero clause license", "1ee1fdb1f06b9e5e8e8b151fcd4dd813"),
+from __future__ import annotations
+
+#: The folder of licence texts that Debian's base-files package installs, and its files: `python -m tidemark.llm.make_license_digests` makes these rows.
+FOLDER = "/usr/share/common-licenses"
+FILES = [
+    ("Apache-2.0", 1583, "apache license v 2", "1de021e49aded84d55ca57c3a7d37db4", "Apache-2.0"),
+    ("Artistic-1.0-Perl", 950, "the artistic license preamble", "1b50375157aa8fd583048ea2d79fcfc6", "Artistic"),
+    ("CC0-1.0", 1075, "creative commons legal code", "a70bebfe5da688ca288b05ca74c12b51", "CC0-1.0"),
+    ("GFDL-1.2-only", 3305, "gnu free documentation license", "069ba4e5f393c278141547571ce3a0c1", "GFDL-1.2"),
+    ("GFDL-1.3-only", 3710, "gnu free documentation license", "2d8e0926b38b85c80ae929d9ac7fde59", "GFDL"),
+    ("GPL-1.0-only", 2055, "gnu general public license", "8827365a843c87ec6763b6e1ac5aac0d", "GPL-1"),
+    ("GPL-2.0-only", 2965, "gnu general public license", "41deab1586ba0abbce56a703d34e6730", "GPL-2"),
+    ("GPL-3.0-only", 5650, "gnu general public license", "10a1cad28328416f2277b45ee157f35f", "GPL"),
+    ("LGPL-2.0-only", 4153, "gnu library general public", "b4d15708223707d6acf71b5819a7ddba", "LGPL-2"),
+    ("LGPL-2.1-only", 4354, "gnu lesser general public", "1271d1420206103d453dd1b12c0fc7f8", "LGPL-2.1"),
+    ("LGPL-3.0-only", 1231, "gnu lesser general public", "fdc10443c5a1e68178d8300ca10bcdc1", "LGPL"),
+    ("MPL-1.1", 3786, "mozilla public license v", "ead01a0529c0356c5159b4cfa701ce71", "MPL-1.1"),
+    ("MPL-2.0", 2426, "mozilla public license v", "0349217a8e408bdbc3e28e3c126a774a", "MPL-2.0"),
+]
+
+#: Other wordings that published packages carry in their licence files; the texts are not kept here, so these rows can be used but not made again.
+MORE = [
     ("Apache-2.0", 86, "licensed under the apache", "bac6321ea256c793c961d19060b6fe03"),
     ("Apache-2.0", 1407, "apache license v 2", "39713efab1c0482c99e49c816d908410"),
     ("Apache-2.0", 1412, "apache license v 2", "851f7aa2333642507c3580cc76cf377e"),
     ("Apache-2.0", 1427, "apache license v 2", "86923f0b515ce95669c6df90b4774fbe"),
     ("Apache-2.0", 1602, "apache license v 2", "0d3352e970c8f46af1db429ce1f7d4b5"),
-    ("Apache-2.0", 1583, "apache license v 2", "1de021e49aded84d55ca57c3a7d37db4"),
     ("Apache-2.0", 1586, "apache license v 2", "4d8e841aaf40c6e74d279d6cbcea1ebb"),
     ("Apache-2.0", 1592, "apache license v 2", "299b0a1cfe11d0b5686695144abcfcfd"),
-    ("Artistic-1.0-Perl", 950, "the artistic license preamble", "1b50375157aa8fd583048ea2d79fcfc6"),
     ("BSD-2-Clause", 174, "redistribution and use in", "009040c5652a78fb696de3da3a043be6"),
-    ("BSD-2-Clause", 184, "redistribution and use in", "6222f053df59426503c9f9be59942726"),
-    ("BSD-2-Clause", 184, "redistribution and use in", "8c19b192342f336853fe3904a8a03dc0"),
-    ("BSD-2-Clause", 186, "bsd license redistribution and", "1157f04b17be10049823a572c3ae6fdb"),
-    ("BSD-2-Clause", 186, "bsd license redistribution and", "a7416d4301b525f30f09fc2ac1ffd2c5"),
-    ("BSD-2-Clause", 186, "redistribution and use in", "13a33438c224d05e539b1b7f4905400f"),
-    ("BSD-2-Clause", 186, "redistribution and use in", "b0538ec125cafeeb58bf11083985630b"),
-    ("BSD-2-Clause", 187, "the bsd license redistribution", "96dd99db8d26a9ba5429c661321e0a30"),
-    ("BSD-2-Clause", 187, "the bsd license redistribution", "b0d8a355d76e39b16dea88aff74a9447"),
-    ("BSD-2-Clause", 188, "bsd 2 clause license", "1861aa5e650030a606b82b2f8d390297"),
-    ("BSD-2-Clause", 188, "bsd 2 clause license", "efa28daf27a042fee9f84bb0c13fa7d1"),
-    ("BSD-2-Clause", 188, "bsd license redistribution and", "4225e0a1b9e151fb4095633d9f3be5b2"),
-    ("BSD-2-Clause", 188, "bsd license redistribution and", "c68d9ff1c0c6464af2938d8e19d9fd7b"),
-    ("BSD-2-Clause", 189, "bsd 2 clause simplified", "e49916802d05234ac593f79e2a0bc759"),
-    ("BSD-2-Clause", 189, "bsd 2 clause simplified", "fa270c8b6431741bdf72f69b1ed49f0f"),
-    ("BSD-2-Clause", 189, "the bsd 2 clause", "1119ab2d49fc2aeb18a141efc2f85892"),
-    ("BSD-2-Clause", 189, "the bsd 2 clause", "15eb6949c81bce1fc1e143adaef17a01"),
-    ("BSD-2-Clause", 189, "the bsd license redistribution", "6970603e001b812311644e3ebb841b4d"),
-    ("BSD-2-Clause", 189, "the bsd license redistribution", "f25adee33b56a84400ef49514e1ac4d0"),
-    ("BSD-2-Clause", 190, "bsd 2 clause license", "7156097767f5afef1724228b3dfb48fe"),
-    ("BSD-2-Clause", 190, "bsd 2 clause license", "9ff395e82c8f02af48d0faad5916082d"),
-    ("BSD-2-Clause", 191, "bsd 2 clause simplified", "cad6b495ef3e245a8661d47c013a4ac8"),
-    ("BSD-2-Clause", 191, "bsd 2 clause simplified", "e0d688bfb2e024cd3c6781e507e5f91a"),
-    ("BSD-2-Clause", 191, "the bsd 2 clause", "3a1465ab6cc0fd2f6545d312e1360389"),
-    ("BSD-2-Clause", 191, "the bsd 2 clause", "f306b6d7555a8ddee1e9e80b6c10720d"),
-    ("BSD-3-Clause", 214, "redistribution and use in", "9f36ff5c5f3eed0d62cee28f487aa3dc"),
-    ("BSD-3-Clause", 214, "redistribution and use in", "e82046f0b7f72505ecac75064a0d3ab0"),
-    ("BSD-3-Clause", 216, "bsd license redistribution and", "39011f2cfba3de29f89b78678ca27307"),
-    ("BSD-3-Clause", 216, "bsd license redistribution and", "c3a64d66fd91ad7578fc51b692ddbeba"),
-    ("BSD-3-Clause", 217, "new bsd license redistribution", "93323f438f3dc34a5218dde816a303e9"),
-    ("BSD-3-Clause", 217, "new bsd license redistribution", "bcdd812b4175dd83768103d173bc479c"),
-    ("BSD-3-Clause", 217, "redistribution and use in", "04dec907786bcc0627996922dac102e2"),
-    ("BSD-3-Clause", 217, "redistribution and use in", "dfd9463b7bcad50bb1270be3d6bf0c2a"),
-    ("BSD-3-Clause", 217, "the bsd license redistribution", "89e1a8485ca3b6ff957a1d92353f3766"),
-    ("BSD-3-Clause", 217, "the bsd license redistribution", "aa98a9ffa792f5ebca2c6b69d95a6235"),
-    ("BSD-3-Clause", 218, "bsd 3 clause license", "1de6a511d7eca767ae565d7bfca28a81"),
-    ("BSD-3-Clause", 218, "bsd 3 clause license", "d4cef4d9ad8054ea8d2cc83477a6f637"),
-    ("BSD-3-Clause", 219, "bsd license redistribution and", "8e4623ea519f3d2b0efc713e72606b55"),
-    ("BSD-3-Clause", 219, "bsd license redistribution and", "9cd3e95939bef6e3dc3ed2415bacef65"),
-    ("BSD-3-Clause", 219, "the bsd 3 clause", "1a0dc68b4f2e09eb7595427ef9441f2a"),
-    ("BSD-3-Clause", 219, "the bsd 3 clause", "d7b8e7252a7f0eaa91d55f59b816a38a"),
-    ("BSD-3-Clause", 220, "new bsd license redistribution", "8e42b147b87732abbbae188d1937f572"),
-    ("BSD-3-Clause", 220, "new bsd license redistribution", "b00f18841b7ccf2c55f3285fab8cabdf"),
-    ("BSD-3-Clause", 220, "the bsd license redistribution", "052deb709028002fa22667938ca0127f"),
-    ("BSD-3-Clause", 220, "the bsd license redistribution", "fe0f608807c1944089b221525e4a54e3"),
-    ("BSD-3-Clause", 221, "bsd 3 clause license", "290103b9d6a51fb733be40ff52598bfb"),
-    ("BSD-3-Clause", 221, "bsd 3 clause license", "c245a9d439da9a8ea626ab19c280d998"),
-    ("BSD-3-Clause", 221, "bsd 3 clause new", "8041589afc9200134b104a929d19be2b"),
-    ("BSD-3-Clause", 221, "bsd 3 clause new", "9127ffbbb3f65071e3821448135b256a"),
-    ("BSD-3-Clause", 222, "the bsd 3 clause", "02e9ee24ae22769b0cccee6c75e99093"),
-    ("BSD-3-Clause", 222, "the bsd 3 clause", "22d101e755b8a71e8a1110668d841dd5"),
-    ("BSD-3-Clause", 224, "bsd 3 clause new", "39a0528df221be50f988ac750a0f90f9"),
-    ("BSD-3-Clause", 224, "bsd 3 clause new", "5cf74a7197eaf6888e657ad793189aa6"),
-    ("BSL-1.0", 214, "boost software license v", "f0f5725b2f0dc6bbd848524b4496ea38"),
     ("BlueOak-1.0.0", 251, "blue oak model license", "38ceb95d2c63ddb72a42e87e9ec05e45"),
-    ("CC0-1.0", 1075, "creative commons legal code", "a70bebfe5da688ca288b05ca74c12b51"),
-    ("GFDL-1.2-only", 3305, "gnu free documentation license", "069ba4e5f393c278141547571ce3a0c1"),
-    ("GFDL-1.3-only", 3710, "gnu free documentation license", "2d8e0926b38b85c80ae929d9ac7fde59"),
-    ("GPL-1.0-only", 2055, "gnu general public license", "8827365a843c87ec6763b6e1ac5aac0d"),
     ("GPL-2.0-only", 2947, "gnu general public license", "6c46ace35b82376d5023640c03ad3232"),
-    ("GPL-2.0-only", 2965, "gnu general public license", "41deab1586ba0abbce56a703d34e6730"),
     ("GPL-2.0-only", 2965, "gnu general public license", "628c666af7aa82bf014211d91ecf19c1"),
     ("GPL-3.0-only", 5650, "gnu general public license", "de8530f9e0c92da799f8ec5ac1b3fd8f"),
-    ("GPL-3.0-only", 5650, "gnu general public license", "10a1cad28328416f2277b45ee157f35f"),
-    ("ISC", 101, "permission to use copy", "fd575fa1af142b87bf9885e993fc2879"),
     ("ISC", 102, "permission to use copy", "29dda87f10ab224ba76781ee87d28d03"),
-    ("ISC", 102, "permission to use copy", "c8a67b9a4b1a8aa30b1dd65368c84f80"),
-    ("ISC", 104, "isc license permission to", "dcd69494c56e26e8a04f3d6c3be6ff7a"),
-    ("ISC", 105, "the isc license permission", "c22af3909cee7fd7bba39db6020b278e"),
-    ("ISC", 111, "permission to use copy", "835e051a8d57ded2593a1855767e769c"),
     ("ISC", 111, "permission to use copy", "a2f4d54b6390fc9fca81f9bea56ab4d8"),
     ("ISC", 112, "permission to use copy", "753cdd70cd6aad81522b5aa49ab9f496"),
-    ("ISC", 112, "permission to use copy", "b6ab23f33a368e7f225abed7065c8009"),
-    ("ISC", 113, "isc license permission to", "459cebc5244bce6de67e5bfd8832fc9d"),
     ("ISC", 113, "isc license permission to", "7d853a1f24bf9c4e666e9df21f381124"),
-    ("ISC", 114, "isc license isc permission", "50abf1aa31049554acf69d0c0149691e"),
     ("ISC", 114, "isc license isc permission", "8df9b56056af284d51598b1b5751fead"),
-    ("ISC", 114, "isc license permission to", "63179b48dd80764d198b18b1a4a65df0"),
     ("ISC", 114, "isc license permission to", "8250774e9dca737d69a6006d85c96a49"),
     ("ISC", 114, "the isc license permission", "06ce8287ce2d8a4368c788a67843d6ab"),
-    ("ISC", 114, "the isc license permission", "5dde91c0dc80f500c8fb89a5c1dee16a"),
     ("ISC", 115, "isc license isc permission", "e5f70f92790d5b77d2c31a9f07997d5d"),
-    ("ISC", 115, "isc license isc permission", "e8e1ea32eea60e02907d9d691a4153eb"),
     ("ISC", 115, "the isc license isc", "d63506ab7435bc5c7d78c1198ce6a746"),
-    ("ISC", 115, "the isc license isc", "fa7c56d9ea26ccf6b19b143f8eeb59dd"),
-    ("ISC", 115, "the isc license permission", "9b4f6eddda8e34fea1fe9420ebff490a"),
     ("ISC", 115, "the isc license permission", "e889ea62b85f3389a97fe6f3e80996cf"),
     ("ISC", 116, "the isc license isc", "9bb434d4a45caddee2f510555b91e2b1"),
-    ("ISC", 116, "the isc license isc", "bd9131677914c2c5099f1840a08f6d7e"),
-    ("LGPL-2.0-only", 4153, "gnu library general public", "b4d15708223707d6acf71b5819a7ddba"),
     ("LGPL-2.0-only", 4154, "gnu library general public", "5033b3bde4c16964625472f3db84ba2c"),
     ("LGPL-2.1-only", 4336, "gnu lesser general public", "86e967ba65865d4d9ef503e214922f0c"),
-    ("LGPL-2.1-only", 4354, "gnu lesser general public", "1271d1420206103d453dd1b12c0fc7f8"),
-    ("LGPL-3.0-only", 1231, "gnu lesser general public", "fdc10443c5a1e68178d8300ca10bcdc1"),
-    ("MIT", 151, "permission is hereby granted", "2886eb256547eeebf28ce83cd96be3dc"),
-    ("MIT", 153, "mit license permission is", "c57c00559ef795f4117fb4825213e0ef"),
-    ("MIT", 154, "the mit license permission", "f3337087707816eadb4c727b81399a58"),
-    ("MIT", 155, "the mit license mit", "0654809a643792890ef9ad53036c8531"),
     ("MIT", 159, "this software is released", "f4806718c3e81b5828bab9b05fe2de38"),
-    ("MIT", 163, "permission is hereby granted", "90a17991c3ba7b04d183a6467fbe3449"),
-    ("MIT", 164, "mit permission is hereby", "87da029a979185feb91a6830e1ade1e9"),
-    ("MIT", 165, "mit license permission is", "04ddd61083899c2a5ef03d9fe09b79c9"),
     ("MIT", 166, "mit license mit permission", "267835a5b13808cd084b9abe3f2a1877"),
-    ("MIT", 166, "the mit license permission", "5fefeb84c2e262528a30c16c8f8d7a34"),
-    ("MIT", 167, "the mit license mit", "66dd1caf442553ce09fa72a9da2e8c0e"),
     ("MIT", 171, "this software is released", "40e6a54ee7f2158d26312cf0103cb9c1"),
-    ("MPL-1.1", 3786, "mozilla public license v", "ead01a0529c0356c5159b4cfa701ce71"),
-    ("MPL-2.0", 2426, "mozilla public license v", "0349217a8e408bdbc3e28e3c126a774a"),
-    ("Unlicense", 199, "this is free and", "243d95b52f77dc596a0b9d0b9ba09bb5"),
     ("Unlicense", 200, "unlicense this is free", "387c6fd2d5005c66af88b8d90e69ea73"),
-    ("Unlicense", 201, "the unlicense this is", "327e08b7c598821d89c2661b06afcf0c"),
-    ("Zlib", 133, "this software is provided", "6df2a895c31891fec159c01a49b2d3cf"),
-    ("Zlib", 135, "zlib license this software", "c8509dae8dc0557bb29ef1c77b16975c"),
-    ("Zlib", 136, "the zlib license this", "da06f469fac496b82b7382c5e2ebb216"),
 ]
+
+TEXTS = [r[:4] for r in FILES] + MORE

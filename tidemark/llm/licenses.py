@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.common import kept_columns, private, quoted, ship
 from tidemark.llm.license_digests import TEXTS
+from tidemark.llm.license_texts import short_texts
 
 #: So many first words of a known text are compared before a run of lines is hashed.
 HEAD = 4
@@ -78,14 +79,21 @@ def plain(text: Column) -> Column:
     return F.btrim(F.regexp_replace(text, r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+", " "))
 
 
+def described(rows: DataFrame, keep: list[str]) -> DataFrame:
+    """license, words, head (first words), digest of the canonical text of rows (license, text), and the columns to keep."""
+    words = F.split(canonical(F.col("text")), " ")
+    return rows.select("license", F.size(words).alias("words"), F.array_join(F.slice(words, 1, HEAD), " ").alias("head"), F.md5(canonical(F.col("text"))).alias("digest"), *keep)
+
+
 def known_digests(spark: SparkSession, texts: list[tuple[str, str]] | None = None) -> DataFrame:
-    """license, digest, words and head (first words) of canonical texts: the given ones, or NOTICES and the full texts of TEXTS."""
-    rows = spark.createDataFrame(NOTICES if texts is None else texts, "license string, text string").withColumn("text", canonical(F.col("text")))
-    words = F.split("text", " ")
-    rows = rows.select("license", F.size(words).alias("words"), F.array_join(F.slice(words, 1, HEAD), " ").alias("head"), F.md5("text").alias("digest"))
+    """license, words, head, digest of the given texts, or of NOTICES, the short texts of license_texts and the long ones of license_digests.
+
+    Of licences that share a digest the first by name is known; about 250 rows by default.
+    """
+    rows = described(spark.createDataFrame([*NOTICES, *short_texts()] if texts is None else texts, "license string, text string"), [])
     if texts is None:
         rows = rows.union(spark.createDataFrame(TEXTS, "license string, words int, head string, digest string"))
-    return rows.dropDuplicates(["digest"])
+    return rows.groupBy("digest").agg(F.min("license").alias("license"), F.first("words").alias("words"), F.first("head").alias("head"))
 
 
 def _line_licenses(known: list[tuple[str, int, str, str]]):

@@ -115,7 +115,9 @@ def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_sql() -> str:
-    from tidemark.llm.licenses import COPYRIGHT_LINE, NOTICES, SPELLINGS
+    from tidemark.llm.license_digests import TEXTS
+    from tidemark.llm.license_texts import short_texts
+    from tidemark.llm.licenses import COPYRIGHT_LINE, HEAD, NOTICES, SPELLINGS
 
     def respelled(x: str) -> str:
         x = f"lower({x})"
@@ -130,12 +132,21 @@ def op9_sql() -> str:
         kept = rf"list_filter(string_split({respelled(x)}, chr(10)), lambda l: NOT regexp_matches(l, '{COPYRIGHT_LINE}'))"
         return f"md5({plain(f'coalesce(array_to_string({kept}, chr(10)), {chr(39) * 2})')})"
 
-    values = ", ".join("('{}', '{}')".format(a, b.replace("'", "''")) for a, b in NOTICES)
+    quote = lambda x: "'" + x.replace("'", "''") + "'"
+    texts = ", ".join(f"({quote(a)}, {quote(b)})" for a, b in [*NOTICES, *short_texts()])
+    long = ", ".join(f"({quote(a)}, {n}, {quote(h)}, {quote(d)})" for a, n, h, d in TEXTS)
+    own = canonical("text").removeprefix("md5(").removesuffix(")")
     return f"""
-WITH n(license, text) AS (VALUES {values}),
-known AS (SELECT {canonical('text')} AS digest, min(license) AS license FROM n GROUP BY 1),
-l AS (SELECT doc_id, unnest(string_split({respelled("coalesce(text, '')")}, chr(10))) AS line FROM documents),
-f AS (SELECT doc_id, string_agg(DISTINCT license, ',' ORDER BY license) AS line_licenses FROM (SELECT doc_id, md5({plain('line')}) AS digest FROM l) JOIN known USING (digest) GROUP BY 1)
+WITH n(license, text) AS (VALUES {texts}), c AS (SELECT license, {own} AS t FROM n),
+known AS (SELECT digest, min(license) AS license, any_value(words) AS words, any_value(head) AS head FROM
+ (SELECT license, len(string_split(t, ' ')) AS words, array_to_string(string_split(t, ' ')[1:{HEAD}], ' ') AS head, md5(t) AS digest FROM c UNION ALL SELECT * FROM (VALUES {long}) AS x(license, words, head, digest)) GROUP BY digest),
+l AS (SELECT doc_id, generate_subscripts(ls, 1) AS i, unnest(ls) AS line FROM (SELECT doc_id, string_split({respelled("coalesce(text, '')")}, chr(10)) AS ls FROM documents)),
+p AS (SELECT doc_id, i, {plain('line')} AS t, regexp_matches(line, '{COPYRIGHT_LINE}') AS owner FROM l),
+v AS (SELECT doc_id, side, t, row_number() OVER w AS j, sum(len(string_split(t, ' '))) OVER w AS upto FROM p, (SELECT unnest([0, 1]) AS side) WHERE t <> '' AND NOT (side = 1 AND owner) WINDOW w AS (PARTITION BY doc_id, side ORDER BY i)),
+s AS (SELECT doc_id, side, j, upto - len(string_split(t, ' ')) + words AS until, words, license, digest FROM v JOIN (SELECT * FROM known WHERE words > 0) k ON string_split(t, ' ')[1] = string_split(k.head, ' ')[1]),
+r AS (SELECT s.*, e.j AS last FROM s JOIN v e ON s.doc_id = e.doc_id AND s.side = e.side AND s.until = e.upto AND e.j >= s.j),
+g AS (SELECT r.doc_id, r.license, r.digest, md5(string_agg(m.t, ' ' ORDER BY m.j)) AS own FROM r JOIN v m ON r.doc_id = m.doc_id AND r.side = m.side AND m.j BETWEEN r.j AND r.last GROUP BY r.doc_id, r.side, r.j, r.last, r.license, r.digest),
+f AS (SELECT doc_id, string_agg(DISTINCT license, ',' ORDER BY license) AS line_licenses FROM g WHERE own = digest GROUP BY 1)
 SELECT d.doc_id, d.digest, known.license, coalesce(f.line_licenses, '') AS line_licenses
 FROM (SELECT doc_id, {canonical("coalesce(text, '')")} AS digest FROM documents) d LEFT JOIN known ON d.digest = known.digest LEFT JOIN f ON d.doc_id = f.doc_id
 """
