@@ -56,8 +56,8 @@ def concept_state(attempts: DataFrame, keys: list[str], order: list[Column], hit
 
 
 def replay(events: DataFrame, bridge: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(item state, concept state) of a log. bridge: i, covers (array; a concept named twice counts twice); items without a row
-    there have item state only.
+    """(item state, concept state) of a log. bridge: i, covers (array; a concept named twice counts twice; an item may have
+    several rows, so that no list grows with it); items without a row there have item state only.
 
     A concept's last attempts are among the last ones of its items, and its number of attempts is the sum of theirs: so each item is cut
     and counted before its events are multiplied by what it covers.

@@ -78,7 +78,7 @@ def join_item_concepts(spark, sf_dir):
 
 @query(f"{EV}, {ITEM_BRIDGE_SQL} SELECT ev.i, count(*) AS events, bool_or(b.i IS NOT NULL) AS known FROM ev LEFT JOIN (SELECT DISTINCT i FROM bridge) b ON ev.i = b.i WHERE m <> 'flag' GROUP BY ev.i")
 def join_events_items(spark, sf_dir):
-    known = item_bridge(spark, sf_dir).select("i", F.lit(True).alias("k"))
+    known = item_bridge(spark, sf_dir).select("i").distinct().withColumn("k", F.lit(True))
     rows = log.answers_only(event_log(spark, sf_dir)).join(known, "i", "left")
     return rows.groupBy("i").agg(F.count("*").alias("events"), F.bool_or(F.col("k").isNotNull()).alias("known"))
 

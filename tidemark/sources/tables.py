@@ -38,12 +38,12 @@ EVENT_LOG_SQL = """ev AS (SELECT 'dev' || CAST(user_id % 4 AS VARCHAR) AS d, eve
 
 
 def item_bridge(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Items of the log and what they cover: the parts of the orders of the customer with the item's number."""
+    """Items of the log and what they cover, a row for each: the parts of the orders of the customer with the item's number."""
     orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
     lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey")
     rows = lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
     concept = F.concat(F.lit("w:"), F.col("l_partkey").cast("string"))
-    return rows.select(F.concat(F.lit("item"), F.col("o_custkey").cast("string")).alias("i"), concept.alias("concept")).distinct().groupBy("i").agg(F.sort_array(F.collect_list("concept")).alias("covers"))
+    return rows.select(F.concat(F.lit("item"), F.col("o_custkey").cast("string")).alias("i"), concept.alias("concept")).distinct().select("i", F.array("concept").alias("covers"))
 
 
 ITEM_BRIDGE_SQL = "bridge AS (SELECT DISTINCT 'item' || CAST(o_custkey AS VARCHAR) AS i, 'w:' || CAST(l_partkey AS VARCHAR) AS concept FROM lineitem JOIN orders ON l_orderkey = o_orderkey)"
