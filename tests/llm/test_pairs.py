@@ -172,6 +172,24 @@ def test_remove_repeats(spark, length, block_bytes):
     assert sorted(((r["doc_id"], bytes(r["kept"]), r["n_bytes"], r["n_removed"], r["n_spans"]) for r in got), key=str) == plain_repeats(rows, length)
 
 
+@pytest.mark.parametrize("seed", range(3))
+def test_remove_repeats_in_pieces(spark, seed):
+    """Long texts are cut every 1,528 bytes; repeats lie inside pieces, across cuts, and over several of them."""
+    rng = random.Random(seed)
+    base = "".join(rng.choice("abcdé ") for _ in range(6000))
+    rows = [(None, "q" * 12_000), (900, "".join(rng.choice("xyzü") for _ in range(9000))), (901, base), (902, None)]
+    for k in range(8):
+        t = ""
+        while len(t) < rng.choice([300, 5000, 20_000]):
+            a = rng.randint(0, 5000)
+            t += base[a : a + rng.choice([150, 199, 200, 201, 900, 4000])] if rng.random() < 0.4 else "".join(rng.choice("xyz") for _ in range(rng.randint(0, 900)))
+        rows.append((k, t))
+    packed = blocks.packed(frame(spark, rows), 1500, around=200 + 2 * PERIOD)
+    assert packed.filter("own IS NOT NULL").count() > 15 and packed.agg(F.max(F.octet_length("data"))).head()[0] < 7000
+    got = remove_repeats(frame(spark, rows), 200, 1500).collect()
+    assert sorted(((r["doc_id"], bytes(r["kept"]), r["n_bytes"], r["n_removed"], r["n_spans"]) for r in got), key=str) == plain_repeats(rows, 200)
+
+
 def test_names_that_share_their_first_half(spark, monkeypatch):
     """Collisions in 64 bits: only the other 64 tell strings apart."""
     h = np.array([[5, 1], [5, 2], [5, 1], [7, 0]], np.uint64)

@@ -22,8 +22,8 @@ from tidemark.llm.common import kept_in_worker, quoted, shared_dir, ship, stored
 
 BLOCK_BYTES = 4 << 20
 BASE, BASE_2 = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F
-BLOCK_SCHEMA = "block bigint, doc_ids array<bigint>, rows array<binary>, lens array<bigint>, data binary"
-BLOCK_ARROW = pa.schema([("block", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("rows", pa.list_(pa.binary())), ("lens", pa.list_(pa.int64())), ("data", pa.binary())])
+BLOCK_SCHEMA = "block bigint, doc_ids array<bigint>, rows array<binary>, lens array<bigint>, data binary, own array<bigint>"
+BLOCK_ARROW = pa.schema([("block", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("rows", pa.list_(pa.binary())), ("lens", pa.list_(pa.int64())), ("data", pa.binary()), ("own", pa.list_(pa.int64()))])
 #: Bits of a block's number inside its partition, and of a document's inside its block (a document counts as 64 bytes at least). What
 #: is left of 63 bits numbers 67 million partitions.
 BLOCK_BITS, DOC_BITS = 20, 17
@@ -84,7 +84,17 @@ class Strings:
         return np.stack([self._hash(starts, length, BASE), self._hash(starts, length, BASE_2)], 1)
 
 
-def _pack(block_bytes: int):
+def _pieces(text: bytes, block_bytes: int, around: int) -> Iterator[tuple[bytes, list[int]]]:
+    """A long text as pieces of about block_bytes, each with `around` bytes of its neighbours on both sides, and what is its own: where the
+    piece begins in the text, from and to where in the piece its own bytes lie, and whether more pieces follow."""
+    step = max(block_bytes, 4 * around)
+    for a in range(0, len(text), step):
+        b = min(len(text), a + step)
+        lo, hi = max(0, a - around), min(len(text), b + around)
+        yield text[lo:hi], [a, a - lo, b - lo, int(b < len(text))]
+
+
+def _pack(block_bytes: int, around: int | None = None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         first, block = TaskContext.get().partitionId() << BLOCK_BITS, 0
         ids: list[int | None] = []
@@ -92,33 +102,44 @@ def _pack(block_bytes: int):
         texts: list[bytes] = []
         size = 0
 
-        def close() -> pa.RecordBatch:
+        def made(ids: list, rows: list, texts: list[bytes], own: list[int] | None) -> pa.RecordBatch:
+            nonlocal block
             if block >> BLOCK_BITS:
                 raise OverflowError(f"more than {1 << BLOCK_BITS} blocks in a partition")
-            return pa.RecordBatch.from_pylist([{"block": first + block, "doc_ids": ids, "rows": rows, "lens": [len(t) for t in texts], "data": b"".join(texts)}], schema=BLOCK_ARROW)
+            block += 1
+            return pa.RecordBatch.from_pylist([{"block": first + block - 1, "doc_ids": ids, "rows": rows, "lens": [len(t) for t in texts], "data": b"".join(texts), "own": own}], schema=BLOCK_ARROW)
 
         for batch in batches:
             for doc, text, row in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                if around is not None and text and len(text) > max(2 * block_bytes, 8 * around):
+                    mark = first + block
+                    for piece, own in _pieces(text, block_bytes, around):
+                        yield made([doc], [row], [piece], [mark, *own])
+                    continue
                 ids.append(doc)
                 rows.append(row)
                 texts.append(text or b"")
                 size += len(texts[-1]) + 64
                 if size >= block_bytes or len(ids) >> DOC_BITS:
-                    yield close()
-                    ids, rows, texts, size, block = [], [], [], 0, block + 1
+                    yield made(ids, rows, texts, None)
+                    ids, rows, texts, size = [], [], [], 0
         if ids:
-            yield close()
+            yield made(ids, rows, texts, None)
 
     return run
 
 
-def packed(docs: DataFrame, block_bytes: int = BLOCK_BYTES, row: str | None = None) -> DataFrame:
-    """Blocks of docs (doc_id, text; null text is empty; row: a binary column to carry along), written to the shared folder, bucketed by block."""
+def packed(docs: DataFrame, block_bytes: int = BLOCK_BYTES, row: str | None = None, around: int | None = None) -> DataFrame:
+    """Blocks of docs (doc_id, text; null text is empty; row: a binary column to carry along), written to the shared folder, bucketed by block.
+
+    around: a text much longer than a block becomes several blocks of a piece each, which share so many bytes with their neighbours; own
+    then holds a number of the document, where the piece begins, from and to where in it its own bytes lie, whether more follow.
+    """
     spark = docs.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     name = f"tidemark_blocks_{uuid.uuid4().hex}"
     carried = quoted(row) if row else F.lit(None)
-    blocks = docs.select(F.col("doc_id").cast("bigint"), "text", carried.cast("binary").alias("row")).mapInArrow(_pack(block_bytes), BLOCK_SCHEMA)
+    blocks = docs.select(F.col("doc_id").cast("bigint"), "text", carried.cast("binary").alias("row")).mapInArrow(_pack(block_bytes, around), BLOCK_SCHEMA)
     path = shared_dir(spark, "blocks")
     blocks.write.bucketBy(n, "block").option("path", path).option("compression", "zstd").format("parquet").saveAsTable(name)
     out = spark.table(name)
