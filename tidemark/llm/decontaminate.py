@@ -311,6 +311,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, columns: list[str] | No
     docs needs text, benchmark item_id and text. columns: those of docs to keep, all by default; a column named like a result, in any
     case, is replaced. Null or empty texts have no words and no hits; a null item_id reads as an empty string; repeated items and rows
     are each searched, equal ids count once; an empty benchmark hits nothing; no documents give no rows.
+    A very long text is searched whole: a task holds its words, and time is in proportion to them. Nothing is ranked, so there are no ties.
     """
     from pyspark.sql.pandas.types import to_arrow_schema
 

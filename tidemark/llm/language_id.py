@@ -183,7 +183,8 @@ def predict_language(docs: DataFrame, model: LanguageModel, columns: list[str] |
 
     Null text or one without any letter (`str.isalpha`: no digits, fractions, circled or Roman numeral signs), and all texts if the model knows no language: `und`, score 0, ambiguous. columns: those of
     docs to keep, all by default; a column named like a result, in any case, is replaced. Rows stand alone: repeated ones get the same
-    answer, none give none. The model is broadcast as lists and arrays; its size is 3 x 65,536 slots times a number of bits that grows
+    answer, none give none. Of languages that are equally near the first in code-point order is given, and the text is ambiguous. A very long
+    text is read whole, PIECE bytes at a time, so memory beyond the text itself does not grow with it. The model is broadcast as lists and arrays; its size is 3 x 65,536 slots times a number of bits that grows
     with the logarithm of the number of languages (13 MB for up to five of them, 63 MB for a hundred).
     """
     from pyspark.sql.pandas.types import to_arrow_schema

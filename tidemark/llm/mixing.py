@@ -149,7 +149,8 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, shards: int = SHA
     null last, weigh as `weights`, repeating. Null and empty texts have size 0. Takes depend on a row's doc_id and text, the sums and
     the seed, so reruns agree, in any order and layout of the rows. The driver holds a row for each source and for each block (BLOCKS
     and one a source, twice): a recipe's size, not the corpus's. Rows equal in doc_id and text fall into the same block; no rows give
-    none. A column named like a result, in any case, is replaced.
+    none. Rows that the hash does not tell apart are taken or left together, but for a last few. A very long text is one row with its words
+    counted: a source of one such text is taken whole, up to MOST times, or not at all. A column named like a result, in any case, is replaced.
     """
     spark = docs.sparkSession
     results = ["size", "source_size", "target", "takes"]

@@ -259,7 +259,8 @@ def join_components(docs: DataFrame, n: int = N, block_bytes: int = BLOCK_BYTES,
 
     component_id: smallest doc_id reachable by links, its own included; first: whether the row stands for its component (smallest
     doc_id, then rid). Null or empty texts, or of white space alone, have no n-grams and link with nothing. Rows with equal doc_id
-    are documents of their own; a null doc_id is below all others. Other columns of docs are not read. No rows give none.
+    are documents of their own; a null doc_id is below all others. Of rows that share the smallest doc_id the first as read stands for them.
+    A very long text is a block of its own: a task holds it with its n-grams' hashes. Other columns of docs are not read. No rows give none.
     """
     blocks = packed(docs, block_bytes, row)
     states = [census(blocks, [], _first_columns(n), width=NAME)]

@@ -71,7 +71,8 @@ def shard(docs: DataFrame, shards: int = 8) -> DataFrame:
     part too. Steps: draw keys with a chance in proportion to size; their weighted quantiles bound the ranges; sum the true sizes;
     subdivide ranges that are overfull or hold a boundary into cells of keys; place cells above GIANT of a shard one by one on the
     emptiest shard, the rest in order. The driver gets keys and sums whose number depends on `shards` alone. Null doc_ids, null and
-    empty texts and repeated rows are rows like others; no rows give none. A column named like a result, in any case, is replaced.
+    empty texts and repeated rows are rows like others; no rows give none. Shards equally empty are filled from the first. A very long text
+    is one row, in one shard; only its size and hash are computed, and shards can then differ by as much as it is long. A column named like a result, in any case, is replaced.
     """
     spark = docs.sparkSession
     results = ["size", "law", "shard", "slot"]

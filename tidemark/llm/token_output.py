@@ -258,7 +258,11 @@ def token_digests(spark, path: str) -> DataFrame:
 
 
 def token_output(docs: DataFrame, tokenizer_path: str, end_id: int | None = 1) -> DataFrame:
-    """Write docs' ids to a new folder under the shared one and return what is read back, see write_tokens and token_digests."""
+    """Write docs' ids to a new folder under the shared one and return what is read back, see write_tokens and token_digests.
+
+    A very long text is one document of one block: a task holds it and its ids at once. Rows that share a doc_id stand next to each other;
+    which of them comes first does not depend on the layout of docs, unless they are equal.
+    """
     spark = docs.sparkSession
     path = shared_dir(spark, "tokens")
     write_tokens(docs, path, tokenizer_path, end_id)
