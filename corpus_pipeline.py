@@ -26,7 +26,8 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is recognised: not those without text (null or empty) or letters, nor those between two languages.
 
     The model learns from this stage's own documents that have a language; if none has, every document goes. Rows stand alone, so
-    repeated ones go or stay together; no rows give none.
+    repeated ones go or stay together; no rows give none. Very long texts are read whole. Of equally near languages neither counts: the
+    document is between two.
     """
     docs, back = set_aside(docs, ["lang_pred", "score", "ambiguous"])
     return back(predict_language(docs, fit_language_model(docs)).filter((F.col("lang_pred") != "und") & ~F.col("ambiguous")))
@@ -35,7 +36,8 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each component of texts that share 0.8 of their five-word shingles: the smallest doc_id, a null one before all others.
 
-    Texts without words (null, empty, white space) all stay; of rows equal in all columns one stays; no rows give none.
+    Texts without words (null, empty, white space) all stay; of rows equal in all columns one stays; no rows give none. Of
+    different rows that share the smallest doc_id one stays. A very long text is a block of its own.
     """
     return one_of_each(docs)
 
@@ -44,6 +46,7 @@ def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without any window of ten words of a benchmark item, or all words of a shorter item.
 
     Texts without words (null, empty) stay; an empty benchmark removes nothing; rows stand alone; no rows give none.
+    Very long texts are searched whole; nothing is ranked, so there are no ties.
     """
     docs, back = set_aside(docs, ["n_words", "hit_spans", "hit_items"])
     return back(decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).filter(F.size("hit_spans") == 0))
@@ -53,7 +56,7 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix takes them, up to three times, shuffled within its shards.
 
     Rows equal in doc_id and text are taken equally often, but for a last few; a null source is one of its own, the last; texts without
-    words (null, empty) are taken with their block; no rows give none.
+    words (null, empty) are taken with their block; no rows give none. A very long text is taken whole or not at all.
     """
     docs, back = set_aside(docs, ["size", "source_size", "target", "takes", "shard", "place"])
     return back(emitted(mix(docs)))
@@ -63,7 +66,7 @@ def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Packed token ids, written and read back: where each document's ids start, how many they are, their checksum.
 
     Null and empty texts have the end id alone; repeated rows are each written; a null doc_id comes first; no rows give none; other
-    columns are not read.
+    columns are not read. A very long text is one document of one block.
     """
     import public_tokenizers
 
