@@ -217,6 +217,7 @@ def op11_spelling_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling_groups(counted_words(with_planted_typos(table(spark, sf_dir, "documents"), LEAST_LENGTH)))
 
 
+#: Numbers that may be null are HUGEINT in the SQL: DuckDB's data frames then hold them as Spark's do.
 OP11_SQL = rf"""
 WITH RECURSIVE r AS (SELECT doc_id, translate(unnest(regexp_extract_all(coalesce(text, ''), '[A-Za-z\x{{C0}}-\x{{FF}}]+')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS r FROM documents),
 u AS (SELECT r, h % length(r) AS pos, h % 199 = 0 AS typo, k FROM (SELECT r, k, {crc_sql("doc_id || ':' || r", "crc")} AS h FROM (SELECT doc_id, r, count(*) AS k FROM r WHERE length(r) >= 6 GROUP BY ALL), (SELECT {CRC_TABLE} AS crc))),
@@ -227,7 +228,7 @@ p AS (SELECT DISTINCT * FROM (SELECT x.w, y.w AS near, y.n AS near_n FROM d x JO
 b AS (SELECT w, count(*) AS n_near, arg_min(near, (-near_n, near)) AS near, max(near_n) AS near_n FROM p GROUP BY w),
 f AS (SELECT v.w AS word, n, coalesce(n_near, 0) AS n_near, CASE WHEN near_n >= 5 * n THEN near END AS form, CASE WHEN near_n >= 5 * n THEN near_n END AS form_n FROM v LEFT JOIN b ON v.w = b.w),
 c(word, root) AS (SELECT word, word FROM f UNION ALL SELECT c.word, f.form FROM c JOIN f ON c.root = f.word WHERE f.form IS NOT NULL)
-SELECT f.word, f.form, c.root, f.n, f.n_near, f.form_n FROM f JOIN c ON f.word = c.word JOIN f l ON c.root = l.word AND l.form IS NULL
+SELECT f.word, f.form, c.root, f.n, f.n_near, CAST(f.form_n AS HUGEINT) AS form_n FROM f JOIN c ON f.word = c.word JOIN f l ON c.root = l.word AND l.form IS NULL
 """
 
 
@@ -269,7 +270,7 @@ c AS (SELECT doc_id, sum(d) AS d, i FROM (SELECT doc_id, s + q AS i, 1 AS d FROM
 x AS (SELECT doc_id, i, sum(d) OVER (PARTITION BY doc_id ORDER BY i) AS held, lead(i) OVER (PARTITION BY doc_id ORDER BY i) AS upto FROM c),
 y AS (SELECT doc_id, list({{'a': i, 'b': upto}}) AS gone FROM x WHERE held > 0 GROUP BY 1),
 z AS (SELECT f.doc_id, array_to_string(list_filter(w, lambda v, i: gone IS NULL OR len(list_filter(gone, lambda o: i - 1 >= o.a AND i - 1 < o.b)) = 0), ' ') AS kept FROM f LEFT JOIN y ON f.doc_id = y.doc_id)
-SELECT z.doc_id, coalesce(t.n, 0) AS n_runs, CAST(b.s AS BIGINT) AS start, CAST(b.l AS BIGINT) AS length, CAST(b.q AS BIGINT) AS period, CAST(1000 * b.l // b.q AS BIGINT) AS exponent_milli, sha256(coalesce(t.listed, '')) AS runs_sha256, sha256(kept) AS collapsed_sha256
+SELECT z.doc_id, coalesce(t.n, 0) AS n_runs, CAST(b.s AS HUGEINT) AS start, CAST(b.l AS HUGEINT) AS length, CAST(b.q AS HUGEINT) AS period, CAST(1000 * b.l // b.q AS HUGEINT) AS exponent_milli, sha256(coalesce(t.listed, '')) AS runs_sha256, sha256(kept) AS collapsed_sha256
 FROM z LEFT JOIN t ON z.doc_id = t.doc_id LEFT JOIN b ON z.doc_id = b.doc_id
 """
 
