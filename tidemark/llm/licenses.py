@@ -150,12 +150,13 @@ def scan_licenses(docs: DataFrame, known: DataFrame, bound: int = 100_000) -> Da
     if len(table) > bound:
         raise ValueError(f"more than {bound} known licence texts")
     keep = kept_columns(docs, ["digest", "license", "line_licenses"])
-    (digest,) = private(docs, "known_digest")
+    digest, marked_ = private(docs, "known_digest", "marked_lines")
     text = F.coalesce("text", F.lit(""))
     marked = F.transform(F.split(respelled(text), "\n"), lambda x: F.concat(F.when(x.rlike(COPYRIGHT_LINE), MARK).otherwise(""), plain(x)))
-    lines = F.array_join(F.filter(marked, lambda x: ~x.isin("", MARK)), "\n").cast("binary")
-    found = F.arrow_udf(_line_licenses([tuple(r) for r in table]), "array<string>")(lines)
-    out = docs.select(*map(quoted, keep), F.md5(canonical(text)).alias("digest"), found.alias("line_licenses"))
+    rows = docs.select(*map(quoted, keep), F.filter(marked, lambda x: ~x.isin("", MARK)).alias(marked_))
+    found = F.arrow_udf(_line_licenses([tuple(r) for r in table]), "array<string>")(F.array_join(marked_, "\n").cast("binary"))
+    whole = F.array_join(F.filter(marked_, lambda x: ~x.startswith(MARK)), " ")  # the canonical text: what parts words there is one space
+    out = rows.select(*map(quoted, keep), F.md5(whole).alias("digest"), found.alias("line_licenses"))
     names = known.select(F.col("digest").alias(digest), "license")
     return out.join(F.broadcast(names), out["digest"] == names[digest], "left").select(*map(quoted, keep), "digest", "license", "line_licenses")
 
