@@ -196,9 +196,11 @@ def test_looking_back_in_ranges(spark):
         assert r["before"] == (max(own, key=lambda q: (q["t"], q["n"]))["v"] if own else None)
 
 
-def test_medians_in_ranges(spark):
+@pytest.mark.parametrize("few", [0, 1 << 20])
+def test_medians_in_ranges(spark, monkeypatch, few):
     import statistics
 
+    monkeypatch.setattr(log, "FEW", few)
     rng = random.Random(4)
     groups = {"hot": [float(rng.randint(0, 400)) for _ in range(2001)], "even": [rng.random() for _ in range(300)], "one": [7.5], "same": [3.0] * 40, None: [1.0, 2.0], "none": []}
     rows = [(k, v) for k, vs in groups.items() for v in vs] + [("none", None)]

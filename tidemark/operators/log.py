@@ -13,7 +13,11 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
+from tidemark.sources.shared import written
+
 HISTORY = 10
+#: Counts of different times, 16 bytes each, that a task may hold.
+FEW = 1 << 20
 ORDER = ("t", "n", "d")
 
 
@@ -85,10 +89,12 @@ def max_seq(events: DataFrame) -> DataFrame:
 def median_rt(events: DataFrame, keys: list[str]) -> DataFrame:
     """Median time of each group, two middle ones averaged, 0 without any. All events count, flags with their 0 too.
 
-    Exact, and no task holds a group: equal times are counted first, the counts are summed by range of time, and only the ranges that
-    hold a group's middle places are ordered.
+    Exact, and no task holds a large group: equal times are counted first and written. Up to FEW of these counts are grouped as they are;
+    more are summed by range of time, and only the ranges that hold a group's middle places are ordered.
     """
-    counted = events.groupBy(*keys, "r").agg(F.count("*").alias("_n"))
+    counted = written(events.groupBy(*keys, "r").agg(F.count("*").alias("_n")), "counted")
+    if counted.count() <= FEW:
+        return counted.groupBy(*keys).agg(F.coalesce(F.expr("percentile(r, 0.5D, _n)"), F.lit(0.0)).alias("median_r"))
     told = ranged(counted.filter("r IS NOT NULL"), ["r"])
     over = W.partitionBy(*keys)
     held = told.groupBy(*keys, "_range").agg(F.sum("_n").alias("_sum"))
