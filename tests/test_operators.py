@@ -157,6 +157,38 @@ def test_nested_fragments(spark):
     assert sorted(map(tuple, got.collect())) == [(1, "AAAbcbbA"), (2, "xyzw"), (3, "ok")]
 
 
+def test_nested_fragments_are_moved_once(spark):
+    """Random lines as a plain recursion sets them; fragments are dealt out once, whole, not as characters with their paths."""
+    import random
+
+    from tidemark.operators import tables
+
+    rng = random.Random(4)
+    lines = {k: [(n, "".join(rng.choice("abか") for _ in range(rng.randrange(9))), float(rng.randrange(25))) for n in range(rng.randrange(1, 12))] for k in range(150)}
+    width = lambda c: 1.0 if ord(c) < 256 else 2.0
+
+    def said(f):
+        end = lambda r: r[2] + sum(map(width, r[1]))
+        host = {r[0]: min(((end(h) - h[2], h[0]) for h in f if h[2] < r[2] < end(h)), default=(0, None))[1] for r in f}
+
+        def whole(r):
+            out, kids = "", sorted((k for k in f if host[k[0]] == r[0]), key=lambda k: (k[2], k[0]))
+            for i, c in enumerate(r[1]):
+                at = r[2] + sum(map(width, r[1][:i]))
+                while kids and kids[0][2] <= at:
+                    out += whole(kids.pop(0))
+                out += c
+            return out + "".join(map(whole, kids))
+
+        return "".join(whole(r) for r in sorted(f, key=lambda r: (r[2], r[0])) if host[r[0]] is None)
+
+    rows = [(k, *r) for k, f in lines.items() for r in f] + [(None, 0, "aaaa", 0.0), (None, 1, "b", 1.5), (1000, 0, None, 0.0)]
+    got = tables.line_text(spark.createDataFrame(rows, "page int, seq int, text string, x double").withColumn("size", F.lit(2.0)), ["page"], "seq", "text", "x", "size")
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "Generate" not in plan
+    assert dict(got.collect()) == {k: t for k, f in lines.items() if (t := said(f))} | {None: "aaaab"}
+
+
 def test_segments_and_example_lines(spark):
     from tidemark.operators import tables
 

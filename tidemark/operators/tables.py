@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidemark.functions import text as T
 from tidemark.operators import layout
-from tidemark.sources.shared import written
 
 HAS_KANA = r"[぀-ヿ]"
 CIRCLED = "^[①-⑳]"
@@ -23,30 +24,49 @@ def char_places(text: Column, x: Column, size: Column) -> Column:
     return F.aggregate(chars_of(text), F.array(x.cast("double")), lambda a, c: F.array_append(a, F.element_at(a, -1) + T.char_width(c, size)))
 
 
+def bound(value: Column, of) -> Column:
+    """of(value), with value worked out once however often `of` names it."""
+    return F.get(F.transform(F.array(value), of), F.lit(0))
+
+
 def line_text(rows: DataFrame, keys: list[str], seq: str, text: str, x: str, size: str) -> DataFrame:
     """keys, text: fragments of a line in order of x, those that begin strictly inside another set between its characters.
 
-    A fragment's host is the shortest one around its start (see layout.host_fragments); it stands before the first of the host's
-    characters that is not left of it, and may itself hold others. Each fragment gets a path of places from the outermost one down, a
-    level at a time; characters are ordered by path. Fragments that begin at one x stay whole, in order of seq.
+    A fragment's host is the shortest one around its start; it stands before the first of the host's characters that is not left of it,
+    and may itself hold others. A line is collected. Since what a fragment holds begins right of it, fragments are set from the right,
+    each with its own text already whole. Fragments that begin at one x stay whole, in order of seq. Lines without a key have no hosts.
     """
-    places = char_places(F.col(text), F.col(x), F.col(size))
-    f = written(rows.select(*keys, F.col(seq).cast("double").alias("seq"), F.col(text).alias("text"), F.col(x).cast("double").alias("x"), places.alias("places")), "fragments")
-    hosts = layout.host_fragments(f.select(*keys, "seq", "x", F.element_at("places", -1).alias("right")), keys, "seq")
-    f = f.join(hosts, [*keys, "seq"], "left")
-    step = lambda a, b, x, seq: F.array(F.struct(a.alias("a"), F.lit(b).alias("b"), x.alias("x"), seq.alias("seq")))
-    zero = F.lit(0.0)
-    level = written(f.filter("host IS NULL").select("*", step(zero, 0, F.col("x"), F.col("seq")).alias("path")), "level")
-    done, inner = level, f.filter("host IS NOT NULL")
-    while not level.isEmpty():
-        outer = level.select(*keys, F.col("seq").alias("host"), F.col("path").alias("_path"), F.col("places").alias("_places"))
-        before = F.size(F.filter("_places", lambda p: p < F.col("x")))
-        at = F.least(before, F.size("_places") - 1).cast("double")
-        level = written(inner.join(outer, [*keys, "host"]).withColumn("path", F.concat("_path", step(at, 0, F.col("x"), F.col("seq")))).select(*done.columns), "level")
-        done = done.unionByName(level)
-    each = done.select(*keys, "path", F.posexplode(chars_of(F.col("text"))).alias("i", "ch"))
-    each = each.select(*keys, F.concat("path", step(F.col("i").cast("double"), 1, zero, zero)).alias("path"), "ch")
-    return each.groupBy(*keys).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("path", "ch"))), lambda r: r["ch"]), "").alias("text"))
+    width = F.aggregate(chars_of(F.col(text)), F.col(x).cast("double"), lambda a, c: a + T.char_width(c, F.col(size)))
+    told = rows.filter(F.col(text) != "").select(*keys, F.struct(F.col(x).cast("double").alias("x"), F.col(seq).cast("double").alias("seq"), F.col(text).alias("text"), F.col(size).alias("size"), width.alias("right")).alias("_f"))
+    known = reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in keys])
+
+    def host(f: Column, r: Column, i: Column) -> Column:
+        """Place of the host of the fragment at place i."""
+        around = lambda h, j: F.when((h["x"] < r["x"]) & (r["x"] < h["right"]), F.struct((h["right"] - h["x"]).alias("span"), h["seq"].alias("seq"), j.alias("place")))
+        return F.array_min(F.transform(F.slice(f, F.lit(1), i), around))["place"]
+
+    def left_of(h: Column, r: Column) -> Column:
+        """How many of the host's characters stand left of the fragment."""
+        step = lambda a, c: F.struct((a["x"] + T.char_width(c, h["size"])).alias("x"), (a["n"] + (a["x"] < r["x"]).cast("int")).alias("n"))
+        return F.aggregate(chars_of(h["text"]), F.struct(h["x"].alias("x"), F.lit(0).alias("n")), step)["n"]
+
+    def with_host(f: Column) -> Column:
+        each = lambda r, i: bound(host(f, r, i), lambda h: F.struct(i.alias("place"), r["text"].alias("text"), h.alias("host"), F.when(h.isNotNull(), left_of(F.get(f, h), r)).alias("at")))
+        return F.transform(f, each)
+
+    def nested(g: Column) -> Column:
+        def step(a: Column, r: Column) -> Column:
+            holds = lambda e: F.coalesce(e["host"] == r["place"], F.lit(False))
+            put = lambda t, e: F.concat(F.substring(t, F.lit(1), e["at"]), e["text"], F.substring(t, e["at"] + 1, F.length(t)))
+            whole = F.aggregate(F.filter(a, holds), r["text"], put)
+            return F.array_append(F.filter(a, lambda e: ~holds(e)), F.struct(r["host"].alias("host"), r["at"].alias("at"), whole.alias("text")))
+
+        none = F.array().cast("array<struct<host:int,at:int,text:string>>")
+        return F.array_join(F.transform(F.reverse(F.aggregate(F.reverse(g), none, step)), lambda e: e["text"]), "")
+
+    plain = lambda f: F.array_join(F.transform(f, lambda r: r["text"]), "")
+    set_in = lambda f: bound(with_host(f), lambda g: F.when(F.exists(g, lambda r: r["host"].isNotNull()), nested(g)).otherwise(plain(f)))
+    return told.groupBy(*keys).agg(F.sort_array(F.collect_list("_f")).alias("_f")).select(*keys, bound(F.col("_f"), lambda f: F.when(known, set_in(f)).otherwise(plain(f))).alias("text"))
 
 
 def fine_segments(rows: DataFrame, keys: list[str], seq: str, text: str, x: str, size: str, gap: float = 5.0) -> DataFrame:
