@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.operators import checks, lexicon, patterns, records
+from tidemark.operators import checks, lexicon, patterns, records, tables
 
 
 def plain_tokens(text, entries, inside):
@@ -157,3 +157,40 @@ def test_pattern_tables(spark):
     out = patterns.pattern_tables(table(spark, [(5, "before")], BASE, [(60, "みせの")], forms, [(16, "のみ"), (30, "ます"), (60, "のみ"), (90, "ましょう")], [(0, "3."), (1, "と"), (2, "あ"), (3, "と")]), ["k"], "n", "raw", "segs", F.lit(False)).orderBy("at").collect()
     assert [(r["at"], r["table_no"], r["kind"]) for r in out] == [(1, 1, "substitution"), (3, 2, "conjugation"), (5, 3, "substitution")]
     assert out[0]["slots"] == {"S": ["えきの", "みせの"]} and out[1]["forms"] == [["たべます", "たべましょう"], ["のみます", "のみましょう"]]
+
+
+def test_pattern_tables_are_dealt_out_once(spark):
+    """Random sections: each table gives what its own parser gives of it alone; lines are moved once, to their section, and nothing is joined."""
+    rng = random.Random(7)
+    bases = [BASE[1:], [(16, "たべ"), (30, "ます"), (60, "たべ"), (90, "ましょう")], [(16, "い"), (20, "い"), (40, "です")]]
+    texts = ["がっこう", "の", "まえ →", "のみ", "ます", "い", "です", "だれ…か。", "…本屋", " x  y "]
+    rows = []
+    for k in range(40):
+        for n in range(rng.randrange(1, 25)):
+            opens = n == 0 or rng.random() < 0.2
+            segs = [(float(x), t) for x, t in [(0, f"{n}."), *rng.choice(bases)]] if opens else sorted((float(rng.randrange(10, 200)), rng.choice(texts)) for _ in range(rng.randrange(6)))
+            rows.append((k, n, "".join(t for _, t in segs), segs))
+    shaped = spark.createDataFrame(rows, "k int, n int, raw string, segs array<struct<x:double,text:string>>")
+    out = patterns.pattern_tables(shaped, ["k"], "n", "raw", "segs", F.expr("table_no % 4 = 3"))
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "Join" not in plan
+    got = {(r["k"], r["at"]): r for r in out.collect()}
+    assert len(got) == sum(raw.startswith(f"{n}.") for _, n, raw, _ in rows) and {r["kind"] for r in got.values()} == {"reference", "conjugation", "substitution"}
+    own = spark.createDataFrame([(*t, n, raw, segs) for t in got for k, n, raw, segs in rows if k == t[0] and n >= t[1] and not any(u[0] == k and t[1] < u[1] <= n for u in got)], "k int, at int, n int, raw string, segs array<struct<x:double,text:string>>")
+    for r in patterns.substitution(own, ["k", "at"], "n", "raw", "segs").collect():
+        assert got[r["k"], r["at"]]["kind"] != "substitution" or all(got[r["k"], r["at"]][c] == r[c] for c in ("template", "slots", "rows", "question"))
+    for kind, alone in (("conjugation", patterns.conjugations(own, ["k", "at"], "n", "raw", "segs")), ("reference", patterns.reference_table(own, ["k", "at"], "n", "segs"))):
+        assert all(got[r["k"], r["at"]]["kind"] != kind or got[r["k"], r["at"]]["forms"] == r["forms"] for r in alone.collect())
+
+
+def test_conjugations_vote_as_rows_do(spark):
+    """The vote within a table equals the one over rows (tables.conjugation_forms), ties too."""
+    rng = random.Random(3)
+    rows = [(k, n, "", [(float(i), rng.choice("abct")) for i in range(rng.randrange(3, 7) + (n == 0))]) for k in range(60) for n in range(rng.randrange(1, 9))]
+    shaped = spark.createDataFrame(rows, "k int, n int, raw string, segs array<struct<x:double,text:string>>")
+    got = {r["k"]: r["forms"] for r in patterns.conjugations(shaped, ["k"], "n", "raw", "segs").collect()}
+    texts = spark.createDataFrame([(k, n, [t for _, t in segs][n == 0 :]) for k, n, _, segs in rows], "k int, n int, cells array<string>")
+    want = {k: [] for k in got}
+    for r in sorted(tables.conjugation_forms(texts, ["k"], "n", "cells", patterns.PARTICLES).collect(), key=lambda r: r["n"]):
+        want[r["k"]].append(r["forms"])
+    assert got == want and any(len(f) > 2 for f in got.values())

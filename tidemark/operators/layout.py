@@ -137,13 +137,19 @@ def continuation_append(rows: DataFrame, keys: list[str], order: str, kind: str,
     return fold(shaped, keys, [order], ["kind", "text"], start, step, lambda a: a["out"]).select(*keys, F.inline("out"))
 
 
+def column_starts(columns: Column, share: float = 0.2) -> Column:
+    """From where on an x has crossed each column: its start, less a share of the gap before it."""
+    return F.transform(columns, lambda c, i: c - share * F.coalesce(c - F.get(columns, i - 1), F.lit(0.0)))
+
+
+def last_crossed(x: Column, starts: Column) -> Column:
+    """Index of the last column that x has crossed, see column_starts; 0 for none."""
+    return F.coalesce(F.array_max(F.transform(starts, lambda s, i: F.when(x >= s, i))), F.when(starts.isNotNull(), F.lit(0)))
+
+
 def column_of(x: Column, columns: Column, share: float = 0.2) -> Column:
     """Index of the last column that x has crossed: past its start, less a share of the gap before it."""
-    def step(a: Column, c: Column) -> Column:
-        gap = F.when(a["prev"].isNull(), F.lit(0.0)).otherwise(c - a["prev"])
-        return F.struct(c.alias("prev"), (a["i"] + 1).alias("i"), F.when(x >= c - share * gap, a["i"]).otherwise(a["best"]).alias("best"))
-
-    return F.aggregate(columns, F.struct(F.lit(None).cast("double").alias("prev"), F.lit(0).alias("i"), F.lit(0).alias("best")), step, lambda a: a["best"])
+    return last_crossed(x, column_starts(columns, share))
 
 
 def host_fragments(rows: DataFrame, keys: list[str], seq: str) -> DataFrame:

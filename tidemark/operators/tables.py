@@ -25,8 +25,8 @@ def char_places(text: Column, x: Column, size: Column) -> Column:
 
 
 def bound(value: Column, of) -> Column:
-    """of(value), with value worked out once however often `of` names it."""
-    return F.get(F.transform(F.array(value), of), F.lit(0))
+    """of(value), with value worked out once however often `of` names it: a fold over nothing, since what it ends with is not copied."""
+    return F.aggregate(F.array(), value, lambda a, _: a, of)
 
 
 def line_text(rows: DataFrame, keys: list[str], seq: str, text: str, x: str, size: str) -> DataFrame:
@@ -125,10 +125,14 @@ def redistribute_slots(rows: DataFrame, keys: list[str], row: str, cells: str, b
     mean = (F.get("_bases", F.col("_column")) + F.sum("_sum").over(w) - F.col("_sum")) / (1 + F.sum("_n").over(w) - F.col("_n"))
     told = told.select(*keys, row, "_slots", F.struct(F.col("_column").alias("column"), F.col("_segments").alias("segments"), mean.alias("mean"), (F.col("_n") > 0).alias("printed")).alias("cell"))
     state = told.groupBy(*keys, row, "_slots").agg(F.sort_array(F.collect_list("cell")).alias("state"))
+    return state.select(*keys, row, F.transform(slots_filled(F.col("state"), F.col("_slots")), lambda c: c["segments"]).alias(cells))
 
+
+def slots_filled(state: Column, slots: Column) -> Column:
+    """state, the cells (column, segments, mean, printed) of a row in order of columns, after its slots have taken what they may, see redistribute_slots."""
     def fill(a: Column, m: Column) -> Column:
         filled = F.filter(a, lambda c: (c["column"] < m) & c["printed"] & (F.size(c["segments"]) > 0))
-        return F.when(F.size(F.get(a, m)["segments"]) > 0, a).otherwise(F.get(F.transform(F.array(F.try_element_at(filled, F.lit(-1))), lambda source: moved(a, m, source)), F.lit(0)))
+        return F.when(F.size(F.get(a, m)["segments"]) > 0, a).otherwise(bound(F.try_element_at(filled, F.lit(-1)), lambda source: moved(a, m, source)))
 
     def moved(a: Column, m: Column, source: Column) -> Column:
         last = F.try_element_at(source["segments"], F.lit(-1))
@@ -136,8 +140,7 @@ def redistribute_slots(rows: DataFrame, keys: list[str], row: str, cells: str, b
         now = lambda c: F.when(c["column"] == m, F.array(last)).when(c["column"] == source["column"], F.slice(c["segments"], 1, F.size(c["segments"]) - 1)).otherwise(c["segments"])
         return F.when(moves, F.transform(a, lambda c: F.struct(c["column"].alias("column"), now(c).alias("segments"), c["mean"].alias("mean"), c["printed"].alias("printed")))).otherwise(a)
 
-    filled = F.aggregate(F.sort_array("_slots"), F.col("state"), fill)
-    return state.select(*keys, row, F.transform(filled, lambda c: c["segments"]).alias(cells))
+    return F.aggregate(F.sort_array(slots), state, fill)
 
 
 def reconstruct_question(base: Column, values: Column, start: Column, slots: Column) -> Column:
@@ -152,16 +155,18 @@ def reconstruct_question(base: Column, values: Column, start: Column, slots: Col
     return F.when(start.isNotNull(), F.concat(F.array_join(head, ""), F.regexp_replace(tail, "。\\z", ""), F.lit("か。")))
 
 
-def form_starts(texts: Column, ignored: tuple[str, ...] = ()) -> Column:
-    """Where the forms of a row begin: at each place of the first text, none of the ignored ones, that comes again two places on or later,
-    and at 0; null without one."""
+def form_marker(texts: Column, ignored: tuple[str, ...] = ()) -> Column:
+    """The first text, none of the ignored ones, that comes again two places on or later; null without one."""
     def again(t: Column, i: Column) -> Column:
-        last = F.array_max(F.filter(F.transform(F.slice(texts, F.lit(1), i), lambda u, j: F.when(u == t, j)), lambda j: j.isNotNull()))
-        return F.when(i - last >= 2, t)
+        return (F.array_position(texts, t) < i) & F.coalesce(F.get(texts, i - 1) != t, F.lit(True)) & ~t.isin(*ignored)
+
+    return F.get(F.filter(texts, again), F.lit(0))
 
-    marker = F.get(F.filter(F.transform(texts, again), lambda t: t.isNotNull() & ~t.isin(*ignored)), F.lit(0))
-    places = F.filter(F.transform(texts, lambda t, i: F.when(t == marker, i)), lambda i: i.isNotNull())
-    return F.when(marker.isNotNull(), F.array_union(F.array(F.lit(0)), places))
+
+def form_starts(texts: Column, ignored: tuple[str, ...] = ()) -> Column:
+    """Where the forms of a row begin: at each place of the row's marker (see form_marker), and at 0; null without one."""
+    places = lambda m: F.filter(F.transform(texts, lambda t, i: F.when(t == m, i)), lambda i: i.isNotNull())
+    return bound(form_marker(texts, ignored), lambda m: F.when(m.isNotNull(), F.array_union(F.array(F.lit(0)), places(m))))
 
 
 def conjugation_forms(rows: DataFrame, keys: list[str], row: str, texts: str, ignored: tuple[str, ...] = ()) -> DataFrame:
