@@ -23,7 +23,7 @@ SEGMENTS = "array<struct<x:double,text:string>>"
 
 
 def _joined(segments: Column) -> Column:
-    return T.collapse_ws(F.array_join(F.transform(segments, lambda s: s["text"]), " "))
+    return T.collapse_ws(F.array_join(segments["text"], " "))
 
 
 def _cleaned(segments: Column) -> Column:
@@ -45,8 +45,8 @@ def _columns(lines: Column) -> Column:
 
 def _based(lines: Column, of) -> Column:
     """of(xs, starts, texts), the columns of the table's first line: where they stand and begin, what they say."""
-    split = lambda base: F.struct(F.transform(base, lambda s: s["x"]).alias("xs"), F.transform(base, lambda s: s["text"]).alias("texts"))
-    return bound(_columns(lines), lambda base: bound(split(base), lambda v: bound(layout.column_starts(v["xs"]), lambda starts: of(v["xs"], starts, v["texts"]))))
+    told = lambda base, xs: bound(layout.column_starts(xs), lambda starts: bound(base["text"], lambda texts: of(xs, starts, texts)))
+    return bound(_columns(lines), lambda base: bound(base["x"], lambda xs: told(base, xs)))
 
 
 def _question(lines: Column, starts: Column, texts: Column, chosen: Column) -> Column:
@@ -57,8 +57,8 @@ def _question(lines: Column, starts: Column, texts: Column, chosen: Column) -> C
         return F.struct(layout.last_crossed(s["x"], starts).alias("column"), asked.alias("asked"), said.alias("said"))
 
     def told(p: Column) -> Column:
-        text = lambda c: T.collapse_ws(F.array_join(F.transform(F.filter(p, lambda s: (s["column"] == c) & (s["said"] != "")), lambda s: s["said"]), " "))
-        printed = F.filter(F.transform(F.array_distinct(F.transform(p, lambda s: s["column"])), lambda c: F.struct(c.alias("column"), text(c).alias("text"))), lambda e: e["text"] != "")
+        text = lambda c: T.collapse_ws(F.array_join(F.filter(p, lambda s: (s["column"] == c) & (s["said"] != ""))["said"], " "))
+        printed = F.filter(F.transform(F.array_distinct(p["column"]), lambda c: F.struct(c.alias("column"), text(c).alias("text"))), lambda e: e["text"] != "")
         start = F.try_element_at(F.filter(p, lambda s: s["asked"]), F.lit(-1))["column"]
         return bound(F.struct(F.map_from_entries(printed).alias("values"), start.alias("start")), lambda q: tables.reconstruct_question(texts, q["values"], q["start"], chosen))
 
@@ -73,7 +73,7 @@ def _upto_sample(lines: Column) -> Column:
         return F.struct(r["segments"].alias("segments"), question.alias("question"), (r["raw"].rlike(SAMPLE) & ~question).alias("sample"))
 
     held = F.transform(F.filter(F.slice(lines, 2, F.size(lines)), lambda r: F.size(r["segments"]) > 0), flagged)
-    cut = lambda f: bound(F.array_position(F.transform(f, lambda r: r["sample"]), True).cast("int"), lambda at: F.when(at > 0, F.slice(f, F.lit(1), F.greatest(at - 1, F.lit(0)))).otherwise(f))
+    cut = lambda f: bound(F.array_position(f["sample"], True).cast("int"), lambda at: F.when(at > 0, F.slice(f, F.lit(1), F.greatest(at - 1, F.lit(0)))).otherwise(f))
     return bound(held, cut)
 
 
@@ -175,7 +175,7 @@ def _reference(lines: Column) -> Column:
     """forms of one table, see reference_table."""
     def pairs(r: Column, starts: Column) -> Column:
         placed = F.transform(F.filter(r["segments"], lambda s: ~s["text"].isin(*CLASSES)), lambda s: F.struct(layout.last_crossed(s["x"], starts).alias("column"), F.replace(s["text"], F.lit(" "), F.lit("")).alias("text")))
-        half = lambda p, c: F.array_join(F.transform(F.filter(p, lambda e: e["column"] == c), lambda e: e["text"]), "")
+        half = lambda p, c: F.array_join(F.filter(p, lambda e: e["column"] == c)["text"], "")
         both = bound(placed, lambda p: F.array(*[F.array(half(p, a), half(p, a + 1)) for a in (0, 2)]))
         return F.filter(both, lambda p: (p[0] != "") & (p[1] != "") & ~((p[0] == LABELS[0]) & (p[1] == LABELS[1])))
 
@@ -215,12 +215,12 @@ def _conjugations(lines: Column) -> Column:
         return bound(own, lambda b: F.transform(b, lambda s, i: form(b, s, i)))
 
     def voted(told: Column) -> Column:
-        bests = F.transform(F.array_distinct(F.transform(told, lambda r: r["n"])), lambda n: F.struct(n.alias("n"), best(told, n).alias("starts")))
+        bests = F.transform(F.array_distinct(told["n"]), lambda n: F.struct(n.alias("n"), best(told, n).alias("starts")))
         return bound(bests, lambda b: F.filter(F.transform(told, lambda r: cut(r, b)), lambda f: f.isNotNull()))
 
     kept = F.filter(lines, lambda r, i: (i == 0) | ~(r["raw"].rlike(QUESTION) | r["raw"].rlike(SAMPLE)))
-    base = F.transform(_columns(lines), lambda s: s["text"])
-    texts = F.transform(kept, lambda r, i: F.when(i == 0, base).otherwise(F.transform(_cleaned(r["segments"]), lambda s: s["text"])))
+    base = _columns(lines)["text"]
+    texts = F.transform(kept, lambda r, i: F.when(i == 0, base).otherwise(_cleaned(r["segments"])["text"]))
     told = F.transform(F.filter(texts, lambda t: F.size(t) > 0), lambda t: F.struct(t.alias("texts"), F.size(t).alias("n"), tables.form_starts(t, PARTICLES).alias("starts")))
     return bound(told, voted)
 
@@ -242,7 +242,7 @@ def pattern_tables(rows: DataFrame, keys: list[str], line: str, raw: str, segmen
     lines = rows.withColumn("at", F.last(opens, ignorenulls=True).over(order)).filter("at IS NOT NULL")
     each = _collected(lines, [*keys, "at"], line, raw, segments)
     each = each.withColumn("table_no", F.regexp_extract(F.get("lines", F.lit(0))["raw"], NUMBER, 1).cast("bigint"))
-    marked = bound(F.transform(_columns(F.col("lines")), lambda s: s["text"]), lambda texts: tables.form_marker(texts, PARTICLES)).isNotNull()
+    marked = bound(_columns(F.col("lines"))["text"], lambda texts: tables.form_marker(texts, PARTICLES)).isNotNull()
     each = each.withColumn("kind", F.when(reference, "reference").when(marked, "conjugation").otherwise("substitution"))
     made = F.when(F.col("kind") == "substitution", _substitution(F.col("lines")))
     forms = F.when(F.col("kind") == "reference", _reference(F.col("lines"))).when(F.col("kind") == "conjugation", _conjugations(F.col("lines")))

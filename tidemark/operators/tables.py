@@ -62,9 +62,9 @@ def line_text(rows: DataFrame, keys: list[str], seq: str, text: str, x: str, siz
             return F.array_append(F.filter(a, lambda e: ~holds(e)), F.struct(r["host"].alias("host"), r["at"].alias("at"), whole.alias("text")))
 
         none = F.array().cast("array<struct<host:int,at:int,text:string>>")
-        return F.array_join(F.transform(F.reverse(F.aggregate(F.reverse(g), none, step)), lambda e: e["text"]), "")
+        return F.array_join(F.reverse(F.aggregate(F.reverse(g), none, step)["text"]), "")
 
-    plain = lambda f: F.array_join(F.transform(f, lambda r: r["text"]), "")
+    plain = lambda f: F.array_join(f["text"], "")
     set_in = lambda f: bound(with_host(f), lambda g: F.when(F.exists(g, lambda r: r["host"].isNotNull()), nested(g)).otherwise(plain(f)))
     return told.groupBy(*keys).agg(F.sort_array(F.collect_list("_f")).alias("_f")).select(*keys, bound(F.col("_f"), lambda f: F.when(known, set_in(f)).otherwise(plain(f))).alias("text"))
 

@@ -252,7 +252,7 @@ def joined_forms():
 
 
 def pattern_lines(spark, sf_dir, lines):
-    return ranked(spark, sf_dir).withColumn("segs", F.expr(cells_expr(lines))).withColumn("raw", F.array_join(F.transform("segs", lambda s: s["text"]), ""))
+    return ranked(spark, sf_dir).withColumn("segs", F.expr(cells_expr(lines))).withColumn("raw", F.array_join("segs.text", ""))
 
 
 ONE_TABLE = [("seq = 1", BASE), *PATTERN_LINES]
